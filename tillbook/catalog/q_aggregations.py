@@ -1 +1,214 @@
-"""Queries of this group."""
+"""Group E queries and their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillbook.catalog import register
+from tillbook.operators import aggregations as E
+from tillbook.operators.joins import asof_opening, tx_in_shift
+from tillbook.sources.fixtures import Ledger
+
+LAST_OPEN = "(SELECT tienda_id, MAX(fecha_hora) AS ultima FROM aperturas_caja GROUP BY tienda_id)"
+
+
+@register("e1_expenses_by_bank", """
+SELECT banco_id, CAST(SUM(monto) AS DECIMAL(18,2)) AS total FROM gastos
+WHERE CAST(fecha_hora AS DATE) <= DATE '1997-12-31' GROUP BY banco_id""")
+def e1(spark, d):
+    return E.expenses_by_bank(Ledger(spark, d)["gastos"], until="1997-12-31")
+
+
+@register("e2_legacy_transit", """
+SELECT CAST(COALESCE(ABS(SUM(CASE WHEN tipo = 'Retiro' AND banco_id IS NULL THEN monto_efectivo ELSE 0 END))
+       - SUM(CASE WHEN tipo = 'Depósito Cuenta' THEN ABS(monto_efectivo) ELSE 0 END), 0) AS DECIMAL(18,2)) AS transito
+FROM transacciones""")
+def e2(spark, d):
+    return E.legacy_transit(Ledger(spark, d)["transacciones"])
+
+
+@register("e3_pending_remits_by_bank", """
+SELECT banco_id, CAST(SUM(monto) AS DECIMAL(18,2)) AS total_remesa FROM remesas
+WHERE estado = 'Pendiente' GROUP BY banco_id""")
+def e3a(spark, d):
+    return E.pending_remits_by_bank(Ledger(spark, d)["remesas"])
+
+
+@register("e3_total_in_transit", """
+SELECT t.transito, p.pendiente, CAST(t.transito + p.pendiente AS DECIMAL(18,2)) AS en_transito
+FROM (SELECT CAST(COALESCE(ABS(SUM(CASE WHEN tipo = 'Retiro' AND banco_id IS NULL THEN monto_efectivo ELSE 0 END))
+       - SUM(CASE WHEN tipo = 'Depósito Cuenta' THEN ABS(monto_efectivo) ELSE 0 END), 0) AS DECIMAL(18,2)) AS transito
+      FROM transacciones) t,
+     (SELECT CAST(COALESCE(SUM(monto), 0) AS DECIMAL(18,2)) AS pendiente FROM remesas WHERE estado = 'Pendiente') p""")
+def e3b(spark, d):
+    L = Ledger(spark, d)
+    return E.total_in_transit(L["remesas"], L["transacciones"])
+
+
+@register("e4_net_since_opening", f"""
+SELECT t.tienda_id, t.banco_id, CAST(SUM(t.monto_efectivo) AS DECIMAL(18,2)) AS neto_txn
+FROM transacciones t JOIN {LAST_OPEN} a ON t.tienda_id = a.tienda_id
+WHERE t.fecha_hora >= a.ultima GROUP BY t.tienda_id, t.banco_id""")
+def e4(spark, d):
+    L = Ledger(spark, d)
+    return E.net_since_opening(L["transacciones"], L["aperturas_caja"])
+
+
+@register("e5_remitted_since_opening", f"""
+SELECT r.tienda_id, r.banco_id, CAST(SUM(r.monto) AS DECIMAL(18,2)) AS total_enviado
+FROM remesas r JOIN {LAST_OPEN} a ON r.tienda_id = a.tienda_id
+WHERE r.fecha_envio >= a.ultima GROUP BY r.tienda_id, r.banco_id""")
+def e5(spark, d):
+    L = Ledger(spark, d)
+    return E.remitted_since_opening(L["remesas"], L["aperturas_caja"])
+
+
+def flow_sql(since_expr: str | None) -> str:
+    cut_r = f"AND fecha_recepcion > {since_expr}" if since_expr else "AND fecha_recepcion IS NOT NULL"
+    cut_l = f"AND fecha_hora > {since_expr}" if since_expr else "AND fecha_hora IS NOT NULL"
+    return f"""
+(SELECT k.banco_id, CAST(COALESCE(f.flujo, 0) AS DECIMAL(18,2)) AS flujo
+ FROM (SELECT id AS banco_id FROM bancos UNION ALL SELECT CAST(NULL AS BIGINT)) k
+ LEFT JOIN (
+   SELECT banco_id, SUM(flujo) AS flujo FROM (
+     SELECT banco_id, monto AS flujo FROM remesas WHERE estado = 'Recibido' {cut_r}
+     UNION ALL SELECT banco_id, monto FROM tesoreria_log WHERE tipo = 'Traslado (Efectivo)' {cut_l}
+     UNION ALL SELECT banco_id, -monto FROM tesoreria_log
+       WHERE tipo IN ('Depósito a Banco', 'Envío a Tienda', 'Entrega Dueño', 'Pago Depósito Adelantado', 'Ajuste de Cuadre') {cut_l}
+   ) u GROUP BY banco_id) f ON k.banco_id IS NOT DISTINCT FROM f.banco_id)"""
+
+
+@register("e6_treasury_flow_since", "SELECT * FROM " + flow_sql("TIMESTAMP '2000-01-01 00:00:00'")
+          + " x WHERE banco_id IS NOT NULL")
+def e6(spark, d):
+    L = Ledger(spark, d)
+    f = E.treasury_flow(L["remesas"], L["tesoreria_log"], L["bancos"], "2000-01-01 00:00:00")
+    return f.filter(F.col("banco_id").isNotNull())
+
+
+@register("e7_treasury_flow_otros", "SELECT * FROM " + flow_sql("TIMESTAMP '2000-01-01 00:00:00'")
+          + " x WHERE banco_id IS NULL")
+def e7(spark, d):
+    L = Ledger(spark, d)
+    f = E.treasury_flow(L["remesas"], L["tesoreria_log"], L["bancos"], "2000-01-01 00:00:00")
+    return f.filter(F.col("banco_id").isNull())
+
+
+@register("e17_treasury_full_balance", "SELECT * FROM " + flow_sql(None) + " x")
+def e17(spark, d):
+    L = Ledger(spark, d)
+    return E.treasury_flow(L["remesas"], L["tesoreria_log"], L["bancos"], None)
+
+
+# --- shifts (D11 + D12 based) -------------------------------------------------
+SHIFTS_CTE = """
+asof_ap AS (
+  SELECT c.id AS cierre_id, c.tienda_id, c.fecha AS hasta,
+         (SELECT a.fecha_hora FROM aperturas_caja a WHERE a.tienda_id = c.tienda_id AND a.fecha_hora <= c.fecha
+          ORDER BY a.fecha_hora DESC, a.id DESC LIMIT 1) AS ap_ts,
+         (SELECT a.saldo_inicial_efectivo FROM aperturas_caja a WHERE a.tienda_id = c.tienda_id AND a.fecha_hora <= c.fecha
+          ORDER BY a.fecha_hora DESC, a.id DESC LIMIT 1) AS ap_cash
+  FROM cierres_caja c),
+shifts AS (
+  SELECT cierre_id, tienda_id, COALESCE(ap_ts, TIMESTAMP '2000-01-01 00:00:00') AS desde, hasta,
+         CAST(COALESCE(ap_cash, 0) AS DECIMAL(18,2)) AS saldo_inicial_ef FROM asof_ap),
+shift_tx AS (
+  SELECT s.cierre_id, t.* FROM shifts s JOIN transacciones t
+    ON t.tienda_id = s.tienda_id AND t.fecha_hora >= s.desde AND t.fecha_hora <= s.hasta),
+by_type AS (
+  SELECT cierre_id, tipo,
+         CAST(SUM(CASE WHEN monto_efectivo > 0 THEN monto_efectivo ELSE 0 END) AS DECIMAL(18,2)) AS entrada_ef,
+         CAST(SUM(CASE WHEN monto_efectivo < 0 THEN ABS(monto_efectivo) ELSE 0 END) AS DECIMAL(18,2)) AS salida_ef,
+         COUNT(*) AS cantidad
+  FROM shift_tx GROUP BY cierre_id, tipo),
+by_bank AS (
+  SELECT s.cierre_id, s.banco_id, b.nombre AS banco_nombre, b.color AS banco_color,
+         CAST(SUM(CASE WHEN s.monto_efectivo > 0 THEN s.monto_efectivo ELSE 0 END) AS DECIMAL(18,2)) AS entrada_ef,
+         CAST(SUM(CASE WHEN s.monto_efectivo < 0 THEN ABS(s.monto_efectivo) ELSE 0 END) AS DECIMAL(18,2)) AS salida_ef,
+         CAST(SUM(s.monto_efectivo) AS DECIMAL(18,2)) AS neto_ef, COUNT(*) AS ops
+  FROM shift_tx s JOIN bancos b ON s.banco_id = b.id GROUP BY s.cierre_id, s.banco_id, b.nombre, b.color),
+summary AS (
+  SELECT c.id AS cierre_id,
+    CAST(COALESCE(SUM(CASE WHEN tipo = 'Depósito' THEN entrada_ef END), 0) AS DECIMAL(18,2)) AS depositos,
+    CAST(COALESCE(SUM(CASE WHEN tipo = 'Retiro' THEN salida_ef END), 0) AS DECIMAL(18,2)) AS retiros,
+    CAST(COALESCE(SUM(CASE WHEN tipo = 'Pago Servicio' THEN entrada_ef END), 0) AS DECIMAL(18,2)) AS pagos_servicio,
+    CAST(COALESCE(SUM(CASE WHEN tipo = 'Pago Caja Empresarial' THEN entrada_ef END), 0) AS DECIMAL(18,2)) AS caja_empresarial,
+    CAST(COALESCE(SUM(CASE WHEN tipo = 'Efectivo Entregado' THEN salida_ef END), 0) AS DECIMAL(18,2)) AS efectivo_entregado,
+    CAST(COALESCE(SUM(CASE WHEN tipo = 'Depósito Cuenta' THEN salida_ef END), 0) AS DECIMAL(18,2)) AS deposito_cuenta,
+    CAST(COALESCE(SUM(cantidad), 0) AS BIGINT) AS total_ops
+  FROM cierres_caja c LEFT JOIN by_type t ON t.cierre_id = c.id GROUP BY c.id)
+"""
+
+
+def shift_frames(L):
+    shifts = asof_opening(L["cierres_caja"], L["aperturas_caja"]).select(
+        F.col("id").alias("cierre_id"), "tienda_id", "desde", F.col("fecha").alias("hasta"), "saldo_inicial_ef")
+    stx = tx_in_shift(L["transacciones"], shifts)
+    return shifts, stx
+
+
+@register("e8_shift_by_type", "SELECT * FROM by_type", extra_ctes=SHIFTS_CTE)
+def e8(spark, d):
+    L = Ledger(spark, d)
+    _, stx = shift_frames(L)
+    return E.shift_by_type(stx)
+
+
+@register("e9_shift_by_bank", "SELECT * FROM by_bank", extra_ctes=SHIFTS_CTE)
+def e9(spark, d):
+    L = Ledger(spark, d)
+    _, stx = shift_frames(L)
+    return E.shift_by_bank(stx, L["bancos"])
+
+
+@register("e10_shift_summary", "SELECT * FROM summary", extra_ctes=SHIFTS_CTE)
+def e10(spark, d):
+    L = Ledger(spark, d)
+    shifts, stx = shift_frames(L)
+    return E.shift_summary(E.shift_by_type(stx), shifts)
+
+
+@register("e11_shift_moved_total", """
+SELECT *, CAST(depositos + pagos_servicio + caja_empresarial AS DECIMAL(18,2)) AS total_movido FROM summary""",
+          extra_ctes=SHIFTS_CTE)
+def e11(spark, d):
+    L = Ledger(spark, d)
+    shifts, stx = shift_frames(L)
+    return E.shift_moved_total(E.shift_summary(E.shift_by_type(stx), shifts))
+
+
+@register("e19_shift_bank_totals", """
+SELECT cierre_id, CAST(SUM(entrada_ef) AS DECIMAL(18,2)) AS total_entrada,
+       CAST(SUM(salida_ef) AS DECIMAL(18,2)) AS total_salida, CAST(SUM(neto_ef) AS DECIMAL(18,2)) AS total_neto
+FROM by_bank GROUP BY cierre_id""", extra_ctes=SHIFTS_CTE)
+def e19(spark, d):
+    L = Ledger(spark, d)
+    _, stx = shift_frames(L)
+    return E.shift_bank_totals(E.shift_by_bank(stx, L["bancos"]))
+
+
+@register("e15_outstanding_debt_total", """
+SELECT CAST(COALESCE(SUM(monto), 0) AS DECIMAL(18,2)) AS deuda_total FROM depositos_adelantados
+WHERE estado = 'Pendiente'""")
+def e15(spark, d):
+    return E.outstanding_debt_total(Ledger(spark, d)["depositos_adelantados"])
+
+
+@register("e16_pending_counts", """
+SELECT (SELECT COUNT(*) FROM remesas WHERE estado = 'Pendiente') AS remesas_pendientes,
+       (SELECT COUNT(*) FROM depositos_adelantados WHERE estado = 'Pendiente') AS deudas_pendientes""")
+def e16(spark, d):
+    L = Ledger(spark, d)
+    return E.pending_counts(L["remesas"], L["depositos_adelantados"])
+
+
+@register("e18_opening_total", """
+SELECT a.id, a.tienda_id,
+  CAST(COALESCE(SUM(COALESCE(TRY_CAST(json_extract_string(a.jj, '$."' || u.k || '"') AS DECIMAL(18,2)), 0)), 0)
+       AS DECIMAL(18,2)) AS total_declarado
+FROM (SELECT *, CASE WHEN json_valid(saldos_bancos_json) THEN saldos_bancos_json ELSE '{}' END AS jj
+      FROM aperturas_caja) a
+LEFT JOIN LATERAL (SELECT unnest(json_keys(a.jj)) AS k) u ON TRUE
+GROUP BY a.id, a.tienda_id""")
+def e18(spark, d):
+    return E.opening_total(Ledger(spark, d)["aperturas_caja"])
