@@ -84,7 +84,8 @@ def build_breakdown(long_df: DataFrame, keys: list[str], key_col: str = "clave",
     dlv = F.when(F.col(delivered_col) > 0,
                  F.concat(F.col(key_col), F.lit(": L "), money_text(F.col(delivered_col))))
     g = long_df.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), dec.alias("t")))).alias("_d"),
+        F.array_sort(F.collect_list(F.when(F.col(declared_col).isNotNull(),
+                                           F.struct(order.alias("o"), dec.alias("t"))))).alias("_d"),
         F.array_sort(F.collect_list(F.when(dlv.isNotNull(), F.struct(order.alias("o"), dlv.alias("t")))))
          .alias("_e"))
     dec_text = F.array_join(F.transform("_d", lambda e: e["t"]), " | ")
