@@ -40,8 +40,8 @@ def _to_map(entries: Column) -> Column:
 def parse_breakdown(df: DataFrame, text_col: str = "desglose_bancos") -> DataFrame:
     """Adds ``declarado`` and ``entregado`` maps and ``total_entregado``."""
     text = F.col(text_col)
-    first = F.element_at(F.split(F.coalesce(text, F.lit("")), r"\|\|"), 1)
-    second = F.coalesce(F.element_at(F.split(F.coalesce(text, F.lit("")), r"\|\|"), 2), F.lit(""))
+    first = F.try_element_at(F.split(F.coalesce(text, F.lit("")), r"\|\|"), F.lit(1))
+    second = F.coalesce(F.try_element_at(F.split(F.coalesce(text, F.lit("")), r"\|\|"), F.lit(2)), F.lit(""))
     delivered_text = F.when(second.contains(DELIVERY_TAG),
                             F.regexp_replace(second, DELIVERY_TAG, "")).otherwise(F.lit(""))
     spark = df.sparkSession
@@ -66,8 +66,9 @@ def breakdown_long(df: DataFrame, id_cols: list[str], text_col: str = "desglose_
 
 
 def money_text(amount: Column) -> Column:
-    """``toFixed(2)`` on a decimal amount."""
-    return F.format_string("%.2f", amount.cast(MONEY_SQL))
+    """``toFixed(2)`` on a decimal amount: a decimal(18,2) prints in plain
+    notation with exactly two places."""
+    return amount.cast(MONEY_SQL).cast("string")
 
 
 def build_breakdown(long_df: DataFrame, keys: list[str], key_col: str = "clave",
