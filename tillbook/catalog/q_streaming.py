@@ -1 +1,66 @@
-"""Queries of this group."""
+"""Group J queries: each runs a real stream (file source, availableNow) to
+its sink under the checkpoint dir and returns the sink table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillbook.catalog import register
+from tillbook.catalog.q_posting import POSTED_SQL
+from tillbook.sources.fixtures import Ledger, commands_from_events
+from tillbook.streaming import live as J
+
+
+def _events_stream(spark, d):
+    return J.table_stream(spark, d, "events")
+
+
+@register("j3_stream_post", """
+SELECT fecha_hora AS ts, 'tienda' AS cuenta, tienda_id, CAST(NULL AS BIGINT) AS banco_id, ef AS monto, 'delta' AS tipo_asiento,
+       'transaccion' AS fuente, id AS fuente_id, 1 AS orden FROM posted
+UNION ALL
+SELECT fecha_hora, 'banco', tienda_id, banco_id, vi, 'delta', 'transaccion', id, 1 FROM posted
+WHERE banco_id IS NOT NULL AND vi <> 0""", extra_ctes=POSTED_SQL)
+def j3(spark, d):
+    L = Ledger(spark, d)
+    out = J.scratch_path(spark, "j3")
+    q = J.run_append(J.stream_post(commands_from_events(_events_stream(spark, d)), L["comisiones"]), out)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("j1_stream_net_by_store_bank", """
+SELECT tienda_id, banco_id, CAST(SUM(monto_efectivo) AS DECIMAL(18,2)) AS neto, COUNT(*) AS ops
+FROM transacciones GROUP BY tienda_id, banco_id""")
+def j1(spark, d):
+    from tillbook.sources.fixtures import post_fixture_transactions
+    L = Ledger(spark, d)
+    tx = post_fixture_transactions(commands_from_events(_events_stream(spark, d)), L["comisiones"])
+    out = J.scratch_path(spark, "j1")
+    q = J.run_snapshot(J.stream_net_by_store_bank(tx), out)
+    q.awaitTermination()
+    return spark.read.parquet(out + "/data")
+
+
+@register("j2_stream_pending_changes", """
+SELECT COUNT(*) AS pendientes, MAX(id) AS ultimo_id FROM remesas WHERE estado = 'Pendiente' AND id IS NOT NULL""")
+def j2(spark, d):
+    cmds = commands_from_events(_events_stream(spark, d)).filter(F.col("tipo") == "Efectivo Entregado")
+    odd = F.col("id") % 2 == 1
+    rem = cmds.select("id", F.when(odd, "Recibido").otherwise("Pendiente").alias("estado"))
+    out = J.scratch_path(spark, "j2")
+    q = J.run_snapshot(J.stream_pending_changes(rem), out)
+    q.awaitTermination()
+    return spark.read.parquet(out + "/data")
+
+
+@register("j4_stream_daily_flow")
+def j4(spark, d):
+    from tillbook.sources.fixtures import post_fixture_transactions
+    L = Ledger(spark, d)
+    tx = post_fixture_transactions(commands_from_events(_events_stream(spark, d)), L["comisiones"])
+    out = J.scratch_path(spark, "j4")
+    q = J.run_append(J.stream_daily_flow(tx, "1 hour"), out)
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select(F.col("dia.start").cast("timestamp_ntz").alias("dia_inicio"), "tipo", "entrada", "salida", "ops")

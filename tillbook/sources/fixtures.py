@@ -131,30 +131,10 @@ class Ledger:
     # ---- facts ------------------------------------------------------
     def commands(self) -> DataFrame:
         """Transaction commands (before posting) derived from ``events``."""
-        e = self.raw("events")
-        tipo = None
-        for et, t in EVENT_TYPE_TO_TIPO.items():
-            cond = F.col("event_type") == et
-            tipo = F.when(cond, t) if tipo is None else tipo.when(cond, t)
-        k = F.get_json_object("props", "$.k").cast("long")
-        return e.select(
-            F.col("event_id").alias("id"), F.col("ts").alias("fecha_hora"),
-            (F.col("user_id") % N_STORES).alias("tienda_id"),
-            F.nullif(k % BANK_MOD, F.lit(NULL_BANK_VALUE)).alias("banco_id"),
-            F.col("user_id").alias("usuario_id"), tipo.alias("tipo"),
-            _money(F.col("value")).alias("monto"),
-            F.concat(F.lit("EV-"), F.col("event_id").cast("string")).alias("referencia"))
+        return commands_from_events(self.raw("events"))
 
     def _transacciones(self) -> DataFrame:
-        from tillbook.operators.joins import with_commission
-        cmd = with_commission(self.commands(), self["comisiones"])
-        cash, bank = signed_legs(F.col("tipo"), F.col("monto"), F.col("com_ef"), F.col("com_vi"),
-                                 FIXTURE_RULES)
-        df = cmd.select("id", "fecha_hora", "tienda_id", "banco_id", "usuario_id", "tipo",
-                        cash.alias("monto_efectivo"), bank.alias("monto_banco"),
-                        F.col("com_ef").alias("comision_efectivo"),
-                        F.col("com_vi").alias("comision_banco"), "referencia")
-        return conform(df, "transacciones")
+        return post_fixture_transactions(self.commands(), self["comisiones"])
 
     def store_days(self) -> DataFrame:
         """Distinct (store, business day) with the store's first and last day."""
@@ -281,5 +261,33 @@ class Ledger:
         return conform(df, "gastos")
 
 
+def commands_from_events(e: DataFrame) -> DataFrame:
+    """Transaction commands from an ``events`` frame (batch or stream)."""
+    tipo = None
+    for et, t in EVENT_TYPE_TO_TIPO.items():
+        cond = F.col("event_type") == et
+        tipo = F.when(cond, t) if tipo is None else tipo.when(cond, t)
+    k = F.get_json_object("props", "$.k").cast("long")
+    return e.select(
+        F.col("event_id").alias("id"), F.col("ts").alias("fecha_hora"),
+        (F.col("user_id") % N_STORES).alias("tienda_id"),
+        F.nullif(k % BANK_MOD, F.lit(NULL_BANK_VALUE)).alias("banco_id"),
+        F.col("user_id").alias("usuario_id"), tipo.alias("tipo"),
+        _money(F.col("value")).alias("monto"),
+        F.concat(F.lit("EV-"), F.col("event_id").cast("string")).alias("referencia"))
+
+
+def post_fixture_transactions(cmds: DataFrame, com: DataFrame) -> DataFrame:
+    """Fixture transactions: commands posted with the fixture sign rules."""
+    from tillbook.operators.joins import with_commission
+    cmd = with_commission(cmds, com)
+    cash, bank = signed_legs(F.col("tipo"), F.col("monto"), F.col("com_ef"), F.col("com_vi"), FIXTURE_RULES)
+    df = cmd.select("id", "fecha_hora", "tienda_id", "banco_id", "usuario_id", "tipo",
+                    cash.alias("monto_efectivo"), bank.alias("monto_banco"),
+                    F.col("com_ef").alias("comision_efectivo"), F.col("com_vi").alias("comision_banco"),
+                    "referencia")
+    return conform(df, "transacciones")
+
+
 def load_fixture_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     return Ledger(spark, sf_dir)
