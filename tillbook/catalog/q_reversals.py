@@ -1 +1,116 @@
-"""Queries of this group."""
+"""Reversal queries (I18, I23, I24) and their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillbook.catalog import register
+from tillbook.catalog.q_posting import TCMD_SQL, treasury_commands
+from tillbook.operators import posting as I
+from tillbook.operators import reversals as R
+from tillbook.operators.windows import latest_by_id
+from tillbook.sources.fixtures import Ledger
+
+REV_LOG_SQL = TCMD_SQL.strip() + """,
+sends AS (SELECT id, monto, ts FROM tv WHERE tipo_cmd = 'envio_tienda'),
+restock AS (SELECT id, tienda_id, monto, ts FROM tv WHERE tipo_cmd = 'envio_tienda'),
+send_match AS (
+  SELECT s.id AS log_id, r.id AS transaccion_id, r.tienda_id, r.monto, s.ts,
+         ROW_NUMBER() OVER (PARTITION BY s.id ORDER BY r.id) AS rn
+  FROM sends s JOIN restock r ON date_trunc('hour', s.ts) = date_trunc('hour', r.ts) AND ABS(s.monto - r.monto) < 0.1)"""
+
+
+def _rev_log(spark, d):
+    out = I.post_treasury_commands(treasury_commands(Ledger(spark, d)))
+    log = out["log"].withColumnRenamed("comando_id", "id")
+    ids = log.filter(F.col("tipo") == "Envío a Tienda").select("id", F.col("fecha_hora").alias("ts")).distinct()
+    return R.reverse_treasury_log(log, ids, out["transacciones"])
+
+
+@register("i23_reverse_treasury_log_matches", "SELECT log_id, transaccion_id FROM send_match WHERE rn = 1",
+          extra_ctes=REV_LOG_SQL)
+def i23m(spark, d):
+    return _rev_log(spark, d)["matched"]
+
+
+@register("i23_reverse_treasury_log_postings", """
+SELECT ts, 'tienda' AS cuenta, tienda_id, CAST(NULL AS BIGINT) AS banco_id, CAST(-monto AS DECIMAL(18,2)) AS monto,
+  'delta' AS tipo_asiento, 'reverso_tesoreria' AS fuente, log_id AS fuente_id, 3 AS orden
+FROM send_match WHERE rn = 1""", extra_ctes=REV_LOG_SQL)
+def i23p(spark, d):
+    return _rev_log(spark, d)["postings"]
+
+
+@register("i23_reverse_treasury_log_bank_legs", """
+SELECT fecha_hora AS ts, 'banco' AS cuenta, CAST(NULL AS BIGINT) AS tienda_id,
+  CASE WHEN tipo = 'Depósito a Banco' THEN banco_destino_id ELSE banco_id END AS banco_id,
+  CAST(CASE WHEN tipo = 'Gasto Bancario' THEN monto ELSE -monto END AS DECIMAL(18,2)) AS monto,
+  'delta' AS tipo_asiento, 'reverso_tesoreria' AS fuente, id AS fuente_id, 3 AS orden
+FROM tesoreria_log WHERE tipo IN ('Gasto Bancario', 'Depósito a Banco', 'Traslado (Efectivo)', 'Traslado (Solo Saldo)')
+  AND (CASE WHEN tipo = 'Depósito a Banco' THEN banco_destino_id ELSE banco_id END) IS NOT NULL""")
+def i23b(spark, d):
+    L = Ledger(spark, d)
+    log = L["tesoreria_log"]
+    ids = log.select("id", F.col("fecha_hora").alias("ts"))
+    return R.reverse_treasury_log(log, ids, L["transacciones"])["postings"]
+
+
+REV_REM_SQL = """
+rv AS (SELECT * FROM remesas WHERE id IS NOT NULL AND estado = 'Pendiente')"""
+
+
+def _rev_rem(spark, d):
+    L = Ledger(spark, d)
+    rem = L["remesas"].filter(F.col("id").isNotNull())
+    cmds = rem.select(F.col("id").alias("remesa_id"), (F.col("estado") == "Pendiente").alias("revertir"),
+                      (F.col("fecha_envio") + F.expr("INTERVAL 1 DAYS")).alias("ts"))
+    return R.reverse_remits(rem, cmds, L["transacciones"])
+
+
+@register("i24_reverse_remits_postings", """
+SELECT fecha_envio + INTERVAL 1 DAY AS ts, 'tienda' AS cuenta, tienda_id, CAST(NULL AS BIGINT) AS banco_id, monto,
+  'delta' AS tipo_asiento, 'reverso_remesa' AS fuente, id AS fuente_id, 3 AS orden FROM rv""", extra_ctes=REV_REM_SQL)
+def i24p(spark, d):
+    return _rev_rem(spark, d)["postings"]
+
+
+@register("i24_reverse_remits_matches", """
+SELECT r.id AS remesa_id, t.id AS transaccion_id FROM rv r JOIN transacciones t
+  ON t.tipo = 'Efectivo Entregado' AND t.tienda_id = r.tienda_id
+  AND date_trunc('hour', t.fecha_hora) = date_trunc('hour', r.fecha_envio) AND ABS(ABS(t.monto_efectivo) - r.monto) < 0.01""",
+          extra_ctes=REV_REM_SQL)
+def i24m(spark, d):
+    return _rev_rem(spark, d)["matched"]
+
+
+REV_CI_SQL = """
+lci AS (SELECT * FROM cierres_caja WHERE id IN (SELECT MAX(id) FROM cierres_caja GROUP BY tienda_id))"""
+
+
+def _rev_ci(spark, d):
+    L = Ledger(spark, d)
+    last = latest_by_id(L["cierres_caja"], "tienda_id")
+    cmds = last.select(F.col("id").alias("cierre_id"), (F.col("fecha") + F.expr("INTERVAL 1 HOURS")).alias("ts"))
+    return R.reverse_closings(L["cierres_caja"], L["aperturas_caja"], L["remesas"], cmds)
+
+
+@register("i18_reverse_closings_postings", """
+SELECT fecha + INTERVAL 1 HOUR AS ts, 'tienda' AS cuenta, tienda_id, CAST(NULL AS BIGINT) AS banco_id, saldo_teorico AS monto,
+  'set' AS tipo_asiento, 'reverso_cierre' AS fuente, id AS fuente_id, 3 AS orden FROM lci""", extra_ctes=REV_CI_SQL)
+def i18p(spark, d):
+    return _rev_ci(spark, d)["postings"]
+
+
+@register("i18_reverse_closings_reopen", """
+SELECT a.tienda_id, MAX(a.id) AS apertura_id FROM aperturas_caja a
+WHERE a.estado = 'Cerrada' AND a.tienda_id IN (SELECT tienda_id FROM lci) GROUP BY a.tienda_id""", extra_ctes=REV_CI_SQL)
+def i18r(spark, d):
+    return _rev_ci(spark, d)["reabrir"]
+
+
+@register("i18_reverse_closings_dropped_remits", """
+SELECT r.* FROM remesas r WHERE r.estado = 'Pendiente' AND EXISTS (
+  SELECT 1 FROM lci c WHERE c.tienda_id = r.tienda_id AND CAST(c.fecha + INTERVAL 1 HOUR AS DATE) = CAST(r.fecha_envio AS DATE))""",
+          extra_ctes=REV_CI_SQL)
+def i18d(spark, d):
+    return _rev_ci(spark, d)["remesas_eliminadas"]
