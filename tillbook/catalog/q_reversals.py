@@ -114,3 +114,36 @@ SELECT r.* FROM remesas r WHERE r.estado = 'Pendiente' AND EXISTS (
           extra_ctes=REV_CI_SQL)
 def i18d(spark, d):
     return _rev_ci(spark, d)["remesas_eliminadas"]
+
+
+from tillbook.catalog.q_cleaning import closing_forms  # noqa: E402
+from tillbook.catalog.q_windows import STORE_POSTINGS_SQL  # noqa: E402
+from tillbook.operators.postings import store_cash_postings  # noqa: E402
+
+CLOSE_TILLS_SQL = STORE_POSTINGS_SQL.strip() + """,
+store_bal AS (
+  SELECT ts, tienda_id, orden, fuente_id, CAST(SUM(monto) OVER (PARTITION BY tienda_id, seg ORDER BY ts, orden, fuente_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS saldo FROM store_running),
+cforms AS (SELECT (CAST(date_diff('day', DATE '1970-01-01', d) AS BIGINT) * 1000 + tienda_id) * 10 + seq AS form_id, tienda_id,
+                  CAST(d AS TIMESTAMP) + to_hours(CAST(seq * 2 + 18 AS BIGINT)) AS ts FROM closing_days),
+before AS (
+  SELECT f.form_id, f.tienda_id, f.ts,
+    COALESCE((SELECT b.saldo FROM store_bal b WHERE b.tienda_id = f.tienda_id AND b.ts < f.ts
+              ORDER BY b.ts DESC, b.orden DESC, b.fuente_id DESC LIMIT 1), CAST(0 AS DECIMAL(18,2))) AS saldo_teorico
+  FROM cforms f),
+decl AS (
+  SELECT id AS tienda_id, CAST((id + 1) * 100 AS DECIMAL(18,2))
+    + CAST(REPLACE(CASE WHEN (id + 1) * 200 >= 1000
+        THEN CAST(((id + 1) * 200) // 1000 AS VARCHAR) || ',' || lpad(CAST(((id + 1) * 200) % 1000 AS VARCHAR), 3, '0') || '.50'
+        ELSE CAST((id + 1) * 200 AS VARCHAR) || '.50' END, ',', '') AS DECIMAL(18,2)) + 25 AS declarado
+  FROM tiendas)"""
+
+
+@register("i17_close_tills", """
+SELECT b.form_id, b.tienda_id, b.ts AS fecha, b.saldo_teorico, CAST(d.declarado AS DECIMAL(18,2)) AS saldo_real,
+  CAST(d.declarado - b.saldo_teorico AS DECIMAL(18,2)) AS diferencia
+FROM before b JOIN decl d ON d.tienda_id = b.tienda_id""", extra_ctes=CLOSE_TILLS_SQL)
+def i17(spark, d):
+    L = Ledger(spark, d)
+    out = I.close_tills(closing_forms(L), store_cash_postings(L))
+    return out["closings"].select("form_id", "tienda_id", "fecha", "saldo_teorico", "saldo_real", "diferencia")

@@ -346,3 +346,16 @@ def merge_users(users: DataFrame, changes: DataFrame) -> DataFrame:
         F.when(rol == "Cajero", F.when(F.col("_acc").isNotNull(), F.col("_t")).otherwise(F.col("tienda_id")))
          .cast("long").alias("tienda_id"))
     return out.filter(F.col("username").isNotNull())
+
+
+def close_tills(forms: DataFrame, postings: DataFrame) -> dict[str, DataFrame]:
+    """Closing forms as a bulk job. The theoretical balance of each form
+    is the store cash just before it (postings fold, strictly earlier), then
+    H8 gives the closing row, adjustment and remittances; the new store cash
+    is a ``set`` posting of the carry-over."""
+    from tillbook.plans.closings import close_shift
+    exp = balance_before(postings, forms.select("form_id", "tienda_id", "ts"), "tienda_id", "ts")
+    out = close_shift(forms, exp.select("form_id", F.col("saldo_antes").alias("saldo_teorico")))
+    out["postings"] = out["closings"].select(*posting("fecha", "tienda", F.col("tienda_id"), None,
+                                                      F.col("saldo_final"), "set", "cierre", "form_id", 2))
+    return out
