@@ -31,7 +31,8 @@ def normalize_ts(col: Column | str, naive_zone: str = "UTC") -> Column:
     minutes = (F.regexp_extract(c, _OFFSET, 2).try_cast("int") * 60
                + F.regexp_extract(c, _OFFSET, 3).try_cast("int")) * sign
     shifted = local - F.make_dt_interval(mins=minutes)
-    naive = local if naive_zone.upper() == "UTC" else F.to_utc_timestamp(local, naive_zone)
+    naive = local if naive_zone.upper() == "UTC" else \
+        F.convert_timezone(F.lit(naive_zone), F.lit("UTC"), local.cast("timestamp_ntz"))
     out = F.when(has_offset, shifted).otherwise(naive)
     return out.cast("timestamp_ntz")
 
@@ -42,4 +43,5 @@ def business_day(col: Column | str, tz: str | None = BUSINESS_ZONE) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     if tz is None:
         return F.to_date(c)
-    return F.to_date(F.from_utc_timestamp(c.cast("timestamp"), tz))
+    # wall-clock conversion of a timestamp_ntz: independent of the session zone
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), c.cast("timestamp_ntz")))
