@@ -2,7 +2,8 @@
 
 Prints ONE JSON line: {"metric", "value", "unit", "queries": {name: sec}, "sf"}.
 Each query is fully materialised (a no-op write of all rows) so every
-operator runs; the value is the sum of the per-query wall times.
+operator runs; the value is the sum of the per-query wall times plus the
+one-off build of the stored ledger tables (``ledger_build``).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tillbook import catalog  # noqa: E402
 from tillbook.session import build_session  # noqa: E402
+from tillbook.sources.store import build_ledger  # noqa: E402
 
 HEADLINE = [
     "h1_audit_matrix", "h2_store_reference", "h4_treasury_balances", "h5_suggested_opening",
@@ -37,9 +39,14 @@ def main():
     spark = build_session(app="tillbook-bench")
     qs = catalog.queries()
     names = [n for n in names if n in qs]
-    # warm-up: JVM, codegen caches and file listing, not timed
-    run(spark, qs["e4_net_since_opening"], sf_dir)
     times = {}
+    # the ledger tables are derived from the driver tables and stored once
+    # (timed, and counted in the total); the queries then read them
+    t0 = time.perf_counter()
+    build_ledger(spark, sf_dir)
+    times["ledger_build"] = round(time.perf_counter() - t0, 3)
+    # warm-up: codegen caches and file listing, not timed
+    run(spark, qs["e4_net_since_opening"], sf_dir)
     for n in names:
         t0 = time.perf_counter()
         run(spark, qs[n], sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillbook.catalog import register
 from tillbook.operators import aggregations as E
 from tillbook.operators.joins import asof_opening, tx_in_shift
-from tillbook.sources.fixtures import Ledger
+from tillbook.sources.store import StoredLedger as Ledger
 
 LAST_OPEN = "(SELECT tienda_id, MAX(fecha_hora) AS ultima FROM aperturas_caja GROUP BY tienda_id)"
 

@@ -12,7 +12,7 @@ from tillbook.functions.money import parse_money, round_cents
 from tillbook.functions.text import compose_description
 from tillbook.functions.timeparse import business_day, normalize_ts
 from tillbook.operators.aggregations import net_since_opening
-from tillbook.sources.fixtures import Ledger
+from tillbook.sources.store import StoredLedger as Ledger
 
 MONEY_TEXT_SQL = """
 money_text AS (

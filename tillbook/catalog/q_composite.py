@@ -17,7 +17,7 @@ from tillbook.operators.joins import bounded_keys
 from tillbook.plans import audit as H
 from tillbook.plans import closings as HC
 from tillbook.plans import treasury as HT
-from tillbook.sources.fixtures import Ledger
+from tillbook.sources.store import StoredLedger as Ledger
 
 JV = "CASE WHEN json_valid({c}) THEN {c} ELSE '{{}}' END"
 JGET = "COALESCE(TRY_CAST(json_extract_string({j}, '$.\"' || {k} || '\"') AS DECIMAL(18,2)), 0)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillbook.catalog import register
 from tillbook.operators import validation as A
-from tillbook.sources.fixtures import Ledger
+from tillbook.sources.store import StoredLedger as Ledger
 
 
 @register("a3_validate_ledger", """

@@ -8,7 +8,7 @@ from tillbook.catalog import register
 from tillbook.catalog.q_joins import ENRICH_TX_SQL
 from tillbook.operators import filters as C
 from tillbook.operators.joins import enrich_tx
-from tillbook.sources.fixtures import Ledger
+from tillbook.sources.store import StoredLedger as Ledger
 
 LAST_DAY_SQL = "(SELECT MAX(CAST(fecha_hora AS DATE)) FROM transacciones)"
 

@@ -9,7 +9,7 @@ from tillbook.catalog.q_composite import AUDIT_CTES
 from tillbook.functions.balances import nullable_bank
 from tillbook.operators import posting as I
 from tillbook.plans.treasury import treasury_balances
-from tillbook.sources.fixtures import Ledger
+from tillbook.sources.store import StoredLedger as Ledger
 
 POSTED_SQL = """
 posted AS (

@@ -9,7 +9,7 @@ from tillbook.catalog.q_posting import TCMD_SQL, treasury_commands
 from tillbook.operators import posting as I
 from tillbook.operators import reversals as R
 from tillbook.operators.windows import latest_by_id
-from tillbook.sources.fixtures import Ledger
+from tillbook.sources.store import StoredLedger as Ledger
 
 REV_LOG_SQL = TCMD_SQL.strip() + """,
 sends AS (SELECT id, monto, ts FROM tv WHERE tipo_cmd = 'envio_tienda'),

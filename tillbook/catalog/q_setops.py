@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillbook.catalog import register
 from tillbook.operators import filters as C
 from tillbook.operators import setops as G
-from tillbook.sources.fixtures import Ledger
+from tillbook.sources.store import StoredLedger as Ledger
 
 HISTORY_SQL = """
 history AS (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tillbook.catalog import register
-from tillbook.sources.fixtures import Ledger
+from tillbook.sources.store import StoredLedger as Ledger
 from tillbook.sources.schemas import LEDGER_SCHEMAS
 
 for _t in LEDGER_SCHEMAS:

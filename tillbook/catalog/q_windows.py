@@ -6,7 +6,7 @@ from tillbook.catalog import register
 from tillbook.catalog.q_setops import HISTORY_SQL, history_all
 from tillbook.operators import windows as Fw
 from tillbook.operators.postings import bank_postings, store_cash_postings
-from tillbook.sources.fixtures import Ledger
+from tillbook.sources.store import StoredLedger as Ledger
 
 
 @register("f1_latest_by_id", """

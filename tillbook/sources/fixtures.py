@@ -229,12 +229,13 @@ class Ledger:
         return conform(df, "tesoreria_log")
 
     def _cierres_tesoreria(self) -> DataFrame:
-        rows = [(i, None, ts, js, None, "Corte") for i, ts, js in TREASURY_SNAPSHOTS]
-        df = self.spark.createDataFrame(
-            rows, "id long, usuario_id long, fecha_hora string, saldos_json string, "
-                  "total_efectivo string, observaciones string")
-        return conform(df.withColumn("fecha_hora", F.col("fecha_hora").cast("timestamp_ntz")),
-                       "cierres_tesoreria")
+        # parameter rows generated JVM-side (no Python-side data)
+        rows = F.array(*[F.struct(F.lit(i).cast("long").alias("id"),
+                                  F.lit(ts).cast("timestamp_ntz").alias("fecha_hora"),
+                                  F.lit(js).alias("saldos_json"))
+                         for i, ts, js in TREASURY_SNAPSHOTS])
+        df = self.spark.range(1).select(F.inline(rows)).withColumn("observaciones", F.lit("Corte"))
+        return conform(df, "cierres_tesoreria")
 
     def _depositos_adelantados(self) -> DataFrame:
         o = self.raw("orders").filter(F.col("o_orderpriority") == "1-URGENT")
