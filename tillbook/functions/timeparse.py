@@ -45,3 +45,16 @@ def business_day(col: Column | str, tz: str | None = BUSINESS_ZONE) -> Column:
         return F.to_date(c)
     # wall-clock conversion of a timestamp_ntz: independent of the session zone
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), c.cast("timestamp_ntz")))
+
+
+def ts_literal(value) -> Column:
+    """A ``timestamp_ntz`` literal from text, a ``datetime`` (its wall time,
+    not shifted by the Python process zone) or a Column (returned as is)."""
+    import datetime as _dt
+    if isinstance(value, Column):
+        return value
+    if isinstance(value, _dt.datetime):
+        value = value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    elif isinstance(value, _dt.date):
+        value = value.strftime("%Y-%m-%d 00:00:00")
+    return F.lit(value).cast("timestamp_ntz")

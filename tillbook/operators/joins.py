@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tillbook.functions.timeparse import ts_literal
 from tillbook.sources.schemas import MONEY_SQL
 
 # The lower bound used when a closing has no opening, and the
@@ -260,8 +261,7 @@ def flow_terms(rem: DataFrame, log: DataFrame, since=None) -> DataFrame:
     def after(c: str) -> Column:
         if since is None:
             return F.col(c).isNotNull()
-        s = since if isinstance(since, Column) else F.lit(since).cast("timestamp_ntz")
-        return F.col(c) > s
+        return F.col(c) > ts_literal(since)
     r = rem.filter((F.col("estado") == "Recibido") & after("fecha_recepcion")) \
            .select("banco_id", F.col("monto").alias("flujo"))
     inflow = log.filter(F.col("tipo").isin(TREASURY_INFLOW_LOG_TYPES) & after("fecha_hora")) \

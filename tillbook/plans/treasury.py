@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.balances import OTHERS_KEY, bank_key, snapshot_json
+from tillbook.functions.timeparse import ts_literal
 from tillbook.plans.audit import treasury_cells
 from tillbook.sources.schemas import MONEY_SQL
 
@@ -35,7 +36,7 @@ def close_treasury(L, as_of: str, usuario_id: int | None = None, note: str | Non
     bal = treasury_balances(L)
     js = snapshot_json(bal, [], "banco_key", "saldo")
     total = bal.agg(F.sum("saldo").cast(MONEY_SQL).alias("total_efectivo"))
-    return js.select(F.lit(as_of).cast("timestamp_ntz").alias("fecha_hora"),
+    return js.select(ts_literal(as_of).alias("fecha_hora"),
                      F.lit(usuario_id).cast("long").alias("usuario_id"), "saldos_json",
                      F.lit(total.select("total_efectivo").scalar()).cast(MONEY_SQL).alias("total_efectivo"),
                      F.lit(note or DEFAULT_CLOSING_NOTE).alias("observaciones"))
