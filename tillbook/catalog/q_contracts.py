@@ -66,3 +66,39 @@ def a8t(spark, d):
 SELECT id, nombre, CAST(0 AS DECIMAL(18,2)) AS efectivo_actual FROM tiendas""")
 def a8o(spark, d):
     return A.latest_state_reset(Ledger(spark, d).tables(), "operational")["tiendas"]
+
+
+from tillbook.catalog.q_composite import AUDIT_CTES  # noqa: E402
+from tillbook.plans import audit as H  # noqa: E402
+from tillbook.plans.treasury import close_treasury  # noqa: E402
+from tillbook.sources import io as IO  # noqa: E402
+from tillbook.sources.schemas import LEDGER_SCHEMAS  # noqa: E402
+from tillbook.streaming.live import scratch_path  # noqa: E402
+
+
+@register("a4_write_snapshot", """
+SELECT fecha_hora, saldo_real AS total, CAST(fecha_hora AS DATE) AS dia FROM (
+  SELECT TIMESTAMP '2024-02-01 00:00:00' AS fecha_hora, CAST(SUM(saldo) AS DECIMAL(18,2)) AS saldo_real FROM tbal) x""",
+          extra_ctes=AUDIT_CTES)
+def a4(spark, d):
+    snap = close_treasury(Ledger(spark, d), "2024-02-01 00:00:00").select(
+        "fecha_hora", F.col("total_efectivo").alias("total"))
+    path = scratch_path(spark, "a4")
+    IO.write_snapshot(snap, path, "fecha_hora")
+    return spark.read.parquet(path).select("fecha_hora", "total", "dia")
+
+
+@register("a5_read_commands", """
+SELECT id, fecha_hora, tienda_id, banco_id, usuario_id, tipo, monto, referencia FROM tx_cmd""")
+def a5(spark, d):
+    L = Ledger(spark, d)
+    cmds = L.commands()
+    path = scratch_path(spark, "a5")
+    IO.write_commands(cmds, path)
+    return IO.read_commands(spark, path, cmds.schema).select(*cmds.columns)
+
+
+@register("h3_dashboard_banks", """
+SELECT b.id, b.nombre, b.color, b.estado, s.saldo FROM bancos b LEFT JOIN saldos_bancarios s ON s.banco_id = b.id""")
+def h3(spark, d):
+    return H.dashboard_data(Ledger(spark, d))["banks"]

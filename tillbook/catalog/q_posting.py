@@ -384,3 +384,40 @@ def i28(spark, d):
                                 F.col("s_nationkey").cast("long").alias("tienda_id"), F.lit("insertar").alias("accion"),
                                 (F.col("s_suppkey") + 100000000).alias("id"))))
     return I.merge_users(L["usuarios"], ch)
+
+
+# one query per treasury job: the job on every command of its kind
+TREASURY_LOG_SQL = """
+SELECT id AS comando_id,
+  CASE tipo_cmd WHEN 'gasto_bancario' THEN 'Gasto Bancario' WHEN 'entrega_dueno' THEN 'Entrega Dueño'
+    WHEN 'deposito_banco' THEN 'Depósito a Banco' WHEN 'envio_tienda' THEN 'Envío a Tienda' WHEN 'gasto_efectivo' THEN 'Entrega Dueño'
+    ELSE CASE WHEN modo = 'solo_saldo' THEN 'Traslado (Solo Saldo)' ELSE 'Traslado (Efectivo)' END END AS tipo,
+  monto, CASE WHEN tipo_cmd = 'gasto_efectivo' THEN 'Gasto Efectivo: ' || referencia ELSE referencia END AS referencia,
+  ts AS fecha_hora, banco_origen AS banco_id, CASE WHEN tipo_cmd = 'deposito_banco' THEN banco_destino END AS banco_destino_id
+FROM tv WHERE tipo_cmd = '{kind}'"""
+
+for _qid, _kind in [("i6_post_bank_expense", "gasto_bancario"), ("i7_post_owner_withdrawal", "entrega_dueno"),
+                    ("i11_post_transfer", "traslado"), ("i12_post_cash_expense", "gasto_efectivo")]:
+    def _q(spark, d, _kind=_kind):
+        c = treasury_commands(Ledger(spark, d)).filter(F.col("tipo_cmd") == _kind)
+        return I.post_treasury_commands(c)["log"]
+    register(_qid, TREASURY_LOG_SQL.format(kind=_kind), extra_ctes=TCMD_SQL)(_q)
+
+
+@register("i13_post_pouch_transfer", """
+SELECT id AS comando_id, 'Entrega Dueño' AS tipo, monto, referencia, ts AS fecha_hora, banco_origen AS banco_id,
+  CAST(NULL AS BIGINT) AS banco_destino_id FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
+UNION ALL SELECT id, 'Traslado (Efectivo)', monto, referencia, ts, banco_destino, NULL FROM tv WHERE tipo_cmd = 'traspaso_bolsa'""",
+          extra_ctes=TCMD_SQL)
+def i13(spark, d):
+    c = treasury_commands(Ledger(spark, d)).filter(F.col("tipo_cmd") == "traspaso_bolsa")
+    return I.post_treasury_commands(c)["log"]
+
+
+@register("i11_post_transfer_bank_legs", """
+SELECT ts, 'banco' AS cuenta, CAST(NULL AS BIGINT) AS tienda_id, banco_origen AS banco_id, monto, 'delta' AS tipo_asiento,
+  'tesoreria' AS fuente, id AS fuente_id, 1 AS orden FROM tv WHERE tipo_cmd = 'traslado' AND modo <> 'solo_efectivo'""",
+          extra_ctes=TCMD_SQL)
+def i11b(spark, d):
+    c = treasury_commands(Ledger(spark, d)).filter(F.col("tipo_cmd") == "traslado")
+    return I.post_treasury_commands(c)["postings"]

@@ -29,9 +29,17 @@ def write_snapshot(df: DataFrame, path: str, day_col: str = "fecha_hora") -> Non
        .partitionBy("dia").parquet(path))
 
 
+# Text form of command timestamps (microseconds kept).
+COMMAND_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def read_commands(spark: SparkSession, path: str, schema: T.StructType, streaming: bool = False,
                   fmt: str = "json") -> DataFrame:
     """A5: bulk (or streaming) ingest of posting commands with a fixed schema."""
-    if streaming:
-        return spark.readStream.schema(schema).format(fmt).load(path)
-    return spark.read.schema(schema).format(fmt).load(path)
+    reader = spark.readStream if streaming else spark.read
+    return reader.schema(schema).option("timestampNTZFormat", COMMAND_TS_FORMAT).format(fmt).load(path)
+
+
+def write_commands(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """Command files in the format ``read_commands`` reads."""
+    df.write.mode("overwrite").option("timestampNTZFormat", COMMAND_TS_FORMAT).format(fmt).save(path)
