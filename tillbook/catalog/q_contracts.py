@@ -102,3 +102,20 @@ def a5(spark, d):
 SELECT b.id, b.nombre, b.color, b.estado, s.saldo FROM bancos b LEFT JOIN saldos_bancarios s ON s.banco_id = b.id""")
 def h3(spark, d):
     return H.dashboard_data(Ledger(spark, d))["banks"]
+
+
+@register("a3_validate_raw_commands", """
+SELECT 'transacciones' AS tabla, 'fk:banco_id->bancos' AS regla, CAST(banco_id AS VARCHAR) AS clave
+FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 6 AS banco_id FROM events) x
+WHERE banco_id IS NOT NULL AND banco_id NOT IN (SELECT id FROM bancos)""")
+def a3_raw(spark, d):
+    """Validation of commands before the NULL-bank mapping: bank 5 does not
+    exist, so those rows are reported as foreign-key violations."""
+    L = Ledger(spark, d)
+    raw = L.raw("events").select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 25).alias("tienda_id"),
+        (F.get_json_object("props", "$.k").cast("long") % 6).alias("banco_id"),
+        F.col("user_id").alias("usuario_id"), F.lit("cmd").alias("tipo"))
+    tables = dict(L.tables())
+    tables["transacciones"] = raw
+    return A.validate_ledger(tables)

@@ -54,7 +54,13 @@ def j2(spark, d):
     return spark.read.parquet(out + "/data")
 
 
-@register("j4_stream_daily_flow")
+@register("j4_stream_daily_flow", """
+SELECT date_trunc('day', fecha_hora) AS dia_inicio, tipo,
+  CAST(SUM(CASE WHEN monto_efectivo > 0 THEN monto_efectivo ELSE 0 END) AS DECIMAL(18,2)) AS entrada,
+  CAST(SUM(CASE WHEN monto_efectivo < 0 THEN -monto_efectivo ELSE 0 END) AS DECIMAL(18,2)) AS salida, COUNT(*) AS ops
+FROM transacciones
+WHERE date_trunc('day', fecha_hora) + INTERVAL 1 DAY <= (SELECT MAX(fecha_hora) - INTERVAL 1 HOUR FROM transacciones)
+GROUP BY 1, 2""")
 def j4(spark, d):
     from tillbook.sources.fixtures import post_fixture_transactions
     L = Ledger(spark, d)

@@ -15,6 +15,7 @@ from tillbook.functions.signs import EDIT_RULES, POST_RULES, signed_legs
 from tillbook.operators.filters import split_valid
 from tillbook.operators.joins import with_commission
 from tillbook.operators.postings import posting
+from tillbook.session import cut_lineage
 from tillbook.sources.schemas import MONEY_SQL, conform
 
 # Generated texts and types of the write routes.
@@ -230,6 +231,9 @@ def balance_before(postings: DataFrame, cmds: DataFrame, key: str, ts: str, cuen
     # strictly before: shift each posting by one microsecond so equal times do not count
     run = run.select(F.col(acc_key).alias(key), (F.col("ts") + F.expr("INTERVAL 1 MICROSECOND")).alias("_ts"),
                      (F.col("orden").cast("long") * F.lit(10 ** 12) + F.col("fuente_id")).alias("id"), "saldo")
+    # the fold is read three times by the as-of join: materialise it once in
+    # the shared checkpoint folder (reliable checkpoint, lineage cut)
+    run = cut_lineage(run)
     j = asof_latest(cmds, run, key, ts, "_ts", ["saldo"], prefix="b_")
     return j.withColumn("saldo_antes", F.coalesce("b_saldo", _zero())).drop("b_id", "b__ts", "b_saldo")
 
