@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillbook.functions.balances import explode_balances, js_number_text, snapshot_json
@@ -81,7 +82,8 @@ def test_interval_join_edges_and_overlap(spark):
     assert got == [(10, 1), (10, 2), (11, 2), (11, 3)]
 
 
-def test_asof_against_brute_force(spark):
+@pytest.mark.parametrize("bucket", ["day", "hour"])
+def test_asof_against_brute_force(spark, bucket):
     rnd = random.Random(7)
     ap_rows, ci_rows = [], []
     for i in range(300):
@@ -91,14 +93,16 @@ def test_asof_against_brute_force(spark):
     ap = spark.createDataFrame(ap_rows, "id long, tienda_id long, fecha_hora timestamp_ntz, saldo_inicial_efectivo decimal(18,2)")
     ap = ap.withColumn("saldos_bancos_json", F.lit("{}"))
     ci = spark.createDataFrame(ci_rows, "id long, tienda_id long, fecha timestamp_ntz")
-    got = {r.id: r.apertura_id for r in J.asof_opening(ci, ap).collect()}
+    j = J.asof_latest(ci, ap, "tienda_id", "fecha", "fecha_hora", ["saldo_inicial_efectivo"], "ap_", bucket)
+    got = {r.id: r.ap_id for r in j.collect()}
     for cid, t, ts in ci_rows:
         cands = [(a_ts, a_id) for a_id, a_t, a_ts, _ in ap_rows if a_t == t and a_ts <= ts]
         want = max(cands)[1] if cands else None
         assert got[cid] == want, cid
 
 
-def test_running_balance_against_fold(spark):
+@pytest.mark.parametrize("bucket", ["day", "hour"])
+def test_running_balance_against_fold(spark, bucket):
     rnd = random.Random(3)
     rows = []
     for i in range(400):
@@ -107,7 +111,8 @@ def test_running_balance_against_fold(spark):
         kind = "set" if rnd.random() < 0.1 else "delta"
         rows.append((acct, ts, i, D(rnd.randint(-500, 500)) / 100 if kind == "delta" else D(rnd.randint(0, 9999)) / 100, kind))
     df = spark.createDataFrame(rows, "acct long, ts timestamp_ntz, seq long, amount decimal(18,2), kind string")
-    got = {r.seq: r.saldo for r in running_balance(df, ["acct"], "ts", ["seq"], "amount", "kind").collect()}
+    got = {r.seq: r.saldo for r in running_balance(df, ["acct"], "ts", ["seq"], "amount", "kind",
+                                                           bucket=bucket).collect()}
     bal = {}
     for acct, ts, seq, amount, kind in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         bal[acct] = amount if kind == "set" else bal.get(acct, D(0)) + amount

@@ -114,8 +114,14 @@ def since_opening(facts: DataFrame, ap: DataFrame, ts_col: str) -> DataFrame:
     return j.filter(F.col(ts_col) >= F.col("ultima_apertura")).drop("_t")
 
 
+def time_bucket(c: Column, unit: str = "day") -> Column:
+    """Bucket of a time column for the two-level windows: the day, or a finer
+    unit ('hour') when one account-day can itself be hot."""
+    return F.to_date(c) if unit == "day" else F.date_trunc(unit, c)
+
+
 def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
-                payload: list[str], prefix: str = "r_") -> DataFrame:
+                payload: list[str], prefix: str = "r_", bucket: str = "day") -> DataFrame:
     """As-of join: for every left row, the latest right row with the same key
     and ``right_ts <= left_ts`` (ties on time broken by the larger right id).
 
@@ -133,10 +139,10 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
     r_type = right.select(r_struct.alias("s")).schema["s"].dataType
     l_struct = F.struct(*[F.col(c) for c in left.columns])
     l_type = left.select(l_struct.alias("s")).schema["s"].dataType
-    r_rows = right.select(F.col(key).alias("_k"), F.to_date(F.col(right_ts)).alias("_d"),
+    r_rows = right.select(F.col(key).alias("_k"), time_bucket(F.col(right_ts), bucket).alias("_d"),
                           F.col(right_ts).cast("timestamp_ntz").alias("_t"), F.lit(0).alias("_o"),
                           r_struct.alias("_r"), F.lit(None).cast(l_type).alias("_L"))
-    l_rows = left.select(F.col(key).alias("_k"), F.to_date(F.col(left_ts)).alias("_d"),
+    l_rows = left.select(F.col(key).alias("_k"), time_bucket(F.col(left_ts), bucket).alias("_d"),
                          F.col(left_ts).cast("timestamp_ntz").alias("_t"), F.lit(1).alias("_o"),
                          F.lit(None).cast(r_type).alias("_r"), l_struct.alias("_L"))
     w_day = (W.partitionBy("_k", "_d").orderBy("_t", "_o", F.col("_r._id"))
@@ -145,7 +151,7 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
             .withColumn("_same", F.last("_r", ignorenulls=True).over(w_day))
             .filter(F.col("_o") == 1).select("_k", "_d", "_same", "_L"))
     # latest right row strictly before each left day
-    per_day = (right.groupBy(F.col(key).alias("_k"), F.to_date(F.col(right_ts)).alias("_d"))
+    per_day = (right.groupBy(F.col(key).alias("_k"), time_bucket(F.col(right_ts), bucket).alias("_d"))
                     .agg(F.max(r_struct).alias("_last")).withColumn("_o", F.lit(1)))
     l_days = same.select("_k", "_d").distinct() \
                  .select("_k", "_d", F.lit(None).cast(r_type).alias("_last"), F.lit(0).alias("_o"))
@@ -291,16 +297,26 @@ def match_tolerance(a: DataFrame, b: DataFrame, a_amount: str, b_amount: str, a_
                     b_id: str = "id") -> DataFrame:
     """Pairs with the same hour bucket (and keys) and |a - b| < tol.
 
-    ``first``: keep only the lowest-id match of each ``a`` row. The equi key
-    (hour bucket and keys) bounds the candidate pairs per row."""
+    ``first``: keep only the lowest-id match of each ``a`` row.
+
+    Band join: besides the hour and the keys, the equi key holds the amount
+    bucket floor(amount / tol); each ``b`` row is exploded to its bucket and
+    the two neighbours, then the exact |a - b| < tol filter applies. A row
+    therefore meets only candidates whose amounts are within 2 * tol, even in
+    an hour that holds a large share of all rows."""
     keys = keys or []
-    a2 = a.withColumn("_hr", F.date_trunc("hour", F.col(a_ts)))
+    width = F.lit(tol).cast("decimal(18,6)")
+    a2 = (a.withColumn("_hr", F.date_trunc("hour", F.col(a_ts)))
+           .withColumn("_ab", F.floor(F.col(a_amount) / width).cast("long")))
     bsel = b.select(*[F.col(c).alias(f"m_{c}") for c in b.columns]) \
             .withColumn("_hr2", F.date_trunc("hour", F.col(f"m_{b_ts}")))
-    cond = (a2._hr == bsel._hr2) & (F.abs(F.col(a_amount) - F.col(f"m_{b_amount}")) < F.lit(tol))
+    bb = F.floor(F.col(f"m_{b_amount}") / width).cast("long")
+    bsel = bsel.withColumn("_bb", F.explode(F.array(bb - 1, bb, bb + 1)))
+    cond = (a2._hr == bsel._hr2) & (a2._ab == bsel._bb) & \
+        (F.abs(F.col(a_amount) - F.col(f"m_{b_amount}")) < F.lit(tol))
     for k in keys:
         cond = cond & (a2[k] == bsel[f"m_{k}"])
-    j = a2.join(bsel, cond, "inner").drop("_hr", "_hr2")
+    j = a2.join(bsel, cond, "inner").drop("_hr", "_hr2", "_ab", "_bb")
     if first:
         w = W.partitionBy(*[F.col(c) for c in a.columns]).orderBy(F.col(f"m_{b_id}"))
         j = j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

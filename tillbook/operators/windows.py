@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillbook.operators.joins import asof_opening
+from tillbook.operators.joins import asof_opening, time_bucket
 from tillbook.sources.schemas import MONEY_SQL
 
 # The base used when no treasury snapshot exists.
@@ -46,7 +46,7 @@ def history_top_n(hist: DataFrame, n: int = 100) -> DataFrame:
 
 
 def running_balance(postings: DataFrame, keys: list[str], ts: str = "ts", order: list[str] | None = None,
-                    amount: str = "amount", kind: str = "kind", out: str = "saldo") -> DataFrame:
+                    amount: str = "amount", kind: str = "kind", out: str = "saldo", bucket: str = "day") -> DataFrame:
     """balance after every posting; a ``set`` posting assigns the
     balance, a ``delta`` posting adds to it.
 
@@ -58,7 +58,7 @@ def running_balance(postings: DataFrame, keys: list[str], ts: str = "ts", order:
        summaries only;
     3. rows before the first set of their day add the carry-in of the day."""
     order = order or []
-    day = F.to_date(F.col(ts))
+    day = time_bucket(F.col(ts), bucket)
     ordering = [F.col(ts)] + [F.col(c) for c in order]
     p = postings.withColumn("_day", day).withColumn("_is_set", (F.col(kind) == "set").cast("int"))
     w_in = W.partitionBy(*keys, "_day").orderBy(*ordering).rowsBetween(W.unboundedPreceding, W.currentRow)
