@@ -2,7 +2,6 @@
 (row count, column names and an order-insensitive value digest)."""
 
 import decimal
-import os
 
 import duckdb
 import pytest

@@ -9,7 +9,6 @@ from tillbook.catalog import register
 from tillbook.catalog.q_aggregations import SHIFTS_CTE, flow_sql
 from tillbook.catalog.q_cleaning import BREAKDOWN_SQL, FORMS_SQL, JS_NUM, closing_forms
 from tillbook.catalog.q_filters import LAST_DAY_SQL, last_day
-from tillbook.functions.breakdown import build_breakdown  # noqa: F401
 from tillbook.operators import aggregations as E
 from tillbook.operators import filters as C
 from tillbook.operators import setops as G

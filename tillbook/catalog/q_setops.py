@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tillbook.catalog import register
 from tillbook.operators import filters as C

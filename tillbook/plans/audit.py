@@ -8,7 +8,6 @@ configuration, H13 cashier dashboard, H15 closing reminder.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillbook.functions.balances import OTHERS_KEY, balance_map, map_amount, map_total, snapshot_json
