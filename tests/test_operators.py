@@ -145,3 +145,9 @@ def test_post_then_reverse_is_identity(spark):
     assert sums and all(r.s == 0 for r in sums)
     assert rev["transacciones"].count() == 0
     assert posted["remesas"].count() == 1
+
+
+def test_parse_money_exponent(spark):
+    df = spark.createDataFrame([("1.5e2abc",), ("2E-1",), ("3e",)], "t string")
+    got = [r[0] for r in df.select(parse_money("t", "raw")).collect()]
+    assert got == [D("150.00"), D("0.20"), D("3.00")]

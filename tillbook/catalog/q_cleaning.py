@@ -25,9 +25,9 @@ money_text AS (
   FROM lineitem),
 parsed AS (
   SELECT l_returnflag, variante,
-    TRY_CAST(NULLIF(regexp_extract(ltrim(replace(texto, ',', '')), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)', 0), '') AS DECIMAL(18,2)) AS p_commas,
-    TRY_CAST(NULLIF(regexp_extract(ltrim(regexp_replace(texto, '[^0-9.\\-]', '', 'g')), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)', 0), '') AS DECIMAL(18,2)) AS p_strict,
-    TRY_CAST(NULLIF(regexp_extract(ltrim(texto), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)', 0), '') AS DECIMAL(18,2)) AS p_raw
+    TRY_CAST(NULLIF(regexp_extract(ltrim(replace(texto, ',', '')), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?', 0), '') AS DECIMAL(18,2)) AS p_commas,
+    TRY_CAST(NULLIF(regexp_extract(ltrim(regexp_replace(texto, '[^0-9.\\-]', '', 'g')), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?', 0), '') AS DECIMAL(18,2)) AS p_strict,
+    TRY_CAST(NULLIF(regexp_extract(ltrim(texto), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?', 0), '') AS DECIMAL(18,2)) AS p_raw
   FROM money_text)"""
 
 
@@ -95,7 +95,7 @@ forms_melt AS (
     CASE WHEN k LIKE 'entrega_banco_%' THEN 'entrega_banco' WHEN k LIKE 'banco_%' THEN 'banco' END AS campo,
     CAST(NULL AS VARCHAR) AS tienda_key,
     CASE WHEN k LIKE 'entrega_banco_%' THEN substr(k, 15) ELSE substr(k, 7) END AS banco_key,
-    COALESCE(TRY_CAST(NULLIF(regexp_extract(ltrim(replace(v, ',', '')), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)', 0), '') AS DECIMAL(18,2)),
+    COALESCE(TRY_CAST(NULLIF(regexp_extract(ltrim(replace(v, ',', '')), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?', 0), '') AS DECIMAL(18,2)),
              CAST(0 AS DECIMAL(18,2))) AS monto
   FROM forms_long WHERE k LIKE 'banco_%' OR k LIKE 'entrega_banco_%')"""
 

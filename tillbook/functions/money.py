@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tillbook.sources.schemas import MONEY_SQL
 
-# Leading signed decimal number, as a JS prefix parse reads it ("12abc" -> 12).
-_LEADING_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)"
+# Leading signed decimal number with an optional exponent, as a JS prefix
+# parse reads it ("12abc" -> 12, "1.5e2x" -> 150).
+_LEADING_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
 
 
 def _prefix_number(text: Column) -> Column:
