@@ -151,3 +151,10 @@ def test_parse_money_exponent(spark):
     df = spark.createDataFrame([("1.5e2abc",), ("2E-1",), ("3e",)], "t string")
     got = [r[0] for r in df.select(parse_money("t", "raw")).collect()]
     assert got == [D("150.00"), D("0.20"), D("3.00")]
+
+
+def test_breakdown_repeated_key_last_wins(spark):
+    df = spark.createDataFrame([(1, "0: L 1.00 | 0: L 2.00 || ENTREGA: Otros: L 1.00 / Otros: L 3.00")], "id long, t string")
+    r = parse_breakdown(df, "t").collect()[0]
+    assert r.declarado == {"0": D("2.00")} and r.entregado == {"Otros": D("3.00")} and r.total_entregado == D("3.00")
+    assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == "EXCEPTION"

@@ -33,8 +33,11 @@ def _entries(text: Column, sep_regex: str) -> Column:
 
 
 def _to_map(entries: Column) -> Column:
-    # last value wins on a repeated key (JS object assignment)
-    return F.map_from_entries(entries)
+    """Entries -> map; the last value wins on a repeated key (JS object
+    assignment), without relying on the session's map-key dedup policy."""
+    empty = F.create_map().cast(f"map<string,{MONEY_SQL}>")
+    return F.aggregate(entries, empty, lambda acc, e: F.map_concat(
+        F.map_filter(acc, lambda k, _v: k != e["k"]), F.create_map(e["k"], e["v"])))
 
 
 def parse_breakdown(df: DataFrame, text_col: str = "desglose_bancos") -> DataFrame:
@@ -44,10 +47,6 @@ def parse_breakdown(df: DataFrame, text_col: str = "desglose_bancos") -> DataFra
     second = F.coalesce(F.try_element_at(F.split(F.coalesce(text, F.lit("")), r"\|\|"), F.lit(2)), F.lit(""))
     delivered_text = F.when(second.contains(DELIVERY_TAG),
                             F.regexp_replace(second, DELIVERY_TAG, "")).otherwise(F.lit(""))
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.mapKeyDedupPolicy")
-    if prev != "LAST_WIN":
-        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     dec = _to_map(_entries(first, r"\|"))
     dlv = _to_map(_entries(delivered_text, "/"))
     total = F.aggregate(F.map_values(dlv), F.lit(0).cast("decimal(38,2)"), lambda a, b: a + b)
