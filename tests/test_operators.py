@@ -158,3 +158,35 @@ def test_breakdown_repeated_key_last_wins(spark):
     r = parse_breakdown(df, "t").collect()[0]
     assert r.declarado == {"0": D("2.00")} and r.entregado == {"Otros": D("3.00")} and r.total_entregado == D("3.00")
     assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == "EXCEPTION"
+
+
+def _with(L, **tables):
+    out = dict(L.tables())
+    out.update(tables)
+    return out
+
+
+def test_treasury_balance_independent_of_snapshot(spark, ledger):
+    from tillbook.plans.treasury import close_treasury, treasury_balances
+    from tillbook.sources.schemas import conform
+    before = {r.banco_key: r.saldo for r in treasury_balances(ledger).collect()}
+    snap = close_treasury(ledger, "2000-06-01 00:00:00").withColumn("id", F.lit(3).cast("long"))
+    L2 = _with(ledger, cierres_tesoreria=ledger["cierres_tesoreria"].unionByName(conform(snap, "cierres_tesoreria")))
+    after = {r.banco_key: r.saldo for r in treasury_balances(L2).collect()}
+    assert before == after
+
+
+def test_count_adjustment_sets_balance_to_count(spark, ledger):
+    from tillbook.functions.balances import nullable_bank
+    from tillbook.plans.treasury import treasury_balances
+    from tillbook.sources.schemas import conform
+    bal = treasury_balances(ledger).select(nullable_bank("banco_key").alias("banco_id"), "saldo", "banco_key")
+    cmds = bal.select(F.coalesce(F.col("banco_key").try_cast("long"), F.lit(-1)).alias("id"), "banco_id",
+                      (F.floor(F.col("saldo") / 100) * 100).cast("decimal(18,2)").alias("contado"),
+                      F.lit("2030-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
+    log = I.post_count_adjustment(cmds, bal.select("banco_id", "saldo"))["log"].withColumnRenamed("comando_id", "id")
+    L2 = _with(ledger, tesoreria_log=ledger["tesoreria_log"].unionByName(conform(log, "tesoreria_log")))
+    counted = {r.banco_id: r.contado for r in cmds.collect()}
+    after = {r.banco_id: r.saldo for r in treasury_balances(L2).select(
+        nullable_bank("banco_key").alias("banco_id"), "saldo").collect()}
+    assert after == counted

@@ -73,10 +73,11 @@ def remitted_since_opening(rem: DataFrame, ap: DataFrame) -> DataFrame:
             .agg(msum("monto").alias("total_enviado")))
 
 
-def treasury_flow(rem: DataFrame, log: DataFrame, bancos: DataFrame, since=None) -> DataFrame:
+def treasury_flow(rem: DataFrame, log: DataFrame, bancos: DataFrame, since=None, until=None) -> DataFrame:
     """Flow per bank of ``bancos`` plus the 'Otros' row (NULL bank),
-    strictly after ``since`` (None: whole history). Banks with no rows get 0."""
-    flows = flow_terms(rem, log, since).groupBy("banco_id").agg(F.sum("flujo").alias("flujo"))
+    strictly after ``since`` (None: whole history) and at or before ``until``.
+    Banks with no rows get 0."""
+    flows = flow_terms(rem, log, since, until).groupBy("banco_id").agg(F.sum("flujo").alias("flujo"))
     keys = bancos.select(F.col("id").alias("banco_id")).unionByName(
         bancos.sparkSession.range(1).select(F.lit(None).cast("long").alias("banco_id")))
     j = join_nullsafe(keys, flows, ["banco_id"], "left")

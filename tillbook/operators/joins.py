@@ -259,15 +259,15 @@ TREASURY_OUTFLOW_LOG_TYPES = ["Depósito a Banco", "Envío a Tienda", "Entrega D
                               "Pago Depósito Adelantado", "Ajuste de Cuadre"]
 
 
-def flow_terms(rem: DataFrame, log: DataFrame, since=None) -> DataFrame:
-    """Signed treasury flow rows (banco_id, flujo) strictly after ``since``:
-    received remittances and cash transfers in, treasury outflows out.
+def flow_terms(rem: DataFrame, log: DataFrame, since=None, until=None) -> DataFrame:
+    """Signed treasury flow rows (banco_id, flujo) strictly after ``since``
+    (and at or before ``until``): received remittances and cash transfers in,
+    treasury outflows out.
 
-    ``since`` is None (no cut), a literal timestamp, or a Column."""
+    ``since`` / ``until`` are None (no cut), a literal timestamp, or a Column."""
     def after(c: str) -> Column:
-        if since is None:
-            return F.col(c).isNotNull()
-        return F.col(c) > ts_literal(since)
+        cond = F.col(c).isNotNull() if since is None else F.col(c) > ts_literal(since)
+        return cond if until is None else cond & (F.col(c) <= ts_literal(until))
     r = rem.filter((F.col("estado") == "Recibido") & after("fecha_recepcion")) \
            .select("banco_id", F.col("monto").alias("flujo"))
     inflow = log.filter(F.col("tipo").isin(TREASURY_INFLOW_LOG_TYPES) & after("fecha_hora")) \

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.balances import OTHERS_KEY, balance_map, map_amount, map_total, snapshot_json
 from tillbook.functions.forms import melt_form
+from tillbook.functions.timeparse import ts_literal
 from tillbook.operators.aggregations import global_bank_position, net_since_opening, treasury_flow
 from tillbook.operators.joins import bounded_keys
 from tillbook.operators.windows import last_treasury_closing, latest_by_id
@@ -78,14 +79,19 @@ def _store_parts(L) -> tuple[DataFrame, DataFrame]:
     return cells, stores
 
 
-def treasury_cells(L) -> tuple[DataFrame, DataFrame]:
+def treasury_cells(L, until=None) -> tuple[DataFrame, DataFrame]:
     """Treasury row: per bank base (last snapshot) + flow since it, and the
-    Otros part. Returns (cells, otros) with ``base``, ``flujo``, ``saldo``."""
+    Otros part. Returns (cells, otros) with ``base``, ``flujo``, ``saldo``.
+    ``until``: the balances as of that time (snapshots and flows after it are
+    ignored); None = everything."""
     bancos = L["bancos"]
-    snap = last_treasury_closing(L["cierres_tesoreria"])
+    ct = L["cierres_tesoreria"]
+    if until is not None:
+        ct = ct.filter(F.col("fecha_hora") <= ts_literal(until))
+    snap = last_treasury_closing(ct)
     since = snap.select("fecha_hora").scalar()
     base = snap.select(balance_map("saldos_json").alias("_base"))
-    flow = treasury_flow(L["remesas"], L["tesoreria_log"], bancos, since)
+    flow = treasury_flow(L["remesas"], L["tesoreria_log"], bancos, since, until)
     # the one-row base map is attached as a scalar subquery per key
     base_map = base.select("_base").scalar()
     key = F.coalesce(F.col("banco_id").cast("string"), F.lit(OTHERS_KEY))

@@ -15,12 +15,12 @@ GENERAL_FUND = "Fondo General"
 DEFAULT_CLOSING_NOTE = "Corte de Caja Central"
 
 
-def treasury_balances(L) -> DataFrame:
+def treasury_balances(L, until=None) -> DataFrame:
     """H4: per bank and the Otros fund: base (last snapshot), flow since it,
     real balance = base + flow. ``en_flujo`` / ``en_saldos`` say whether the
     row is listed in the flow list / the balance list (the Otros row only
     when its flow / balance is not 0)."""
-    cells, otros = treasury_cells(L)
+    cells, otros = treasury_cells(L, until)
     names = L["bancos"].select(F.col("id").alias("_bid"), "nombre")
     banks = cells.join(names, cells.banco_id == names._bid, "left").select(
         bank_key("banco_id").alias("banco_key"), "nombre", "base", "flujo", "saldo",
@@ -32,8 +32,8 @@ def treasury_balances(L) -> DataFrame:
 
 def close_treasury(L, as_of: str, usuario_id: int | None = None, note: str | None = None) -> DataFrame:
     """The new snapshot row: every bank's real balance and Otros as JSON
-    (it becomes the base of the next flow), plus the total."""
-    bal = treasury_balances(L)
+    as of ``as_of`` (it becomes the base of the next flow), plus the total."""
+    bal = treasury_balances(L, as_of)
     js = snapshot_json(bal, [], "banco_key", "saldo")
     total = bal.agg(F.sum("saldo").cast(MONEY_SQL).alias("total_efectivo"))
     return js.select(ts_literal(as_of).alias("fecha_hora"),
