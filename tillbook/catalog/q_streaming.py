@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tillbook.catalog import register
 from tillbook.catalog.q_posting import POSTED_SQL
-from tillbook.sources.fixtures import Ledger, commands_from_events
+from tillbook.sources.fixtures import commands_from_events
+from tillbook.sources.store import StoredLedger as Ledger
 from tillbook.streaming import live as J
 
 
@@ -30,28 +31,31 @@ def j3(spark, d):
 
 
 @register("j1_stream_net_by_store_bank", """
-SELECT tienda_id, banco_id, CAST(SUM(monto_efectivo) AS DECIMAL(18,2)) AS neto, COUNT(*) AS ops
-FROM transacciones GROUP BY tienda_id, banco_id""")
+SELECT t.tienda_id, t.banco_id, CAST(SUM(t.monto_efectivo) AS DECIMAL(18,2)) AS neto_txn FROM transacciones t
+JOIN (SELECT tienda_id, MAX(fecha_hora) AS ultima FROM aperturas_caja GROUP BY tienda_id) a ON t.tienda_id = a.tienda_id
+WHERE t.fecha_hora >= a.ultima GROUP BY t.tienda_id, t.banco_id""")
 def j1(spark, d):
     from tillbook.sources.fixtures import post_fixture_transactions
     L = Ledger(spark, d)
     tx = post_fixture_transactions(commands_from_events(_events_stream(spark, d)), L["comisiones"])
     out = J.scratch_path(spark, "j1")
-    q = J.run_snapshot(J.stream_net_by_store_bank(tx), out)
+    q = J.run_snapshot(J.stream_net_by_store_bank(tx, L["aperturas_caja"]), out)
     q.awaitTermination()
     return spark.read.parquet(out + "/data")
 
 
 @register("j2_stream_pending_changes", """
-SELECT COUNT(*) AS pendientes, MAX(id) AS ultimo_id FROM remesas WHERE estado = 'Pendiente' AND id IS NOT NULL""")
+SELECT CAST(0 AS BIGINT) AS epoch, COUNT(*) AS pendientes, arg_max(id, (fecha_envio, id)) AS primer_id
+FROM remesas WHERE estado = 'Pendiente' AND id IS NOT NULL""")
 def j2(spark, d):
     cmds = commands_from_events(_events_stream(spark, d)).filter(F.col("tipo") == "Efectivo Entregado")
     odd = F.col("id") % 2 == 1
-    rem = cmds.select("id", F.when(odd, "Recibido").otherwise("Pendiente").alias("estado"))
+    rem = cmds.select("id", F.col("fecha_hora").alias("fecha_envio"),
+                      F.when(odd, "Recibido").otherwise("Pendiente").alias("estado"))
     out = J.scratch_path(spark, "j2")
-    q = J.run_snapshot(J.stream_pending_changes(rem), out)
+    q = J.run_changes(J.stream_pending_state(rem), out)
     q.awaitTermination()
-    return spark.read.parquet(out + "/data")
+    return spark.read.parquet(out + "/changes")
 
 
 @register("j4_stream_daily_flow", """

@@ -70,18 +70,44 @@ def stream_daily_flow(tx_stream: DataFrame, delay: str = "1 day") -> DataFrame:
                  F.count(F.lit(1)).alias("ops")))
 
 
-def stream_net_by_store_bank(tx_stream: DataFrame) -> DataFrame:
-    """Running net cash per (store, bank) over the transaction stream
-    (stateful streaming aggregation, one state row per store and bank)."""
-    return tx_stream.groupBy("tienda_id", "banco_id").agg(
-        F.sum("monto_efectivo").cast(MONEY_SQL).alias("neto"), F.count(F.lit(1)).alias("ops"))
+def stream_net_by_store_bank(tx_stream: DataFrame, ap: DataFrame) -> DataFrame:
+    """Live net cash per (store, bank) since the store's latest opening
+    (the dashboard's reset): a stream-static join with the per-store latest
+    opening time (static, one row per store), then a stateful aggregation
+    with one state row per store and bank."""
+    last = ap.groupBy(F.col("tienda_id").alias("_t")).agg(F.max("fecha_hora").alias("_ultima"))
+    j = tx_stream.join(last, tx_stream.tienda_id == last._t, "inner") \
+                 .filter(F.col("fecha_hora") >= F.col("_ultima"))
+    return j.groupBy("tienda_id", "banco_id").agg(F.sum("monto_efectivo").cast(MONEY_SQL).alias("neto_txn"))
+
+
+def stream_pending_state(rem_stream: DataFrame) -> DataFrame:
+    """J2 state: number of pending remittances and the id at the head of the
+    pending list (newest send time, then highest id)."""
+    p = rem_stream.filter(F.col("estado") == "Pendiente")
+    return p.groupBy().agg(F.count(F.lit(1)).alias("pendientes"),
+                           F.max(F.struct("fecha_envio", "id"))["id"].alias("primer_id"))
 
 
-def stream_pending_changes(rem_stream: DataFrame) -> DataFrame:
-    """Pending-remittance state (count and newest id); every trigger
-    emits the state, so a consumer sees each change of count or first id."""
-    p = rem_stream.filter(F.col("estado") == "Pendiente")
-    return p.groupBy().agg(F.count(F.lit(1)).alias("pendientes"), F.max("id").alias("ultimo_id"))
+def run_changes(state: DataFrame, path: str) -> StreamingQuery:
+    """J2 sink: after each micro-batch the new state is compared with the
+    last emitted one (a full outer join of the two one-row snapshots); a
+    change row is appended only when the count or the head id changed."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        try:
+            prev = spark.read.parquet(path + "/state")
+        except Exception:  # noqa: BLE001 - first batch: no state yet
+            prev = batch.limit(0)
+        cur = batch.select(F.lit(1).alias("_k"), "pendientes", "primer_id")
+        old = prev.select(F.lit(1).alias("_k"), F.col("pendientes").alias("_p0"), F.col("primer_id").alias("_i0"))
+        diff = cur.join(old, "_k", "full_outer").filter(
+            ~F.col("pendientes").eqNullSafe(F.col("_p0")) | ~F.col("primer_id").eqNullSafe(F.col("_i0")))
+        diff.select(F.lit(epoch).cast("long").alias("epoch"), "pendientes", "primer_id") \
+            .write.mode("append").parquet(path + "/changes")
+        cur.drop("_k").write.mode("overwrite").parquet(path + "/state")
+    return (state.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
+                 .outputMode("complete").trigger(availableNow=True).start())
 
 
 def run_append(df: DataFrame, path: str) -> StreamingQuery:
