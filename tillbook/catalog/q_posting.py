@@ -165,8 +165,8 @@ xfer AS (
     CAST(NULLIF(o_custkey % 6, 5) AS BIGINT) AS banco_origen, CAST(o_orderkey % 25 AS BIGINT) AS tienda_destino,
     CAST(NULLIF(o_orderkey % 6, 5) AS BIGINT) AS banco_destino, CAST(o_totalprice - 50000 AS DECIMAL(18,2)) AS monto
   FROM orders),
-xv AS (SELECT * FROM xfer WHERE monto > 0 AND NOT (tienda_origen IS NOT DISTINCT FROM tienda_destino
-       AND banco_origen IS NOT DISTINCT FROM banco_destino))"""
+xv AS (SELECT * FROM xfer WHERE monto > 0 AND banco_origen IS NOT NULL AND banco_destino IS NOT NULL
+       AND tienda_destino IS NOT NULL AND NOT (tienda_origen = tienda_destino AND banco_origen = banco_destino))"""
 
 
 def store_transfers(L):
@@ -181,9 +181,11 @@ def store_transfers(L):
 
 @register("i14_post_store_transfer", """
 SELECT id AS comando_id, ts AS fecha_hora, tienda_origen AS tienda_id, banco_origen AS banco_id, 'Traspaso Salida' AS tipo,
-  CAST(-monto AS DECIMAL(18,2)) AS monto_efectivo, CAST(0 AS DECIMAL(18,2)) AS monto_banco FROM xv
+  CAST(-monto AS DECIMAL(18,2)) AS monto_efectivo, CAST(0 AS DECIMAL(18,2)) AS monto_banco,
+  'Traspaso de Efectivo (Salida)' AS referencia FROM xv
 UNION ALL
-SELECT id, ts, tienda_destino, banco_destino, 'Traspaso Entrada', monto, CAST(0 AS DECIMAL(18,2)) FROM xv""",
+SELECT id, ts, tienda_destino, banco_destino, 'Traspaso Entrada', monto, CAST(0 AS DECIMAL(18,2)),
+  'Traspaso de Efectivo (Entrada)' FROM xv""",
           extra_ctes=STORE_XFER_SQL)
 def i14(spark, d):
     return I.post_store_transfer(store_transfers(Ledger(spark, d)))["transacciones"]
@@ -201,7 +203,7 @@ def i14p(spark, d):
 
 @register("i15_post_extra_income", """
 SELECT id AS comando_id, ts AS fecha_hora, tienda_origen AS tienda_id, banco_destino AS banco_id, 'Ingreso Extra' AS tipo,
-  monto AS monto_efectivo, CAST(0 AS DECIMAL(18,2)) AS monto_banco
+  monto AS monto_efectivo, CAST(0 AS DECIMAL(18,2)) AS monto_banco, 'Ingreso Extra de Efectivo' AS referencia
 FROM xfer WHERE monto > 0 AND banco_destino IS NOT NULL""", extra_ctes=STORE_XFER_SQL)
 def i15(spark, d):
     t = store_transfers(Ledger(spark, d)).select("id", "ts", F.col("tienda_origen").alias("tienda_id"),
@@ -217,26 +219,40 @@ open_forms AS (
 
 
 def opening_forms(L):
+    """Opening form bodies per store-day: cash (with a thousands comma when
+    large) and two bank fields."""
     sd = L.store_days().join(L.store_cashier(), "tienda_id", "left")
     t = F.col("tienda_id")
-    legs = F.array(F.struct(F.lit("0").alias("k"), ((t + 1) * 100).cast("decimal(18,2)").alias("v")),
-                   F.struct(F.lit("1").alias("k"), ((t + 1) * 200).cast("decimal(18,2)").alias("v")),
-                   F.struct(F.lit("Otros").alias("k"), F.lit(50).cast("decimal(18,2)").alias("v")))
+    cash = (t + 1) * 300 + 50
+    cash_text = F.when(cash >= 1000, F.concat((cash / 1000).cast("long").cast("string"), F.lit(","),
+                                              F.lpad((cash % 1000).cast("string"), 3, "0")))\
+                 .otherwise(cash.cast("string"))
+    form = F.create_map(F.lit("monto_efectivo"), cash_text,
+                        F.lit("banco_0"), ((t + 1) * 100).cast("string"),
+                        F.lit("banco_1"), F.concat(((t + 1) * 200).cast("string"), F.lit(".5")))
     return sd.select((F.datediff("d", F.lit("1970-01-01").cast("date")).cast("long") * 1000 + t).alias("id"),
                      (F.col("d").cast("timestamp_ntz") + F.expr("INTERVAL 7 HOURS")).alias("ts"), "tienda_id",
-                     "usuario_id", F.explode(legs).alias("l")) \
-             .select("id", "ts", "tienda_id", "usuario_id", F.col("l.k").alias("banco_key"), F.col("l.v").alias("monto"))
+                     "usuario_id", form.alias("form"))
 
 
 @register("i16_open_tills", """
 SELECT id, tienda_id, usuario_id, CAST((tienda_id + 1) * 300 + 50 AS DECIMAL(18,2)) AS saldo_inicial_efectivo,
-  '{"0":' || CAST((tienda_id + 1) * 100 AS VARCHAR) || ',"1":' || CAST((tienda_id + 1) * 200 AS VARCHAR) || ',"Otros":50}'
+  '{"0":' || CAST((tienda_id + 1) * 100 AS VARCHAR) || ',"1":' || CAST((tienda_id + 1) * 200 AS VARCHAR) || '.5}'
     AS saldos_bancos_json, ts AS fecha_hora, 'Abierta' AS estado
 FROM open_forms""", extra_ctes=OPEN_FORMS_SQL)
 def i16(spark, d):
     return I.open_tills(opening_forms(Ledger(spark, d)))["aperturas"]
 
 
+@register("i3_post_account_deposit_tx", """
+SELECT id, fecha_hora, tienda_id, banco_id, usuario_id, 'Depósito Cuenta' AS tipo, CAST(-monto AS DECIMAL(18,2)) AS monto_efectivo,
+  monto AS monto_banco, CAST(0 AS DECIMAL(18,2)) AS comision_efectivo, CAST(0 AS DECIMAL(18,2)) AS comision_banco, referencia
+FROM tx_cmd WHERE tipo = 'Depósito Cuenta' AND monto > 0""")
+def i3t(spark, d):
+    cmds = Ledger(spark, d).commands().filter(F.col("tipo") == "Depósito Cuenta")
+    return I.post_account_deposit(cmds)["transacciones"]
+
+
 @register("i19_reverse_transactions", """
 SELECT fecha_hora AS ts, 'tienda' AS cuenta, tienda_id, CAST(NULL AS BIGINT) AS banco_id,
   CAST(-monto_efectivo AS DECIMAL(18,2)) AS monto, 'delta' AS tipo_asiento, 'reverso' AS fuente, id AS fuente_id, 3 AS orden

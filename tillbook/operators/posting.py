@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillbook.functions.balances import snapshot_json
+from tillbook.functions.money import money_or_zero, parse_money
 from tillbook.functions.signs import EDIT_RULES, POST_RULES, signed_legs
 from tillbook.operators.filters import split_valid
 from tillbook.operators.joins import with_commission
@@ -23,6 +24,8 @@ POS_HANDOVER_NOTE = "Entrega desde POS"
 RESTOCK_TYPE = "Resurtido Tesorería"
 CASH_EXPENSE_PREFIX = "Gasto Efectivo: "
 TRANSFER_DEFAULT_REF = "Traslado de Fondos"
+STORE_TRANSFER_DEFAULT_REF = "Traspaso de Efectivo"
+EXTRA_INCOME_DEFAULT_REF = "Ingreso Extra de Efectivo"
 LOG_TYPE_BY_KIND = {
     "gasto_bancario": "Gasto Bancario",
     "entrega_dueno": "Entrega Dueño",
@@ -76,7 +79,10 @@ def post_account_deposit(cmds: DataFrame) -> dict[str, DataFrame]:
                    F.when(F.col("leg.cuenta") == "banco", F.col("banco_id")).cast("long").alias("banco_id"),
                    F.col("leg.m").cast(MONEY_SQL).alias("monto"), F.lit("delta").alias("tipo_asiento"),
                    F.lit("deposito_cuenta").alias("fuente"), F.col("id").alias("fuente_id"), F.lit(1).alias("orden"))
-    return {"postings": out, "rejected": rejected}
+    tx = valid.select("id", "fecha_hora", "tienda_id", "banco_id", "usuario_id", F.lit("Depósito Cuenta").alias("tipo"),
+                      _neg(F.col("monto")).alias("monto_efectivo"), F.col("monto").cast(MONEY_SQL).alias("monto_banco"),
+                      "referencia")
+    return {"postings": out, "transacciones": conform(tx, "transacciones"), "rejected": rejected}
 
 
 def receive_remits(rem: DataFrame, cmds: DataFrame) -> DataFrame:
@@ -174,9 +180,11 @@ def pay_advances(dep: DataFrame, cmds: DataFrame) -> dict[str, DataFrame]:
 def post_store_transfer(cmds: DataFrame) -> dict[str, DataFrame]:
     """Store-to-store transfer on a (store, bank) pair: 'Traspaso Salida'
     at the source, 'Traspaso Entrada' at the target; the store cash moves
-    only when the stores differ. ``cmds``: id, ts, tienda_origen,
-    banco_origen, tienda_destino, banco_destino, monto."""
-    valid, rejected = split_valid(cmds, "monto", required=["tienda_origen", "tienda_destino"])
+    only when the stores differ. Both banks and the target store are
+    required; the same bank in the same store is rejected. ``cmds``: id, ts,
+    tienda_origen, banco_origen, tienda_destino, banco_destino, monto
+    [, referencia]."""
+    valid, rejected = split_valid(cmds, "monto", required=["banco_origen", "banco_destino", "tienda_destino"])
     same_slot = F.col("tienda_origen").eqNullSafe(F.col("tienda_destino")) & \
         F.col("banco_origen").eqNullSafe(F.col("banco_destino"))
     rejected = rejected.unionByName(valid.filter(same_slot).withColumn("motivo", F.lit("mismo_origen_destino")))
@@ -185,11 +193,15 @@ def post_store_transfer(cmds: DataFrame) -> dict[str, DataFrame]:
                    F.col("banco_origen").alias("banco_id"), _neg(F.col("monto")).alias("m"))
     inn = F.struct(F.lit("Traspaso Entrada").alias("tipo"), F.col("tienda_destino").alias("tienda_id"),
                    F.col("banco_destino").alias("banco_id"), F.col("monto").cast(MONEY_SQL).alias("m"))
-    e = v.select("id", "ts", (F.col("tienda_origen") != F.col("tienda_destino")).alias("_moves"),
+    ref = F.coalesce(F.col("referencia"), F.lit(STORE_TRANSFER_DEFAULT_REF)) if "referencia" in cmds.columns \
+        else F.lit(STORE_TRANSFER_DEFAULT_REF)
+    e = v.select("id", "ts", ref.alias("_ref"), (F.col("tienda_origen") != F.col("tienda_destino")).alias("_moves"),
                  F.explode(F.array(out, inn)).alias("x"))
+    suffix = F.when(F.col("x.tipo") == "Traspaso Salida", F.lit(" (Salida)")).otherwise(F.lit(" (Entrada)"))
     tx = e.select(F.col("id").alias("comando_id"), F.col("ts").alias("fecha_hora"), F.col("x.tienda_id").alias("tienda_id"),
                   F.col("x.banco_id").alias("banco_id"), F.col("x.tipo").alias("tipo"),
-                  F.col("x.m").alias("monto_efectivo"), _zero().alias("monto_banco"))
+                  F.col("x.m").alias("monto_efectivo"), _zero().alias("monto_banco"),
+                  F.concat(F.col("_ref"), suffix).alias("referencia"))
     p = e.filter("_moves").select(*posting("ts", "tienda", F.col("x.tienda_id"), None, F.col("x.m"), "delta",
                                            "traspaso", "id", 1))
     return {"transacciones": tx, "postings": p, "rejected": rejected}
@@ -198,21 +210,30 @@ def post_store_transfer(cmds: DataFrame) -> dict[str, DataFrame]:
 def post_extra_income(cmds: DataFrame) -> dict[str, DataFrame]:
     """Extra income on a required bank: store cash +m."""
     valid, rejected = split_valid(cmds, "monto", required=["banco_id"])
+    ref = F.coalesce(F.col("referencia"), F.lit(EXTRA_INCOME_DEFAULT_REF)) if "referencia" in cmds.columns \
+        else F.lit(EXTRA_INCOME_DEFAULT_REF)
     tx = valid.select(F.col("id").alias("comando_id"), F.col("ts").alias("fecha_hora"), "tienda_id", "banco_id",
                       F.lit("Ingreso Extra").alias("tipo"), F.col("monto").cast(MONEY_SQL).alias("monto_efectivo"),
-                      _zero().alias("monto_banco"))
+                      _zero().alias("monto_banco"), ref.alias("referencia"))
     p = valid.select(*posting("ts", "tienda", F.col("tienda_id"), None, F.col("monto"), "delta", "ingreso_extra", "id", 1))
     return {"transacciones": tx, "postings": p, "rejected": rejected}
 
 
-def open_tills(cmds: DataFrame) -> dict[str, DataFrame]:
-    """I16: opening forms (id, ts, tienda_id, usuario_id, long rows of
-    (banco_key, monto)) -> opening rows (JSON map of the bank amounts, cash =
-    their sum) and a ``set`` posting of the store cash."""
-    js = snapshot_json(cmds, ["id", "ts", "tienda_id", "usuario_id"], "banco_key", "monto", "saldos_bancos_json")
-    tot = cmds.groupBy("id").agg(F.sum("monto").cast(MONEY_SQL).alias("saldo_inicial_efectivo"))
-    ap = js.join(tot, "id").select("id", "tienda_id", "usuario_id", "saldo_inicial_efectivo", "saldos_bancos_json",
-                                   F.col("ts").alias("fecha_hora"), F.lit("Abierta").alias("estado"))
+def open_tills(forms: DataFrame) -> dict[str, DataFrame]:
+    """I16: opening forms (id, ts, tienda_id, usuario_id, form map) -> opening
+    rows and a ``set`` posting of the store cash. The cash is the form's
+    ``monto_efectivo`` (commas removed); the bank map holds every
+    ``banco_<id>`` field (commas removed, unparseable -> 0) as JSON."""
+    e = forms.select("id", F.explode("form").alias("_k", "_v"))
+    banks = e.filter(F.col("_k").startswith("banco_")).select(
+        "id", F.regexp_replace("_k", "^banco_", "").alias("banco_key"),
+        money_or_zero(F.col("_v"), "commas").alias("monto"))
+    js = snapshot_json(banks, ["id"], "banco_key", "monto", "saldos_bancos_json")
+    cash = parse_money(F.element_at(F.col("form"), F.lit("monto_efectivo")), "commas")
+    ap = forms.join(js, "id", "left").select(
+        "id", "tienda_id", "usuario_id", cash.alias("saldo_inicial_efectivo"),
+        F.coalesce("saldos_bancos_json", F.lit("{}")).alias("saldos_bancos_json"),
+        F.col("ts").alias("fecha_hora"), F.lit("Abierta").alias("estado"))
     p = ap.select(*posting("fecha_hora", "tienda", F.col("tienda_id"), None, F.col("saldo_inicial_efectivo"), "set",
                            "apertura", "id", 0))
     return {"aperturas": conform(ap, "aperturas_caja"), "postings": p}
