@@ -177,16 +177,14 @@ def test_treasury_balance_independent_of_snapshot(spark, ledger):
 
 
 def test_count_adjustment_sets_balance_to_count(spark, ledger):
-    from tillbook.functions.balances import nullable_bank
-    from tillbook.plans.treasury import treasury_balances
     from tillbook.sources.schemas import conform
-    bal = treasury_balances(ledger).select(nullable_bank("banco_key").alias("banco_id"), "saldo", "banco_key")
-    cmds = bal.select(F.coalesce(F.col("banco_key").try_cast("long"), F.lit(-1)).alias("id"), "banco_id",
+    full = lambda L: treasury_flow(L["remesas"], L["tesoreria_log"], L["bancos"], None)
+    bal = full(ledger).select("banco_id", F.col("flujo").alias("saldo"))
+    cmds = bal.select(F.coalesce("banco_id", F.lit(-1)).alias("id"), "banco_id",
                       (F.floor(F.col("saldo") / 100) * 100).cast("decimal(18,2)").alias("contado"),
                       F.lit("2030-01-01 00:00:00").cast("timestamp_ntz").alias("ts"))
-    log = I.post_count_adjustment(cmds, bal.select("banco_id", "saldo"))["log"].withColumnRenamed("comando_id", "id")
+    log = I.post_count_adjustment(cmds, bal)["log"].withColumnRenamed("comando_id", "id")
     L2 = _with(ledger, tesoreria_log=ledger["tesoreria_log"].unionByName(conform(log, "tesoreria_log")))
     counted = {r.banco_id: r.contado for r in cmds.collect()}
-    after = {r.banco_id: r.saldo for r in treasury_balances(L2).select(
-        nullable_bank("banco_key").alias("banco_id"), "saldo").collect()}
+    after = {r.banco_id: r.flujo for r in full(L2).collect()}
     assert after == counted

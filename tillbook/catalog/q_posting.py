@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillbook.catalog import register
-from tillbook.catalog.q_composite import AUDIT_CTES
-from tillbook.functions.balances import nullable_bank
+from tillbook.catalog.q_aggregations import flow_sql
 from tillbook.operators import posting as I
-from tillbook.plans.treasury import treasury_balances
+from tillbook.operators.aggregations import treasury_flow
 from tillbook.sources.store import StoredLedger as Ledger
 
 POSTED_SQL = """
@@ -318,19 +317,19 @@ def i20t(spark, d):
 
 
 @register("i22_post_count_adjustment", """
-SELECT CAST(row_number() OVER () * 0 AS BIGINT) + COALESCE(TRY_CAST(banco_key AS BIGINT), -1) AS comando_id,
-  'Ajuste de Cuadre' AS tipo, CAST(saldo - floor(saldo / 100) * 100 AS DECIMAL(18,2)) AS monto,
-  'Ajuste de arqueo' AS referencia, TIMESTAMP '2024-02-01 00:00:00' AS fecha_hora,
-  CASE WHEN banco_key = 'Otros' THEN NULL ELSE TRY_CAST(banco_key AS BIGINT) END AS banco_id,
-  CAST(NULL AS BIGINT) AS banco_destino_id
-FROM tbal WHERE saldo - floor(saldo / 100) * 100 <> 0""", extra_ctes=AUDIT_CTES)
+SELECT COALESCE(banco_id, -1) AS comando_id, 'Ajuste de Cuadre' AS tipo,
+  CAST(flujo - floor(flujo / 100) * 100 AS DECIMAL(18,2)) AS monto, 'Ajuste manual de arqueo' AS referencia,
+  TIMESTAMP '2024-02-01 00:00:00' AS fecha_hora, banco_id, CAST(NULL AS BIGINT) AS banco_destino_id
+FROM """ + flow_sql(None) + """ x WHERE flujo - floor(flujo / 100) * 100 <> 0""")
 def i22(spark, d):
     L = Ledger(spark, d)
-    bal = treasury_balances(L).select(nullable_bank("banco_key").alias("banco_id"), "saldo",
-                                      F.coalesce(F.col("banco_key").try_cast("long"), F.lit(-1)).alias("id"))
-    cmds = bal.select("id", "banco_id", (F.floor(F.col("saldo") / 100) * 100).cast("decimal(18,2)").alias("contado"),
+    # the system balance of a count is the full-history flow
+    bal = treasury_flow(L["remesas"], L["tesoreria_log"], L["bancos"], None).select(
+        "banco_id", F.col("flujo").alias("saldo"))
+    cmds = bal.select(F.coalesce("banco_id", F.lit(-1)).alias("id"), "banco_id",
+                      (F.floor(F.col("saldo") / 100) * 100).cast("decimal(18,2)").alias("contado"),
                       F.lit("2024-02-01 00:00:00").cast("timestamp_ntz").alias("ts"))
-    return I.post_count_adjustment(cmds, bal.select("banco_id", "saldo"))["log"]
+    return I.post_count_adjustment(cmds, bal)["log"]
 
 
 @register("i25_reverse_debts", """

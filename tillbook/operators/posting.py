@@ -26,6 +26,7 @@ CASH_EXPENSE_PREFIX = "Gasto Efectivo: "
 TRANSFER_DEFAULT_REF = "Traslado de Fondos"
 STORE_TRANSFER_DEFAULT_REF = "Traspaso de Efectivo"
 EXTRA_INCOME_DEFAULT_REF = "Ingreso Extra de Efectivo"
+COUNT_ADJ_DEFAULT_REF = "Ajuste manual de arqueo"
 LOG_TYPE_BY_KIND = {
     "gasto_bancario": "Gasto Bancario",
     "entrega_dueno": "Entrega Dueño",
@@ -260,16 +261,20 @@ def balance_before(postings: DataFrame, cmds: DataFrame, key: str, ts: str, cuen
 
 
 def post_count_adjustment(cmds: DataFrame, balances: DataFrame) -> dict[str, DataFrame]:
-    """Counted treasury cash per bank. diff = system - counted is logged
-    as an 'Ajuste de Cuadre' outflow so that the balance equals the count;
-    diff = 0 logs nothing. ``balances``: (banco_id, saldo) system balances."""
+    """Counted treasury cash per bank (``cmds``: id, ts, banco_id,
+    contado [, referencia]). diff = system - counted is logged as an 'Ajuste
+    de Cuadre' outflow so that the balance equals the count; diff = 0 logs
+    nothing. ``balances``: (banco_id, saldo) system balances; the reference
+    uses the full-history flow (E17), not snapshot + flow."""
     b = balances.select(F.col("banco_id").alias("_b"), F.col("saldo").alias("_sys"))
     j = cmds.join(b, cmds.banco_id.eqNullSafe(b._b), "left")
     diff = (F.coalesce("_sys", _zero()) - F.col("contado")).cast(MONEY_SQL)
-    j = j.withColumn("diferencia", diff)
+    ref = F.coalesce(F.col("referencia"), F.lit(COUNT_ADJ_DEFAULT_REF)) if "referencia" in cmds.columns \
+        else F.lit(COUNT_ADJ_DEFAULT_REF)
+    j = j.withColumn("diferencia", diff).withColumn("_ref", ref)
     log = j.filter(F.col("diferencia") != 0).select(
         F.col("id").alias("comando_id"), F.lit("Ajuste de Cuadre").alias("tipo"), F.col("diferencia").alias("monto"),
-        F.lit("Ajuste de arqueo").alias("referencia"), F.col("ts").alias("fecha_hora"), "banco_id",
+        F.col("_ref").alias("referencia"), F.col("ts").alias("fecha_hora"), "banco_id",
         F.lit(None).cast("long").alias("banco_destino_id"))
     return {"log": log, "ajustes": j.select("id", "banco_id", "contado", F.coalesce("_sys", _zero()).alias("sistema"),
                                             "diferencia")}

@@ -18,14 +18,17 @@ RESTOCK_TYPE = "Resurtido Tesorería"
 
 
 def reverse_treasury_log(log: DataFrame, ids: DataFrame, tx: DataFrame, ts_col: str = "ts") -> dict[str, DataFrame]:
-    """Per-type undo of the named log rows (``ids``: id, ts):
+    """Per-type undo of the named log rows (``ids``: id, ts [, revertir];
+    without ``revertir`` only the log row is dropped):
     Gasto Bancario -> bank +m; Depósito a Banco -> target bank -m; both
     transfer types -> bank -m (as the source does, also where the transfer
     never added it); Envío a Tienda -> the first restock transaction (lowest
     id) of the same hour with |diff| < 0.1, any store: store cash -m and the
     transaction is dropped. The log rows are dropped."""
-    i = ids.select(F.col("id").alias("_rid"), F.col(ts_col).alias("_ts"))
-    hit = log.join(i, log.id == i._rid, "inner")
+    rev = F.coalesce(F.col("revertir"), F.lit(True)) if "revertir" in ids.columns else F.lit(True)
+    i = ids.select(F.col("id").alias("_rid"), F.col(ts_col).alias("_ts"), rev.alias("_rev"))
+    kept = log.join(i, log.id == i._rid, "left_anti")
+    hit = log.join(i, log.id == i._rid, "inner").filter("_rev")
     t = F.col("tipo")
     m = F.col("monto")
     bank = (F.when(t == "Gasto Bancario", F.col("banco_id")).when(t == "Depósito a Banco", F.col("banco_destino_id"))
@@ -40,7 +43,6 @@ def reverse_treasury_log(log: DataFrame, ids: DataFrame, tx: DataFrame, ts_col:
     p_store = mt.select(*posting("_ts", "tienda", F.col("m_tienda_id"), None, (-F.col("m_monto")).cast(MONEY_SQL),
                                  "delta", "reverso_tesoreria", "id", 3))
     matched = mt.select(F.col("id").alias("log_id"), F.col("m_id").alias("transaccion_id"))
-    kept = log.join(i, log.id == i._rid, "left_anti")
     return {"postings": p_bank.unionByName(p_store), "matched": matched, "log": kept}
 
 
