@@ -76,10 +76,11 @@ tcmd AS (
     CAST(NULLIF(o_custkey % 6, 5) AS BIGINT) AS banco_origen, CAST(NULLIF(o_orderkey % 6, 5) AS BIGINT) AS banco_destino,
     CAST(o_custkey % 25 AS BIGINT) AS tienda_id,
     CASE o_custkey % 3 WHEN 0 THEN 'solo_saldo' WHEN 1 THEN 'saldo_y_efectivo' ELSE 'solo_efectivo' END AS modo,
-    o_orderstatus = 'P' AS adelantado, 'Orden ' || CAST(o_orderkey AS VARCHAR) AS referencia
+    o_orderstatus = 'P' AS adelantado,
+    CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Orden ' || CAST(o_orderkey AS VARCHAR) END AS referencia
   FROM orders),
 tv AS (
-  SELECT * FROM tcmd WHERE monto > 0
+  SELECT * FROM tcmd WHERE (monto > 0 OR tipo_cmd = 'entrega_dueno')
     AND NOT (tipo_cmd = 'traslado' AND banco_origen IS NULL)
     AND NOT (tipo_cmd = 'traspaso_bolsa' AND banco_origen IS NOT DISTINCT FROM banco_destino))"""
 
@@ -98,7 +99,8 @@ def treasury_commands(L):
                     F.nullif(F.col("o_orderkey") % 6, F.lit(5)).alias("banco_destino"),
                     (F.col("o_custkey") % 25).alias("tienda_id"), modo.alias("modo"),
                     (F.col("o_orderstatus") == "P").alias("adelantado"),
-                    F.concat(F.lit("Orden "), F.col("o_orderkey").cast("string")).alias("referencia"))
+                    F.when(F.col("o_orderstatus") != "F",
+                           F.concat(F.lit("Orden "), F.col("o_orderkey").cast("string"))).alias("referencia"))
 
 
 @register("i6_i13_treasury_log", """
@@ -106,12 +108,18 @@ SELECT id AS comando_id,
   CASE tipo_cmd WHEN 'gasto_bancario' THEN 'Gasto Bancario' WHEN 'entrega_dueno' THEN 'Entrega Dueño'
     WHEN 'deposito_banco' THEN 'Depósito a Banco' WHEN 'envio_tienda' THEN 'Envío a Tienda' WHEN 'gasto_efectivo' THEN 'Entrega Dueño'
     ELSE CASE WHEN modo = 'solo_saldo' THEN 'Traslado (Solo Saldo)' ELSE 'Traslado (Efectivo)' END END AS tipo,
-  monto, CASE WHEN tipo_cmd = 'gasto_efectivo' THEN 'Gasto Efectivo: ' || referencia ELSE referencia END AS referencia,
+  monto, CASE tipo_cmd WHEN 'gasto_efectivo' THEN 'Gasto Efectivo: ' || COALESCE(referencia, 'Generico')
+    WHEN 'entrega_dueno' THEN COALESCE(referencia, 'Retiro Capital')
+    WHEN 'deposito_banco' THEN COALESCE(referencia, 'Depósito desde Tesorería')
+    WHEN 'envio_tienda' THEN COALESCE(referencia, 'Envío de Efectivo')
+    WHEN 'traslado' THEN COALESCE(referencia, 'Traslado de Fondos') ELSE referencia END AS referencia,
   ts AS fecha_hora, banco_origen AS banco_id, CASE WHEN tipo_cmd = 'deposito_banco' THEN banco_destino END AS banco_destino_id
 FROM tv WHERE tipo_cmd IN ('gasto_bancario', 'entrega_dueno', 'envio_tienda', 'gasto_efectivo', 'traslado')
    OR (tipo_cmd = 'deposito_banco' AND NOT adelantado)
-UNION ALL SELECT id, 'Entrega Dueño', monto, referencia, ts, banco_origen, NULL FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
-UNION ALL SELECT id, 'Traslado (Efectivo)', monto, referencia, ts, banco_destino, NULL FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
+UNION ALL SELECT id, 'Entrega Dueño', monto, 'Salida Traspaso: ' || COALESCE(referencia, ''), ts, banco_origen, NULL
+  FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
+UNION ALL SELECT id, 'Traslado (Efectivo)', monto, 'Entrada Traspaso: ' || COALESCE(referencia, ''), ts, banco_destino, NULL
+  FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
 """, extra_ctes=TCMD_SQL)
 def i6_13_log(spark, d):
     return I.post_treasury_commands(treasury_commands(Ledger(spark, d)))["log"]
@@ -134,14 +142,16 @@ def i6_13_post(spark, d):
 @register("i9_post_send_to_store_tx", """
 SELECT id, ts AS fecha_hora, tienda_id, banco_origen AS banco_id, CAST(NULL AS BIGINT) AS usuario_id,
   'Resurtido Tesorería' AS tipo, monto AS monto_efectivo, CAST(0 AS DECIMAL(18,2)) AS monto_banco,
-  CAST(0 AS DECIMAL(18,2)) AS comision_efectivo, CAST(0 AS DECIMAL(18,2)) AS comision_banco, referencia
+  CAST(0 AS DECIMAL(18,2)) AS comision_efectivo, CAST(0 AS DECIMAL(18,2)) AS comision_banco,
+  COALESCE(referencia, 'Recibido de Tesorería') AS referencia
 FROM tv WHERE tipo_cmd = 'envio_tienda'""", extra_ctes=TCMD_SQL)
 def i9(spark, d):
     return I.post_treasury_commands(treasury_commands(Ledger(spark, d)))["transacciones"]
 
 
 @register("i8_post_bank_deposit_debts", """
-SELECT id, banco_destino AS banco_id, monto, referencia, ts AS fecha_hora, 'Pendiente' AS estado,
+SELECT id, banco_destino AS banco_id, monto, COALESCE(referencia, 'Depósito Adelantado') AS referencia, ts AS fecha_hora,
+  'Pendiente' AS estado,
   CAST(NULL AS TIMESTAMP) AS fecha_pago
 FROM tv WHERE tipo_cmd = 'deposito_banco' AND adelantado""", extra_ctes=TCMD_SQL)
 def i8(spark, d):
@@ -149,7 +159,8 @@ def i8(spark, d):
 
 
 @register("i10_pay_advances", """
-SELECT id AS comando_id, 'Pago Depósito Adelantado' AS tipo, monto, referencia, fecha_hora + INTERVAL 30 DAY AS fecha_hora,
+SELECT id AS comando_id, 'Pago Depósito Adelantado' AS tipo, monto, COALESCE(referencia, 'Pago de Depósito Pendiente') AS referencia,
+  fecha_hora + INTERVAL 30 DAY AS fecha_hora,
   banco_id, CAST(NULL AS BIGINT) AS banco_destino_id
 FROM depositos_adelantados WHERE estado = 'Pendiente'""")
 def i10(spark, d):
@@ -407,7 +418,11 @@ SELECT id AS comando_id,
   CASE tipo_cmd WHEN 'gasto_bancario' THEN 'Gasto Bancario' WHEN 'entrega_dueno' THEN 'Entrega Dueño'
     WHEN 'deposito_banco' THEN 'Depósito a Banco' WHEN 'envio_tienda' THEN 'Envío a Tienda' WHEN 'gasto_efectivo' THEN 'Entrega Dueño'
     ELSE CASE WHEN modo = 'solo_saldo' THEN 'Traslado (Solo Saldo)' ELSE 'Traslado (Efectivo)' END END AS tipo,
-  monto, CASE WHEN tipo_cmd = 'gasto_efectivo' THEN 'Gasto Efectivo: ' || referencia ELSE referencia END AS referencia,
+  monto, CASE tipo_cmd WHEN 'gasto_efectivo' THEN 'Gasto Efectivo: ' || COALESCE(referencia, 'Generico')
+    WHEN 'entrega_dueno' THEN COALESCE(referencia, 'Retiro Capital')
+    WHEN 'deposito_banco' THEN COALESCE(referencia, 'Depósito desde Tesorería')
+    WHEN 'envio_tienda' THEN COALESCE(referencia, 'Envío de Efectivo')
+    WHEN 'traslado' THEN COALESCE(referencia, 'Traslado de Fondos') ELSE referencia END AS referencia,
   ts AS fecha_hora, banco_origen AS banco_id, CASE WHEN tipo_cmd = 'deposito_banco' THEN banco_destino END AS banco_destino_id
 FROM tv WHERE tipo_cmd = '{kind}'"""
 
@@ -420,9 +435,10 @@ for _qid, _kind in [("i6_post_bank_expense", "gasto_bancario"), ("i7_post_owner_
 
 
 @register("i13_post_pouch_transfer", """
-SELECT id AS comando_id, 'Entrega Dueño' AS tipo, monto, referencia, ts AS fecha_hora, banco_origen AS banco_id,
-  CAST(NULL AS BIGINT) AS banco_destino_id FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
-UNION ALL SELECT id, 'Traslado (Efectivo)', monto, referencia, ts, banco_destino, NULL FROM tv WHERE tipo_cmd = 'traspaso_bolsa'""",
+SELECT id AS comando_id, 'Entrega Dueño' AS tipo, monto, 'Salida Traspaso: ' || COALESCE(referencia, '') AS referencia,
+  ts AS fecha_hora, banco_origen AS banco_id, CAST(NULL AS BIGINT) AS banco_destino_id FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
+UNION ALL SELECT id, 'Traslado (Efectivo)', monto, 'Entrada Traspaso: ' || COALESCE(referencia, ''), ts, banco_destino, NULL
+  FROM tv WHERE tipo_cmd = 'traspaso_bolsa'""",
           extra_ctes=TCMD_SQL)
 def i13(spark, d):
     c = treasury_commands(Ledger(spark, d)).filter(F.col("tipo_cmd") == "traspaso_bolsa")

@@ -27,6 +27,19 @@ TRANSFER_DEFAULT_REF = "Traslado de Fondos"
 STORE_TRANSFER_DEFAULT_REF = "Traspaso de Efectivo"
 EXTRA_INCOME_DEFAULT_REF = "Ingreso Extra de Efectivo"
 COUNT_ADJ_DEFAULT_REF = "Ajuste manual de arqueo"
+# Default reference text per treasury command kind (when the command has none).
+TREASURY_DEFAULT_REF = {
+    "entrega_dueno": "Retiro Capital",
+    "deposito_banco": "Depósito desde Tesorería",
+    "deposito_adelantado": "Depósito Adelantado",
+    "envio_tienda": "Envío de Efectivo",
+    "restock": "Recibido de Tesorería",
+    "traslado": "Traslado de Fondos",
+    "gasto_efectivo": "Generico",
+    "pago_adelanto": "Pago de Depósito Pendiente",
+}
+POUCH_OUT_PREFIX = "Salida Traspaso: "
+POUCH_IN_PREFIX = "Entrada Traspaso: "
 LOG_TYPE_BY_KIND = {
     "gasto_bancario": "Gasto Bancario",
     "entrega_dueno": "Entrega Dueño",
@@ -106,8 +119,11 @@ def post_treasury_commands(cmds: DataFrame) -> dict[str, DataFrame]:
 
     ``cmds``: id, ts, tipo_cmd, monto, banco_origen, banco_destino, tienda_id,
     modo (traslado), adelantado (deposito_banco), referencia."""
-    valid, rejected = split_valid(cmds, "monto")
     k = F.col("tipo_cmd")
+    # owner withdrawals are not validated by the source route (parseFloat || 0)
+    owner = cmds.filter(k == "entrega_dueno").withColumn("monto", F.coalesce("monto", F.lit(0)).cast(MONEY_SQL))
+    valid, rejected = split_valid(cmds.filter(k != "entrega_dueno"), "monto")
+    valid = valid.unionByName(owner)
     m = F.col("monto")
     # bank transfers need a bank; sends need a store; same-pouch moves are ignored
     bad = (((k == "traslado") & F.col("banco_origen").isNull()) | ((k == "envio_tienda") & F.col("tienda_id").isNull()))
@@ -120,18 +136,27 @@ def post_treasury_commands(cmds: DataFrame) -> dict[str, DataFrame]:
         tl_type = F.when(cond, F.lit(t)) if tl_type is None else tl_type.when(cond, F.lit(t))
     tl_type = tl_type.when((k == "traslado") & (F.col("modo") == "solo_saldo"), F.lit("Traslado (Solo Saldo)")) \
                      .when(k == "traslado", F.lit("Traslado (Efectivo)"))
-    ref = F.when(k == "gasto_efectivo", F.concat(F.lit(CASH_EXPENSE_PREFIX), F.coalesce("referencia", F.lit(""))))\
-           .when(k == "traslado", F.coalesce("referencia", F.lit(TRANSFER_DEFAULT_REF))).otherwise(F.col("referencia"))
+    given = F.col("referencia")
+    dflt = lambda kind: F.coalesce(given, F.lit(TREASURY_DEFAULT_REF[kind]))
+    ref = (F.when(k == "gasto_efectivo", F.concat(F.lit(CASH_EXPENSE_PREFIX), dflt("gasto_efectivo")))
+           .when(k.isin("entrega_dueno", "deposito_banco", "envio_tienda", "traslado"),
+                 F.when(k == "entrega_dueno", dflt("entrega_dueno")).when(k == "deposito_banco", dflt("deposito_banco"))
+                  .when(k == "envio_tienda", dflt("envio_tienda")).otherwise(dflt("traslado")))
+           .otherwise(given))
     log_leg = F.struct(tl_type.alias("tipo"), F.col("banco_origen").alias("banco_id"),
-                       F.when(k == "deposito_banco", F.col("banco_destino")).alias("banco_destino_id"))
+                       F.when(k == "deposito_banco", F.col("banco_destino")).alias("banco_destino_id"),
+                       ref.alias("referencia"))
+    pouch_ref = F.coalesce(given, F.lit(""))
     bolsa_out = F.struct(F.lit("Entrega Dueño").alias("tipo"), F.col("banco_origen").alias("banco_id"),
-                         F.lit(None).cast("long").alias("banco_destino_id"))
+                         F.lit(None).cast("long").alias("banco_destino_id"),
+                         F.concat(F.lit(POUCH_OUT_PREFIX), pouch_ref).alias("referencia"))
     bolsa_in = F.struct(F.lit("Traslado (Efectivo)").alias("tipo"), F.col("banco_destino").alias("banco_id"),
-                        F.lit(None).cast("long").alias("banco_destino_id"))
+                        F.lit(None).cast("long").alias("banco_destino_id"),
+                        F.concat(F.lit(POUCH_IN_PREFIX), pouch_ref).alias("referencia"))
     logs = F.when(k == "traspaso_bolsa", F.array(bolsa_out, bolsa_in)) \
             .when(tl_type.isNotNull(), F.array(log_leg)).otherwise(F.array())
-    log = v.select("id", "ts", "monto", ref.alias("referencia"), F.explode(logs).alias("l")).select(
-        F.col("id").alias("comando_id"), F.col("l.tipo").alias("tipo"), "monto", "referencia",
+    log = v.select("id", "ts", "monto", F.explode(logs).alias("l")).select(
+        F.col("id").alias("comando_id"), F.col("l.tipo").alias("tipo"), "monto", F.col("l.referencia").alias("referencia"),
         F.col("ts").alias("fecha_hora"), F.col("l.banco_id").alias("banco_id"),
         F.col("l.banco_destino_id").alias("banco_destino_id"))
     # non-treasury legs: (cuenta, tienda, banco, signed amount)
@@ -153,8 +178,9 @@ def post_treasury_commands(cmds: DataFrame) -> dict[str, DataFrame]:
     restock = v.filter(k == "envio_tienda").select(
         F.col("id"), F.col("ts").alias("fecha_hora"), "tienda_id", F.col("banco_origen").alias("banco_id"),
         F.lit(RESTOCK_TYPE).alias("tipo"), F.col("monto").alias("monto_efectivo"), _zero().alias("monto_banco"),
-        F.col("referencia"))
-    debts = v.filter(is_adv).select(F.col("id"), F.col("banco_destino").alias("banco_id"), "monto", "referencia",
+        dflt("restock").alias("referencia"))
+    debts = v.filter(is_adv).select(F.col("id"), F.col("banco_destino").alias("banco_id"), "monto",
+                                    dflt("deposito_adelantado").alias("referencia"),
                                     F.col("ts").alias("fecha_hora"), F.lit("Pendiente").alias("estado"))
     return {"log": log, "postings": p, "transacciones": conform(restock, "transacciones"),
             "depositos": conform(debts, "depositos_adelantados"), "rejected": rejected}
@@ -168,7 +194,8 @@ def pay_advances(dep: DataFrame, cmds: DataFrame) -> dict[str, DataFrame]:
     pend = dep.filter(F.col("estado") == "Pendiente")
     j = pend.join(c, pend.id == c._did, "inner")
     log = j.select(F.col("id").alias("comando_id"), F.lit("Pago Depósito Adelantado").alias("tipo"), "monto",
-                   "referencia", F.col("_ts").alias("fecha_hora"), "banco_id",
+                   F.coalesce("referencia", F.lit(TREASURY_DEFAULT_REF["pago_adelanto"])).alias("referencia"),
+                   F.col("_ts").alias("fecha_hora"), "banco_id",
                    F.lit(None).cast("long").alias("banco_destino_id"))
     paid = dep.join(c, dep.id == c._did, "left").select(
         *[F.when(F.col("_did").isNotNull() & (F.col("estado") == "Pendiente"), F.lit("Pagado")).otherwise(F.col("estado"))
