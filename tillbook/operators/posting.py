@@ -321,9 +321,10 @@ def reverse_transactions(tx: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
 
 def repost_transactions(tx: DataFrame, edits: DataFrame, com: DataFrame) -> dict[str, DataFrame]:
     """Edit (id, monto, referencia, ts): reverse the old legs, apply the
-    edit rule table to the new amount, restamp the time."""
-    e = edits.select(F.col("id").alias("_eid"), F.col("monto").alias("_m"), F.col("referencia").alias("_ref"),
-                     F.col("ts").alias("_ts"))
+    edit rule table to the new amount, restamp the time. Negative amounts
+    are rejected (dropped)."""
+    e = edits.filter(F.col("monto") >= 0).select(
+        F.col("id").alias("_eid"), F.col("monto").alias("_m"), F.col("referencia").alias("_ref"), F.col("ts").alias("_ts"))
     j = tx.join(e, tx.id == e._eid, "inner")
     j = with_commission(j, com)
     cash, bank = signed_legs(F.col("tipo"), F.col("_m"), F.col("com_ef"), F.col("com_vi"), EDIT_RULES)
@@ -341,16 +342,28 @@ def repost_transactions(tx: DataFrame, edits: DataFrame, com: DataFrame) -> dict
 
 
 def adjust_expenses(gastos: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
-    """Edit (id, monto) or delete (monto NULL) of expenses: bank +old
-    -new (a delete gives the old amount back)."""
-    e = edits.select(F.col("id").alias("_eid"), F.col("monto").alias("_new"), F.col("ts").alias("_ts"))
+    """Edit (id, monto >= 0 [, descripcion, categoria]) or delete (monto
+    NULL) of expenses: bank +old -new (a delete gives the old amount back).
+    Edits with a negative amount are rejected."""
+    rejected = edits.filter(F.col("monto") < 0)
+    e = edits.filter(F.col("monto").isNull() | (F.col("monto") >= 0))
+    extra = [c for c in ("descripcion", "categoria") if c in edits.columns]
+    e = e.select(F.col("id").alias("_eid"), F.col("monto").alias("_new"), F.col("ts").alias("_ts"),
+                 *[F.col(c).alias(f"_n_{c}") for c in extra])
     j = gastos.join(e, gastos.id == e._eid, "inner")
     delta = (F.col("monto") - F.coalesce(F.col("_new"), _zero())).cast(MONEY_SQL)
     p = j.select(*posting("_ts", "banco", None, F.col("banco_id"), delta, "delta", "gasto_ajuste", "id", 3))
     kept = gastos.join(e.filter(F.col("_new").isNull()), gastos.id == e._eid, "left_anti")
-    upd = kept.join(e, kept.id == e._eid, "left").select(
-        *[F.coalesce(F.col("_new"), F.col("monto")).alias("monto") if x == "monto" else F.col(x) for x in gastos.columns])
-    return {"postings": p, "gastos": upd}
+    upd = kept.join(e, kept.id == e._eid, "left")
+    cols = []
+    for x in gastos.columns:
+        if x == "monto":
+            cols.append(F.coalesce(F.col("_new"), F.col("monto")).alias("monto"))
+        elif x in extra:
+            cols.append(F.when(F.col("_eid").isNotNull(), F.col(f"_n_{x}")).otherwise(F.col(x)).alias(x))
+        else:
+            cols.append(F.col(x))
+    return {"postings": p, "gastos": upd.select(*cols), "rejected": rejected}
 
 
 def reverse_debts(dep: DataFrame, cmds: DataFrame) -> dict[str, DataFrame]:
