@@ -15,7 +15,7 @@ from tillbook.functions.money import money_or_zero, parse_money
 from tillbook.functions.signs import EDIT_RULES, POST_RULES, signed_legs
 from tillbook.operators.filters import split_valid
 from tillbook.operators.joins import with_commission
-from tillbook.operators.postings import posting
+from tillbook.operators.postings import posting, store_and_bank_legs
 from tillbook.session import cut_lineage
 from tillbook.sources.schemas import MONEY_SQL, conform
 
@@ -69,16 +69,11 @@ def post_transactions(cmds: DataFrame, com: DataFrame) -> dict[str, DataFrame]:
     c = c.withColumn("monto_efectivo", cash).withColumn("monto_banco", bank)
     tx = conform(c.withColumnRenamed("com_ef", "comision_efectivo").withColumnRenamed("com_vi", "comision_banco"),
                  "transacciones")
-    p_store = c.select(*posting("fecha_hora", "tienda", F.col("tienda_id"), None, F.col("monto_efectivo"),
-                                "delta", "transaccion", "id", 1))
-    p_bank = c.filter(F.col("banco_id").isNotNull() & (F.col("monto_banco") != 0)).select(
-        *posting("fecha_hora", "banco", F.col("tienda_id"), F.col("banco_id"), F.col("monto_banco"),
-                 "delta", "transaccion", "id", 1))
+    legs = store_and_bank_legs(c, "fecha_hora", F.col("monto_efectivo"), F.col("monto_banco"), "transaccion", "id", 1)
     rem = c.filter(F.col("tipo") == "Efectivo Entregado").select(
         "id", "tienda_id", "monto", F.col("fecha_hora").alias("fecha_envio"), F.lit("Pendiente").alias("estado"),
         "banco_id", F.lit(POS_HANDOVER_NOTE).alias("observaciones"))
-    return {"transacciones": tx, "postings": p_store.unionByName(p_bank), "remesas": conform(rem, "remesas"),
-            "rejected": rejected}
+    return {"transacciones": tx, "postings": legs, "remesas": conform(rem, "remesas"), "rejected": rejected}
 
 
 def post_account_deposit(cmds: DataFrame) -> dict[str, DataFrame]:
@@ -310,13 +305,10 @@ def post_count_adjustment(cmds: DataFrame, balances: DataFrame) -> dict[str, Dat
 def reverse_transactions(tx: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
     """Undo both legs of the named transactions and drop them."""
     hit = tx.join(ids.select(F.col("id").alias("_rid")), tx.id == F.col("_rid"), "inner")
-    p_store = hit.select(*posting("fecha_hora", "tienda", F.col("tienda_id"), None, _neg(F.col("monto_efectivo")),
-                                  "delta", "reverso", "id", 3))
-    p_bank = hit.filter(F.col("banco_id").isNotNull() & (F.col("monto_banco") != 0)).select(
-        *posting("fecha_hora", "banco", F.col("tienda_id"), F.col("banco_id"), _neg(F.col("monto_banco")),
-                 "delta", "reverso", "id", 3))
+    legs = store_and_bank_legs(hit, "fecha_hora", _neg(F.col("monto_efectivo")), _neg(F.col("monto_banco")),
+                               "reverso", "id", 3)
     kept = tx.join(ids.select(F.col("id").alias("_rid")), tx.id == F.col("_rid"), "left_anti")
-    return {"postings": p_store.unionByName(p_bank), "transacciones": kept}
+    return {"postings": legs, "transacciones": kept}
 
 
 def repost_transactions(tx: DataFrame, edits: DataFrame, com: DataFrame) -> dict[str, DataFrame]:

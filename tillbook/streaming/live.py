@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillbook.functions.signs import POST_RULES, signed_legs
 from tillbook.operators.joins import with_commission
-from tillbook.operators.postings import posting
+from tillbook.operators.postings import store_and_bank_legs
 from tillbook.session import ensure_checkpoint_dir
 from tillbook.sources.schemas import MONEY_SQL
 
@@ -50,12 +50,7 @@ def stream_post(cmd_stream: DataFrame, com: DataFrame, dedup_delay: str = "1 hou
     c = with_commission(c, com)
     cash, bank = signed_legs(F.col("tipo"), F.col("monto"), F.col("com_ef"), F.col("com_vi"), POST_RULES)
     c = c.withColumn("monto_efectivo", cash).withColumn("monto_banco", bank)
-    store = c.select(*posting("fecha_hora", "tienda", F.col("tienda_id"), None, F.col("monto_efectivo"), "delta",
-                              "transaccion", "id", 1))
-    bnk = c.filter(F.col("banco_id").isNotNull() & (F.col("monto_banco") != 0)).select(
-        *posting("fecha_hora", "banco", F.col("tienda_id"), F.col("banco_id"), F.col("monto_banco"), "delta",
-                 "transaccion", "id", 1))
-    return store.unionByName(bnk)
+    return store_and_bank_legs(c, "fecha_hora", F.col("monto_efectivo"), F.col("monto_banco"), "transaccion", "id", 1)
 
 
 def stream_daily_flow(tx_stream: DataFrame, delay: str = "1 day") -> DataFrame:
