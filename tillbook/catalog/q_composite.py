@@ -399,3 +399,13 @@ FROM (
 def h10t(spark, d):
     forms, exp = _forms_and_expected(Ledger(spark, d))
     return HC.close_preview(forms, exp)["totals"]
+
+
+@register("h1_audit_matrix_wide", """
+SELECT fila, nombre, efectivo,
+  MAX(CASE WHEN banco_id = 0 THEN total_banco END) AS "0", MAX(CASE WHEN banco_id = 1 THEN total_banco END) AS "1",
+  MAX(CASE WHEN banco_id = 2 THEN total_banco END) AS "2", MAX(CASE WHEN banco_id = 3 THEN total_banco END) AS "3",
+  MAX(CASE WHEN banco_id = 4 THEN total_banco END) AS "4"
+FROM matrix GROUP BY fila, nombre, efectivo""", extra_ctes=AUDIT_CTES)
+def h1w(spark, d):
+    return H.audit_matrix_wide(Ledger(spark, d))
