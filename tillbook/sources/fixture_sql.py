@@ -127,12 +127,15 @@ tesoreria_log AS (
          CASE WHEN o_orderkey % 8 = 2 THEN CAST(o_orderkey % 5 AS BIGINT) END AS banco_destino_id
   FROM orders),
 cierres_tesoreria AS (
-  SELECT * FROM (VALUES
-    (CAST(1 AS BIGINT), CAST(NULL AS BIGINT), TIMESTAMP '1998-01-01 00:00:00',
-     '{"0": 1500.25, "1": "300", "2": 0, "Otros": 120.5}', CAST(NULL AS DECIMAL(18,2)), 'Corte'),
-    (CAST(2 AS BIGINT), CAST(NULL AS BIGINT), TIMESTAMP '2000-01-01 00:00:00',
-     '{"0": 2500.75, "1": "410.10", "3": 95, "Otros": 60}', CAST(NULL AS DECIMAL(18,2)), 'Corte')
-  ) v(id, usuario_id, fecha_hora, saldos_json, total_efectivo, observaciones)),
+  SELECT CAST(y AS BIGINT) AS id, CAST(NULL AS BIGINT) AS usuario_id, make_timestamp(y + 1, 1, 1, 0, 0, 0) AS fecha_hora,
+    '{' || string_agg('"' || k || '":' || CASE WHEN CAST(v AS VARCHAR) LIKE '%.%'
+        THEN regexp_replace(regexp_replace(CAST(v AS VARCHAR), '0+$', ''), '[.]$', '') ELSE CAST(v AS VARCHAR) END, ','
+      ORDER BY CASE WHEN regexp_matches(k, '^[0-9]+$') THEN 0 ELSE 1 END, TRY_CAST(k AS BIGINT), k) || '}' AS saldos_json,
+    CAST(SUM(v) AS DECIMAL(18,2)) AS total_efectivo, 'Corte' AS observaciones
+  FROM (SELECT year(fecha_hora) AS y, COALESCE(CAST(banco_id AS VARCHAR), 'Otros') AS k,
+               CAST(SUM(monto) AS DECIMAL(18,2)) AS v
+        FROM tesoreria_log WHERE tipo = 'Entrega Dueño' AND year(fecha_hora) IN (1996, 1998) GROUP BY 1, 2) x
+  GROUP BY y),
 depositos_adelantados AS (
   SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_custkey % 5 AS BIGINT) AS banco_id,
          CAST(o_totalprice AS DECIMAL(18,2)) AS monto, 'Adelanto ' || CAST(o_orderkey AS VARCHAR) AS referencia,

@@ -36,11 +36,8 @@ ORDER_MOD8_TO_LOG_TYPE = {
     7: "Traslado (Efectivo)",
 }
 SOLO_SALDO_TYPE = "Traslado (Solo Saldo)"
-# Two treasury snapshots: (id, cut, balance JSON as text).
-TREASURY_SNAPSHOTS = [
-    (1, "1998-01-01 00:00:00", '{"0": 1500.25, "1": "300", "2": 0, "Otros": 120.5}'),
-    (2, "2000-01-01 00:00:00", '{"0": 2500.75, "1": "410.10", "3": 95, "Otros": 60}'),
-]
+# Years that get a treasury snapshot (taken on 1 January of the next year).
+TREASURY_SNAPSHOT_YEARS = [1996, 1998]
 # Fixture transactions use the new-transaction rules, plus the edit rule
 # for the service payments the driver data contains.
 FIXTURE_RULES = {**POST_RULES, "Pago Servicio": EDIT_RULES["Pago Servicio"]}
@@ -229,12 +226,19 @@ class Ledger:
         return conform(df, "tesoreria_log")
 
     def _cierres_tesoreria(self) -> DataFrame:
-        # parameter rows generated JVM-side (no Python-side data)
-        rows = F.array(*[F.struct(F.lit(i).cast("long").alias("id"),
-                                  F.lit(ts).cast("timestamp_ntz").alias("fecha_hora"),
-                                  F.lit(js).alias("saldos_json"))
-                         for i, ts, js in TREASURY_SNAPSHOTS])
-        df = self.spark.range(1).select(F.inline(rows)).withColumn("observaciones", F.lit("Corte"))
+        """Treasury snapshots derived from the log: one per snapshot year, at
+        1 January of the next year, holding per bank (and Otros) the sum of
+        that year's owner withdrawals as balance JSON."""
+        from tillbook.functions.balances import bank_key, snapshot_json
+        log = self["tesoreria_log"].withColumn("_y", F.year("fecha_hora"))
+        per = (log.filter((F.col("tipo") == "Entrega Dueño") & F.col("_y").isin(*TREASURY_SNAPSHOT_YEARS))
+               .groupBy("_y", bank_key("banco_id").alias("_k")).agg(F.sum("monto").cast(MONEY_SQL).alias("_v")))
+        js = snapshot_json(per, ["_y"], "_k", "_v")
+        tot = per.groupBy("_y").agg(F.sum("_v").cast(MONEY_SQL).alias("total_efectivo"))
+        df = js.join(tot, "_y").select(
+            F.col("_y").cast("long").alias("id"),
+            F.make_timestamp_ntz(F.col("_y") + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("fecha_hora"),
+            "saldos_json", "total_efectivo", F.lit("Corte").alias("observaciones"))
         return conform(df, "cierres_tesoreria")
 
     def _depositos_adelantados(self) -> DataFrame:
