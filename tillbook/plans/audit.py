@@ -15,6 +15,7 @@ from tillbook.functions.forms import melt_form
 from tillbook.functions.timeparse import ts_literal
 from tillbook.operators.aggregations import global_bank_position, net_since_opening, treasury_flow
 from tillbook.operators.joins import bounded_keys
+from tillbook.operators.setops import append_treasury_row
 from tillbook.operators.windows import last_treasury_closing, latest_by_id
 from tillbook.sources.schemas import MONEY_SQL
 
@@ -113,7 +114,7 @@ def audit_matrix(L) -> DataFrame:
     teso = t_cells.select(F.lit(TREASURY_ROW_KEY).alias("fila"), F.lit(TREASURY_ROW_NAME).alias("nombre"),
                           "banco_id", F.col("saldo").alias("total_banco"),
                           F.lit(t_total.select("efectivo").scalar()).cast(MONEY_SQL).alias("efectivo"))
-    return store_rows.unionByName(teso)
+    return append_treasury_row(store_rows, teso)
 
 
 def audit_matrix_wide(L) -> DataFrame:
