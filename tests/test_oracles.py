@@ -40,14 +40,22 @@ def con():
     return c
 
 
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+                   "date": "DATE", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_DIR)
     got = [tuple(r) for r in df.collect()]
+    types = {r[0]: r[1] for r in con.execute("DESCRIBE " + ORACLES[name]).fetchall()}
     res = con.execute(ORACLES[name])
     ocols = [d[0] for d in res.description]
     want = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        assert SPARK_TO_DUCKDB.get(t, t.upper()) == types[f.name], (f.name, t, types[f.name])
     assert len(got) == len(want)
     assert _rows(df.columns, got) == _rows(ocols, want)
 
