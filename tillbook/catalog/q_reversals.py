@@ -147,3 +147,13 @@ def i17(spark, d):
     L = Ledger(spark, d)
     out = I.close_tills(closing_forms(L), store_cash_postings(L))
     return out["closings"].select("form_id", "tienda_id", "fecha", "saldo_teorico", "saldo_real", "diferencia")
+
+
+@register("i17_close_tills_postings", """
+SELECT b.ts, 'tienda' AS cuenta, b.tienda_id, CAST(NULL AS BIGINT) AS banco_id,
+  CAST(GREATEST(d.declarado - CASE WHEN b.tienda_id % 2 = 0 THEN (b.tienda_id + 1) * 10 + 5 ELSE 0 END, 0) AS DECIMAL(18,2)) AS monto,
+  'set' AS tipo_asiento, 'cierre' AS fuente, b.form_id AS fuente_id, 2 AS orden
+FROM before b JOIN decl d ON d.tienda_id = b.tienda_id""", extra_ctes=CLOSE_TILLS_SQL)
+def i17p(spark, d):
+    L = Ledger(spark, d)
+    return I.close_tills(closing_forms(L), store_cash_postings(L))["postings"]
