@@ -73,4 +73,4 @@ def j4(spark, d):
     q = J.run_append(J.stream_daily_flow(tx, "1 hour"), out)
     q.awaitTermination()
     r = spark.read.parquet(out)
-    return r.select(F.col("dia.start").cast("timestamp_ntz").alias("dia_inicio"), "tipo", "entrada", "salida", "ops")
+    return r.select(J.wall_time(F.col("dia.start")).alias("dia_inicio"), "tipo", "entrada", "salida", "ops")

@@ -27,9 +27,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def event_time(df: DataFrame, col: str = "fecha_hora") -> DataFrame:
-    """Watermarks need a TIMESTAMP (session-zone) column; ledger times are
-    TIMESTAMP_NTZ, read as UTC wall time (the session zone is UTC)."""
-    return df.withColumn("_evt", F.col(col).cast("timestamp"))
+    """Watermarks need a TIMESTAMP (instant) column; ledger times are
+    TIMESTAMP_NTZ wall times. The instant is the wall time read as UTC
+    whatever the session zone, so day windows start at wall-clock midnight."""
+    as_session_wall = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(col).cast("timestamp_ntz"))
+    return df.withColumn("_evt", as_session_wall.cast("timestamp"))
+
+
+def wall_time(instant) -> "F.Column":
+    """Inverse of ``event_time``: an instant back to the UTC wall time."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, max_files: int = 1) -> DataFrame:
