@@ -96,3 +96,14 @@ def f7(spark, d):
 def f8(spark, d):
     from pyspark.sql import functions as F
     return Fw.sorted_listing(Ledger(spark, d)["cierres_caja"], [F.col("fecha").desc(), F.col("id").desc()])
+
+
+@register("f5_current_store_cash", """
+SELECT tienda_id, saldo FROM (
+  SELECT tienda_id, CAST(SUM(monto) OVER (PARTITION BY tienda_id, seg ORDER BY ts, orden, fuente_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(18,2)) AS saldo,
+         ROW_NUMBER() OVER (PARTITION BY tienda_id ORDER BY ts DESC, orden DESC, fuente_id DESC) AS rn
+  FROM store_running) x WHERE rn = 1""", extra_ctes=STORE_POSTINGS_SQL)
+def f5c(spark, d):
+    r = Fw.running_store_cash(store_cash_postings(Ledger(spark, d)))
+    return Fw.current_balance(r, ["tienda_id"], "ts", ["orden", "fuente_id"])

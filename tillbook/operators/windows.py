@@ -110,3 +110,12 @@ def shift_bounds(ap: DataFrame, ci: DataFrame) -> DataFrame:
 def sorted_listing(df: DataFrame, cols: list, ascending: bool = True) -> DataFrame:
     """F8: sorted listings (range-partitioned sort at scale)."""
     return df.orderBy(*cols, ascending=ascending)
+
+
+def current_balance(running: DataFrame, keys: list[str], ts: str = "ts", order: list[str] | None = None,
+                    out: str = "saldo") -> DataFrame:
+    """Current balance per account: the running balance after its last
+    posting (``max_by`` aggregate, combined map-side)."""
+    order = order or []
+    last = F.struct(F.col(ts), *[F.col(c) for c in order])
+    return running.groupBy(*keys).agg(F.max_by(F.col(out), last).alias(out))
