@@ -18,6 +18,9 @@ from tillbook.sources.schemas import LEDGER_SCHEMAS
 
 _LOCK = threading.Lock()
 _BUILT: dict[tuple[str, str], str] = {}
+# stored tables are immutable for the session: one DataFrame per table is
+# reused by every query (no repeated file listing and analysis)
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def ledger_path(spark: SparkSession, sf_dir: str) -> str:
@@ -59,5 +62,9 @@ class StoredLedger(Ledger):
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.schema(LEDGER_SCHEMAS[name]).parquet(f"{self.path}/{name}")
+            key = (self.path, name)
+            with _LOCK:
+                if key not in _TABLES:
+                    _TABLES[key] = self.spark.read.schema(LEDGER_SCHEMAS[name]).parquet(f"{self.path}/{name}")
+                self._cache[name] = _TABLES[key]
         return self._cache[name]
