@@ -188,3 +188,18 @@ def test_count_adjustment_sets_balance_to_count(spark, ledger):
     counted = {r.banco_id: r.contado for r in cmds.collect()}
     after = {r.banco_id: r.flujo for r in full(L2).collect()}
     assert after == counted
+
+
+def test_load_ledger_roundtrip_audit_matrix(spark):
+    """A user's path: ledger tables stored as parquet folders -> load_ledger
+    -> operators; equals the registered flagship query."""
+    from tillbook.plans.audit import audit_matrix
+    from tillbook.sources.io import load_ledger
+    from tillbook.sources.store import build_ledger
+    import __spark_entry__ as E
+    from tests.conftest import SF_DIR
+    path = build_ledger(spark, SF_DIR)
+    L = load_ledger(spark, path)
+    got = sorted(tuple(r) for r in audit_matrix(L).collect())
+    want = sorted(tuple(r) for r in E.queries()["h1_audit_matrix"](spark, SF_DIR).collect())
+    assert got == want and len(got) > 0
