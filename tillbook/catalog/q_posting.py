@@ -113,12 +113,13 @@ SELECT id AS comando_id,
     WHEN 'deposito_banco' THEN COALESCE(referencia, 'Depósito desde Tesorería')
     WHEN 'envio_tienda' THEN COALESCE(referencia, 'Envío de Efectivo')
     WHEN 'traslado' THEN COALESCE(referencia, 'Traslado de Fondos') ELSE referencia END AS referencia,
-  ts AS fecha_hora, banco_origen AS banco_id, CASE WHEN tipo_cmd = 'deposito_banco' THEN banco_destino END AS banco_destino_id
+  ts AS fecha_hora, banco_origen AS banco_id, CASE WHEN tipo_cmd = 'deposito_banco' THEN banco_destino END AS banco_destino_id,
+  (tipo_cmd = 'traslado' AND modo <> 'solo_efectivo') AS afecta_banco
 FROM tv WHERE tipo_cmd IN ('gasto_bancario', 'entrega_dueno', 'envio_tienda', 'gasto_efectivo', 'traslado')
    OR (tipo_cmd = 'deposito_banco' AND NOT adelantado)
-UNION ALL SELECT id, 'Entrega Dueño', monto, 'Salida Traspaso: ' || COALESCE(referencia, ''), ts, banco_origen, NULL
+UNION ALL SELECT id, 'Entrega Dueño', monto, 'Salida Traspaso: ' || COALESCE(referencia, ''), ts, banco_origen, NULL, FALSE
   FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
-UNION ALL SELECT id, 'Traslado (Efectivo)', monto, 'Entrada Traspaso: ' || COALESCE(referencia, ''), ts, banco_destino, NULL
+UNION ALL SELECT id, 'Traslado (Efectivo)', monto, 'Entrada Traspaso: ' || COALESCE(referencia, ''), ts, banco_destino, NULL, FALSE
   FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
 """, extra_ctes=TCMD_SQL)
 def i6_13_log(spark, d):
@@ -423,7 +424,8 @@ SELECT id AS comando_id,
     WHEN 'deposito_banco' THEN COALESCE(referencia, 'Depósito desde Tesorería')
     WHEN 'envio_tienda' THEN COALESCE(referencia, 'Envío de Efectivo')
     WHEN 'traslado' THEN COALESCE(referencia, 'Traslado de Fondos') ELSE referencia END AS referencia,
-  ts AS fecha_hora, banco_origen AS banco_id, CASE WHEN tipo_cmd = 'deposito_banco' THEN banco_destino END AS banco_destino_id
+  ts AS fecha_hora, banco_origen AS banco_id, CASE WHEN tipo_cmd = 'deposito_banco' THEN banco_destino END AS banco_destino_id,
+  (tipo_cmd = 'traslado' AND modo <> 'solo_efectivo') AS afecta_banco
 FROM tv WHERE tipo_cmd = '{kind}'"""
 
 for _qid, _kind in [("i6_post_bank_expense", "gasto_bancario"), ("i7_post_owner_withdrawal", "entrega_dueno"),
@@ -436,8 +438,9 @@ for _qid, _kind in [("i6_post_bank_expense", "gasto_bancario"), ("i7_post_owner_
 
 @register("i13_post_pouch_transfer", """
 SELECT id AS comando_id, 'Entrega Dueño' AS tipo, monto, 'Salida Traspaso: ' || COALESCE(referencia, '') AS referencia,
-  ts AS fecha_hora, banco_origen AS banco_id, CAST(NULL AS BIGINT) AS banco_destino_id FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
-UNION ALL SELECT id, 'Traslado (Efectivo)', monto, 'Entrada Traspaso: ' || COALESCE(referencia, ''), ts, banco_destino, NULL
+  ts AS fecha_hora, banco_origen AS banco_id, CAST(NULL AS BIGINT) AS banco_destino_id, FALSE AS afecta_banco
+  FROM tv WHERE tipo_cmd = 'traspaso_bolsa'
+UNION ALL SELECT id, 'Traslado (Efectivo)', monto, 'Entrada Traspaso: ' || COALESCE(referencia, ''), ts, banco_destino, NULL, FALSE
   FROM tv WHERE tipo_cmd = 'traspaso_bolsa'""",
           extra_ctes=TCMD_SQL)
 def i13(spark, d):
@@ -452,3 +455,11 @@ SELECT ts, 'banco' AS cuenta, CAST(NULL AS BIGINT) AS tienda_id, banco_origen AS
 def i11b(spark, d):
     c = treasury_commands(Ledger(spark, d)).filter(F.col("tipo_cmd") == "traslado")
     return I.post_treasury_commands(c)["postings"]
+
+
+@register("i1_post_transactions_flagged", """
+SELECT id, fecha_hora, tienda_id, banco_id, usuario_id, tipo, monto, referencia, 'tipo_sin_regla' AS motivo
+FROM tx_cmd WHERE monto > 0 AND tipo NOT IN ('Depósito', 'Retiro', 'Depósito Cuenta', 'Efectivo Entregado')""")
+def i1f(spark, d):
+    L = Ledger(spark, d)
+    return I.post_transactions(L.commands(), L["comisiones"])["flagged"]

@@ -157,3 +157,39 @@ FROM before b JOIN decl d ON d.tienda_id = b.tienda_id""", extra_ctes=CLOSE_TILL
 def i17p(spark, d):
     L = Ledger(spark, d)
     return I.close_tills(closing_forms(L), store_cash_postings(L))["postings"]
+
+
+def _rev_transfers(spark, d, compat):
+    out = I.post_treasury_commands(treasury_commands(Ledger(spark, d)))
+    log = out["log"].withColumnRenamed("comando_id", "id")
+    ids = log.filter(F.col("tipo").isin("Traslado (Efectivo)", "Traslado (Solo Saldo)")) \
+             .select("id", F.col("fecha_hora").alias("ts")).distinct()
+    return R.reverse_treasury_log(log, ids, out["transacciones"], compat=compat)["postings"]
+
+
+@register("i23_reverse_transfers", """
+SELECT ts, 'banco' AS cuenta, CAST(NULL AS BIGINT) AS tienda_id, banco_origen AS banco_id, CAST(-monto AS DECIMAL(18,2)) AS monto,
+  'delta' AS tipo_asiento, 'reverso_tesoreria' AS fuente, id AS fuente_id, 3 AS orden
+FROM tv WHERE tipo_cmd = 'traslado' AND modo <> 'solo_efectivo' AND banco_origen IS NOT NULL""", extra_ctes=REV_LOG_SQL)
+def i23t(spark, d):
+    """Default: only transfers that added to the bank give it back."""
+    return _rev_transfers(spark, d, compat=False)
+
+
+@register("i23_reverse_transfers_compat", """
+SELECT ts, 'banco' AS cuenta, CAST(NULL AS BIGINT) AS tienda_id, banco_origen AS banco_id, CAST(-monto AS DECIMAL(18,2)) AS monto,
+  'delta' AS tipo_asiento, 'reverso_tesoreria' AS fuente, id AS fuente_id, 3 AS orden
+FROM tv WHERE tipo_cmd = 'traslado' AND banco_origen IS NOT NULL
+UNION ALL
+SELECT ts, 'banco', NULL, banco_destino, CAST(-monto AS DECIMAL(18,2)), 'delta', 'reverso_tesoreria', id, 3
+FROM tv WHERE tipo_cmd = 'traspaso_bolsa' AND banco_destino IS NOT NULL""", extra_ctes=REV_LOG_SQL)
+def i23tc(spark, d):
+    """compat=True: every transfer row takes the amount off its bank, as the
+    source does (also cash-only transfers and pouch entries)."""
+    return _rev_transfers(spark, d, compat=True)
+
+
+@register("i23_reverse_treasury_log_ambiguous", """
+SELECT log_id, COUNT(*) AS candidatos FROM send_match GROUP BY log_id HAVING COUNT(*) > 1""", extra_ctes=REV_LOG_SQL)
+def i23a(spark, d):
+    return _rev_log(spark, d)["ambiguos"]

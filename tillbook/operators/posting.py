@@ -73,7 +73,9 @@ def post_transactions(cmds: DataFrame, com: DataFrame) -> dict[str, DataFrame]:
     rem = c.filter(F.col("tipo") == "Efectivo Entregado").select(
         "id", "tienda_id", "monto", F.col("fecha_hora").alias("fecha_envio"), F.lit("Pendiente").alias("estado"),
         "banco_id", F.lit(POS_HANDOVER_NOTE).alias("observaciones"))
-    return {"transacciones": tx, "postings": legs, "remesas": conform(rem, "remesas"), "rejected": rejected}
+    flagged = valid.filter(~F.col("tipo").isin(list(POST_RULES))).withColumn("motivo", F.lit("tipo_sin_regla"))
+    return {"transacciones": tx, "postings": legs, "remesas": conform(rem, "remesas"), "rejected": rejected,
+            "flagged": flagged}
 
 
 def post_account_deposit(cmds: DataFrame) -> dict[str, DataFrame]:
@@ -138,22 +140,25 @@ def post_treasury_commands(cmds: DataFrame) -> dict[str, DataFrame]:
                  F.when(k == "entrega_dueno", dflt("entrega_dueno")).when(k == "deposito_banco", dflt("deposito_banco"))
                   .when(k == "envio_tienda", dflt("envio_tienda")).otherwise(dflt("traslado")))
            .otherwise(given))
+    touches_bank = (k == "traslado") & (F.col("modo") != "solo_efectivo")
     log_leg = F.struct(tl_type.alias("tipo"), F.col("banco_origen").alias("banco_id"),
                        F.when(k == "deposito_banco", F.col("banco_destino")).alias("banco_destino_id"),
-                       ref.alias("referencia"))
+                       ref.alias("referencia"), touches_bank.alias("afecta_banco"))
     pouch_ref = F.coalesce(given, F.lit(""))
     bolsa_out = F.struct(F.lit("Entrega Dueño").alias("tipo"), F.col("banco_origen").alias("banco_id"),
                          F.lit(None).cast("long").alias("banco_destino_id"),
-                         F.concat(F.lit(POUCH_OUT_PREFIX), pouch_ref).alias("referencia"))
+                         F.concat(F.lit(POUCH_OUT_PREFIX), pouch_ref).alias("referencia"),
+                         F.lit(False).alias("afecta_banco"))
     bolsa_in = F.struct(F.lit("Traslado (Efectivo)").alias("tipo"), F.col("banco_destino").alias("banco_id"),
                         F.lit(None).cast("long").alias("banco_destino_id"),
-                        F.concat(F.lit(POUCH_IN_PREFIX), pouch_ref).alias("referencia"))
+                        F.concat(F.lit(POUCH_IN_PREFIX), pouch_ref).alias("referencia"),
+                        F.lit(False).alias("afecta_banco"))
     logs = F.when(k == "traspaso_bolsa", F.array(bolsa_out, bolsa_in)) \
             .when(tl_type.isNotNull(), F.array(log_leg)).otherwise(F.array())
     log = v.select("id", "ts", "monto", F.explode(logs).alias("l")).select(
         F.col("id").alias("comando_id"), F.col("l.tipo").alias("tipo"), "monto", F.col("l.referencia").alias("referencia"),
         F.col("ts").alias("fecha_hora"), F.col("l.banco_id").alias("banco_id"),
-        F.col("l.banco_destino_id").alias("banco_destino_id"))
+        F.col("l.banco_destino_id").alias("banco_destino_id"), F.col("l.afecta_banco").alias("afecta_banco"))
     # non-treasury legs: (cuenta, tienda, banco, signed amount)
     leg = lambda cuenta, tienda, banco, amount: F.struct(
         F.lit(cuenta).alias("cuenta"), tienda.cast("long").alias("tienda_id"), banco.cast("long").alias("banco_id"),
@@ -330,7 +335,8 @@ def repost_transactions(tx: DataFrame, edits: DataFrame, com: DataFrame) -> dict
                    F.col("_new_ef").alias("monto_efectivo"), F.col("_new_vi").alias("monto_banco"),
                    F.col("com_ef").alias("comision_efectivo"), F.col("com_vi").alias("comision_banco"),
                    F.col("_ref").alias("referencia"))
-    return {"postings": p, "transacciones": conform(new, "transacciones")}
+    flagged = j.filter(~F.col("tipo").isin(list(EDIT_RULES))).select("id", "tipo", F.lit("tipo_sin_regla").alias("motivo"))
+    return {"postings": p, "transacciones": conform(new, "transacciones"), "flagged": flagged}
 
 
 def adjust_expenses(gastos: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:

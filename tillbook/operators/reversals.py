@@ -17,33 +17,42 @@ HANDOVER_MATCH_TOL = 0.01
 RESTOCK_TYPE = "Resurtido Tesorería"
 
 
-def reverse_treasury_log(log: DataFrame, ids: DataFrame, tx: DataFrame, ts_col: str = "ts") -> dict[str, DataFrame]:
+def reverse_treasury_log(log: DataFrame, ids: DataFrame, tx: DataFrame, ts_col: str = "ts",
+                         compat: bool = False) -> dict[str, DataFrame]:
     """Per-type undo of the named log rows (``ids``: id, ts [, revertir];
     without ``revertir`` only the log row is dropped):
-    Gasto Bancario -> bank +m; Depósito a Banco -> target bank -m; both
-    transfer types -> bank -m (as the source does, also where the transfer
-    never added it); Envío a Tienda -> the first restock transaction (lowest
-    id) of the same hour with |diff| < 0.1, any store: store cash -m and the
-    transaction is dropped. The log rows are dropped."""
+    Gasto Bancario -> bank +m; Depósito a Banco -> target bank -m; transfers
+    -> bank -m only when the transfer added it (log column ``afecta_banco``;
+    with ``compat=True`` or without that column, as the source does: bank -m
+    for every transfer row); Envío a Tienda -> the first restock transaction
+    (lowest id) of the same hour with |diff| < 0.1, any store: store cash -m
+    and the transaction is dropped; ``ambiguos`` lists sends with more than
+    one candidate. The log rows are dropped."""
     rev = F.coalesce(F.col("revertir"), F.lit(True)) if "revertir" in ids.columns else F.lit(True)
     i = ids.select(F.col("id").alias("_rid"), F.col(ts_col).alias("_ts"), rev.alias("_rev"))
     kept = log.join(i, log.id == i._rid, "left_anti")
     hit = log.join(i, log.id == i._rid, "inner").filter("_rev")
     t = F.col("tipo")
     m = F.col("monto")
+    transfer = t.isin("Traslado (Efectivo)", "Traslado (Solo Saldo)")
+    if not compat and "afecta_banco" in log.columns:
+        transfer = transfer & F.coalesce(F.col("afecta_banco"), F.lit(True))
     bank = (F.when(t == "Gasto Bancario", F.col("banco_id")).when(t == "Depósito a Banco", F.col("banco_destino_id"))
-            .when(t.isin("Traslado (Efectivo)", "Traslado (Solo Saldo)"), F.col("banco_id")))
+            .when(transfer, F.col("banco_id")))
     amount = F.when(t == "Gasto Bancario", m).otherwise(-m)
     p_bank = hit.filter(bank.isNotNull()).select(
         *posting("_ts", "banco", None, bank, amount, "delta", "reverso_tesoreria", "id", 3))
     sends = hit.filter(t == "Envío a Tienda").select("id", "monto", "fecha_hora", "_ts")
     restock = tx.filter(F.col("tipo") == RESTOCK_TYPE).select("id", "tienda_id", F.col("monto_efectivo").alias("monto"),
                                                               "fecha_hora")
+    cands = match_tolerance(sends, restock, "monto", "monto", "fecha_hora", "fecha_hora", SEND_MATCH_TOL)
+    ambiguous = cands.groupBy(F.col("id").alias("log_id")).agg(F.count(F.lit(1)).alias("candidatos")) \
+                     .filter(F.col("candidatos") > 1)
     mt = match_tolerance(sends, restock, "monto", "monto", "fecha_hora", "fecha_hora", SEND_MATCH_TOL, first=True)
     p_store = mt.select(*posting("_ts", "tienda", F.col("m_tienda_id"), None, (-F.col("m_monto")).cast(MONEY_SQL),
                                  "delta", "reverso_tesoreria", "id", 3))
     matched = mt.select(F.col("id").alias("log_id"), F.col("m_id").alias("transaccion_id"))
-    return {"postings": p_bank.unionByName(p_store), "matched": matched, "log": kept}
+    return {"postings": p_bank.unionByName(p_store), "matched": matched, "log": kept, "ambiguos": ambiguous}
 
 
 def reverse_remits(rem: DataFrame, cmds: DataFrame, tx: DataFrame) -> dict[str, DataFrame]:
