@@ -203,3 +203,24 @@ def test_load_ledger_roundtrip_audit_matrix(spark):
     got = sorted(tuple(r) for r in audit_matrix(L).collect())
     want = sorted(tuple(r) for r in E.queries()["h1_audit_matrix"](spark, SF_DIR).collect())
     assert got == want and len(got) > 0
+
+
+@pytest.mark.parametrize("bucket", ["day", "hour"])
+def test_running_balance_hot_account(spark, bucket):
+    """One account holds ~70% of the rows, most of them on one day."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(600):
+        acct = 0 if rnd.random() < 0.7 else rnd.randint(1, 3)
+        hot_day = acct == 0 and rnd.random() < 0.8
+        minutes = rnd.randint(0, 60 * 24 - 1) if hot_day else rnd.randint(0, 60 * 24 * 9)
+        kind = "set" if rnd.random() < 0.05 else "delta"
+        amount = D(rnd.randint(-900, 900)) / 100 if kind == "delta" else D(rnd.randint(0, 99999)) / 100
+        rows.append((acct, T0 + dt.timedelta(minutes=minutes), i, amount, kind))
+    df = spark.createDataFrame(rows, "acct long, ts timestamp_ntz, seq long, amount decimal(18,2), kind string")
+    got = {r.seq: r.saldo for r in running_balance(df, ["acct"], "ts", ["seq"], "amount", "kind",
+                                                   bucket=bucket).collect()}
+    bal = {}
+    for acct, ts, seq, amount, kind in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        bal[acct] = amount if kind == "set" else bal.get(acct, D(0)) + amount
+        assert got[seq] == bal[acct], seq
