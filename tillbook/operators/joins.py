@@ -6,9 +6,12 @@ only when its measured size is below ``spark.sql.autoBroadcastJoinThreshold``
 so no side is broadcast without a checked size; above it the planner keeps
 the shuffle join.
 
-The two non-equi joins (as-of, interval) are written as equi-joins on
-(store, day bucket) plus an exact range filter, so a store holding a third
-of all rows is still spread over many tasks (one per bucket).
+The non-equi joins never pair rows within a key: the as-of join is a
+union of both sides with windows per (key, time bucket) plus a window over
+per-bucket summaries; the interval join is an equi-join on (store, day) with
+shifts exploded over their days, then an exact range filter; the tolerance
+match is a band join on (hour, amount bucket). A store holding a third of
+all rows is thus still spread over many tasks.
 """
 
 from __future__ import annotations
