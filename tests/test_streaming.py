@@ -43,3 +43,16 @@ def test_dedup_within_watermark(spark):
     out = J.scratch_path(spark, "t-j3")
     J.run_append(J.stream_post(stream, com), out).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_live_trigger_runs_and_stops(spark):
+    h = dt.timedelta(hours=1)
+    stream = _stream_of(spark, [[(1, T0, "Pendiente")], [(2, T0 + h, "Pendiente")]])
+    out = J.scratch_path(spark, "t-live")
+    q = J.run_changes(J.stream_pending_state(stream), out, trigger=J.LIVE_TRIGGER)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = sorted((r.pendientes, r.primer_id) for r in spark.read.parquet(out + "/changes").collect())
+    assert rows[-1] == (2, 2)

@@ -91,7 +91,7 @@ def stream_pending_state(rem_stream: DataFrame) -> DataFrame:
                            F.max(F.struct("fecha_envio", "id"))["id"].alias("primer_id"))
 
 
-def run_changes(state: DataFrame, path: str) -> StreamingQuery:
+def run_changes(state: DataFrame, path: str, trigger: dict | None = None) -> StreamingQuery:
     """J2 sink: after each micro-batch the new state is compared with the
     last emitted one (a full outer join of the two one-row snapshots); a
     change row is appended only when the count or the head id changed."""
@@ -109,20 +109,27 @@ def run_changes(state: DataFrame, path: str) -> StreamingQuery:
             .write.mode("append").parquet(path + "/changes")
         cur.drop("_k").write.mode("overwrite").parquet(path + "/state")
     return (state.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
-                 .outputMode("complete").trigger(availableNow=True).start())
+                 .outputMode("complete").trigger(**(trigger or CATCH_UP_TRIGGER)).start())
 
 
-def run_append(df: DataFrame, path: str) -> StreamingQuery:
-    """Append a stream to a parquet table (exactly-once file sink)."""
+# The reference's live refresh is a 10-second poll.
+LIVE_TRIGGER = {"processingTime": "10 seconds"}
+CATCH_UP_TRIGGER = {"availableNow": True}
+
+
+def run_append(df: DataFrame, path: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream to a parquet table (exactly-once file sink).
+    ``trigger``: ``CATCH_UP_TRIGGER`` (default: process what is there, then
+    stop) or ``LIVE_TRIGGER`` / any ``DataStreamWriter.trigger`` keywords."""
     return (df.writeStream.format("parquet").option("path", path)
               .option("checkpointLocation", path + "/_checkpoint").outputMode("append")
-              .trigger(availableNow=True).start())
+              .trigger(**(trigger or CATCH_UP_TRIGGER)).start())
 
 
-def run_snapshot(df: DataFrame, path: str, mode: str = "complete") -> StreamingQuery:
+def run_snapshot(df: DataFrame, path: str, mode: str = "complete", trigger: dict | None = None) -> StreamingQuery:
     """Write each micro-batch result of a stateful aggregation as the new
     version of a parquet table (foreachBatch, overwrite)."""
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(path + "/data")
     return (df.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
-              .outputMode(mode).trigger(availableNow=True).start())
+              .outputMode(mode).trigger(**(trigger or CATCH_UP_TRIGGER)).start())
