@@ -224,3 +224,40 @@ def test_running_balance_hot_account(spark, bucket):
     for acct, ts, seq, amount, kind in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         bal[acct] = amount if kind == "set" else bal.get(acct, D(0)) + amount
         assert got[seq] == bal[acct], seq
+
+
+def test_snapshot_json_round_trip_random(spark):
+    from tillbook.functions.balances import balance_map
+    rnd = random.Random(5)
+    rows, want = [], {}
+    for g in range(200):
+        keys = rnd.sample(["0", "1", "2", "3", "10", "Otros"], rnd.randint(1, 6))
+        want[g] = {}
+        for k in keys:
+            v = D(rnd.randint(-10 ** 7, 10 ** 7)) / 100
+            rows.append((g, k, v))
+            want[g][k] = v
+    df = spark.createDataFrame(rows, "g long, k string, v decimal(18,2)")
+    js = snapshot_json(df, ["g"], "k", "v")
+    back = js.select("g", F.map_entries(balance_map("saldos_json")).alias("e")).collect()
+    got = {r.g: {e.key: D(e.value) for e in r.e} for r in back}
+    assert got == want
+
+
+def test_normalize_ts_random_against_python(spark):
+    rnd = random.Random(9)
+    rows, want = [], {}
+    for i in range(300):
+        local = T0 + dt.timedelta(seconds=rnd.randint(0, 10 ** 8))
+        text = local.strftime("%Y-%m-%d %H:%M:%S")
+        if rnd.random() < 0.6:
+            off = rnd.choice([-6, -5, 0, 2, 5])
+            text += ("-" if off < 0 else "+") + f"{abs(off):02d}:00"
+            want[i] = local - dt.timedelta(hours=off)
+        else:
+            want[i] = local
+        rows.append((i, text))
+    df = spark.createDataFrame(rows, "i long, t string")
+    from tillbook.functions.timeparse import normalize_ts
+    got = {r.i: r.u for r in df.select("i", normalize_ts("t").alias("u")).collect()}
+    assert got == want
