@@ -261,3 +261,49 @@ def test_normalize_ts_random_against_python(spark):
     from tillbook.functions.timeparse import normalize_ts
     got = {r.i: r.u for r in df.select("i", normalize_ts("t").alias("u")).collect()}
     assert got == want
+
+
+def _py_breakdown(text):
+    """The breakdown grammar rules, stated directly."""
+    import re
+    pat = re.compile(r"^(.+?):\s*L\s*([\d.,]+)$")
+
+    def entries(part, sep):
+        out = {}
+        for piece in part.split(sep):
+            m = pat.match(piece.strip())
+            if m:
+                try:
+                    out[m.group(1).strip()] = D(m.group(2).replace(",", "")).quantize(D("0.01"))
+                except Exception:  # noqa: BLE001 - unparseable number reads as 0
+                    out[m.group(1).strip()] = D("0.00")
+        return out
+    parts = (text or "").split("||")
+    dec = entries(parts[0], "|")
+    second = parts[1] if len(parts) > 1 else ""
+    dlv = entries(second.replace("ENTREGA:", ""), "/") if "ENTREGA:" in second else {}
+    return dec, dlv
+
+
+def test_parse_breakdown_random_against_rules(spark):
+    rnd = random.Random(13)
+    keys = ["0", "1", "2", "Otros", "Banco X"]
+
+    def entry():
+        k = rnd.choice(keys)
+        v = rnd.randint(-500, 2_000_000)
+        amount = f"{v / 100:,.2f}" if rnd.random() < 0.5 else f"{v / 100:.2f}"
+        return rnd.choice([f"{k}: L {amount}", f"{k}:L{amount}", f" {k} : L  {amount} ", "junk", f"{k}: {amount}"])
+
+    rows = []
+    for i in range(300):
+        text = " | ".join(entry() for _ in range(rnd.randint(1, 4)))
+        if rnd.random() < 0.6:
+            text += " || ENTREGA: " + " / ".join(entry() for _ in range(rnd.randint(1, 3)))
+        elif rnd.random() < 0.2:
+            text += " || nada"
+        rows.append((i, text))
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: (r.declarado, r.entregado) for r in parse_breakdown(df, "t").collect()}
+    for i, text in rows:
+        assert got[i] == _py_breakdown(text), text
