@@ -307,3 +307,26 @@ def test_parse_breakdown_random_against_rules(spark):
     got = {r.id: (r.declarado, r.entregado) for r in parse_breakdown(df, "t").collect()}
     for i, text in rows:
         assert got[i] == _py_breakdown(text), text
+
+
+def test_interval_join_random_against_brute_force(spark):
+    rnd = random.Random(17)
+    tx_rows = [(i, rnd.randint(0, 3), T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 12)), D(1)) for i in range(400)]
+    # include bounds equal to some tx times (inclusive ends)
+    shifts = []
+    for s in range(60):
+        t = rnd.randint(0, 4)
+        if rnd.random() < 0.1:
+            start = dt.datetime(2000, 1, 1)
+        elif rnd.random() < 0.3:
+            start = rnd.choice(tx_rows)[2]
+        else:
+            start = T0 + dt.timedelta(minutes=rnd.randint(-600, 60 * 24 * 12))
+        end = start + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 4)) if start.year > 2000 else \
+            T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 12))
+        shifts.append((1000 + s, t, start, end))
+    tx = _tx(spark, tx_rows)
+    sh = spark.createDataFrame(shifts, "cierre_id long, tienda_id long, desde timestamp_ntz, hasta timestamp_ntz")
+    got = sorted((r.cierre_id, r.id) for r in J.tx_in_shift(tx, sh).collect())
+    want = sorted((c, i) for c, st, a, b in shifts for i, t, ts, _ in tx_rows if t == st and a <= ts <= b)
+    assert got == want and len(want) > 0
