@@ -330,3 +330,28 @@ def test_interval_join_random_against_brute_force(spark):
     got = sorted((r.cierre_id, r.id) for r in J.tx_in_shift(tx, sh).collect())
     want = sorted((c, i) for c, st, a, b in shifts for i, t, ts, _ in tx_rows if t == st and a <= ts <= b)
     assert got == want and len(want) > 0
+
+
+@pytest.mark.parametrize("tol,first", [(0.01, False), (0.1, True), (0.1, False)])
+def test_band_join_random_against_brute_force(spark, tol, first):
+    rnd = random.Random(23)
+
+    def amount():
+        base = D(rnd.randint(-300, 300)) / 10
+        return base + D(rnd.choice([-11, -10, -9, -1, 0, 1, 9, 10, 11])) / 1000
+
+    a_rows = [(i, rnd.randint(0, 2), T0 + dt.timedelta(minutes=rnd.randint(0, 300)), amount()) for i in range(250)]
+    b_rows = [(1000 + i, rnd.randint(0, 2), T0 + dt.timedelta(minutes=rnd.randint(0, 300)), amount()) for i in range(250)]
+    schema = "id long, tienda_id long, ts timestamp_ntz, monto decimal(18,3)"
+    a = spark.createDataFrame(a_rows, schema)
+    b = spark.createDataFrame(b_rows, schema)
+    m = J.match_tolerance(a, b, "monto", "monto", "ts", "ts", tol, keys=["tienda_id"], first=first)
+    got = sorted((r.id, r.m_id) for r in m.collect())
+    pairs = [(ia, ib) for ia, ta, tsa, ma in a_rows for ib, tb, tsb, mb in b_rows
+             if ta == tb and tsa.replace(minute=0) == tsb.replace(minute=0) and abs(ma - mb) < D(str(tol))]
+    if first:
+        best = {}
+        for ia, ib in pairs:
+            best[ia] = min(best.get(ia, ib), ib)
+        pairs = list(best.items())
+    assert got == sorted(pairs) and len(pairs) > 0
