@@ -371,3 +371,18 @@ def test_treasury_post_then_reverse_bank_identity(spark, ledger):
     legs = out["postings"].unionByName(rev["postings"]).filter(F.col("cuenta") == "banco")
     sums = legs.groupBy("banco_id").agg(F.sum("monto").alias("s")).collect()
     assert sums and all(r.s == 0 for r in sums)
+
+
+def test_validate_ledger_reports_each_rule(spark, ledger):
+    from tillbook.operators.validation import validate_ledger
+    L = dict(ledger.tables())
+    bad_users = spark.createDataFrame([(900001, "dup", "Cajero", 3), (900002, "dup", "Jefe", None),
+                                       (900003, None, "Admin", 999)], "id long, username string, rol string, tienda_id long")
+    L["usuarios"] = L["usuarios"].unionByName(bad_users)
+    L["saldos_bancarios"] = L["saldos_bancarios"].unionByName(L["saldos_bancarios"].limit(1))
+    got = {(r.tabla, r.regla, r.clave) for r in validate_ledger(L).collect()}
+    assert ("usuarios", "unique:username", "dup") in got
+    assert ("usuarios", "enum:rol", "900002") in got
+    assert ("usuarios", "not_null:username", "900003") in got
+    assert ("usuarios", "fk:tienda_id->tiendas", "999") in got
+    assert any(r[1] == "unique:banco_id" for r in got)
