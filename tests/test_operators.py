@@ -386,3 +386,14 @@ def test_validate_ledger_reports_each_rule(spark, ledger):
     assert ("usuarios", "not_null:username", "900003") in got
     assert ("usuarios", "fk:tienda_id->tiendas", "999") in got
     assert any(r[1] == "unique:banco_id" for r in got)
+
+
+def test_merge_users_rules(spark):
+    users = spark.createDataFrame([(1, "admin", "Admin", None), (2, "ana", "Cajero", 3), (3, "luis", "Cajero", 4)],
+                                  "id long, username string, rol string, tienda_id long")
+    changes = spark.createDataFrame(
+        [("admin", None, None, "eliminar", 1), ("ana", "Contador", 3, "actualizar", 2),
+         ("luis", None, None, "eliminar", 3), ("eva", "Cajero", 7, "insertar", 4)],
+        "username string, rol string, tienda_id long, accion string, id long")
+    got = sorted(tuple(r) for r in I.merge_users(users, changes).collect())
+    assert got == [(1, "admin", "Admin", None), (2, "ana", "Contador", None), (4, "eva", "Cajero", 7)]
