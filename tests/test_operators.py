@@ -397,3 +397,21 @@ def test_merge_users_rules(spark):
         "username string, rol string, tienda_id long, accion string, id long")
     got = sorted(tuple(r) for r in I.merge_users(users, changes).collect())
     assert got == [(1, "admin", "Admin", None), (2, "ana", "Contador", None), (4, "eva", "Cajero", 7)]
+
+
+def test_set_bank_balance_and_commission_history(spark):
+    saldos = spark.createDataFrame([(1, D("100.00"), D("10.00")), (2, D("50.00"), D("5.00")), (3, D("7.00"), D("1.00"))],
+                                   "banco_id long, saldo decimal(18,2), saldo_inicial decimal(18,2)")
+    cmds = spark.createDataFrame([(1, D("20.00"), None), (2, D("8.00"), D("999.00"))],
+                                 "banco_id long, saldo_inicial decimal(18,2), saldo_actual decimal(18,2)")
+    got = sorted(tuple(r) for r in I.set_bank_balance(saldos, cmds).collect())
+    # bank 1: current += 20 - 10; bank 2: explicit; bank 3: untouched
+    assert got == [(1, D("110.00"), D("20.00")), (2, D("999.00"), D("8.00")), (3, D("7.00"), D("1.00"))]
+    com = spark.createDataFrame([(1, "Retiro", 1, D("0"), D("10"))],
+                                "id long, tipo_transaccion string, banco_id long, valor_efectivo decimal(18,2), "
+                                "valor_virtual decimal(18,2)")
+    ch = spark.createDataFrame([(1, "Retiro", D("0"), D("12"), T0, 5), (1, "Retiro", D("1"), D("12"), T0 + dt.timedelta(days=1), 6)],
+                               "banco_id long, tipo_transaccion string, valor_efectivo decimal(18,2), "
+                               "valor_virtual decimal(18,2), ts timestamp_ntz, id long")
+    hist = sorted((r.version, r.valido_desde, r.valido_hasta) for r in I.upsert_commissions(com, ch).collect())
+    assert hist == [(1, dt.datetime(1970, 1, 1), T0), (5, T0, T0 + dt.timedelta(days=1)), (6, T0 + dt.timedelta(days=1), None)]
