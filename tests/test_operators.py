@@ -415,3 +415,22 @@ def test_set_bank_balance_and_commission_history(spark):
                                "valor_virtual decimal(18,2), ts timestamp_ntz, id long")
     hist = sorted((r.version, r.valido_desde, r.valido_hasta) for r in I.upsert_commissions(com, ch).collect())
     assert hist == [(1, dt.datetime(1970, 1, 1), T0), (5, T0, T0 + dt.timedelta(days=1)), (6, T0 + dt.timedelta(days=1), None)]
+
+
+def test_receive_remits_and_pay_advances_rules(spark):
+    rem = spark.createDataFrame([(1, 1, D("5"), T0, "Pendiente", None, None, None, "x"),
+                                 (2, 1, D("6"), T0, "Recibido", None, T0, 7, "y"),
+                                 (3, 2, D("7"), T0, "Pendiente", None, None, None, "z")],
+                                "id long, tienda_id long, monto decimal(18,2), fecha_envio timestamp_ntz, estado string, "
+                                "banco_id long, fecha_recepcion timestamp_ntz, usuario_recibe_id long, observaciones string")
+    t1 = T0 + dt.timedelta(hours=3)
+    cmds = spark.createDataFrame([(1, t1, 9), (2, t1, 9)], "remesa_id long, fecha timestamp_ntz, usuario_id long")
+    got = {r.id: (r.estado, r.fecha_recepcion, r.usuario_recibe_id) for r in I.receive_remits(rem, cmds).collect()}
+    assert got == {1: ("Recibido", t1, 9), 2: ("Recibido", t1, 9), 3: ("Pendiente", None, None)}
+    dep = spark.createDataFrame([(10, 1, D("50"), None, T0, "Pendiente", None), (11, 2, D("60"), "r", T0, "Pagado", T0)],
+                                "id long, banco_id long, monto decimal(18,2), referencia string, fecha_hora timestamp_ntz, "
+                                "estado string, fecha_pago timestamp_ntz")
+    pay = spark.createDataFrame([(10, t1), (11, t1)], "deposito_id long, ts timestamp_ntz")
+    out = I.pay_advances(dep, pay)
+    assert [(r.comando_id, r.referencia) for r in out["log"].collect()] == [(10, "Pago de Depósito Pendiente")]
+    assert {r.id: (r.estado, r.fecha_pago) for r in out["depositos"].collect()} == {10: ("Pagado", t1), 11: ("Pagado", T0)}
