@@ -434,3 +434,16 @@ def test_receive_remits_and_pay_advances_rules(spark):
     out = I.pay_advances(dep, pay)
     assert [(r.comando_id, r.referencia) for r in out["log"].collect()] == [(10, "Pago de Depósito Pendiente")]
     assert {r.id: (r.estado, r.fecha_pago) for r in out["depositos"].collect()} == {10: ("Pagado", t1), 11: ("Pagado", T0)}
+
+
+def test_close_preview_cleaning(spark):
+    from tillbook.plans.closings import close_preview
+    forms = spark.createDataFrame([(1, {"banco_0": "1,000.505", "entrega_banco_0": "-5", "banco_Otros": "L 20",
+                                        "observaciones": "x"})], "form_id long, form map<string,string>")
+    exp = spark.createDataFrame([(1, D("1015.50"))], "form_id long, saldo_teorico decimal(18,2)")
+    out = close_preview(forms, exp)
+    banks = {r.clave: (r.declarado, r.entregado, r.resto) for r in out["per_bank"].collect()}
+    assert banks == {"0": (D("1000.51"), D("5.00"), D("995.51")), "Otros": (D("20.00"), D("0.00"), D("20.00"))}
+    t = out["totals"].collect()[0]
+    assert (t.total_declarado, t.total_entrega, t.diferencia, t.estado, t.saldo_final) == \
+        (D("1020.51"), D("5.00"), D("5.01"), "SOBRA", D("1015.51"))
