@@ -36,3 +36,32 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (byte_bpe(table(spark, sf_dir, "documents"), vocabulary(spark, "byte_bpe_multi_50k.tiktoken"))
             .withColumnRenamed("id", "doc_id"))
+
+
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.sharding import vector_shards
+
+    return vector_shards(table(spark, sf_dir, "documents"), 16).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.url_filter import url_filter
+
+    return (url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+            .select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.bin_packing import best_fit_packing
+    from tillbook.llm.vocabularies import vocabulary
+
+    return (best_fit_packing(table(spark, sf_dir, "documents"), vocabulary(spark, "word_bpe_49k.json"))
+            .withColumnRenamed("id", "doc_id"))
