@@ -65,3 +65,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (best_fit_packing(table(spark, sf_dir, "documents"), vocabulary(spark, "word_bpe_49k.json"))
             .withColumnRenamed("id", "doc_id"))
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.warc import convert_pages
+
+    return convert_pages(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
