@@ -79,3 +79,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tillbook.llm.license_scan import license_scan
 
     return license_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.co_training import co_training
+
+    return (co_training(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+            .select(F.col("k_id").alias("doc_id"), "text_score", "meta_score", "score", "kept"))
+
+
+@query
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("k_id").alias("doc_id"), "n_shingles", "component_id", "kept")
