@@ -95,3 +95,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         F.col("k_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.nn_descent import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
