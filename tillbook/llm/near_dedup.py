@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import document_key, stored
+from tillbook.llm.common import document_key, keep_rows, stored
 
 K = 5
 U64 = np.uint64
@@ -246,10 +246,13 @@ def _linked(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, percen
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near duplicates: the one with the
-    smallest id, all columns unchanged. Rows that repeat it whole go too."""
-    from pyspark.sql import Window
-
-    from tillbook.llm.common import keep_rows
-
-    kept = keep_rows(docs, near_duplicates(docs, id_col, text_col).filter("kept"), id_col, text_col)
-    return kept
+    smallest id, all columns unchanged. Of rows that repeat its id and text
+    one stays; rows with a null id all stay."""
+    near = near_duplicates(docs, id_col, text_col).filter("kept")
+    kept = keep_rows(docs, near, id_col, text_col)
+    again = stored(near.filter("k_id is not null").groupBy("k_id", "k_text").count().filter("count > 1").drop("count"), "again")
+    if again.isEmpty():
+        return kept
+    cond = [kept[id_col] == again["k_id"], F.xxhash64(kept[text_col].isNull(), F.coalesce(kept[text_col], F.lit(""))) == again["k_text"]]
+    once = kept.join(again, cond, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, cond, "left_anti").unionByName(once)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tillbook.llm.common import stored
 
 LEAF = 96
-EMITTED = 4
+EMITTED = 6
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -162,7 +162,7 @@ def _few(edges: DataFrame, key: str, other: str, most: int) -> DataFrame:
             .withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= most).drop("r"))
 
 
-def neighbour_graph(nodes: DataFrame, degree: int = 16, rounds: int = 6, trees: int = 4, enough: float = 0.01) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, degree: int = 24, rounds: int = 6, trees: int = 4, enough: float = 0.01) -> DataFrame:
     """(node, near array<struct<d, id, is_new>>) over (node, vec)."""
     first = nodes.agg(F.count("*"), F.max(F.size("vec"))).first()
     count, dim = first[0], first[1] or 0
@@ -191,8 +191,8 @@ def neighbour_graph(nodes: DataFrame, degree: int = 16, rounds: int = 6, trees:
 BEAM = "array<struct<d:double,id:bigint,done:boolean>>"
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = 48, expand: int = 12,
-                  rounds: int = 12, pivots: int = 64, degree: int = 16) -> DataFrame:
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = 256, expand: int = 32,
+                  rounds: int = 20, pivots: int = 64, degree: int = 24) -> DataFrame:
     """(query, beam): the nearest nodes found for each query (query, vec,
     own), sorted by distance; own is the query's node or null."""
     marks = nodes.orderBy(F.xxhash64("node")).limit(pivots).toPandas()
@@ -250,7 +250,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam:
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: str, id_col: str = "vec_id", vector_col: str = "embedding",
-                       k: int = 10, degree: int = 16, beam: int = 48) -> DataFrame:
+                       k: int = 10, degree: int = 24, beam: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where the condition
     ``is_query`` on column id holds, among all other rows."""
     rows = stored(valid_vectors(vectors, id_col, vector_col), "ann-rows")

@@ -102,3 +102,10 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tillbook.llm.nn_descent import nearest_neighbours
 
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
