@@ -9,9 +9,10 @@ import pytest
 from tests.conftest import SF_DIR
 
 import __spark_entry__ as E
+from tillbook import catalog
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
