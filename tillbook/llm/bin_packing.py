@@ -23,7 +23,9 @@ table gives an empty result. Only id and text are read.
 
 from __future__ import annotations
 
+import itertools
 import os
+import sys
 import zlib
 
 import numpy as np
@@ -38,32 +40,99 @@ BLOCK = 4096
 END_ID = 0
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordCodec:
-    """Ids of a text by the ``tokenizers`` library. The vocabulary drops white
+    """Ids of texts by the ``tokenizers`` library. The vocabulary drops white
     space and never joins across it, so each run between ASCII white space is
-    encoded once and kept in a bounded cache."""
+    encoded once: it gets a number, its ids lie in one array, and texts are
+    gathered from that. The cache starts anew beyond ``cache_size`` words."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[bytes, bytes] = {}
         self.cache_size = cache_size
-
-    def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        if len(self.cache) > self.cache_size:
-            self.cache.clear()
-        get = self.cache.get
-        packed = list(map(get, words))
-        if None in packed:
-            new = list({w for w, p in zip(words, packed) if p is None})
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.cache.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
-            packed = list(map(get, words))
-        return np.frombuffer(b"".join(packed) + np.array([END_ID], "<u4").tobytes(), "<u4")
+        self._clear()
+
+    @classmethod
+    def of_process(cls, path: str) -> WordCodec:
+        """One codec for all tasks that a Python worker runs."""
+        codecs = sys.__dict__.setdefault("_tillbook_word_codecs", {})
+        if path not in codecs:
+            codecs[path] = cls(path)
+        return codecs[path]
+
+    def _clear(self) -> None:
+        self.numbers = _Numbers()
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 14, np.int64)  # ends[n]: where the ids of word n end
+        self.known = self.used = 0
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        if not new:
+            return
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.known + len(new) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
+        self.ends[self.known:self.known + len(new)] = self.used + np.cumsum(sizes)
+        self.known, self.used = self.known + len(new), self.used + total
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Per text its ids and the end id, as unsigned 32-bit integers."""
+        if len(self.numbers) > self.cache_size:
+            self._clear()
+        number = self.numbers.__getitem__
+        end = number(b"")
+        words, counts = [], []
+        for text in texts:
+            own = (text or "").encode("utf-8", "replace").lower().split()
+            counts.append(len(own) + 1)
+            words.append(np.fromiter(map(number, own), np.int64, len(own)))
+            words.append(np.array([end]))
+        self._learn()
+        at = np.concatenate(words)
+        stop = self.ends[at]
+        start = np.where(at > 0, self.ends[np.maximum(at, 1) - 1], 0)
+        start, size = np.where(at == end, 0, start), np.where(at == end, 1, stop - start)
+        done = np.cumsum(size)
+        place = np.repeat(start - (done - size), size) + np.arange(done[-1])
+        ids = self.flat[place]
+        ids[(done - 1)[at == end]] = END_ID
+        cuts = done[np.cumsum(counts) - 1]
+        return [ids[lo:hi] for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+
+
+def chunks(texts, most_chars: int = 1 << 20):
+    """Lists of texts of about ``most_chars`` code points together."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= most_chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
@@ -74,11 +143,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str, t
     arrow_id = to_arrow_type(id_type)
 
     def run(batches):
-        codec = WordCodec(vocabulary)
+        codec = WordCodec.of_process(vocabulary)
         for b in batches:
             ids, piece, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(b.column("id").to_pylist(), (v.as_py() for v in b.column("text"))):
-                tokens = codec.ids(text)
+            coded = itertools.chain.from_iterable(map(codec.ids, chunks((v.as_py() for v in b.column("text")))))
+            for doc_id, tokens in zip(b.column("id").to_pylist(), coded):
                 for k, at in enumerate(range(0, len(tokens), capacity)):
                     part = tokens[at:at + capacity]
                     ids.append(doc_id)
