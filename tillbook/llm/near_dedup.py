@@ -15,9 +15,9 @@ keys are formed from shared sub-hashes alone.
 Candidates are verified on full sets. Within a bucket no all-pairs list is
 made: rounds link the bucket's members to one leader, components are joined,
 and only buckets that still hold several components go on, with another
-leader each round. What is left after the leader rounds (members of different
-components, similar enough in size, not compared yet) is compared in full, so
-no candidate link between components is lost.
+leader. What is left after the leader rounds goes through an exact prefix and
+positional filter on full sets, so no link between components is lost, and
+members of a large family that differ too much from each other never pair up.
 
 All steps are joins and aggregates on stored narrow tables; components are
 found by min-label contraction in Spark.
@@ -171,7 +171,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
-                    rows: int = 3, side: int = 12, leader_rounds: int = 3) -> DataFrame:
+                    rows: int = 3, side: int = 12, leader_rounds: int = 2) -> DataFrame:
     """One row per input row: k_id, k_text, n_shingles, component_id, kept.
     Documents with 100 * intersection >= percent * union are linked."""
     sigs = stored(signatures(docs, id_col, text_col, rows, side), "signatures")
@@ -205,6 +205,28 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``left`` (rep, n, comp) in different components
+    that can be similar enough, by an exact prefix and positional filter.
+
+    Every set is put in one order, rarest shingle first. A pair that reaches
+    the similarity shares a shingle within both prefixes, and at the first
+    shared one the rest of both sets must still suffice. Shingles common to a
+    large family come late, so members that differ too much never pair up."""
+    items = left.join(sets, "rep").select("rep", "n", "comp", F.explode("set").alias("s"))
+    often = items.groupBy("s").agg(F.count("*").alias("f"))
+    ordered = (items.join(often, "s").groupBy("rep", "n", "comp")
+               .agg(F.sort_array(F.collect_set(F.struct("f", "s"))).alias("order")))
+    size = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
+    prefix = stored(ordered.select("rep", "n", "comp", F.posexplode(F.slice("order", 1, size)).alias("pos", "e"))
+                    .filter("e.f > 1").select("rep", "n", "comp", "pos", F.col("e.s").alias("s")), "prefix")
+    other = prefix.select("s", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "comp", "pos")])
+    rest = F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))  # shared at most, from here on
+    enough = rest * (100 + percent) >= percent * (F.col("n") + F.col("o_n"))
+    return (prefix.join(other, "s").filter((F.col("rep") < F.col("o_rep")) & (F.col("comp") != F.col("o_comp")) & enough)
+            .select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
+
+
 def _linked(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, percent: int, leader_rounds: int) -> DataFrame | None:
     """(node, comp) of all linked representatives; None where none is."""
     sets = None
@@ -220,11 +242,11 @@ def _linked(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, percen
                 .filter("lo <> hi").select("key", "o.*"))
         if turn < leader_rounds:
             pairs = rows.join(lead, "key").filter((F.col("comp") != F.col("o_comp")) & fits).select(*_pair(F.col("rep"), F.col("o_rep")))
-        else:  # all that is left: members of different components of a bucket
-            left = stored(rows.join(lead.select("key"), "key", "left_semi"), "left")
-            other = left.select("key", F.col("rep").alias("o_rep"), F.col("n").alias("o_n"), F.col("comp").alias("o_comp"))
-            pairs = (left.join(other, "key").filter((F.col("rep") < F.col("o_rep")) & (F.col("comp") != F.col("o_comp")) & fits)
-                     .select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
+        else:
+            left = stored(rows.join(lead.select("key"), "key", "left_semi").select("rep", "n", "comp").distinct(), "left")
+            if sets is None:  # no two members were ever similar enough in size
+                break
+            pairs = _prefix_pairs(left, sets, percent)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
