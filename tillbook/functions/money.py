@@ -42,9 +42,10 @@ def money_or_zero(col: Column | str, mode: str = "commas") -> Column:
 
 
 def round_cents(col: Column | str) -> Column:
-    """Round to cents with ties toward +infinity (``Math.round(x*100)/100``).
+    """Round to cents, ties toward +infinity, in exact decimal arithmetic.
 
     Spark's ``round`` rounds ties away from zero, which differs on negative
     ties (-0.005 -> -0.01 instead of 0)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return (F.floor(c * 100 + F.lit(0.5)) / 100).cast(MONEY_SQL)
+    c = (F.col(col) if isinstance(col, str) else col).cast("decimal(30,8)")
+    cents = F.floor(c * F.lit(100).cast("decimal(3,0)") + F.lit("0.5").cast("decimal(2,1)"))
+    return (cents.cast("decimal(28,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY_SQL)

@@ -134,7 +134,7 @@ def post_treasury_commands(cmds: DataFrame) -> dict[str, DataFrame]:
     tl_type = tl_type.when((k == "traslado") & (F.col("modo") == "solo_saldo"), F.lit("Traslado (Solo Saldo)")) \
                      .when(k == "traslado", F.lit("Traslado (Efectivo)"))
     given = F.col("referencia")
-    dflt = lambda kind: F.coalesce(given, F.lit(TREASURY_DEFAULT_REF[kind]))
+    dflt = lambda kind: F.coalesce(F.nullif(given, F.lit("")), F.lit(TREASURY_DEFAULT_REF[kind]))
     ref = (F.when(k == "gasto_efectivo", F.concat(F.lit(CASH_EXPENSE_PREFIX), dflt("gasto_efectivo")))
            .when(k.isin("entrega_dueno", "deposito_banco", "envio_tienda", "traslado"),
                  F.when(k == "entrega_dueno", dflt("entrega_dueno")).when(k == "deposito_banco", dflt("deposito_banco"))
@@ -221,7 +221,7 @@ def post_store_transfer(cmds: DataFrame) -> dict[str, DataFrame]:
                    F.col("banco_origen").alias("banco_id"), _neg(F.col("monto")).alias("m"))
     inn = F.struct(F.lit("Traspaso Entrada").alias("tipo"), F.col("tienda_destino").alias("tienda_id"),
                    F.col("banco_destino").alias("banco_id"), F.col("monto").cast(MONEY_SQL).alias("m"))
-    ref = F.coalesce(F.col("referencia"), F.lit(STORE_TRANSFER_DEFAULT_REF)) if "referencia" in cmds.columns \
+    ref = F.coalesce(F.nullif(F.col("referencia"), F.lit("")), F.lit(STORE_TRANSFER_DEFAULT_REF)) if "referencia" in cmds.columns \
         else F.lit(STORE_TRANSFER_DEFAULT_REF)
     e = v.select("id", "ts", ref.alias("_ref"), (F.col("tienda_origen") != F.col("tienda_destino")).alias("_moves"),
                  F.explode(F.array(out, inn)).alias("x"))
@@ -238,7 +238,7 @@ def post_store_transfer(cmds: DataFrame) -> dict[str, DataFrame]:
 def post_extra_income(cmds: DataFrame) -> dict[str, DataFrame]:
     """Extra income on a required bank: store cash +m."""
     valid, rejected = split_valid(cmds, "monto", required=["banco_id"])
-    ref = F.coalesce(F.col("referencia"), F.lit(EXTRA_INCOME_DEFAULT_REF)) if "referencia" in cmds.columns \
+    ref = F.coalesce(F.nullif(F.col("referencia"), F.lit("")), F.lit(EXTRA_INCOME_DEFAULT_REF)) if "referencia" in cmds.columns \
         else F.lit(EXTRA_INCOME_DEFAULT_REF)
     tx = valid.select(F.col("id").alias("comando_id"), F.col("ts").alias("fecha_hora"), "tienda_id", "banco_id",
                       F.lit("Ingreso Extra").alias("tipo"), F.col("monto").cast(MONEY_SQL).alias("monto_efectivo"),
@@ -296,7 +296,7 @@ def post_count_adjustment(cmds: DataFrame, balances: DataFrame) -> dict[str, Dat
     b = balances.select(F.col("banco_id").alias("_b"), F.col("saldo").alias("_sys"))
     j = cmds.join(b, cmds.banco_id.eqNullSafe(b._b), "left")
     diff = (F.coalesce("_sys", _zero()) - F.col("contado")).cast(MONEY_SQL)
-    ref = F.coalesce(F.col("referencia"), F.lit(COUNT_ADJ_DEFAULT_REF)) if "referencia" in cmds.columns \
+    ref = F.coalesce(F.nullif(F.col("referencia"), F.lit("")), F.lit(COUNT_ADJ_DEFAULT_REF)) if "referencia" in cmds.columns \
         else F.lit(COUNT_ADJ_DEFAULT_REF)
     j = j.withColumn("diferencia", diff).withColumn("_ref", ref)
     log = j.filter(F.col("diferencia") != 0).select(
