@@ -36,7 +36,7 @@ def run(spark, fn, sf_dir):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(app="tillbook-bench")
+    spark = build_session(master=f"local[{os.environ.get('BENCH_CPUS', '8')}]", shuffle_partitions=int(os.environ.get("BENCH_CPUS", "8")), app="tillbook-bench")
     qs = catalog.queries()
     names = [n for n in names if n in qs]
     times = {}

@@ -29,7 +29,7 @@ def test_pending_changes_emitted_only_on_change(spark):
     assert [(p, i) for _, p, i in rows] == [(2, 2), (3, 4)]
 
 
-def test_dedup_within_watermark(spark):
+def test_repeated_delivery_posts_once(spark):
     cmd_schema = ("id long, fecha_hora timestamp_ntz, tienda_id long, banco_id long, usuario_id long, "
                   "tipo string, monto decimal(18,2), referencia string")
     src = tempfile.mkdtemp(prefix="tb-cmd-")
@@ -41,8 +41,26 @@ def test_dedup_within_watermark(spark):
     com = spark.createDataFrame([], "id long, tipo_transaccion string, banco_id long, "
                                     "valor_efectivo decimal(18,2), valor_virtual decimal(18,2)")
     out = J.scratch_path(spark, "t-j3")
-    J.run_append(J.stream_post(stream, com), out).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
+    J.run_post(stream, com, out).awaitTermination()
+    assert spark.read.parquet(out + "/postings").count() == 1
+
+
+def test_late_and_repeated_commands_of_many_files_post_once(spark):
+    """A table of many part files, out of time order and with repeats: every
+    distinct command is posted once, in one batch or in many."""
+    schema = ("id long, fecha_hora timestamp_ntz, tienda_id long, banco_id long, usuario_id long, "
+              "tipo string, monto decimal(18,2), referencia string")
+    folder = tempfile.mkdtemp(prefix="tb-parts-")
+    rows = [(i, T0 + dt.timedelta(days=(i * 37) % 50), i % 3, None, 1, "Depósito", Decimal(i), "r") for i in range(60)]
+    spark.createDataFrame(rows + rows[::7], schema).repartition(9).write.parquet(f"{folder}/events.parquet")
+    com = spark.createDataFrame([], "id long, tipo_transaccion string, banco_id long, "
+                                    "valor_efectivo decimal(18,2), valor_virtual decimal(18,2)")
+    for max_files in (None, 4):
+        out = J.scratch_path(spark, "t-parts")
+        J.run_post(J.table_stream(spark, folder, "events", max_files), com, out).awaitTermination()
+        posted = sorted(r.fuente_id for r in spark.read.parquet(out + "/postings").collect())
+        assert posted == list(range(1, 60))
+        assert [r.id for r in spark.read.parquet(out + "/rechazados").collect()] == [0]
 
 
 def test_live_trigger_runs_and_stops(spark):

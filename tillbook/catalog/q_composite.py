@@ -12,7 +12,7 @@ from tillbook.catalog.q_filters import LAST_DAY_SQL, last_day
 from tillbook.operators import aggregations as E
 from tillbook.operators import filters as C
 from tillbook.operators import setops as G
-from tillbook.operators.joins import bounded_keys
+from tillbook.operators.joins import id_array
 from tillbook.plans import audit as H
 from tillbook.plans import closings as HC
 from tillbook.plans import treasury as HT
@@ -208,15 +208,15 @@ def h11(spark, d):
 
 def config_forms(L):
     """Initial-configuration forms, one per store: new cash total and a value
-    per bank of the (bounded) bank list."""
+    per bank."""
     t = F.col("id")
-    ids = bounded_keys(L["bancos"], "id")
-    entries = [F.struct(F.concat(F.lit("monto_efectivo_"), t.cast("string")).alias("k"),
-                        F.concat(F.lit("L "), ((t + 1) * 500).cast("string"), F.lit(".00")).alias("v"))]
-    for b in ids:
-        entries.append(F.struct(F.concat(F.lit("monto_banco_"), t.cast("string"), F.lit(f"_{b}")).alias("k"),
-                                F.concat(F.lit("L "), ((t + 1) * (b + 1) * 10).cast("string")).alias("v")))
-    return L["tiendas"].select(t.alias("form_id"), F.map_from_entries(F.array(*entries)).alias("form"))
+    cash = F.array(F.struct(F.concat(F.lit("monto_efectivo_"), t.cast("string")).alias("k"),
+                        F.concat(F.lit("L "), ((t + 1) * 500).cast("string"), F.lit(".00")).alias("v")))
+    banks = F.transform(F.col("_ids"), lambda b: F.struct(
+        F.concat(F.lit("monto_banco_"), t.cast("string"), F.lit("_"), b.cast("string")).alias("k"),
+        F.concat(F.lit("L "), ((t + 1) * (b + 1) * 10).cast("string")).alias("v")))
+    return (L["tiendas"].withColumn("_ids", id_array(L["bancos"]))
+            .select(t.alias("form_id"), F.map_from_entries(F.concat(cash, banks)).alias("form")))
 
 
 @register("h12_apply_initial_config", """
@@ -408,4 +408,4 @@ SELECT fila, nombre, efectivo,
   MAX(CASE WHEN banco_id = 4 THEN total_banco END) AS "4"
 FROM matrix GROUP BY fila, nombre, efectivo""", extra_ctes=AUDIT_CTES)
 def h1w(spark, d):
-    return H.audit_matrix_wide(Ledger(spark, d))
+    return H.audit_matrix_wide(Ledger(spark, d), [0, 1, 2, 3, 4])

@@ -14,10 +14,14 @@ from tillbook.sources.store import StoredLedger as Ledger
 REV_LOG_SQL = TCMD_SQL.strip() + """,
 sends AS (SELECT id, monto, ts FROM tv WHERE tipo_cmd = 'envio_tienda'),
 restock AS (SELECT id, tienda_id, monto, ts FROM tv WHERE tipo_cmd = 'envio_tienda'),
+send_near AS (
+  SELECT s.id AS log_id, r.id AS transaccion_id
+  FROM sends s JOIN restock r ON date_trunc('hour', s.ts) = date_trunc('hour', r.ts) AND ABS(s.monto - r.monto) < 0.1),
 send_match AS (
-  SELECT s.id AS log_id, r.id AS transaccion_id, r.tienda_id, r.monto, s.ts,
-         ROW_NUMBER() OVER (PARTITION BY s.id ORDER BY r.id) AS rn
-  FROM sends s JOIN restock r ON date_trunc('hour', s.ts) = date_trunc('hour', r.ts) AND ABS(s.monto - r.monto) < 0.1)"""
+  SELECT s.id AS log_id, r.id AS transaccion_id, r.tienda_id, s.monto, s.ts
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY date_trunc('hour', ts), monto ORDER BY id) AS nth FROM sends) s
+  JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY date_trunc('hour', ts), monto ORDER BY id) AS nth FROM restock) r
+    ON date_trunc('hour', s.ts) = date_trunc('hour', r.ts) AND s.monto = r.monto AND s.nth = r.nth)"""
 
 
 def _rev_log(spark, d):
@@ -27,7 +31,7 @@ def _rev_log(spark, d):
     return R.reverse_treasury_log(log, ids, out["transacciones"])
 
 
-@register("i23_reverse_treasury_log_matches", "SELECT log_id, transaccion_id FROM send_match WHERE rn = 1",
+@register("i23_reverse_treasury_log_matches", "SELECT log_id, transaccion_id FROM send_match",
           extra_ctes=REV_LOG_SQL)
 def i23m(spark, d):
     return _rev_log(spark, d)["matched"]
@@ -36,7 +40,7 @@ def i23m(spark, d):
 @register("i23_reverse_treasury_log_postings", """
 SELECT ts, 'tienda' AS cuenta, tienda_id, CAST(NULL AS BIGINT) AS banco_id, CAST(-monto AS DECIMAL(18,2)) AS monto,
   'delta' AS tipo_asiento, 'reverso_tesoreria' AS fuente, log_id AS fuente_id, 3 AS orden
-FROM send_match WHERE rn = 1""", extra_ctes=REV_LOG_SQL)
+FROM send_match""", extra_ctes=REV_LOG_SQL)
 def i23p(spark, d):
     return _rev_log(spark, d)["postings"]
 
@@ -75,14 +79,23 @@ def i24p(spark, d):
 
 
 @register("i24_reverse_remits_matches", """
-SELECT r.id AS remesa_id, t.id AS transaccion_id FROM rv r JOIN transacciones t
-  ON t.tipo = 'Efectivo Entregado' AND t.tienda_id = r.tienda_id
-  AND date_trunc('hour', t.fecha_hora) = date_trunc('hour', r.fecha_envio) AND ABS(ABS(t.monto_efectivo) - r.monto) < 0.01""",
+SELECT arg_min(r.id, (r.fecha_envio, r.id)) AS remesa_id, t.id AS transaccion_id FROM transacciones t JOIN rv r
+  ON t.tienda_id = r.tienda_id AND date_trunc('hour', t.fecha_hora) = date_trunc('hour', r.fecha_envio)
+  AND ABS(t.monto_efectivo + r.monto) < 0.01
+WHERE t.tipo = 'Efectivo Entregado' GROUP BY t.id""",
           extra_ctes=REV_REM_SQL)
 def i24m(spark, d):
     return _rev_rem(spark, d)["matched"]
 
 
+@register("i24_reverse_remits_transactions", """
+SELECT t.* FROM transacciones t WHERE NOT (t.tipo = 'Efectivo Entregado' AND EXISTS (
+  SELECT 1 FROM rv r WHERE r.tienda_id = t.tienda_id AND r.monto = -t.monto_efectivo
+    AND date_trunc('hour', r.fecha_envio) = date_trunc('hour', t.fecha_hora)))""", extra_ctes=REV_REM_SQL)
+def i24t(spark, d):
+    return _rev_rem(spark, d)["transacciones"]
+
+
 REV_CI_SQL = """
 lci AS (SELECT * FROM cierres_caja WHERE id IN (SELECT MAX(id) FROM cierres_caja GROUP BY tienda_id))"""
 
@@ -108,6 +121,14 @@ def i18r(spark, d):
     return _rev_ci(spark, d)["reabrir"]
 
 
+@register("i18_reverse_closings_openings", """
+SELECT a.* REPLACE (CASE WHEN a.id IN (SELECT MAX(x.id) FROM aperturas_caja x JOIN lci ON lci.tienda_id = x.tienda_id
+    WHERE x.estado = 'Cerrada' GROUP BY x.tienda_id) THEN 'Abierta' ELSE a.estado END AS estado)
+FROM aperturas_caja a""", extra_ctes=REV_CI_SQL)
+def i18o(spark, d):
+    return _rev_ci(spark, d)["aperturas"]
+
+
 @register("i18_reverse_closings_dropped_remits", """
 SELECT r.* FROM remesas r WHERE r.estado = 'Pendiente' AND EXISTS (
   SELECT 1 FROM lci c WHERE c.tienda_id = r.tienda_id AND CAST(c.fecha + INTERVAL 1 HOUR AS DATE) = CAST(r.fecha_envio AS DATE))""",
@@ -190,6 +211,6 @@ def i23tc(spark, d):
 
 
 @register("i23_reverse_treasury_log_ambiguous", """
-SELECT log_id, COUNT(*) AS candidatos FROM send_match GROUP BY log_id HAVING COUNT(*) > 1""", extra_ctes=REV_LOG_SQL)
+SELECT log_id, COUNT(*) AS candidatos FROM send_near GROUP BY log_id HAVING COUNT(*) > 1""", extra_ctes=REV_LOG_SQL)
 def i23a(spark, d):
     return _rev_log(spark, d)["ambiguos"]

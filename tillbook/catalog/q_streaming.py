@@ -25,9 +25,9 @@ WHERE banco_id IS NOT NULL AND vi <> 0""", extra_ctes=POSTED_SQL)
 def j3(spark, d):
     L = Ledger(spark, d)
     out = J.scratch_path(spark, "j3")
-    q = J.run_append(J.stream_post(commands_from_events(_events_stream(spark, d)), L["comisiones"]), out)
+    q = J.run_post(commands_from_events(_events_stream(spark, d)), L["comisiones"], out)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out + "/postings").drop("lote")
 
 
 @register("j1_stream_net_by_store_bank", """
@@ -41,7 +41,7 @@ def j1(spark, d):
     out = J.scratch_path(spark, "j1")
     q = J.run_snapshot(J.stream_net_by_store_bank(tx, L["aperturas_caja"]), out)
     q.awaitTermination()
-    return spark.read.parquet(out + "/data")
+    return J.latest_snapshot(spark, out)
 
 
 @register("j2_stream_pending_changes", """
@@ -55,7 +55,7 @@ def j2(spark, d):
     out = J.scratch_path(spark, "j2")
     q = J.run_changes(J.stream_pending_state(rem), out)
     q.awaitTermination()
-    return spark.read.parquet(out + "/changes")
+    return spark.read.parquet(out + "/changes").drop("lote")
 
 
 @register("j4_stream_daily_flow", """

@@ -214,24 +214,20 @@ def semi_latest(df: DataFrame, key: str, id_col: str = "id") -> DataFrame:
     return df.join(mx.select(F.col("_mx")), F.col(id_col) == F.col("_mx"), "left_semi")
 
 
-def bounded_keys(df: DataFrame, col: str, limit: int = 100_000) -> list:
-    """Distinct values of a dimension key, with a checked upper bound. Used
-    only for dimensions (banks): the list becomes literal pivot/explode values."""
-    vals = [r[0] for r in df.select(col).distinct().limit(limit + 1).collect()]
-    if len(vals) > limit:
-        raise ValueError(f"dimension {col!r} has more than {limit} keys")
-    return sorted(v for v in vals if v is not None)
+def id_array(dim: DataFrame, col: str = "id") -> Column:
+    """The sorted ids of a dimension as one array value: a lazy scalar
+    subquery, so no job runs while the plan is built. For dimensions (banks),
+    whose ids fit one row by the data model."""
+    return dim.agg(F.sort_array(F.collect_set(col)).alias("ids")).scalar()
 
 
 def densify(df: DataFrame, tiendas: DataFrame, bancos: DataFrame, value_cols: list[str],
             fill: float = 0) -> DataFrame:
     """Every (store, bank) pair, missing values -> ``fill``.
 
-    The grid is generated by exploding the (bounded) list of bank ids on the
-    store rows, not by a join, then facts are left-joined on the pair."""
-    bank_ids = bounded_keys(bancos, "id")
-    grid = tiendas.select(F.col("id").alias("tienda_id"),
-                          F.explode(F.array(*[F.lit(b).cast("long") for b in bank_ids])).alias("banco_id"))
+    The grid is generated by exploding the array of bank ids on the store
+    rows, not by a join, then facts are left-joined on the pair."""
+    grid = tiendas.select(F.col("id").alias("tienda_id"), F.explode(id_array(bancos)).alias("banco_id"))
     f = df.withColumnRenamed("tienda_id", "_ft").withColumnRenamed("banco_id", "_fb")
     j = grid.join(f, (grid.tienda_id == f._ft) & (grid.banco_id == f._fb), "left")
     out = j.drop("_ft", "_fb")
@@ -300,7 +296,9 @@ def match_tolerance(a: DataFrame, b: DataFrame, a_amount: str, b_amount: str, a_
                     b_id: str = "id") -> DataFrame:
     """Pairs with the same hour bucket (and keys) and |a - b| < tol.
 
-    ``first``: keep only the lowest-id match of each ``a`` row.
+    ``first``: keep only the lowest-id match of each ``a`` row. Both sides are
+    then reduced to one row per (hour, keys, amount) before they meet, so many
+    equal amounts in one hour give no pairs: the work stays linear.
 
     Band join: besides the hour and the keys, the equi key holds the amount
     bucket floor(amount / tol); each ``b`` row is exploded to its bucket and
@@ -309,6 +307,20 @@ def match_tolerance(a: DataFrame, b: DataFrame, a_amount: str, b_amount: str, a_
     an hour that holds a large share of all rows."""
     keys = keys or []
     width = F.lit(tol).cast("decimal(18,6)")
+    if first:
+        slot = [F.date_trunc("hour", F.col(a_ts)).alias("_hr"), *[F.col(k) for k in keys], F.col(a_amount).alias("_am")]
+        left = a.select(*slot).distinct()
+        right = (b.groupBy(F.date_trunc("hour", F.col(b_ts)).alias("_hr"), *keys, F.col(b_amount).alias("_am"))
+                  .agg(F.min_by(F.struct(*b.columns), F.col(b_id)).alias("_m"), F.min(b_id).alias("_first")))
+        best = band_join(left, right, ["_hr", *keys], width, tol)
+        best = best.groupBy("_hr", *keys, "_am").agg(F.min_by("_m", "_first").alias("_m"))
+        names = ["_hr", *keys, "_am"]
+        best = best.select(*[F.col(c).alias(f"_s{n}") for n, c in enumerate(names)], "_m")
+        cond = None
+        for n, c in enumerate([F.date_trunc("hour", a[a_ts]), *[a[k] for k in keys], a[a_amount]]):
+            cond = (c == F.col(f"_s{n}")) if cond is None else cond & (c == F.col(f"_s{n}"))
+        return a.join(best, cond, "inner").select(*[a[c] for c in a.columns],
+                                                  *[F.col("_m")[c].alias(f"m_{c}") for c in b.columns])
     a2 = (a.withColumn("_hr", F.date_trunc("hour", F.col(a_ts)))
            .withColumn("_ab", F.floor(F.col(a_amount) / width).cast("long")))
     bsel = b.select(*[F.col(c).alias(f"m_{c}") for c in b.columns]) \
@@ -319,11 +331,18 @@ def match_tolerance(a: DataFrame, b: DataFrame, a_amount: str, b_amount: str, a_
         (F.abs(F.col(a_amount) - F.col(f"m_{b_amount}")) < F.lit(tol))
     for k in keys:
         cond = cond & (a2[k] == bsel[f"m_{k}"])
-    j = a2.join(bsel, cond, "inner").drop("_hr", "_hr2", "_ab", "_bb")
-    if first:
-        w = W.partitionBy(*[F.col(c) for c in a.columns]).orderBy(F.col(f"m_{b_id}"))
-        j = j.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return j
+    return a2.join(bsel, cond, "inner").drop("_hr", "_hr2", "_ab", "_bb")
+
+
+def band_join(left: DataFrame, right: DataFrame, keys: list[str], width: Column, tol: float) -> DataFrame:
+    """Rows of ``left`` with the rows of ``right`` of equal keys whose ``_am``
+    differs by less than ``tol``; the left ``_am`` is kept. With one row per
+    amount on either side a row meets as many as there are cents in 2 * tol."""
+    bucket = F.floor(F.col("_am") / width).cast("long")
+    r = right.select(*keys, F.col("_am").alias("_am2"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_ab"),
+                     *[c for c in right.columns if c not in (*keys, "_am")])
+    return (left.withColumn("_ab", bucket).join(r, [*keys, "_ab"], "inner")
+            .filter(F.abs(F.col("_am") - F.col("_am2")) < F.lit(tol)).drop("_ab", "_am2"))
 
 
 def attach_closing(refs: DataFrame, ci: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Group I: write routes re-aimed as bulk jobs. Each job takes a frame of
 commands and returns new fact rows and postings (see ``postings.py``) as
 DataFrames; nothing is updated in place, so a job can be re-run on the same
-input (idempotent by command id) and its output written to a new path.
+input and its output written to a new path. Commands that name the same row
+take effect in their order (``commands.py``); a repeat of a command that can
+act only once does nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from tillbook.functions.balances import snapshot_json
 from tillbook.functions.money import money_or_zero, parse_money
 from tillbook.functions.signs import EDIT_RULES, POST_RULES, signed_legs
+from tillbook.operators.commands import in_sequence, one_per_target
 from tillbook.operators.filters import split_valid
 from tillbook.operators.joins import with_commission
 from tillbook.operators.postings import posting, store_and_bank_legs
@@ -99,8 +102,9 @@ def post_account_deposit(cmds: DataFrame) -> dict[str, DataFrame]:
 def receive_remits(rem: DataFrame, cmds: DataFrame) -> DataFrame:
     """Remittances named by ``cmds`` (remesa_id, fecha, usuario_id) become
     'Recibido' with time and user; the state is not checked (as the source
-    update does not check it). Other remittances are unchanged."""
-    c = cmds.select(F.col("remesa_id").alias("_rid"), F.col("fecha").alias("_f"), F.col("usuario_id").alias("_u"))
+    update does not check it), so the last command on a remittance stands.
+    Other remittances are unchanged."""
+    c = one_per_target(cmds.select("remesa_id", "fecha", "usuario_id"), "remesa_id", "fecha", "last").select(F.col("remesa_id").alias("_rid"), F.col("fecha").alias("_f"), F.col("usuario_id").alias("_u"))
     j = rem.join(c, rem.id == c._rid, "left")
     hit = F.col("_rid").isNotNull()
     return j.select(*[F.when(hit, F.lit("Recibido")).otherwise(F.col("estado")).alias(x) if x == "estado"
@@ -189,12 +193,14 @@ def post_treasury_commands(cmds: DataFrame) -> dict[str, DataFrame]:
 def pay_advances(dep: DataFrame, cmds: DataFrame) -> dict[str, DataFrame]:
     """Pay pending advance deposits named by ``cmds`` (deposito_id, ts):
     log 'Pago Depósito Adelantado' (treasury outflow), debt -> 'Pagado'.
-    Commands on debts that are not pending do nothing."""
-    c = cmds.select(F.col("deposito_id").alias("_did"), F.col("ts").alias("_ts"))
+    Commands on debts that are not pending do nothing, so the first command
+    on a debt pays it."""
+    c = one_per_target(cmds.select("deposito_id", "ts"), "deposito_id", "ts").select(F.col("deposito_id").alias("_did"), F.col("ts").alias("_ts"))
     pend = dep.filter(F.col("estado") == "Pendiente")
     j = pend.join(c, pend.id == c._did, "inner")
     log = j.select(F.col("id").alias("comando_id"), F.lit("Pago Depósito Adelantado").alias("tipo"), "monto",
-                   F.coalesce("referencia", F.lit(TREASURY_DEFAULT_REF["pago_adelanto"])).alias("referencia"),
+                   F.coalesce(F.nullif(F.col("referencia"), F.lit("")), F.lit(TREASURY_DEFAULT_REF["pago_adelanto"]))
+                   .alias("referencia"),
                    F.col("_ts").alias("fecha_hora"), "banco_id",
                    F.lit(None).cast("long").alias("banco_destino_id"))
     paid = dep.join(c, dep.id == c._did, "left").select(
@@ -279,7 +285,7 @@ def balance_before(postings: DataFrame, cmds: DataFrame, key: str, ts: str, cuen
                           "monto", "tipo_asiento")
     # strictly before: shift each posting by one microsecond so equal times do not count
     run = run.select(F.col(acc_key).alias(key), (F.col("ts") + F.expr("INTERVAL 1 MICROSECOND")).alias("_ts"),
-                     (F.col("orden").cast("long") * F.lit(10 ** 12) + F.col("fuente_id")).alias("id"), "saldo")
+                     F.struct("orden", "fuente_id").alias("id"), "saldo")
     # the fold is read three times by the as-of join: materialise it once in
     # the shared checkpoint folder (reliable checkpoint, lineage cut)
     run = cut_lineage(run)
@@ -291,11 +297,15 @@ def post_count_adjustment(cmds: DataFrame, balances: DataFrame) -> dict[str, Dat
     """Counted treasury cash per bank (``cmds``: id, ts, banco_id,
     contado [, referencia]). diff = system - counted is logged as an 'Ajuste
     de Cuadre' outflow so that the balance equals the count; diff = 0 logs
-    nothing. ``balances``: (banco_id, saldo) system balances; the reference
-    uses the full-history flow (E17), not snapshot + flow."""
+    nothing. ``balances``: (banco_id, saldo) system balances before the batch;
+    the reference uses the full-history flow (E17), not snapshot + flow. After
+    a count the balance is the counted amount, so a later count of the same
+    bank in the batch is compared with that."""
     b = balances.select(F.col("banco_id").alias("_b"), F.col("saldo").alias("_sys"))
     j = cmds.join(b, cmds.banco_id.eqNullSafe(b._b), "left")
-    diff = (F.coalesce("_sys", _zero()) - F.col("contado")).cast(MONEY_SQL)
+    before = F.lag("contado").over(in_sequence("banco_id", "ts", "id"))
+    j = j.withColumn("_sys", F.coalesce(before, F.col("_sys"), _zero()).cast(MONEY_SQL))
+    diff = (F.col("_sys") - F.col("contado")).cast(MONEY_SQL)
     ref = F.coalesce(F.nullif(F.col("referencia"), F.lit("")), F.lit(COUNT_ADJ_DEFAULT_REF)) if "referencia" in cmds.columns \
         else F.lit(COUNT_ADJ_DEFAULT_REF)
     j = j.withColumn("diferencia", diff).withColumn("_ref", ref)
@@ -303,56 +313,74 @@ def post_count_adjustment(cmds: DataFrame, balances: DataFrame) -> dict[str, Dat
         F.col("id").alias("comando_id"), F.lit("Ajuste de Cuadre").alias("tipo"), F.col("diferencia").alias("monto"),
         F.col("_ref").alias("referencia"), F.col("ts").alias("fecha_hora"), "banco_id",
         F.lit(None).cast("long").alias("banco_destino_id"))
-    return {"log": log, "ajustes": j.select("id", "banco_id", "contado", F.coalesce("_sys", _zero()).alias("sistema"),
+    return {"log": log, "ajustes": j.select("id", "banco_id", "contado", F.col("_sys").alias("sistema"),
                                             "diferencia")}
 
 
 def reverse_transactions(tx: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
-    """Undo both legs of the named transactions and drop them."""
-    hit = tx.join(ids.select(F.col("id").alias("_rid")), tx.id == F.col("_rid"), "inner")
+    """Undo both legs of the named transactions and drop them; an id named
+    more than once is undone once."""
+    named = ids.select(F.col("id").alias("_rid")).distinct()
+    hit = tx.join(named, tx.id == F.col("_rid"), "inner")
     legs = store_and_bank_legs(hit, "fecha_hora", _neg(F.col("monto_efectivo")), _neg(F.col("monto_banco")),
                                "reverso", "id", 3)
-    kept = tx.join(ids.select(F.col("id").alias("_rid")), tx.id == F.col("_rid"), "left_anti")
+    kept = tx.join(named, tx.id == F.col("_rid"), "left_anti")
     return {"postings": legs, "transacciones": kept}
 
 
 def repost_transactions(tx: DataFrame, edits: DataFrame, com: DataFrame) -> dict[str, DataFrame]:
     """Edit (id, monto, referencia, ts): reverse the old legs, apply the
-    edit rule table to the new amount, restamp the time. Negative amounts
-    are rejected (dropped)."""
-    e = edits.filter(F.col("monto") >= 0).select(
+    edit rule table to the new amount, restamp the time. Several edits of one
+    row apply in their order: each reverses the legs that the one before left,
+    and the row ends as the last edit leaves it. Negative and missing amounts
+    are returned as ``rejected``."""
+    ok = F.coalesce(F.col("monto") >= 0, F.lit(False))
+    e = edits.filter(ok).select(
         F.col("id").alias("_eid"), F.col("monto").alias("_m"), F.col("referencia").alias("_ref"), F.col("ts").alias("_ts"))
     j = tx.join(e, tx.id == e._eid, "inner")
     j = with_commission(j, com)
     cash, bank = signed_legs(F.col("tipo"), F.col("_m"), F.col("com_ef"), F.col("com_vi"), EDIT_RULES)
     j = j.withColumn("_new_ef", cash).withColumn("_new_vi", bank)
-    d_ef = (F.col("_new_ef") - F.col("monto_efectivo")).cast(MONEY_SQL)
-    d_vi = (F.col("_new_vi") - F.col("monto_banco")).cast(MONEY_SQL)
+    seq = in_sequence("_eid", "_ts", "_m", "_ref")
+    old_ef = F.coalesce(F.lag("_new_ef").over(seq), F.col("monto_efectivo"))
+    old_vi = F.coalesce(F.lag("_new_vi").over(seq), F.col("monto_banco"))
+    j = (j.withColumn("_old_ef", old_ef).withColumn("_old_vi", old_vi)
+          .withColumn("_final", F.lead(F.lit(1)).over(seq).isNull()))
+    d_ef = (F.col("_new_ef") - F.col("_old_ef")).cast(MONEY_SQL)
+    d_vi = (F.col("_new_vi") - F.col("_old_vi")).cast(MONEY_SQL)
     p = j.select(*posting("_ts", "tienda", F.col("tienda_id"), None, d_ef, "delta", "edicion", "id", 3)).unionByName(
         j.filter(F.col("banco_id").isNotNull()).select(
             *posting("_ts", "banco", F.col("tienda_id"), F.col("banco_id"), d_vi, "delta", "edicion", "id", 3)))
-    new = j.select("id", F.col("_ts").alias("fecha_hora"), "tienda_id", "banco_id", "usuario_id", "tipo",
+    new = j.filter("_final").select("id", F.col("_ts").alias("fecha_hora"), "tienda_id", "banco_id", "usuario_id", "tipo",
                    F.col("_new_ef").alias("monto_efectivo"), F.col("_new_vi").alias("monto_banco"),
                    F.col("com_ef").alias("comision_efectivo"), F.col("com_vi").alias("comision_banco"),
                    F.col("_ref").alias("referencia"))
-    flagged = j.filter(~F.col("tipo").isin(list(EDIT_RULES))).select("id", "tipo", F.lit("tipo_sin_regla").alias("motivo"))
-    return {"postings": p, "transacciones": conform(new, "transacciones"), "flagged": flagged}
+    flagged = j.filter(F.col("_final") & ~F.col("tipo").isin(list(EDIT_RULES))).select("id", "tipo", F.lit("tipo_sin_regla").alias("motivo"))
+    return {"postings": p, "transacciones": conform(new, "transacciones"), "flagged": flagged,
+            "rejected": edits.filter(~ok)}
 
 
 def adjust_expenses(gastos: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
     """Edit (id, monto >= 0 [, descripcion, categoria]) or delete (monto
     NULL) of expenses: bank +old -new (a delete gives the old amount back).
-    Edits with a negative amount are rejected."""
+    Several edits of one expense apply in their order, each against the amount
+    the one before left; after a delete nothing more happens. Edits with a
+    negative amount are rejected."""
     rejected = edits.filter(F.col("monto") < 0)
     e = edits.filter(F.col("monto").isNull() | (F.col("monto") >= 0))
     extra = [c for c in ("descripcion", "categoria") if c in edits.columns]
     e = e.select(F.col("id").alias("_eid"), F.col("monto").alias("_new"), F.col("ts").alias("_ts"),
                  *[F.col(c).alias(f"_n_{c}") for c in extra])
+    seq = in_sequence("_eid", "_ts", "_new", *[f"_n_{c}" for c in extra])
+    gone = F.sum(F.col("_new").isNull().cast("int")).over(seq.rowsBetween(W.unboundedPreceding, -1))
+    e = (e.withColumn("_before", F.lag("_new").over(seq)).withColumn("_gone", F.coalesce(gone, F.lit(0)))
+          .filter("_gone = 0"))
     j = gastos.join(e, gastos.id == e._eid, "inner")
-    delta = (F.col("monto") - F.coalesce(F.col("_new"), _zero())).cast(MONEY_SQL)
+    delta = (F.coalesce("_before", "monto") - F.coalesce(F.col("_new"), _zero())).cast(MONEY_SQL)
     p = j.select(*posting("_ts", "banco", None, F.col("banco_id"), delta, "delta", "gasto_ajuste", "id", 3))
     kept = gastos.join(e.filter(F.col("_new").isNull()), gastos.id == e._eid, "left_anti")
-    upd = kept.join(e, kept.id == e._eid, "left")
+    last = one_per_target(e.drop("_before", "_gone"), "_eid", "_ts", "last")
+    upd = kept.join(last, kept.id == last._eid, "left")
     cols = []
     for x in gastos.columns:
         if x == "monto":
@@ -366,8 +394,8 @@ def adjust_expenses(gastos: DataFrame, edits: DataFrame) -> dict[str, DataFrame]
 
 def reverse_debts(dep: DataFrame, cmds: DataFrame) -> dict[str, DataFrame]:
     """Drop advance deposits; with ``revertir`` the bank amount is taken
-    back (bank -m)."""
-    c = cmds.select(F.col("deposito_id").alias("_did"), F.col("revertir").alias("_rev"), F.col("ts").alias("_ts"))
+    back (bank -m). The first command on a debt drops it."""
+    c = one_per_target(cmds.select("deposito_id", "ts", "revertir"), "deposito_id", "ts").select(F.col("deposito_id").alias("_did"), F.col("revertir").alias("_rev"), F.col("ts").alias("_ts"))
     j = dep.join(c, dep.id == c._did, "inner")
     p = j.filter("_rev").select(*posting("_ts", "banco", None, F.col("banco_id"), _neg(F.col("monto")), "delta",
                                          "reverso_deuda", "id", 3))
@@ -377,15 +405,23 @@ def reverse_debts(dep: DataFrame, cmds: DataFrame) -> dict[str, DataFrame]:
 
 def set_bank_balance(saldos: DataFrame, cmds: DataFrame) -> DataFrame:
     """New opening balance per bank; an explicit current balance is set
-    absolutely, otherwise current += (new opening - old opening)."""
-    c = cmds.select(F.col("banco_id").alias("_b"), F.col("saldo_inicial").alias("_ini"),
-                    F.col("saldo_actual").alias("_act"))
+    absolutely, otherwise current += (new opening - old opening). ``cmds``:
+    banco_id, saldo_inicial, saldo_actual [, ts]. Several commands on a bank
+    apply in the order of ``ts``: the differences of the opening balances add
+    up, so the result is the last explicit balance (or the stored one) plus
+    the last opening balance minus the one that went with it."""
+    order = F.struct(*([F.col("ts")] if "ts" in cmds.columns else []), "saldo_inicial", "saldo_actual")
+    explicit = F.when(F.col("saldo_actual").isNotNull(), order)
+    c = cmds.groupBy(F.col("banco_id").alias("_b")).agg(
+        F.max(order).alias("_last"), F.max(explicit).alias("_set"))
     j = saldos.join(c, saldos.banco_id == c._b, "left")
     hit = F.col("_b").isNotNull()
-    new_cur = F.when(~hit, F.col("saldo")).when(F.col("_act").isNotNull(), F.col("_act")) \
-               .otherwise(F.col("saldo") + (F.col("_ini") - F.coalesce("saldo_inicial", _zero())))
-    return j.select("banco_id", new_cur.cast(MONEY_SQL).alias("saldo"),
-                    F.when(hit, F.col("_ini")).otherwise(F.col("saldo_inicial")).cast(MONEY_SQL).alias("saldo_inicial"))
+    start = F.when(F.col("_set").isNotNull(), F.col("_set.saldo_actual")).otherwise(F.col("saldo"))
+    old = F.when(F.col("_set").isNotNull(), F.col("_set.saldo_inicial")).otherwise(F.col("saldo_inicial"))
+    moved = F.coalesce("_last.saldo_inicial", _zero()) - F.coalesce(old, _zero())
+    return j.select("banco_id", F.when(hit, start + moved).otherwise(F.col("saldo")).cast(MONEY_SQL).alias("saldo"),
+                    F.when(hit, F.col("_last.saldo_inicial")).otherwise(F.col("saldo_inicial")).cast(MONEY_SQL)
+                    .alias("saldo_inicial"))
 
 
 def upsert_commissions(com: DataFrame, changes: DataFrame, epoch: str = "1970-01-01 00:00:00") -> DataFrame:
@@ -402,8 +438,9 @@ def upsert_commissions(com: DataFrame, changes: DataFrame, epoch: str = "1970-01
 
 def merge_users(users: DataFrame, changes: DataFrame) -> DataFrame:
     """insert/update/delete users by username (no passwords): the store
-    is kept only for cashiers; 'admin' cannot be deleted."""
-    ch = changes.select(F.col("username").alias("_un"), F.col("rol").alias("_rol"), F.col("tienda_id").alias("_t"),
+    is kept only for cashiers; 'admin' cannot be deleted. Of several changes to
+    one name the last one (by ``ts`` if given, else id) stands."""
+    ch = one_per_target(changes, "username", "ts" if "ts" in changes.columns else "id", "last").select(F.col("username").alias("_un"), F.col("rol").alias("_rol"), F.col("tienda_id").alias("_t"),
                         F.col("accion").alias("_acc"), F.col("id").alias("_nid"))
     j = users.join(ch, users.username == ch._un, "full_outer")
     delete = (F.col("_acc") == "eliminar") & (F.coalesce(F.col("username"), F.col("_un")) != "admin")

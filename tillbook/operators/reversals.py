@@ -1,19 +1,20 @@
 """Reversals (I18, I23, I24): undo postings of earlier writes and drop the
 reversed rows (left anti joins); matches to the rows a write created use the
-tolerance join D18."""
+tolerance of D18, one to one or reduced per amount, never as pairs of rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillbook.operators.joins import match_tolerance
+from tillbook.operators.commands import one_per_target
+from tillbook.operators.joins import band_join
 from tillbook.operators.postings import posting
 from tillbook.sources.schemas import MONEY_SQL
 
-# Tolerances of the reversal matches and the restock type.
+# Tolerance of the send match and the restock type.
 SEND_MATCH_TOL = 0.1
-HANDOVER_MATCH_TOL = 0.01
 RESTOCK_TYPE = "Resurtido Tesorería"
 
 
@@ -24,12 +25,16 @@ def reverse_treasury_log(log: DataFrame, ids: DataFrame, tx: DataFrame, ts_col:
     Gasto Bancario -> bank +m; Depósito a Banco -> target bank -m; transfers
     -> bank -m only when the transfer added it (log column ``afecta_banco``;
     with ``compat=True`` or without that column, as the source does: bank -m
-    for every transfer row); Envío a Tienda -> the first restock transaction
-    (lowest id) of the same hour with |diff| < 0.1, any store: store cash -m
-    and the transaction is dropped; ``ambiguos`` lists sends with more than
-    one candidate. The log rows are dropped."""
+    for every transfer row); Envío a Tienda -> its restock transaction: store
+    cash -m (the log's amount) and the transaction is dropped. Each send takes
+    a restock of its own, of the same hour and any store: first those of equal
+    amount are paired one to one in id order, then what is left over of nearly
+    equal amount (same 0.1 step, |diff| < 0.1). ``ambiguos`` lists sends with
+    more than one candidate within the tolerance. The log rows are dropped; an
+    id named more than once is reversed once. ``transacciones``: ``tx``
+    without the restocks taken."""
     rev = F.coalesce(F.col("revertir"), F.lit(True)) if "revertir" in ids.columns else F.lit(True)
-    i = ids.select(F.col("id").alias("_rid"), F.col(ts_col).alias("_ts"), rev.alias("_rev"))
+    i = one_per_target(ids.select(F.col("id").alias("_rid"), F.col(ts_col).alias("_ts"), rev.alias("_rev")), "_rid", "_ts")
     kept = log.join(i, log.id == i._rid, "left_anti")
     hit = log.join(i, log.id == i._rid, "inner").filter("_rev")
     t = F.col("tipo")
@@ -45,47 +50,91 @@ def reverse_treasury_log(log: DataFrame, ids: DataFrame, tx: DataFrame, ts_col:
     sends = hit.filter(t == "Envío a Tienda").select("id", "monto", "fecha_hora", "_ts")
     restock = tx.filter(F.col("tipo") == RESTOCK_TYPE).select("id", "tienda_id", F.col("monto_efectivo").alias("monto"),
                                                               "fecha_hora")
-    cands = match_tolerance(sends, restock, "monto", "monto", "fecha_hora", "fecha_hora", SEND_MATCH_TOL)
-    ambiguous = cands.groupBy(F.col("id").alias("log_id")).agg(F.count(F.lit(1)).alias("candidatos")) \
-                     .filter(F.col("candidatos") > 1)
-    mt = match_tolerance(sends, restock, "monto", "monto", "fecha_hora", "fecha_hora", SEND_MATCH_TOL, first=True)
-    p_store = mt.select(*posting("_ts", "tienda", F.col("m_tienda_id"), None, (-F.col("m_monto")).cast(MONEY_SQL),
-                                 "delta", "reverso_tesoreria", "id", 3))
-    matched = mt.select(F.col("id").alias("log_id"), F.col("m_id").alias("transaccion_id"))
-    return {"postings": p_bank.unionByName(p_store), "matched": matched, "log": kept, "ambiguos": ambiguous}
+    # candidates per amount, counted on distinct amounts
+    per = lambda df, n: df.groupBy(F.date_trunc("hour", "fecha_hora").alias("_hr"), F.col("monto").alias("_am")) \
+        .agg(F.count(F.lit(1)).alias(n))
+    width = F.lit(SEND_MATCH_TOL).cast("decimal(18,6)")
+    counts = (band_join(per(sends, "_sends").drop("_sends"), per(restock, "_n"), ["_hr"], width, SEND_MATCH_TOL)
+              .groupBy("_hr", "_am").agg(F.sum("_n").alias("candidatos")).filter("candidatos > 1"))
+    ambiguous = sends.join(counts, (F.date_trunc("hour", sends.fecha_hora) == counts._hr) & (sends.monto == counts._am)) \
+                     .select(F.col("id").alias("log_id"), "candidatos")
+    exact = pair_in_order(sends, restock, F.col("monto"))
+    left_s = sends.join(exact, sends.id == exact.log_id, "left_anti")
+    left_r = restock.join(exact, restock.id == exact.transaccion_id, "left_anti")
+    near = pair_in_order(left_s, left_r, F.floor(F.col("monto") / width)) \
+        .filter(F.abs(F.col("monto") - F.col("m_monto")) < F.lit(SEND_MATCH_TOL))
+    mt = exact.unionByName(near)
+    p_store = mt.select(*posting("_ts", "tienda", F.col("m_tienda_id"), None, (-F.col("monto")).cast(MONEY_SQL),
+                                 "delta", "reverso_tesoreria", "log_id", 3))
+    matched = mt.select("log_id", "transaccion_id")
+    rest = tx.join(matched.select(F.col("transaccion_id").alias("_t")), tx.id == F.col("_t"), "left_anti")
+    return {"postings": p_bank.unionByName(p_store), "matched": matched, "log": kept, "ambiguos": ambiguous,
+            "transacciones": rest}
+
+
+def pair_in_order(sends: DataFrame, restock: DataFrame, amount) -> DataFrame:
+    """Pairs the n-th send with the n-th restock (by id) of the same hour and
+    ``amount`` value: one to one, so the result is no larger than the input."""
+    nth = F.row_number().over(W.partitionBy("_hr", "_am").orderBy("id"))
+    hour = F.date_trunc("hour", "fecha_hora").alias("_hr")
+    a = sends.select(F.col("id"), "monto", "_ts", hour, amount.alias("_am")).withColumn("_n", nth)
+    b = restock.select("id", "tienda_id", "monto", hour, amount.alias("_am")).withColumn("_n", nth) \
+               .select("_hr", "_am", "_n", F.col("id").alias("transaccion_id"), F.col("tienda_id").alias("m_tienda_id"),
+                       F.col("monto").alias("m_monto"))
+    return a.join(b, ["_hr", "_am", "_n"], "inner").select(F.col("id").alias("log_id"), "monto", "_ts", "transaccion_id",
+                                                           "m_tienda_id", "m_monto")
 
 
 def reverse_remits(rem: DataFrame, cmds: DataFrame, tx: DataFrame) -> dict[str, DataFrame]:
     """Drop remittances (``cmds``: remesa_id, revertir, ts); with
     ``revertir`` the cash goes back to the store (+m) and every handover
-    transaction of the same store and hour with |diff| < 0.01 is dropped."""
-    c = cmds.select(F.col("remesa_id").alias("_rid"), F.col("revertir").alias("_rev"), F.col("ts").alias("_ts"))
+    transaction of the same store and hour whose cash is minus the amount
+    (|diff| < 0.01, that is equal cents) is dropped. ``matched``: one row per
+    dropped transaction with the first reversal that meets it (command time,
+    then id); ``transacciones``: those that stay. The first command on a
+    remittance drops it."""
+    c = one_per_target(cmds.select("remesa_id", "ts", "revertir"), "remesa_id", "ts").select(
+        F.col("remesa_id").alias("_rid"), F.col("revertir").alias("_rev"), F.col("ts").alias("_ts"))
     hit = rem.join(c, rem.id == c._rid, "inner")
     rev = hit.filter("_rev")
     p = rev.select(*posting("_ts", "tienda", F.col("tienda_id"), None, F.col("monto"), "delta", "reverso_remesa", "id", 3))
-    hand = tx.filter(F.col("tipo") == "Efectivo Entregado").select("id", "tienda_id", "fecha_hora",
-                                                                 F.abs("monto_efectivo").alias("monto"))
-    mt = match_tolerance(rev.select("id", "tienda_id", "monto", "fecha_envio"), hand, "monto", "monto", "fecha_envio",
-                         "fecha_hora", HANDOVER_MATCH_TOL, keys=["tienda_id"])
-    matched = mt.select(F.col("id").alias("remesa_id"), F.col("m_id").alias("transaccion_id"))
+    taken = (rev.groupBy(F.col("tienda_id").alias("_t"), F.date_trunc("hour", "fecha_envio").alias("_hr"),
+                         F.col("monto").alias("_am"))
+                .agg(F.min(F.struct("_ts", "id"))["id"].alias("remesa_id")))
+    hand = tx.filter(F.col("tipo") == "Efectivo Entregado").select(
+        F.col("id").alias("transaccion_id"), F.col("tienda_id").alias("_t"),
+        F.date_trunc("hour", "fecha_hora").alias("_hr"), (-F.col("monto_efectivo")).cast(MONEY_SQL).alias("_am"))
+    matched = hand.join(taken, ["_t", "_hr", "_am"], "inner").select("remesa_id", "transaccion_id")
+    rest = tx.join(matched.select(F.col("transaccion_id").alias("_x")), tx.id == F.col("_x"), "left_anti")
     kept = rem.join(c, rem.id == c._rid, "left_anti")
-    return {"postings": p, "matched": matched, "remesas": kept}
+    return {"postings": p, "matched": matched, "remesas": kept, "transacciones": rest}
 
 
 def reverse_closings(ci: DataFrame, ap: DataFrame, rem: DataFrame, cmds: DataFrame) -> dict[str, DataFrame]:
     """Undo closings (``cmds``: cierre_id, ts): store cash := the
     closing's theoretical balance (a ``set`` posting), the store's latest
     closed opening is reopened, the closing is dropped, and the store's
-    Pendiente remittances sent on the command's day are dropped."""
-    c = cmds.select(F.col("cierre_id").alias("_cid"), F.col("ts").alias("_ts"))
+    Pendiente remittances sent on the command's day are dropped. With several
+    closings of a store the n-th reversal finds the n-th latest closed opening
+    (those before it are open again by then). ``aperturas`` and ``remesas``:
+    the tables after the reversal."""
+    c = one_per_target(cmds.select("cierre_id", "ts"), "cierre_id", "ts").select(
+        F.col("cierre_id").alias("_cid"), F.col("ts").alias("_ts"))
     hit = ci.join(c, ci.id == c._cid, "inner")
     p = hit.select(*posting("_ts", "tienda", F.col("tienda_id"), None, F.col("saldo_teorico"), "set",
                             "reverso_cierre", "id", 3))
-    stores = hit.select(F.col("tienda_id").alias("_st"), F.to_date("_ts").alias("_day")).distinct()
-    closed = ap.filter(F.col("estado") == "Cerrada")
-    reopen = (closed.join(stores.select("_st").distinct(), closed.tienda_id == F.col("_st"), "inner")
-              .groupBy("tienda_id").agg(F.max("id").alias("apertura_id")))
-    drop_rem = rem.filter(F.col("estado") == "Pendiente").join(
-        stores, (rem.tienda_id == stores._st) & (F.to_date("fecha_envio") == stores._day), "left_semi")
+    per_store = hit.groupBy(F.col("tienda_id").alias("_st")).agg(F.count(F.lit(1)).alias("_closings"))
+    closed = ap.filter(F.col("estado") == "Cerrada").select(
+        "tienda_id", F.col("id").alias("apertura_id"),
+        F.row_number().over(W.partitionBy("tienda_id").orderBy(F.desc("id"))).alias("_n"))
+    reopen = (closed.join(per_store, closed.tienda_id == per_store._st, "inner").filter("_n <= _closings")
+              .select("tienda_id", "apertura_id"))
+    again = reopen.select(F.col("apertura_id").alias("_again"))
+    openings = ap.join(again, ap.id == F.col("_again"), "left").select(
+        *[F.when(F.col("_again").isNotNull(), F.lit("Abierta")).otherwise(F.col(x)).alias(x) if x == "estado" else F.col(x)
+          for x in ap.columns])
+    days = hit.select(F.col("tienda_id").alias("_st"), F.to_date("_ts").alias("_day")).distinct()
+    sent = (rem.estado == "Pendiente") & (rem.tienda_id == days._st) & (F.to_date(rem.fecha_envio) == days._day)
     kept_ci = ci.join(c, ci.id == c._cid, "left_anti")
-    return {"postings": p, "reabrir": reopen, "remesas_eliminadas": drop_rem, "cierres": kept_ci}
+    return {"postings": p, "reabrir": reopen, "remesas_eliminadas": rem.join(days, sent, "left_semi"), "cierres": kept_ci,
+            "aperturas": openings, "remesas": rem.join(days, sent, "left_anti")}

@@ -65,21 +65,24 @@ def repair_null_bank(tx: DataFrame, rem: DataFrame, bank_id: int) -> dict[str, D
 def latest_state_reset(L, scope: str) -> dict[str, DataFrame]:
     """Reset as an epoch cut, written to a new path by the caller.
 
-    * ``operational``: dimensions kept, store cash and bank balances zeroed,
-      transactions, openings, closings and remittances dropped (treasury
-      snapshots, log and debts are kept).
-    * ``treasury``: treasury log, snapshots and debts dropped; remittances
-      kept only while Pendiente."""
+    * ``operational``: dimensions kept, store cash and bank balances (current
+      and opening) zeroed, transactions, openings, closings, remittances,
+      treasury log and expenses dropped (treasury snapshots and debts are
+      kept).
+    * ``treasury``: treasury log, snapshots and debts dropped, bank balances
+      zeroed; remittances kept only while Pendiente."""
     out = dict(L.items()) if hasattr(L, "items") else dict(L.tables())
     empty = lambda t: out[t].limit(0)
+    zero = F.lit(0).cast(MONEY_SQL)
     if scope == "operational":
         out["tiendas"] = out["tiendas"].withColumn("efectivo_actual", F.lit(0).cast(MONEY_SQL))
-        out["saldos_bancarios"] = out["saldos_bancarios"].withColumn("saldo", F.lit(0).cast(MONEY_SQL))
-        for t in ("transacciones", "aperturas_caja", "cierres_caja", "remesas"):
+        out["saldos_bancarios"] = out["saldos_bancarios"].withColumn("saldo", zero).withColumn("saldo_inicial", zero)
+        for t in ("transacciones", "aperturas_caja", "cierres_caja", "remesas", "tesoreria_log", "gastos"):
             out[t] = empty(t)
     elif scope == "treasury":
         for t in ("tesoreria_log", "cierres_tesoreria", "depositos_adelantados"):
             out[t] = empty(t)
+        out["saldos_bancarios"] = out["saldos_bancarios"].withColumn("saldo", zero)
         out["remesas"] = out["remesas"].filter(F.col("estado") == "Pendiente")
     else:
         raise ValueError(f"unknown reset scope {scope!r}")

@@ -14,7 +14,7 @@ from tillbook.functions.balances import OTHERS_KEY, balance_map, map_amount, map
 from tillbook.functions.forms import melt_form
 from tillbook.functions.timeparse import ts_literal
 from tillbook.operators.aggregations import global_bank_position, net_since_opening, treasury_flow
-from tillbook.operators.joins import bounded_keys
+from tillbook.operators.joins import id_array
 from tillbook.operators.setops import append_treasury_row
 from tillbook.operators.windows import last_treasury_closing, latest_by_id
 from tillbook.sources.schemas import MONEY_SQL
@@ -37,11 +37,9 @@ def _m(c: Column) -> Column:
 
 
 def _bank_grid(tiendas: DataFrame, bancos: DataFrame) -> DataFrame:
-    """(tienda_id, banco_id) for every store and bank: the bounded bank list
+    """(tienda_id, banco_id) for every store and bank: the array of bank ids
     is exploded on the store rows (no join)."""
-    ids = bounded_keys(bancos, "id")
-    return tiendas.select(F.col("id").alias("tienda_id"),
-                          F.explode(F.array(*[F.lit(b).cast("long") for b in ids])).alias("banco_id"))
+    return tiendas.select(F.col("id").alias("tienda_id"), F.explode(id_array(bancos)).alias("banco_id"))
 
 
 def _store_parts(L) -> tuple[DataFrame, DataFrame]:
@@ -117,12 +115,11 @@ def audit_matrix(L) -> DataFrame:
     return append_treasury_row(store_rows, teso)
 
 
-def audit_matrix_wide(L) -> DataFrame:
-    """H1 wide form: one row per matrix row, one column per bank (pivot on the
-    bounded bank list)."""
+def audit_matrix_wide(L, bank_ids: list[int]) -> DataFrame:
+    """H1 wide form: one row per matrix row, one column per bank of
+    ``bank_ids`` (a wide table has its columns named by the caller)."""
     m = audit_matrix(L)
-    ids = bounded_keys(L["bancos"], "id")
-    return m.groupBy("fila", "nombre", "efectivo").pivot("banco_id", ids).agg(F.first("total_banco"))
+    return m.groupBy("fila", "nombre", "efectivo").pivot("banco_id", bank_ids).agg(F.first("total_banco"))
 
 
 def store_reference(L) -> DataFrame:
@@ -242,7 +239,7 @@ def apply_initial_config(forms: DataFrame, L) -> DataFrame:
     and ``monto_banco_<t>_<b>`` fields."""
     long = melt_form(forms, ["form_id"])
     cash = long.filter(F.col("campo") == "monto_efectivo").groupBy("form_id", "tienda_key") \
-               .agg(F.last("monto").alias("nuevo_total"))
+               .agg(F.max("monto").alias("nuevo_total"))  # a form names a store's cash once
     banks = long.filter(F.col("campo") == "monto_banco").select(
         "form_id", "tienda_key", F.col("banco_key").alias("bal_key"), F.col("monto").alias("bal_amount"))
     bj = snapshot_json(banks, ["form_id", "tienda_key"], "bal_key", "bal_amount", "nuevo_json")

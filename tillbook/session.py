@@ -17,16 +17,14 @@ def build_session(master: str | None = None, app: str = "tillbook",
     * AQE on, with skew-join splitting and partition coalescing, so a hot
       store or bank is split at run time instead of landing in one task.
     * UI off (no server is started).
+
+    ``master`` and ``shuffle_partitions`` are left to the cluster unless given.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(cpus)
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -34,6 +32,10 @@ def build_session(master: str | None = None, app: str = "tillbook",
         .config("spark.driver.memory", os.environ.get("TILLBOOK_DRIVER_MEM", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -41,12 +43,15 @@ def build_session(master: str | None = None, app: str = "tillbook",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) create a private scratch folder for it."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a
+    local session gets a private scratch folder; a cluster session is refused,
+    since executors would each write to a folder of their own."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tillbook-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

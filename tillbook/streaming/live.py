@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillbook.functions.signs import POST_RULES, signed_legs
+from tillbook.operators.commands import one_per_target
 from tillbook.operators.joins import with_commission
 from tillbook.operators.postings import store_and_bank_legs
 from tillbook.session import ensure_checkpoint_dir
@@ -39,27 +40,50 @@ def wall_time(instant) -> "F.Column":
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
-def table_stream(spark: SparkSession, folder: str, table: str, max_files: int = 1) -> DataFrame:
-    """File stream of one table's parquet files in ``folder`` (new files are
-    picked up as they land)."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-                 .option("maxFilesPerTrigger", max_files).parquet(folder))
+def table_stream(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
+    """File stream of one table (a file, or a folder of part files; new files
+    are picked up as they land). ``max_files`` bounds the files of one
+    micro-batch; unset, a catch-up run takes all that is there."""
+    path = f"{folder.rstrip('/')}/{table}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
-def stream_post(cmd_stream: DataFrame, com: DataFrame, dedup_delay: str = "1 hour") -> DataFrame:
-    """I1 on a command stream. The rule table is a static side of a
-    stream-static join; commands are de-duplicated by id within the
-    watermark (at-least-once sources may replay them)."""
-    c = (event_time(cmd_stream).withWatermark("_evt", dedup_delay)
-         .dropDuplicatesWithinWatermark(["id"]).drop("_evt"))
-    c = c.filter(F.col("monto") > 0)
-    c = with_commission(c, com)
+def post_commands(cmds: DataFrame, com: DataFrame) -> DataFrame:
+    """J3 rule: the I1 postings of valid commands."""
+    c = with_commission(cmds.filter(F.col("monto") > 0), com)
     cash, bank = signed_legs(F.col("tipo"), F.col("monto"), F.col("com_ef"), F.col("com_vi"), POST_RULES)
     c = c.withColumn("monto_efectivo", cash).withColumn("monto_banco", bank)
     return store_and_bank_legs(c, "fecha_hora", F.col("monto_efectivo"), F.col("monto_banco"), "transaccion", "id", 1)
 
 
+def run_post(cmd_stream: DataFrame, com: DataFrame, path: str, trigger: dict | None = None) -> StreamingQuery:
+    """I1 on a command stream. Every distinct command is posted exactly
+    once, however late or out of order it arrives: there is no watermark on
+    this path. A micro-batch keeps one row per id and drops the ids of earlier
+    batches (an anti-join with the narrow table of ids already taken). Each
+    batch writes folders of its own (``lote=<epoch>``) and overwrites them when
+    it is replayed after a failure, so a replay changes nothing. ``path`` gets
+    ``postings``, ``rechazados`` (amounts that are not > 0) and ``ids``."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        one = one_per_target(batch, "id", "fecha_hora")
+        if epoch > 0:
+            taken = spark.read.schema("id long, lote long").parquet(f"{path}/ids").filter(F.col("lote") < epoch)
+            one = one.join(taken.select("id"), "id", "left_anti")
+        new = f"{path}/nuevos/lote={epoch}"
+        one.write.mode("overwrite").parquet(new)
+        one = spark.read.schema(one.schema).parquet(new)
+        post_commands(one, com).write.mode("overwrite").parquet(f"{path}/postings/lote={epoch}")
+        one.filter(~F.coalesce(F.col("monto") > 0, F.lit(False))) \
+           .write.mode("overwrite").parquet(f"{path}/rechazados/lote={epoch}")
+        one.select("id").write.mode("overwrite").parquet(f"{path}/ids/lote={epoch}")
+    return (cmd_stream.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
+                      .trigger(**(trigger or CATCH_UP_TRIGGER)).start())
+
+
 def stream_daily_flow(tx_stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Per business day and type, cash in / out, with a watermark so late
     rows have a policy (rows later than ``delay`` are dropped, a day is
@@ -94,20 +118,23 @@ def stream_pending_state(rem_stream: DataFrame) -> DataFrame:
 def run_changes(state: DataFrame, path: str, trigger: dict | None = None) -> StreamingQuery:
     """J2 sink: after each micro-batch the new state is compared with the
     last emitted one (a full outer join of the two one-row snapshots); a
-    change row is appended only when the count or the head id changed."""
+    change row is written only when the count or the head id changed. Each
+    batch writes folders of its own (``lote=<epoch>``) and is compared with the
+    last epoch before it, so a replayed batch writes the same rows again
+    instead of adding some."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            prev = spark.read.parquet(path + "/state")
-        except Exception:  # noqa: BLE001 - first batch: no state yet
-            prev = batch.limit(0)
-        cur = batch.select(F.lit(1).alias("_k"), "pendientes", "primer_id")
+        now = f"{path}/state/lote={epoch}"
+        batch.select("pendientes", "primer_id").write.mode("overwrite").parquet(now)
+        cur = spark.read.schema("pendientes long, primer_id long").parquet(now).withColumn("_k", F.lit(1))
+        states = spark.read.schema("pendientes long, primer_id long, lote long").parquet(f"{path}/state")
+        prev = states.filter(F.col("lote") < epoch).agg(F.max_by(F.struct("pendientes", "primer_id"), "lote").alias("_p")) \
+                     .filter(F.col("_p").isNotNull()).select("_p.*")
         old = prev.select(F.lit(1).alias("_k"), F.col("pendientes").alias("_p0"), F.col("primer_id").alias("_i0"))
         diff = cur.join(old, "_k", "full_outer").filter(
             ~F.col("pendientes").eqNullSafe(F.col("_p0")) | ~F.col("primer_id").eqNullSafe(F.col("_i0")))
         diff.select(F.lit(epoch).cast("long").alias("epoch"), "pendientes", "primer_id") \
-            .write.mode("append").parquet(path + "/changes")
-        cur.drop("_k").write.mode("overwrite").parquet(path + "/state")
+            .write.mode("overwrite").parquet(f"{path}/changes/lote={epoch}")
     return (state.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
                  .outputMode("complete").trigger(**(trigger or CATCH_UP_TRIGGER)).start())
 
@@ -127,9 +154,17 @@ def run_append(df: DataFrame, path: str, trigger: dict | None = None) -> Streami
 
 
 def run_snapshot(df: DataFrame, path: str, mode: str = "complete", trigger: dict | None = None) -> StreamingQuery:
-    """Write each micro-batch result of a stateful aggregation as the new
-    version of a parquet table (foreachBatch, overwrite)."""
+    """Write each micro-batch result of a stateful aggregation as a new
+    version of a parquet table (``lote=<epoch>``): readers of the version
+    before are not disturbed, a replay overwrites its own version only.
+    ``latest_snapshot`` reads the newest one."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path + "/data")
+        batch.write.mode("overwrite").parquet(f"{path}/data/lote={epoch}")
     return (df.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
               .outputMode(mode).trigger(**(trigger or CATCH_UP_TRIGGER)).start())
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version written by ``run_snapshot``."""
+    data = spark.read.parquet(path + "/data")
+    return data.filter(F.col("lote") == data.agg(F.max("lote")).scalar()).drop("lote")
