@@ -48,7 +48,9 @@ def table_stream(spark: SparkSession, folder: str, table: str, max_files: int |
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    # a stream takes a plain path as a folder only; this glob matches that one
+    # path, be it a file or a folder
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def post_commands(cmds: DataFrame, com: DataFrame) -> DataFrame:
