@@ -22,7 +22,7 @@ JV = "CASE WHEN json_valid({c}) THEN {c} ELSE '{{}}' END"
 JGET = "COALESCE(TRY_CAST(json_extract_string({j}, '$.\"' || {k} || '\"') AS DECIMAL(18,2)), 0)"
 
 AUDIT_CTES = f"""
-last_ap AS (SELECT * FROM aperturas_caja WHERE id IN (SELECT MAX(id) FROM aperturas_caja GROUP BY tienda_id)),
+last_ap AS (SELECT DISTINCT ON (tienda_id) * FROM aperturas_caja ORDER BY tienda_id, id DESC),
 ap_json AS (SELECT tienda_id, id AS apertura_id, estado, saldo_inicial_efectivo,
                    {JV.format(c='saldos_bancos_json')} AS jj FROM last_ap),
 ap_tot AS (SELECT a.tienda_id, COALESCE(SUM({JGET.format(j='a.jj', k='u.k')}), 0) AS sum_ini
@@ -67,7 +67,7 @@ matrix AS (
   SELECT 'tesoreria', '📦 Tesorería Central', banco_id, CAST(base + flujo AS DECIMAL(18,2)),
          (SELECT CAST(SUM(base + flujo) AS DECIMAL(18,2)) FROM tcells)
   FROM tcells WHERE banco_id IS NOT NULL),
-last_ci AS (SELECT * FROM cierres_caja WHERE id IN (SELECT MAX(id) FROM cierres_caja GROUP BY tienda_id)),
+last_ci AS (SELECT DISTINCT ON (tienda_id) * FROM cierres_caja ORDER BY tienda_id, id DESC),
 refs AS (
   SELECT s.tienda_id, s.tienda_nombre, s.efectivo_actual, s.estado_caja,
          CASE WHEN s.estado_caja = 'Cerrada' THEN lc.id END AS cierre_id, s.efectivo AS total_esperado_tienda,

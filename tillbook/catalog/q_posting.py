@@ -57,9 +57,9 @@ def i3(spark, d):
 SELECT id, tienda_id, monto, fecha_envio, CASE WHEN estado = 'Pendiente' THEN 'Recibido' ELSE estado END AS estado, banco_id,
   CASE WHEN estado = 'Pendiente' THEN fecha_envio + INTERVAL 2 HOUR ELSE fecha_recepcion END AS fecha_recepcion,
   CASE WHEN estado = 'Pendiente' THEN CAST(0 AS BIGINT) ELSE usuario_recibe_id END AS usuario_recibe_id, observaciones
-FROM remesas WHERE id IS NOT NULL""")
+FROM remesas""")
 def i5(spark, d):
-    rem = Ledger(spark, d)["remesas"].filter(F.col("id").isNotNull())
+    rem = Ledger(spark, d)["remesas"]
     cmds = rem.filter(F.col("estado") == "Pendiente").select(
         F.col("id").alias("remesa_id"), (F.col("fecha_envio") + F.expr("INTERVAL 2 HOURS")).alias("fecha"),
         F.lit(0).cast("long").alias("usuario_id"))

@@ -60,12 +60,12 @@ def i23b(spark, d):
 
 
 REV_REM_SQL = """
-rv AS (SELECT * FROM remesas WHERE id IS NOT NULL AND estado = 'Pendiente')"""
+rv AS (SELECT * FROM remesas WHERE estado = 'Pendiente')"""
 
 
 def _rev_rem(spark, d):
     L = Ledger(spark, d)
-    rem = L["remesas"].filter(F.col("id").isNotNull())
+    rem = L["remesas"]
     cmds = rem.select(F.col("id").alias("remesa_id"), (F.col("estado") == "Pendiente").alias("revertir"),
                       (F.col("fecha_envio") + F.expr("INTERVAL 1 DAYS")).alias("ts"))
     return R.reverse_remits(rem, cmds, L["transacciones"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillbook.catalog import register
 from tillbook.catalog.q_posting import POSTED_SQL
-from tillbook.sources.fixtures import commands_from_events
+from tillbook.sources.fixtures import commands_from_events, remits_from_lines
 from tillbook.sources.store import StoredLedger as Ledger
 from tillbook.streaming import live as J
 
@@ -46,12 +46,14 @@ def j1(spark, d):
 
 @register("j2_stream_pending_changes", """
 SELECT CAST(0 AS BIGINT) AS epoch, COUNT(*) AS pendientes, arg_max(id, (fecha_envio, id)) AS primer_id
-FROM remesas WHERE estado = 'Pendiente' AND id IS NOT NULL""")
+FROM remesas WHERE estado = 'Pendiente'""")
 def j2(spark, d):
     cmds = commands_from_events(_events_stream(spark, d)).filter(F.col("tipo") == "Efectivo Entregado")
     odd = F.col("id") % 2 == 1
     rem = cmds.select("id", F.col("fecha_hora").alias("fecha_envio"),
                       F.when(odd, "Recibido").otherwise("Pendiente").alias("estado"))
+    lines = remits_from_lines(J.table_stream(spark, d, "lineitem"))
+    rem = rem.unionByName(lines.select(*rem.columns))
     out = J.scratch_path(spark, "j2")
     q = J.run_changes(J.stream_pending_state(rem), out)
     q.awaitTermination()

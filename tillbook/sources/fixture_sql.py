@@ -101,7 +101,8 @@ cierres_caja AS (
                    WHEN 0 THEN 5 WHEN 1 THEN -5 ELSE 0 END AS off FROM closing_days) k
   LEFT JOIN store_cashier c ON k.tienda_id = c.tienda_id),
 remesas AS (
-  SELECT CAST(NULL AS BIGINT) AS id, CAST(l_suppkey % 25 AS BIGINT) AS tienda_id,
+  SELECT CAST('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15) AS BIGINT) AS id,
+         CAST(l_suppkey % 25 AS BIGINT) AS tienda_id,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS monto, l_shipdate AS fecha_envio,
          CASE WHEN l_returnflag <> 'R' THEN 'Recibido' ELSE 'Pendiente' END AS estado,
          CAST(NULLIF(l_partkey % 6, 5) AS BIGINT) AS banco_id,

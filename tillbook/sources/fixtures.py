@@ -54,6 +54,23 @@ def _day_index(d: Column) -> Column:
     return F.datediff(d, F.lit("1970-01-01").cast("date")).cast("long")
 
 
+def remits_from_lines(li: DataFrame) -> DataFrame:
+    """Remittances of the line items. A line is identified by order, line,
+    part and supplier; the id is the first 60 bits of the MD5 of those."""
+    received = F.col("l_returnflag") != "R"
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return li.select(
+        F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("long").alias("id"),
+        (F.col("l_suppkey") % N_STORES).alias("tienda_id"),
+        _money(F.col("l_extendedprice")).alias("monto"), F.col("l_shipdate").alias("fecha_envio"),
+        F.when(received, "Recibido").otherwise("Pendiente").alias("estado"),
+        F.nullif(F.col("l_partkey") % BANK_MOD, F.lit(NULL_BANK_VALUE)).alias("banco_id"),
+        F.when(received, F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_linenumber")))
+         .alias("fecha_recepcion"),
+        F.lit(None).cast("long").alias("usuario_recibe_id"),
+        F.concat(F.lit("Remesa "), F.col("l_orderkey").cast("string")).alias("observaciones"))
+
+
 class Ledger:
     """Lazy ledger tables over one driver directory (one DataFrame each)."""
 
@@ -191,17 +208,7 @@ class Ledger:
         return conform(df, "cierres_caja")
 
     def _remesas(self) -> DataFrame:
-        li = self.raw("lineitem")
-        received = F.col("l_returnflag") != "R"
-        from_lines = li.select(
-            F.lit(None).cast("long").alias("id"), (F.col("l_suppkey") % N_STORES).alias("tienda_id"),
-            _money(F.col("l_extendedprice")).alias("monto"), F.col("l_shipdate").alias("fecha_envio"),
-            F.when(received, "Recibido").otherwise("Pendiente").alias("estado"),
-            F.nullif(F.col("l_partkey") % BANK_MOD, F.lit(NULL_BANK_VALUE)).alias("banco_id"),
-            F.when(received, F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_linenumber")))
-             .alias("fecha_recepcion"),
-            F.lit(None).cast("long").alias("usuario_recibe_id"),
-            F.concat(F.lit("Remesa "), F.col("l_orderkey").cast("string")).alias("observaciones"))
+        from_lines = remits_from_lines(self.raw("lineitem"))
         odd = F.col("id") % 2 == 1
         handovers = self.commands().filter(F.col("tipo") == "Efectivo Entregado").select(
             "id", "tienda_id", "monto", F.col("fecha_hora").alias("fecha_envio"),
