@@ -129,3 +129,12 @@ def test_resets_zero_and_empty(spark):
     tr = latest_state_reset(L, "treasury")
     assert [(r.saldo, r.saldo_inicial) for r in tr["saldos_bancarios"].collect()] == [(D("0"), D("6"))]
     assert tr["gastos"].count() == 1
+
+
+def test_totals_wider_than_one_amount(spark):
+    from tillbook.operators.aggregations import outstanding_debt_total, pending_remits_by_bank
+    big = D("9999999999999999.99")
+    rem = table(spark, "remesas", [{"id": i, "monto": big, "estado": "Pendiente"} for i in range(5)])
+    assert pending_remits_by_bank(rem).collect()[0].total_remesa == 5 * big
+    dep = table(spark, "depositos_adelantados", [{"id": i, "monto": big, "estado": "Pendiente"} for i in range(5)])
+    assert outstanding_debt_total(dep).collect()[0].deuda_total == 5 * big

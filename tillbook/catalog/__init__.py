@@ -35,7 +35,7 @@ def register(name: str, oracle: str | None = None, extra_ctes: str = "", raw_sql
 def load_all() -> None:
     from tillbook.catalog import (  # noqa: F401
         q_sources, q_cleaning, q_filters, q_joins, q_aggregations, q_windows,
-        q_setops, q_composite, q_posting, q_reversals, q_streaming, q_contracts,
+        q_setops, q_composite, q_posting, q_sequences, q_reversals, q_streaming, q_contracts,
     )
 
 

@@ -22,7 +22,7 @@ transit AS (
   SELECT SUM(monto_efectivo) FILTER (tipo = 'Retiro' AND banco_id IS NULL) AS out_cash,
          SUM(ABS(monto_efectivo)) FILTER (tipo = 'Depósito Cuenta') AS deposited FROM transacciones),
 transit_total AS (
-  SELECT CAST(ABS(ifnull(out_cash, 0)) - ifnull(deposited, 0) AS DECIMAL(18,2)) AS transito FROM transit)"""
+  SELECT CAST(ABS(ifnull(out_cash, 0)) - ifnull(deposited, 0) AS DECIMAL(38,2)) AS transito FROM transit)"""
 
 
 @register("e1_expenses_by_bank", """
@@ -38,15 +38,15 @@ def e2(spark, d):
 
 
 @register("e3_pending_remits_by_bank", """
-SELECT banco_id, CAST(SUM(monto) AS DECIMAL(18,2)) AS total_remesa FROM remesas
+SELECT banco_id, CAST(SUM(monto) AS DECIMAL(38,2)) AS total_remesa FROM remesas
 WHERE estado = 'Pendiente' GROUP BY banco_id""")
 def e3a(spark, d):
     return E.pending_remits_by_bank(Ledger(spark, d)["remesas"])
 
 
 @register("e3_total_in_transit", """
-SELECT transito, pendiente, CAST(transito + pendiente AS DECIMAL(18,2)) AS en_transito
-FROM transit_total, (SELECT CAST(ifnull(SUM(monto) FILTER (estado = 'Pendiente'), 0) AS DECIMAL(18,2)) AS pendiente
+SELECT transito, pendiente, CAST(transito + pendiente AS DECIMAL(38,2)) AS en_transito
+FROM transit_total, (SELECT CAST(ifnull(SUM(monto) FILTER (estado = 'Pendiente'), 0) AS DECIMAL(38,2)) AS pendiente
                      FROM remesas)""", extra_ctes=TRANSIT_SQL)
 def e3b(spark, d):
     L = Ledger(spark, d)
@@ -196,7 +196,7 @@ def e19(spark, d):
 
 
 @register("e15_outstanding_debt_total", """
-SELECT CAST(COALESCE(SUM(monto), 0) AS DECIMAL(18,2)) AS deuda_total FROM depositos_adelantados
+SELECT CAST(COALESCE(SUM(monto), 0) AS DECIMAL(38,2)) AS deuda_total FROM depositos_adelantados
 WHERE estado = 'Pendiente'""")
 def e15(spark, d):
     return E.outstanding_debt_total(Ledger(spark, d)["depositos_adelantados"])

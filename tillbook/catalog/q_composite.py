@@ -103,8 +103,8 @@ def c10(spark, d):
 
 
 @register("e13_audit_totals", """
-SELECT CAST(banco_id AS VARCHAR) AS columna, CAST(SUM(total_banco) AS DECIMAL(18,2)) AS total FROM matrix GROUP BY banco_id
-UNION ALL SELECT 'efectivo', CAST(SUM(efectivo) AS DECIMAL(18,2)) FROM (SELECT DISTINCT fila, efectivo FROM matrix) x""",
+SELECT CAST(banco_id AS VARCHAR) AS columna, CAST(SUM(total_banco) AS DECIMAL(38,2)) AS total FROM matrix GROUP BY banco_id
+UNION ALL SELECT 'efectivo', CAST(SUM(efectivo) AS DECIMAL(38,2)) FROM (SELECT DISTINCT fila, efectivo FROM matrix) x""",
           extra_ctes=AUDIT_CTES)
 def e13(spark, d):
     return E.audit_totals(H.audit_matrix(Ledger(spark, d)))
@@ -130,12 +130,14 @@ def h4(spark, d):
 @register("g3_append_otros_nonzero", "SELECT banco_key, flujo FROM tbal WHERE banco_key <> 'Otros' OR flujo <> 0",
           extra_ctes=AUDIT_CTES)
 def g3(spark, d):
-    return G.append_otros(HT.treasury_balances(Ledger(spark, d)), "flujo", only_nonzero=True).select("banco_key", "flujo")
+    rows = HT.treasury_balances(Ledger(spark, d)).select("banco_key", "flujo")
+    is_other = F.col("banco_key") == "Otros"
+    return G.append_otros(rows.filter(~is_other), rows.filter(is_other), "flujo", only_nonzero=True)
 
 
 @register("e20_total_by_treasury", """
-SELECT CAST(COALESCE(SUM(CASE WHEN en_flujo THEN flujo END), 0) AS DECIMAL(18,2)) AS total_flujo,
-       CAST(COALESCE(SUM(CASE WHEN en_saldos THEN saldo END), 0) AS DECIMAL(18,2)) AS total_real FROM tbal""",
+SELECT CAST(COALESCE(SUM(CASE WHEN en_flujo THEN flujo END), 0) AS DECIMAL(38,2)) AS total_flujo,
+       CAST(COALESCE(SUM(CASE WHEN en_saldos THEN saldo END), 0) AS DECIMAL(38,2)) AS total_real FROM tbal""",
           extra_ctes=AUDIT_CTES)
 def e20(spark, d):
     return E.total_by_treasury(HT.treasury_balances(Ledger(spark, d)))
@@ -278,9 +280,9 @@ def h7(spark, d):
 
 @register("e12_closings_totals", """
 SELECT COUNT(*) AS total_cierres, CAST(COALESCE(SUM(total_ops), 0) AS BIGINT) AS total_ops,
-  CAST(COALESCE(SUM(depositos), 0) AS DECIMAL(18,2)) AS total_depositos,
-  CAST(COALESCE(SUM(retiros), 0) AS DECIMAL(18,2)) AS total_retiros,
-  CAST(COALESCE(SUM(total_entregado), 0) AS DECIMAL(18,2)) AS total_entregado FROM h7""", extra_ctes=H7_CTES)
+  CAST(COALESCE(SUM(depositos), 0) AS DECIMAL(38,2)) AS total_depositos,
+  CAST(COALESCE(SUM(retiros), 0) AS DECIMAL(38,2)) AS total_retiros,
+  CAST(COALESCE(SUM(total_entregado), 0) AS DECIMAL(38,2)) AS total_entregado FROM h7""", extra_ctes=H7_CTES)
 def e12(spark, d):
     return E.closings_totals(HC.closings_enriched(Ledger(spark, d)))
 

@@ -27,6 +27,20 @@ def msum0(c: Column | str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast(MONEY_SQL)
 
 
+# totals over all stores, banks or times: wider than one amount
+TOTAL_SQL = "decimal(38,2)"
+
+
+def mtotal(c: Column | str) -> Column:
+    """Money total, NULL if there are no rows."""
+    return F.sum(c).cast(TOTAL_SQL)
+
+
+def mtotal0(c: Column | str) -> Column:
+    """Money total, 0 if there are no rows."""
+    return F.coalesce(F.sum(c), F.lit(0)).cast(TOTAL_SQL)
+
+
 def expenses_by_bank(gastos: DataFrame, until: str | None = None) -> DataFrame:
     """Expenses per bank, optionally up to a business day (inclusive)."""
     g = gastos if until is None else gastos.filter(F.to_date("fecha_hora") <= F.lit(until).cast("date"))
@@ -40,25 +54,25 @@ def legacy_transit(tx: DataFrame, until: str | None = None) -> DataFrame:
     ret = F.sum(F.when((F.col("tipo") == "Retiro") & F.col("banco_id").isNull(), F.col("monto_efectivo"))
                 .otherwise(zero()))
     dep = F.sum(F.when(F.col("tipo") == "Depósito Cuenta", F.abs("monto_efectivo")).otherwise(zero()))
-    return t.agg(F.coalesce(F.abs(ret) - dep, zero()).cast(MONEY_SQL).alias("transito"))
+    return t.agg(F.coalesce(F.abs(ret) - dep, zero()).cast(TOTAL_SQL).alias("transito"))
 
 
 def pending_remits_by_bank(rem: DataFrame) -> DataFrame:
     """Pending remittances per bank (NULL bank is its own group)."""
     return rem.filter(F.col("estado") == "Pendiente").groupBy("banco_id") \
-              .agg(msum("monto").alias("total_remesa"))
+              .agg(mtotal("monto").alias("total_remesa"))
 
 
 def total_in_transit(rem: DataFrame, tx: DataFrame) -> DataFrame:
     """Legacy transit + all pending remittances (one row)."""
-    pend = rem.filter(F.col("estado") == "Pendiente").agg(msum0("monto").alias("pendiente"))
+    pend = rem.filter(F.col("estado") == "Pendiente").agg(mtotal0("monto").alias("pendiente"))
     leg = legacy_transit(tx)
     # two one-row aggregates combined by a union + max (no join)
-    both = (leg.select("transito", F.lit(None).cast(MONEY_SQL).alias("pendiente"))
-            .unionByName(pend.select(F.lit(None).cast(MONEY_SQL).alias("transito"), "pendiente"))
+    both = (leg.select("transito", F.lit(None).cast(TOTAL_SQL).alias("pendiente"))
+            .unionByName(pend.select(F.lit(None).cast(TOTAL_SQL).alias("transito"), "pendiente"))
             .agg(F.max("transito").alias("transito"), F.max("pendiente").alias("pendiente")))
     return both.select("transito", "pendiente",
-                       (F.col("transito") + F.col("pendiente")).cast(MONEY_SQL).alias("en_transito"))
+                       (F.col("transito") + F.col("pendiente")).cast(TOTAL_SQL).alias("en_transito"))
 
 
 def net_since_opening(tx: DataFrame, ap: DataFrame) -> DataFrame:
@@ -142,19 +156,19 @@ def closings_totals(enriched: DataFrame) -> DataFrame:
     """Totals over all closings (one row)."""
     return enriched.agg(F.count(F.lit(1)).alias("total_cierres"),
                         F.coalesce(F.sum("total_ops"), F.lit(0)).cast("long").alias("total_ops"),
-                        msum0("depositos").alias("total_depositos"),
-                        msum0("retiros").alias("total_retiros"),
-                        msum0("total_entregado").alias("total_entregado"))
+                        mtotal0("depositos").alias("total_depositos"),
+                        mtotal0("retiros").alias("total_retiros"),
+                        mtotal0("total_entregado").alias("total_entregado"))
 
 
 def audit_totals(matrix: DataFrame) -> DataFrame:
     """Per-bank column totals of the audit matrix (treasury row included)
     and the grand total of the ``efectivo`` column, as rows keyed by
     ``columna`` (bank id text, or 'efectivo')."""
-    per_bank = matrix.groupBy("banco_id").agg(msum("total_banco").alias("total"))
+    per_bank = matrix.groupBy("banco_id").agg(mtotal("total_banco").alias("total"))
     per_bank = per_bank.select(F.col("banco_id").cast("string").alias("columna"), "total")
     rows = matrix.select("fila", "efectivo").distinct()
-    grand = rows.agg(msum("efectivo").alias("total")).select(F.lit("efectivo").alias("columna"), "total")
+    grand = rows.agg(mtotal("efectivo").alias("total")).select(F.lit("efectivo").alias("columna"), "total")
     return per_bank.unionByName(grand)
 
 
@@ -177,7 +191,7 @@ def global_bank_position(matrix: DataFrame, bancos: DataFrame, saldos: DataFrame
 
 def outstanding_debt_total(dep: DataFrame) -> DataFrame:
     """Sum of pending advance deposits (one row)."""
-    return dep.filter(F.col("estado") == "Pendiente").agg(msum0("monto").alias("deuda_total"))
+    return dep.filter(F.col("estado") == "Pendiente").agg(mtotal0("monto").alias("deuda_total"))
 
 
 def pending_counts(rem: DataFrame, dep: DataFrame) -> DataFrame:
@@ -203,5 +217,5 @@ def shift_bank_totals(by_bank: DataFrame, shift_id: str = "cierre_id") -> DataFr
 def total_by_treasury(balances: DataFrame) -> DataFrame:
     """Total flow and total real balance over the treasury rows that
     are listed (H4 output)."""
-    return balances.agg(msum0(F.when(F.col("en_flujo"), F.col("flujo"))).alias("total_flujo"),
-                        msum0(F.when(F.col("en_saldos"), F.col("saldo"))).alias("total_real"))
+    return balances.agg(mtotal0(F.when(F.col("en_flujo"), F.col("flujo"))).alias("total_flujo"),
+                        mtotal0(F.when(F.col("en_saldos"), F.col("saldo"))).alias("total_real"))

@@ -50,10 +50,8 @@ def append_treasury_row(matrix: DataFrame, teso: DataFrame) -> DataFrame:
     return matrix.unionByName(teso.select(*matrix.columns))
 
 
-def append_otros(df: DataFrame, amount_col: str, only_nonzero: bool = False,
-                 key_col: str = "banco_key") -> DataFrame:
-    """Bank rows plus the 'Otros' row; with ``only_nonzero`` the Otros row
-    is kept only when its amount is not 0."""
-    if not only_nonzero:
-        return df
-    return df.filter((F.col(key_col) != "Otros") | (F.col(amount_col) != 0))
+def append_otros(banks: DataFrame, otros: DataFrame, amount_col: str, only_nonzero: bool = False) -> DataFrame:
+    """The 'Otros' row appended to the bank rows (same columns); with
+    ``only_nonzero`` only if its amount is not 0."""
+    extra = otros.filter(F.col(amount_col) != 0) if only_nonzero else otros
+    return banks.unionByName(extra.select(*banks.columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.balances import OTHERS_KEY, bank_key, snapshot_json
 from tillbook.functions.timeparse import ts_literal
+from tillbook.operators.setops import append_otros
 from tillbook.plans.audit import treasury_cells
 from tillbook.sources.schemas import MONEY_SQL
 
@@ -27,7 +28,7 @@ def treasury_balances(L, until=None) -> DataFrame:
         F.lit(True).alias("en_flujo"), F.lit(True).alias("en_saldos"))
     o = otros.select(F.lit(OTHERS_KEY).alias("banco_key"), F.lit(GENERAL_FUND).alias("nombre"), "base", "flujo",
                      "saldo", (F.col("flujo") != 0).alias("en_flujo"), (F.col("saldo") != 0).alias("en_saldos"))
-    return banks.unionByName(o)
+    return append_otros(banks, o, "flujo")
 
 
 def close_treasury(L, as_of: str, usuario_id: int | None = None, note: str | None = None) -> DataFrame:
