@@ -9,9 +9,11 @@ import pytest
 
 from tests.conftest import SF_DIR
 
-import __spark_entry__ as E
+from tillbook import catalog
+from tillbook.plans.audit import audit_matrix, audit_matrix_wide, initial_config_map, store_reference
+from tillbook.sources.schemas import LEDGER_SCHEMAS
 
-QUERIES = {n: f for n, f in E.queries().items() if not n.startswith("j")}
+QUERIES = {n: f for n, f in catalog.queries().items() if not n.startswith("j")}
 
 
 def _plan(df) -> str:
@@ -32,3 +34,15 @@ def test_projection_reaches_scan(spark):
     plan = _plan(QUERIES["e4_net_since_opening"](spark, SF_DIR))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     assert schemas and all(s.count(":") <= 6 for s in schemas)
+
+
+def test_no_job_while_planning(spark, ledger):
+    """The store x bank grid is lazy: plans are built without running a job."""
+    tables = {n: ledger[n] for n in LEDGER_SCHEMAS}
+    spark.sparkContext.setJobGroup("planning", "plans only")
+    try:
+        audit_matrix(tables), audit_matrix_wide(tables, [0, 1]), store_reference(tables), initial_config_map(tables)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
