@@ -180,6 +180,15 @@ def i17p(spark, d):
     return I.close_tills(closing_forms(L), store_cash_postings(L))["postings"]
 
 
+@register("i17_close_tills_openings", """
+SELECT a.* REPLACE (CASE WHEN a.estado = 'Abierta' AND EXISTS (
+    SELECT 1 FROM cforms f WHERE f.tienda_id = a.tienda_id AND f.ts >= a.fecha_hora) THEN 'Cerrada' ELSE a.estado END AS estado)
+FROM aperturas_caja a""", extra_ctes=CLOSE_TILLS_SQL)
+def i17o(spark, d):
+    L = Ledger(spark, d)
+    return I.close_tills(closing_forms(L), store_cash_postings(L), L["aperturas_caja"])["aperturas"]
+
+
 def _rev_transfers(spark, d, compat):
     out = I.post_treasury_commands(treasury_commands(Ledger(spark, d)))
     log = out["log"].withColumnRenamed("comando_id", "id")

@@ -453,14 +453,24 @@ def merge_users(users: DataFrame, changes: DataFrame) -> DataFrame:
     return out.filter(F.col("username").isNotNull())
 
 
-def close_tills(forms: DataFrame, postings: DataFrame) -> dict[str, DataFrame]:
+def close_tills(forms: DataFrame, postings: DataFrame, openings: DataFrame | None = None) -> dict[str, DataFrame]:
     """Closing forms as a bulk job. The theoretical balance of each form
     is the store cash just before it (postings fold, strictly earlier), then
     H8 gives the closing row, adjustment and remittances; the new store cash
-    is a ``set`` posting of the carry-over."""
+    is a ``set`` posting of the carry-over. With ``openings`` (the opening
+    table) ``aperturas`` is that table with the closed tills: every open
+    opening of the form's user (of its store, where forms name no user) at or
+    before the last form is 'Cerrada'."""
     from tillbook.plans.closings import close_shift
     exp = balance_before(postings, forms.select("form_id", "tienda_id", "ts"), "tienda_id", "ts")
     out = close_shift(forms, exp.select("form_id", F.col("saldo_antes").alias("saldo_teorico")))
     out["postings"] = out["closings"].select(*posting("fecha", "tienda", F.col("tienda_id"), None,
                                                       F.col("saldo_final"), "set", "cierre", "form_id", 2))
+    if openings is not None:
+        owner = "usuario_id" if "usuario_id" in forms.columns else "tienda_id"
+        last = forms.groupBy(F.col(owner).alias("_st")).agg(F.max("ts").alias("_closed"))
+        closed = (F.col("estado") == "Abierta") & F.coalesce(F.col("fecha_hora") <= F.col("_closed"), F.lit(False))
+        out["aperturas"] = openings.join(last, openings[owner] == last._st, "left").select(
+            *[F.when(closed, F.lit("Cerrada")).otherwise(F.col(x)).alias(x) if x == "estado" else F.col(x)
+              for x in openings.columns])
     return out
