@@ -107,6 +107,28 @@ def test_license_scan(spark, odd, empty):
     assert license_scan(empty).count() == 0 and license_scan(odd).count() == 0
 
 
+def test_license_texts(spark):
+    from tillbook.llm.license_scan import license_scan, license_texts
+
+    texts = license_texts()
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "CC0-1.0", "AGPL-3.0"} <= {name for name, _ in texts}
+    rows = []
+    for i, (name, text) in enumerate(texts):
+        words = text.split()
+        for j in range(20, len(words), 150):  # small edits
+            words[j] = f"edit{j}"
+        rows.append((i, f"{prose(i, 30 + 7 * i)} {' '.join(words)} {prose(i + 99, 300)}"))
+    both = dict(texts)
+    rows.append((1000, both["BSD-2-Clause"] + both["BSD-3-Clause"]))
+    rows.append((1001, "Copyright 2020 A. All rights reserved. " + both["BSD-2-Clause"]))
+    got = collections.defaultdict(set)
+    for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.id].add(r.license)
+    for i, (name, _) in enumerate(texts):
+        assert got[i] == {name}, (i, name, got[i])
+    assert got[1000] == {"BSD-2-Clause", "BSD-3-Clause"} and got[1001] == {"BSD-2-Clause", "all-rights-reserved"}
+
+
 def test_warc(spark):
     from tillbook.llm.warc import arc_record, arc_version_block, convert_pages, parse_arc
 

@@ -7,9 +7,16 @@ follows from the lowest Jaccard similarity that a window with a match can have,
 so that a match collides with probability of at least ``certainty``. Windows
 that collide with a template are verified by exact shingle containment.
 
-Windows without any anchor word are left out before hashing. That loses
-nothing: anchors are picked so that fewer than the needed number of a
-template's shingles lack an anchor, hence each match holds one.
+Windows with fewer words or fewer anchor words than a match must have are left
+out before hashing. That loses nothing: anchors are picked so that fewer than
+the needed number of a template's shingles lack an anchor, hence each match
+holds so many shingles with one, and a word is in at most ``k`` of them.
+
+Templates of different licenses may share most of their wording (BSD-2 and
+BSD-3, the GNU headers). A template that matches a window beside such a rival
+counts unless the window lacks most of what only this template has, and holds
+more of what only the rival has. A short notice that is part of a text of
+another license (the first BSD sentence) does not count inside that text.
 
 Only the template side is broadcast; its size is the number of templates times
 bands, both parameters. Texts are never shuffled: windows that collide leave
@@ -25,6 +32,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +52,37 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+# full texts (licenses/*.txt) that name themselves by their file
+TEXTS = ["Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "CC0-1.0", "MPL-2.0", "GPL-2.0", "GPL-3.0",
+         "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
+law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
+under the License."""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+GNU_HEADER = """This {noun} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} {grant}.
+This {noun} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details. You should have received a copy of the
+GNU {kind} along with this {noun}"""
+LATER = "as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version"
+ONLY = "version {} as published by the Free Software Foundation"
+GNU = [("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"),
+       ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"),
+       ("AGPL-3.0", "Affero General Public License", "3")]
 NOT_WORD = "[^\\p{L}\\p{N}]+"
 
 
+def license_texts() -> list[tuple[str, str]]:
+    """The licenses' full texts and standard file headers."""
+    folder = files("tillbook.llm") / "licenses"
+    return ([(name, (folder / f"{name}.txt").read_text("utf-8")) for name in TEXTS]
+            + [("Apache-2.0", APACHE_HEADER), ("MPL-2.0", MPL_HEADER)]
+            + [(name, GNU_HEADER.format(noun=noun, kind=kind, grant=grant.format(version)))
+               for name, kind, version in GNU for noun in ("program", "library") for grant in (LATER, ONLY)])
+
+
 def template_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
@@ -66,12 +103,19 @@ def signature(shingles: Column, bands: int) -> Column:
                        lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))))
 
 
+def shingle_set(words: list[str], k: int) -> set[tuple[str, ...]]:
+    return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)}
+
+
 def anchors_of(words: list[str], k: int, need: int) -> list[str]:
-    """Words such that fewer than ``need`` shingles lack them all; longest first."""
-    open_ = {tuple(words[i:i + k]) for i in range(len(words) - k + 1)}
+    """Words such that fewer than ``need`` shingles lack them all, half of it
+    for long templates; of the longer words the most frequent first."""
+    open_ = shingle_set(words, k)
+    often = Counter(words)
+    most = need if len(words) <= 32 else need // 2
     picked = []
-    for w in sorted(set(words), key=lambda w: (-len(w), w)):
-        if len(open_) < need:
+    for w in sorted(often, key=lambda w: (len(w) < 6, -often[w], -len(w), w)):
+        if len(open_) < most:
             break
         picked.append(w)
         open_ = {s for s in open_ if w not in s}
@@ -89,46 +133,84 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     best window's), first_word (where the first matching window starts, from
     0), n_windows (matching windows)."""
     spark = docs.sparkSession
-    groups: dict[tuple[int, int], list[tuple[str, list[str]]]] = {}
-    for name, text in TEMPLATES if templates is None else templates:
+    known: list[tuple[str, list[str], int, int]] = []  # license, words, window size, shingle size
+    for name, text in TEMPLATES + license_texts() if templates is None else templates:
         words = template_words(text)
         if words:
             size = 16
             while size < len(words):
                 size *= 2
-            groups.setdefault((size, min(k, len(words))), []).append((name, words))
+            known.append((name, words, size, min(k, len(words))))
+    sets = [shingle_set(w, own_k) for _, w, _, own_k in known]
+    needs = [math.ceil(containment * len(s) - 1e-9) for s in sets]
+    groups: dict[tuple[int, int], list[int]] = {}
+    for t, (_, _, size, own_k) in enumerate(known):
+        groups.setdefault((size, own_k), []).append(t)
     src = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
     found = None
     for (size, own_k), members in groups.items():
         length, step = 2 * size, size // 2
-        needs = {name: math.ceil(containment * len({tuple(w[i:i + own_k]) for i in range(len(w) - own_k + 1)}) - 1e-9)
-                 for name, w in members}
-        anchors = sorted({a for name, w in members for a in anchors_of(w, own_k, needs[name])})
-        most = max(len(w) - own_k + 1 for _, w in members)
-        lowest = min(needs[name] / (length - own_k + 1 + most - needs[name]) for name, w in members)
+        anchors = sorted({a for t in members for a in anchors_of(known[t][1], own_k, needs[t])})
+        anchored = [sum(any(a in s for a in anchors) for s in sets[t]) for t in members]
+        least_anchors = min(-(-(needs[t] - len(sets[t]) + n) // own_k) for t, n in zip(members, anchored))
+        least_words = min(needs[t] for t in members) + own_k - 1
+        most = max(len(known[t][1]) - own_k + 1 for t in members)
+        lowest = min(needs[t] / (length - own_k + 1 + most - needs[t]) for t in members)
         bands = bands_for(lowest, certainty)
-        marks = (spark.createDataFrame([(name, w) for name, w in members], "license string, t_words array<string>")
-                 .withColumn("t_shingles", shingles_of(F.col("t_words"), own_k))
-                 .select("license", "t_shingles", F.posexplode(signature(F.col("t_shingles"), bands)).alias("band", "hash")))
+        joined = lambda part: [" ".join(s) for s in part]
+        rivals = {t: [o for o in members if known[o][0] != known[t][0]
+                      and 2 * len(sets[t] & sets[o]) >= min(len(sets[t]), len(sets[o]))] for t in members}
+        texts = spark.createDataFrame(
+            [(t, known[t][0], joined(sets[t]), [(joined(sets[o]), joined(sets[t] - sets[o]), joined(sets[o] - sets[t])) for o in rivals[t]])
+             for t in members],
+            "template int, license string, t_shingles array<string>, "
+            "rivals array<struct<every:array<string>,mine:array<string>,other:array<string>>>")
+        marks = texts.select("template", F.posexplode(signature(F.col("t_shingles"), bands)).alias("band", "hash"))
         low = F.lower("text")
         any_anchor = F.lit(False)
         for a in anchors:
             any_anchor = any_anchor | F.contains(low, F.lit(a))
         anchor_list = F.array(*[F.lit(a) for a in anchors])
-        windows = (src.filter(any_anchor).select("k_id", "k_text", words_of(F.col("text")).alias("words"))
+        windows = (src.filter(F.length("text") >= 2 * least_words - 1).filter(any_anchor)
+                   .select("k_id", "k_text", words_of(F.col("text")).alias("words"))
                    .withColumn("first_word", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step))))
                    .withColumn("window", F.slice("words", F.col("first_word") + 1, length)).drop("words")
-                   .filter(F.arrays_overlap("window", anchor_list))
-                   .withColumn("shingles", shingles_of(F.col("window"), own_k)).drop("window"))
+                   .filter((F.size("window") >= least_words) & F.arrays_overlap("window", anchor_list)))
+        if least_anchors > 1:
+            windows = windows.filter(F.size(F.filter("window", lambda w: w.isin(*anchors))) >= least_anchors)
+        windows = windows.withColumn("shingles", shingles_of(F.col("window"), own_k)).drop("window")
         banded = windows.select("*", F.posexplode(signature(F.col("shingles"), bands)).alias("band", "hash"))
-        pairs = (banded.join(F.broadcast(marks), ["band", "hash"])  # templates times bands rows
-                 .withColumn("containment", F.size(F.array_intersect("shingles", "t_shingles")) / F.size("t_shingles"))
-                 .filter(F.col("containment") >= containment - 1e-9)
-                 .select("k_id", "k_text", "license", "first_word", "containment"))
+
+        def share(part: Column) -> Column:
+            return F.when(F.size(part) > 0, F.size(F.array_intersect("shingles", part)) / F.size(part)).otherwise(F.lit(0.0))
+
+        outdone = F.exists("rivals", lambda r: (share(r["every"]) >= containment - 1e-9) & (share(r["mine"]) < 0.5)
+                           & (share(r["other"]) > share(r["mine"])))
+        pairs = (banded.join(F.broadcast(marks), ["band", "hash"])  # templates times bands narrow rows
+                 .join(F.broadcast(texts), "template")  # one row per template
+                 .withColumn("containment", share(F.col("t_shingles")))
+                 .filter(F.col("containment") >= containment - 1e-9))
+        if any(rivals.values()):
+            pairs = pairs.filter(~outdone)
+        pairs = pairs.select("k_id", "k_text", "template", "license", "first_word", F.lit(length).alias("length"),
+                             "containment")
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         return src.limit(0).select(F.col("k_id").alias("id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"),
                                    F.lit(0).alias("first_word"), F.lit(0).cast("long").alias("n_windows"))
+    # notices that are part of a longer text of another license
+    inside = {t: [o for o, (name, w, size, _) in enumerate(known) if name != known[t][0] and size > known[t][2]
+                  and len(shingle_set(w, known[t][3]) & sets[t]) >= needs[t]] for t in range(len(known))}
+    inside = {t: others for t, others in inside.items() if others}
+    if inside:
+        hits = found.groupBy("k_id", "k_text").agg(F.collect_set(F.struct(
+            "template", "license", "first_word", "length", "containment")).alias("hits"))
+        for t, others in inside.items():
+            around = F.filter("hits", lambda h: h["template"].isin(*others))
+            hits = hits.withColumn("around", around).withColumn("hits", F.filter("hits", lambda h: (h["template"] != t) | ~F.exists(
+                "around", lambda o: (h["first_word"] >= o["first_word"] - h["length"])
+                & (h["first_word"] < o["first_word"] + o["length"]))))
+        found = hits.select("k_id", "k_text", F.explode("hits").alias("h")).select("k_id", "k_text", "h.*")
     return (found.groupBy("k_id", "k_text", "license")
             .agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"),
                  F.count_distinct("first_word").alias("n_windows"))
