@@ -322,6 +322,16 @@ def test_url_filter(spark):
     assert ((held["verdict"] == "block") == (held["id"] % 2 == 1)).mean() >= 0.95
 
 
+def test_url_filter_suffixes_of_all_labelled(spark):
+    """A domain without a row in the fitting sample keeps its own share."""
+    from tillbook.llm.url_filter import url_filter
+
+    rows = [(1000 * d + i, f"http://d{d}.test/{'x' if i % 2 else 'y'}/{i % 7}") for d in range(40) for i in range(40)]
+    rules = [("block" if d % 2 else "allow", f"d{d}.test/x/") for d in range(40)]
+    got = url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules, sample=30).filter("rule is null").toPandas()
+    assert len(got) == 800 and ((got["verdict"] == "block") == (got["id"] // 1000 % 2 == 1)).all()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

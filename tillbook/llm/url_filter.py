@@ -5,8 +5,8 @@ Rules name a host (and so all its subdomains) and a path prefix; the longest
 rule that fits decides. The URLs that rules decide are the labelled URLs: a
 bounded sample of them (``sample`` rows, the smallest hashes) trains Spark ML's
 gradient-boosted trees on length, depth, digit ratio, entropy, parameter
-counts and suffix statistics. Everything else is column expressions over all
-rows.
+counts and suffix statistics. The suffix statistics are counted over all
+labelled URLs. Everything else is column expressions over all rows.
 
 Defined results: a null URL, or one without "://", has empty host and path, no
 rule, and the model's verdict on its (zero) features. Where the rules label no
@@ -91,10 +91,11 @@ def lexical_features(df: DataFrame, url: str, host: str, path: str) -> DataFrame
         "tld": F.substring_index(h, ".", -1), "domain": F.substring_index(h, ".", -2)})
 
 
-def suffix_share(sample: DataFrame, suffix: str, name: str) -> DataFrame:
-    """Smoothed share of blocked URLs per suffix, over the sample (so the
-    table has at most as many rows as the sample)."""
-    return sample.groupBy(suffix).agg(((F.sum("label") + 0.5) / (F.count("*") + 1)).alias(name))
+def suffix_share(counts: DataFrame, suffix: str, name: str) -> DataFrame:
+    """Smoothed share of blocked URLs per suffix, from the counts of all
+    labelled URLs."""
+    return counts.filter(F.col(suffix).isNotNull()).groupBy(suffix).agg(
+        ((F.sum("blocked") + 0.5) / (F.sum("n") + 1)).alias(name))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",
@@ -107,19 +108,22 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     src = lexical_features(src, "url", "host", "path")
     labelled = src.filter("hit is not null").withColumn("label", (F.col("hit.verdict") == "block").cast("double"))
     picked = stored(labelled.orderBy(F.xxhash64("url", "id"), "id").limit(sample).drop("hit"), "url-sample")
-    classes = [r[0] for r in picked.select("label").distinct().collect()]  # two at most
+    # per domain (and so its tld): labelled and blocked URLs
+    counts = stored(labelled.groupBy("tld", "domain").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), "url-suffixes")
+    n, blocked = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
+    one_class = n == 0 or blocked in (0, n) or picked.select("label").distinct().count() < 2
     decided = [F.col("hit.rule").alias("rule")]
-    if len(classes) < 2:
-        verdict = "block" if classes == [1.0] else "allow"
+    if one_class:
+        verdict = "block" if 2 * blocked > n else "allow"
         return src.select("id", "host", "path", *decided, F.coalesce("hit.verdict", F.lit(verdict)).alias("verdict"),
                           F.lit(None).cast("double").alias("p_block"))
-    prior = picked.agg(F.avg("label")).first()[0]
-    shares = [("tld", "tld_block", suffix_share(picked, "tld", "tld_block")),
-              ("domain", "domain_block", suffix_share(picked, "domain", "domain_block"))]
+    prior = blocked / n
+    shares = [("tld", "tld_block", suffix_share(counts, "tld", "tld_block")),
+              ("domain", "domain_block", suffix_share(counts, "domain", "domain_block"))]
 
     def with_shares(df: DataFrame) -> DataFrame:
         for key, name, share in shares:
-            df = df.join(F.broadcast(share), key, "left").withColumn(name, F.coalesce(name, F.lit(prior)))
+            df = df.join(share, key, "left").withColumn(name, F.coalesce(name, F.lit(prior)))
         return df
 
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
