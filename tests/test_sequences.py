@@ -101,6 +101,19 @@ def test_sends_pair_one_to_one(spark):
     assert sorted(tuple(r) for r in out["ambiguos"].collect()) == [(1, 3), (2, 3), (3, 3)]
 
 
+def test_sends_meet_restocks_across_step_edges(spark):
+    amounts = {1: "100.09", 2: "200.05", 3: "300.09", 4: "400.00", 5: "500.01"}
+    log = table(spark, "tesoreria_log", [{"id": i, "tipo": "Envío a Tienda", "monto": D(m), "fecha_hora": T0} for i, m in amounts.items()])
+    ids = spark.createDataFrame([(i, T0) for i in amounts], "id long, ts timestamp_ntz")
+    other = {11: "100.11", 12: "200.14", 13: "300.00", 14: "400.10", 15: "499.93"}
+    tx = table(spark, "transacciones", [{"id": i, "tipo": "Resurtido Tesorería", "monto_efectivo": D(m), "fecha_hora": T0,
+                                         "tienda_id": 1} for i, m in other.items()])
+    out = R.reverse_treasury_log(log, ids, tx)
+    assert sorted(tuple(r) for r in out["matched"].collect()) == [(1, 11), (2, 12), (3, 13), (5, 15)]
+    assert [r.id for r in out["transacciones"].collect()] == [14]
+    assert sorted(r.monto for r in out["postings"].collect()) == [D("-500.01"), D("-300.09"), D("-200.05"), D("-100.09")]
+
+
 def test_many_equal_amounts_stay_linear(spark):
     a = spark.range(2000).selectExpr("id", "cast(5 as decimal(18,2)) monto", "timestamp_ntz'2024-01-01 08:10:00' ts")
     b = a.selectExpr("id + 7 as id", "monto", "ts")

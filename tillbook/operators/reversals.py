@@ -29,7 +29,7 @@ def reverse_treasury_log(log: DataFrame, ids: DataFrame, tx: DataFrame, ts_col:
     cash -m (the log's amount) and the transaction is dropped. Each send takes
     a restock of its own, of the same hour and any store: first those of equal
     amount are paired one to one in id order, then what is left over of nearly
-    equal amount (same 0.1 step, |diff| < 0.1). ``ambiguos`` lists sends with
+    equal amount (|diff| < 0.1), until no such pair is left. ``ambiguos`` lists sends with
     more than one candidate within the tolerance. The log rows are dropped; an
     id named more than once is reversed once. ``transacciones``: ``tx``
     without the restocks taken."""
@@ -61,8 +61,7 @@ def reverse_treasury_log(log: DataFrame, ids: DataFrame, tx: DataFrame, ts_col:
     exact = pair_in_order(sends, restock, F.col("monto"))
     left_s = sends.join(exact, sends.id == exact.log_id, "left_anti")
     left_r = restock.join(exact, restock.id == exact.transaccion_id, "left_anti")
-    near = pair_in_order(left_s, left_r, F.floor(F.col("monto") / width)) \
-        .filter(F.abs(F.col("monto") - F.col("m_monto")) < F.lit(SEND_MATCH_TOL))
+    near = pair_within_tolerance(left_s, left_r)
     mt = exact.unionByName(near)
     p_store = mt.select(*posting("_ts", "tienda", F.col("m_tienda_id"), None, (-F.col("monto")).cast(MONEY_SQL),
                                  "delta", "reverso_tesoreria", "log_id", 3))
@@ -85,6 +84,36 @@ def pair_in_order(sends: DataFrame, restock: DataFrame, amount) -> DataFrame:
                                                            "m_tienda_id", "m_monto")
 
 
+def pair_within_tolerance(sends: DataFrame, restock: DataFrame) -> DataFrame:
+    """Pairs sends and restocks of the same hour whose amounts differ by less
+    than ``SEND_MATCH_TOL``, one to one, until no such pair is left. A pass
+    pairs the n-th with the n-th (by id) of each step of that width; passes
+    shift the step edges by a cent each, so that any two amounts within the
+    tolerance are in one step once. A pass adds windows only, so the plan grows
+    with the number of passes."""
+    cents = round(SEND_MATCH_TOL * 100)
+    hour = F.date_trunc("hour", "fecha_hora").alias("_hr")
+    none = F.lit(None).cast("bigint")
+    u = sends.select(hour, F.lit(True).alias("_send"), "id", "monto", "_ts", none.alias("tienda_id")).unionByName(
+        restock.select(hour, F.lit(False).alias("_send"), "id", "monto", F.lit(None).cast(sends.schema["_ts"].dataType).alias("_ts"),
+                       F.col("tienda_id").cast("bigint").alias("tienda_id")))
+    u = u.withColumns({"_pass": F.lit(None).cast("int"), "_step": none, "_n": none})
+    for shift in range(cents):
+        u = u.withColumns({"_open": F.col("_pass").isNull(), "_s": F.floor((F.col("monto") * 100 + shift) / cents).cast("bigint")})
+        here = W.partitionBy("_hr", "_s", "_open")
+        u = u.withColumns({"_r": F.row_number().over(W.partitionBy("_hr", "_s", "_open", "_send").orderBy("id")).cast("bigint"),
+                           "_most": F.least(F.count_if("_send").over(here), F.count_if(~F.col("_send")).over(here))})
+        hit = F.col("_open") & (F.col("_r") <= F.col("_most"))
+        u = u.withColumns({"_pass": F.when(hit, F.lit(shift)).otherwise(F.col("_pass")),
+                           "_step": F.when(hit, F.col("_s")).otherwise(F.col("_step")),
+                           "_n": F.when(hit, F.col("_r")).otherwise(F.col("_n"))})
+    key = ["_hr", "_pass", "_step", "_n"]
+    b = u.filter(~F.col("_send")).select(*key, F.col("id").alias("transaccion_id"), F.col("tienda_id").alias("m_tienda_id"),
+                                         F.col("monto").alias("m_monto"))
+    return u.filter("_send").drop("tienda_id").join(b, key, "inner").select(
+        F.col("id").alias("log_id"), "monto", "_ts", "transaccion_id", "m_tienda_id", "m_monto")
+
+
 def reverse_remits(rem: DataFrame, cmds: DataFrame, tx: DataFrame) -> dict[str, DataFrame]:
     """Drop remittances (``cmds``: remesa_id, revertir, ts); with
     ``revertir`` the cash goes back to the store (+m) and every handover
