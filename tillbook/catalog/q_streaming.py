@@ -72,7 +72,6 @@ def j4(spark, d):
     L = Ledger(spark, d)
     tx = post_fixture_transactions(commands_from_events(_events_stream(spark, d)), L["comisiones"])
     out = J.scratch_path(spark, "j4")
-    q = J.run_append(J.stream_daily_flow(tx, "1 hour"), out)
+    q = J.run_daily_flow(tx, out, "1 hour")
     q.awaitTermination()
-    r = spark.read.parquet(out)
-    return r.select(J.wall_time(F.col("dia.start")).alias("dia_inicio"), "tipo", "entrada", "salida", "ops")
+    return spark.read.parquet(out + "/flujo").drop("lote")

@@ -89,7 +89,8 @@ def run_post(cmd_stream: DataFrame, com: DataFrame, path: str, trigger: dict | N
 def stream_daily_flow(tx_stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Per business day and type, cash in / out, with a watermark so late
     rows have a policy (rows later than ``delay`` are dropped, a day is
-    emitted once the watermark passes it)."""
+    emitted once the watermark passes it). ``run_daily_flow`` has the same
+    policy and keeps the late rows."""
     m = F.col("monto_efectivo")
     return (event_time(tx_stream).withWatermark("_evt", delay)
             .groupBy(F.window("_evt", "1 day").alias("dia"), "tipo")
@@ -98,6 +99,48 @@ def stream_daily_flow(tx_stream: DataFrame, delay: str = "1 day") -> DataFrame:
                  F.count(F.lit(1)).alias("ops")))
 
 
+def run_daily_flow(tx_stream: DataFrame, path: str, delay: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
+    """Per day and type, cash in / out, without losing late rows. After a
+    micro-batch the watermark is the last event time so far minus ``delay``; a
+    day is emitted once its end is at or before it. Rows of a day that the
+    watermark had passed before their batch, and rows without a time, go to
+    ``tardias`` as they are. ``path`` gets ``flujo`` (dia_inicio, tipo, entrada,
+    salida, ops), ``tardias`` and ``parciales`` (sums per batch, day and type,
+    ``visto`` the last event time). Each batch writes folders of its own
+    (``lote=<epoch>``) and overwrites them when it is replayed."""
+    m = F.col("monto_efectivo")
+    end = F.col("dia_inicio") + F.expr("INTERVAL 1 DAY")
+    wait = F.expr(f"INTERVAL {delay}")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("dia_inicio", F.date_trunc("day", "fecha_hora").cast("timestamp_ntz"))
+        seen = None
+        if epoch > 0:
+            before = spark.read.schema(f"{PARTIAL_SCHEMA}, lote long").parquet(f"{path}/parciales").filter(F.col("lote") < epoch)
+            seen = before.agg(F.max("visto")).first()[0]  # one value
+        late = F.col("dia_inicio").isNull()
+        if seen is not None:
+            late = late | F.coalesce(end <= F.lit(seen).cast("timestamp_ntz") - wait, F.lit(False))
+        rows.filter(late).drop("dia_inicio").write.mode("overwrite").parquet(f"{path}/tardias/lote={epoch}")
+        (rows.filter(~late).groupBy("dia_inicio", "tipo")
+             .agg(F.sum(F.when(m > 0, m).otherwise(F.lit(0))).cast(MONEY_SQL).alias("entrada"),
+                  F.sum(F.when(m < 0, -m).otherwise(F.lit(0))).cast(MONEY_SQL).alias("salida"),
+                  F.count(F.lit(1)).alias("ops"), F.max("fecha_hora").alias("visto"))
+             .write.mode("overwrite").parquet(f"{path}/parciales/lote={epoch}"))
+        parts = spark.read.schema(f"{PARTIAL_SCHEMA}, lote long").parquet(f"{path}/parciales").filter(F.col("lote") <= epoch)
+        mark = parts.agg(F.max("visto")).first()[0]
+        done = F.lit(False) if mark is None else end <= F.lit(mark).cast("timestamp_ntz") - wait
+        if seen is not None:
+            done = done & (end > F.lit(seen).cast("timestamp_ntz") - wait)
+        (parts.filter(done).groupBy("dia_inicio", "tipo")
+              .agg(F.sum("entrada").cast(MONEY_SQL).alias("entrada"), F.sum("salida").cast(MONEY_SQL).alias("salida"),
+                   F.sum("ops").alias("ops"))
+              .write.mode("overwrite").parquet(f"{path}/flujo/lote={epoch}"))
+    return (tx_stream.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
+                     .trigger(**(trigger or CATCH_UP_TRIGGER)).start())
+
+
 def stream_net_by_store_bank(tx_stream: DataFrame, ap: DataFrame) -> DataFrame:
     """Live net cash per (store, bank) since the store's latest opening
     (the dashboard's reset): a stream-static join with the per-store latest
@@ -141,6 +184,8 @@ def run_changes(state: DataFrame, path: str, trigger: dict | None = None) -> Str
                  .outputMode("complete").trigger(**(trigger or CATCH_UP_TRIGGER)).start())
 
 
+PARTIAL_SCHEMA = (f"dia_inicio timestamp_ntz, tipo string, entrada {MONEY_SQL}, salida {MONEY_SQL}, ops long, "
+                  "visto timestamp_ntz")
 # The reference's live refresh is a 10-second poll.
 LIVE_TRIGGER = {"processingTime": "10 seconds"}
 CATCH_UP_TRIGGER = {"availableNow": True}
