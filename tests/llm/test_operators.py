@@ -267,6 +267,23 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_stage_links_at_80(spark):
+    import corpus_pipeline
+    from tillbook.llm.near_dedup import near_duplicates
+
+    rows = []
+    for i in range(20):  # 196 shingles; scattered edits lose 5 each: 176 / 216 = 0.815, 171 / 221 = 0.774
+        base = [f"w{i}x{j}" for j in range(200)]
+        for n, edits in enumerate((0, 4, 5)):
+            words = [f"e{n}x{j}" if j in range(20, 20 + 40 * edits, 40) and edits == 4 or edits == 5 and j in range(30, 200, 35)
+                     else w for j, w in enumerate(base)]
+            rows.append((10 * i + n, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, SF_DIR).collect()}
+    assert kept == {i for i, _ in rows if i % 10 != 1}
+    assert near_duplicates(frame).filter("kept").count() == len(rows)
+
+
 def test_packing(spark, docs, odd, empty):
     import public_tokenizers as P
     from tokenizers import Tokenizer
