@@ -104,6 +104,29 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
 
+@query
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.sentence_pieces import sentence_pieces
+    from tillbook.llm.vocabularies import vocabulary
+
+    return (sentence_pieces(table(spark, sf_dir, "documents"), vocabulary(spark, "piece_bpe_32k.model"))
+            .withColumnRenamed("id", "doc_id"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.conversation_repair import damage, repair_conversations
+
+    return repair_conversations(damage(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tillbook.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True).withColumnRenamed("id", "doc_id").drop("n_words")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
