@@ -7,10 +7,12 @@ follows from the lowest Jaccard similarity that a window with a match can have,
 so that a match collides with probability of at least ``certainty``. Windows
 that collide with a template are verified by exact shingle containment.
 
-Windows with fewer words or fewer anchor words than a match must have are left
-out before hashing. That loses nothing: anchors are picked so that fewer than
-the needed number of a template's shingles lack an anchor, hence each match
-holds so many shingles with one, and a word is in at most ``k`` of them.
+Each text is cut into words once; every word becomes a 64-bit hash, and every
+place of the text a hash of its shingle. Only places whose hash belongs to the
+templates' set are kept (the set is a parameter, looked up by hash). A match
+holds the needed number of a template's shingles, so texts, and then windows,
+with fewer such places are left out before MinHash, which loses nothing. What
+is left is written once as a narrow table that all window sizes read.
 
 Templates of different licenses may share most of their wording (BSD-2 and
 BSD-3, the GNU headers). A template that matches a window beside such a rival
@@ -30,15 +32,16 @@ others. Only id and text are read.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
-from collections import Counter
 from importlib.resources import files
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import document_key
+from tillbook.llm.common import document_key, stored
 
 # fixed values: usual one-line license notices
 TEMPLATES = [
@@ -107,19 +110,37 @@ def shingle_set(words: list[str], k: int) -> set[tuple[str, ...]]:
     return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)}
 
 
-def anchors_of(words: list[str], k: int, need: int) -> list[str]:
-    """Words such that fewer than ``need`` shingles lack them all, half of it
-    for long templates; of the longer words the most frequent first."""
-    open_ = shingle_set(words, k)
-    often = Counter(words)
-    most = need if len(words) <= 32 else need // 2
-    picked = []
-    for w in sorted(often, key=lambda w: (len(w) < 6, -often[w], -len(w), w)):
-        if len(open_) < most:
-            break
-        picked.append(w)
-        open_ = {s for s in open_ if w not in s}
-    return picked
+def template_hashes(spark: SparkSession, words: list[list[str]], k: int) -> list[int]:
+    """64-bit hashes of the templates' shingles of ``k`` words, as the scan
+    computes them."""
+    part = spark.createDataFrame([(w,) for w in words], "words array<string>").select(word_hashes(F.col("words")).alias("hashed"))
+    return sorted(r[0] for r in part.select(F.explode(F.expr(f"transform(sequence(1, size(hashed) - {k - 1}), i -> {shingle_hash(k)})"))).distinct().collect())
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def shingle_hash(k: int) -> str:
+    """Of the shingle at place i (from 1) of the array ``hashed``."""
+    return f"xxhash64({', '.join(f'hashed[i + {j - 1}]' for j in range(k))})"
+
+
+def known_places(hashes: dict[int, list[int]]) -> str:
+    """SQL for the words (column ``words``) and, by shingle size k, a string
+    ``places_k`` with a 1 for every place whose shingle's hash is in the set and
+    a 0 for every other. The words and their hashes are bound by lambdas, so
+    that each is computed once a text, and the generator keeps filters on the
+    result above it."""
+    flags = "".join(
+        f", 'places_{k}', if(size(hashed) >= {k}, array_join(transform(sequence(1, size(hashed) - {k - 1}), "
+        f"i -> if({shingle_hash(k)} in ({', '.join(map(str, known))}), '1', '0')), ''), '')" for k, known in hashes.items())
+    return (f"inline(transform(array(words), words -> transform(array(transform(words, w -> xxhash64(w))), "
+            f"hashed -> named_struct('words', words{flags}))[0]))")
+
+
+def ones(flags: Column) -> Column:
+    return F.length(F.translate(flags, "0", ""))
 
 
 def bands_for(similarity: float, certainty: float) -> int:
@@ -147,13 +168,20 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     for t, (_, _, size, own_k) in enumerate(known):
         groups.setdefault((size, own_k), []).append(t)
     src = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("text"))
+    if not known:
+        return src.limit(0).select(F.col("k_id").alias("id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"),
+                                   F.lit(0).alias("first_word"), F.lit(0).cast("long").alias("n_windows"))
+    widths = sorted({own_k for _, own_k in groups})
+    hashes = {w: template_hashes(spark, [known[t][1] for (_, own_k), members in groups.items() if own_k == w for t in members], w)
+              for w in widths}
+    fewest = {w: min(needs[t] for (_, own_k), members in groups.items() if own_k == w for t in members) for w in widths}
+    enough = functools.reduce(operator.or_, [ones(F.col(f"places_{w}")) >= fewest[w] for w in widths])
+    marked = stored(src.select("k_id", "k_text", words_of(F.col("text")).alias("words"))
+                    .selectExpr("k_id", "k_text", known_places(hashes)).filter(enough), "license-places")
     found = None
     for (size, own_k), members in groups.items():
         length, step = 2 * size, size // 2
-        anchors = sorted({a for t in members for a in anchors_of(known[t][1], own_k, needs[t])})
-        anchored = [sum(any(a in s for a in anchors) for s in sets[t]) for t in members]
-        least_anchors = min(-(-(needs[t] - len(sets[t]) + n) // own_k) for t, n in zip(members, anchored))
-        least_words = min(needs[t] for t in members) + own_k - 1
+        need = min(needs[t] for t in members)
         most = max(len(known[t][1]) - own_k + 1 for t in members)
         lowest = min(needs[t] / (length - own_k + 1 + most - needs[t]) for t in members)
         bands = bands_for(lowest, certainty)
@@ -166,18 +194,11 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
             "template int, license string, t_shingles array<string>, "
             "rivals array<struct<every:array<string>,mine:array<string>,other:array<string>>>")
         marks = texts.select("template", F.posexplode(signature(F.col("t_shingles"), bands)).alias("band", "hash"))
-        low = F.lower("text")
-        any_anchor = F.lit(False)
-        for a in anchors:
-            any_anchor = any_anchor | F.contains(low, F.lit(a))
-        anchor_list = F.array(*[F.lit(a) for a in anchors])
-        windows = (src.filter(F.length("text") >= 2 * least_words - 1).filter(any_anchor)
-                   .select("k_id", "k_text", words_of(F.col("text")).alias("words"))
+        places = f"places_{own_k}"
+        windows = (marked.filter(ones(F.col(places)) >= need)
                    .withColumn("first_word", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step))))
-                   .withColumn("window", F.slice("words", F.col("first_word") + 1, length)).drop("words")
-                   .filter((F.size("window") >= least_words) & F.arrays_overlap("window", anchor_list)))
-        if least_anchors > 1:
-            windows = windows.filter(F.size(F.filter("window", lambda w: w.isin(*anchors))) >= least_anchors)
+                   .filter(ones(F.substring(places, F.col("first_word") + 1, F.lit(length - own_k + 1))) >= need)
+                   .select("k_id", "k_text", "first_word", F.slice("words", F.col("first_word") + 1, length).alias("window")))
         windows = windows.withColumn("shingles", shingles_of(F.col("window"), own_k)).drop("window")
         banded = windows.select("*", F.posexplode(signature(F.col("shingles"), bands)).alias("band", "hash"))
 
@@ -195,9 +216,6 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
         pairs = pairs.select("k_id", "k_text", "template", "license", "first_word", F.lit(length).alias("length"),
                              "containment")
         found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
-        return src.limit(0).select(F.col("k_id").alias("id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"),
-                                   F.lit(0).alias("first_word"), F.lit(0).cast("long").alias("n_windows"))
     # notices that are part of a longer text of another license
     inside = {t: [o for o, (name, w, size, _) in enumerate(known) if name != known[t][0] and size > known[t][2]
                   and len(shingle_set(w, known[t][3]) & sets[t]) >= needs[t]] for t in range(len(known))}
