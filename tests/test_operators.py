@@ -82,8 +82,7 @@ def test_interval_join_edges_and_overlap(spark):
     assert got == [(10, 1), (10, 2), (11, 2), (11, 3)]
 
 
-@pytest.mark.parametrize("bucket", ["day", "hour"])
-def test_asof_against_brute_force(spark, bucket):
+def test_asof_against_brute_force(spark):
     rnd = random.Random(7)
     ap_rows, ci_rows = [], []
     for i in range(300):
@@ -93,7 +92,7 @@ def test_asof_against_brute_force(spark, bucket):
     ap = spark.createDataFrame(ap_rows, "id long, tienda_id long, fecha_hora timestamp_ntz, saldo_inicial_efectivo decimal(18,2)")
     ap = ap.withColumn("saldos_bancos_json", F.lit("{}"))
     ci = spark.createDataFrame(ci_rows, "id long, tienda_id long, fecha timestamp_ntz")
-    j = J.asof_latest(ci, ap, "tienda_id", "fecha", "fecha_hora", ["saldo_inicial_efectivo"], "ap_", bucket)
+    j = J.asof_latest(ci, ap, "tienda_id", "fecha", "fecha_hora", ["saldo_inicial_efectivo"], "ap_")
     got = {r.id: r.ap_id for r in j.collect()}
     for cid, t, ts in ci_rows:
         cands = [(a_ts, a_id) for a_id, a_t, a_ts, _ in ap_rows if a_t == t and a_ts <= ts]
@@ -101,8 +100,7 @@ def test_asof_against_brute_force(spark, bucket):
         assert got[cid] == want, cid
 
 
-@pytest.mark.parametrize("bucket", ["day", "hour"])
-def test_running_balance_against_fold(spark, bucket):
+def test_running_balance_against_fold(spark):
     rnd = random.Random(3)
     rows = []
     for i in range(400):
@@ -111,8 +109,7 @@ def test_running_balance_against_fold(spark, bucket):
         kind = "set" if rnd.random() < 0.1 else "delta"
         rows.append((acct, ts, i, D(rnd.randint(-500, 500)) / 100 if kind == "delta" else D(rnd.randint(0, 9999)) / 100, kind))
     df = spark.createDataFrame(rows, "acct long, ts timestamp_ntz, seq long, amount decimal(18,2), kind string")
-    got = {r.seq: r.saldo for r in running_balance(df, ["acct"], "ts", ["seq"], "amount", "kind",
-                                                           bucket=bucket).collect()}
+    got = {r.seq: r.saldo for r in running_balance(df, ["acct"], "ts", ["seq"], "amount", "kind").collect()}
     bal = {}
     for acct, ts, seq, amount, kind in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         bal[acct] = amount if kind == "set" else bal.get(acct, D(0)) + amount
@@ -205,8 +202,7 @@ def test_load_ledger_roundtrip_audit_matrix(spark):
     assert got == want and len(got) > 0
 
 
-@pytest.mark.parametrize("bucket", ["day", "hour"])
-def test_running_balance_hot_account(spark, bucket):
+def test_running_balance_hot_account(spark):
     """One account holds ~70% of the rows, most of them on one day."""
     rnd = random.Random(11)
     rows = []
@@ -218,8 +214,7 @@ def test_running_balance_hot_account(spark, bucket):
         amount = D(rnd.randint(-900, 900)) / 100 if kind == "delta" else D(rnd.randint(0, 99999)) / 100
         rows.append((acct, T0 + dt.timedelta(minutes=minutes), i, amount, kind))
     df = spark.createDataFrame(rows, "acct long, ts timestamp_ntz, seq long, amount decimal(18,2), kind string")
-    got = {r.seq: r.saldo for r in running_balance(df, ["acct"], "ts", ["seq"], "amount", "kind",
-                                                   bucket=bucket).collect()}
+    got = {r.seq: r.saldo for r in running_balance(df, ["acct"], "ts", ["seq"], "amount", "kind").collect()}
     bal = {}
     for acct, ts, seq, amount, kind in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         bal[acct] = amount if kind == "set" else bal.get(acct, D(0)) + amount
@@ -447,3 +442,42 @@ def test_close_preview_cleaning(spark):
     t = out["totals"].collect()[0]
     assert (t.total_declarado, t.total_entrega, t.diferencia, t.estado, t.saldo_final) == \
         (D("1020.51"), D("5.00"), D("5.01"), "SOBRA", D("1015.51"))
+
+
+def test_scan_spreads_one_account_day(spark):
+    """All rows lie in one account, on one day, a third of them in one second:
+    no range holds more than a small multiple of the average, and the balances
+    and as-of rows are those of a plain fold."""
+    from tillbook.operators.scans import RANGE, dealt_by_range
+
+    rnd = random.Random(13)
+    n = 6000
+    rows = []
+    for i in range(n):
+        seconds = 0 if i % 3 == 0 else rnd.randint(0, 86_399)
+        kind = "set" if rnd.random() < 0.01 else "delta"
+        rows.append((1, T0.replace(hour=0) + dt.timedelta(seconds=seconds), i, D(rnd.randint(-900, 900)) / 100, kind))
+    df = spark.createDataFrame(rows, "acct long, ts timestamp_ntz, seq long, amount decimal(18,2), kind string").repartition(7)
+    sizes = [r["count"] for r in dealt_by_range(df, ["acct"], ["ts", "seq"]).groupBy(RANGE).count().collect()]
+    assert sum(sizes) == n and len(sizes) > 4 and max(sizes) <= 3 * n / len(sizes)
+    got = {r.seq: r.saldo for r in running_balance(df, ["acct"], "ts", ["seq"], "amount", "kind").collect()}
+    bal = D(0)
+    for _, _, seq, amount, kind in sorted(rows, key=lambda r: (r[1], r[2])):
+        bal = amount if kind == "set" else bal + amount
+        assert got[seq] == bal, seq
+    right = df.select(F.col("seq").alias("id"), "acct", F.col("ts").alias("r_ts"), "amount")
+    left = df.select("seq", "acct", "ts")
+    found = {r.seq: r.r_id for r in J.asof_latest(left, right, "acct", "ts", "r_ts", ["amount"]).collect()}
+    last = {}
+    for _, ts, seq, _, _ in rows:
+        last[ts] = max(last.get(ts, -1), seq)
+    assert found == {seq: last[ts] for _, ts, seq, _, _ in rows}
+
+
+def test_running_balance_without_account_or_rows(spark):
+    """Rows without an account form one of their own; no rows give no rows."""
+    schema = "acct long, ts timestamp_ntz, seq long, amount decimal(18,2), kind string"
+    rows = [(None, T0, 1, D(5), "delta"), (None, T0, 2, D(3), "set"), (None, T0, 3, D(1), "delta"), (4, T0, 4, D(2), "delta")]
+    got = {r.seq: r.saldo for r in running_balance(spark.createDataFrame(rows, schema), ["acct"], "ts", ["seq"]).collect()}
+    assert got == {1: D(5), 2: D(3), 3: D(4), 4: D(2)}
+    assert running_balance(spark.createDataFrame([], schema), ["acct"], "ts", ["seq"]).count() == 0

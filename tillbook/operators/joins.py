@@ -117,53 +117,38 @@ def since_opening(facts: DataFrame, ap: DataFrame, ts_col: str) -> DataFrame:
     return j.filter(F.col(ts_col) >= F.col("ultima_apertura")).drop("_t")
 
 
-def time_bucket(c: Column, unit: str = "day") -> Column:
-    """Bucket of a time column for the two-level windows: the day, or a finer
-    unit ('hour') when one account-day can itself be hot."""
-    return F.to_date(c) if unit == "day" else F.date_trunc(unit, c)
-
-
 def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
-                payload: list[str], prefix: str = "r_", bucket: str = "day") -> DataFrame:
+                payload: list[str], prefix: str = "r_") -> DataFrame:
     """As-of join: for every left row, the latest right row with the same key
     and ``right_ts <= left_ts`` (ties on time broken by the larger right id).
 
-    Scale form, no pairs are generated:
-    1. same day: left and right rows of one (key, day) are unioned and a
-       window ``last(right, ignorenulls)`` in (ts, right-first) order gives
-       the latest right row at or before each left row;
-    2. earlier days: right rows are reduced to one row per (key, day) and a
-       window over those summaries (plus the distinct left days) gives the
-       latest right row strictly before each left day.
-    Both windows are partitioned by (key, day) or hold one row per key-day,
-    so a key with a third of all rows is still split by day."""
+    No pairs are generated: both sides are unioned, dealt by ranges of (key,
+    time, right rows first), and scanned (see ``scans``): a window
+    ``last(right, ignorenulls)`` inside each range and key, and the last right
+    row of the ranges before it as the carry."""
+    from tillbook.operators.scans import RANGE, dealt_by_range, with_carry, within_range
+
     r_struct = F.struct(F.col(right_ts).alias("_ts"), F.col("id").alias("_id"),
                         *[F.col(c) for c in payload])
     r_type = right.select(r_struct.alias("s")).schema["s"].dataType
     l_struct = F.struct(*[F.col(c) for c in left.columns])
     l_type = left.select(l_struct.alias("s")).schema["s"].dataType
-    r_rows = right.select(F.col(key).alias("_k"), time_bucket(F.col(right_ts), bucket).alias("_d"),
-                          F.col(right_ts).cast("timestamp_ntz").alias("_t"), F.lit(0).alias("_o"),
+    r_rows = right.select(F.col(key).alias("_k"), F.col(right_ts).cast("timestamp_ntz").alias("_t"), F.lit(0).alias("_o"),
+                          F.col("id").alias("_i"), F.lit(0).cast("long").alias("_h"),
                           r_struct.alias("_r"), F.lit(None).cast(l_type).alias("_L"))
-    l_rows = left.select(F.col(key).alias("_k"), time_bucket(F.col(left_ts), bucket).alias("_d"),
-                         F.col(left_ts).cast("timestamp_ntz").alias("_t"), F.lit(1).alias("_o"),
+    i_type = r_rows.schema["_i"].dataType
+    # left rows of one time are told apart by a hash, so that they can be dealt
+    l_rows = left.select(F.col(key).alias("_k"), F.col(left_ts).cast("timestamp_ntz").alias("_t"), F.lit(1).alias("_o"),
+                         F.lit(None).cast(i_type).alias("_i"), F.xxhash64(*left.columns).alias("_h"),
                          F.lit(None).cast(r_type).alias("_r"), l_struct.alias("_L"))
-    w_day = (W.partitionBy("_k", "_d").orderBy("_t", "_o", F.col("_r._id"))
-              .rowsBetween(W.unboundedPreceding, W.currentRow))
-    same = (r_rows.unionByName(l_rows)
-            .withColumn("_same", F.last("_r", ignorenulls=True).over(w_day))
-            .filter(F.col("_o") == 1).select("_k", "_d", "_same", "_L"))
-    # latest right row strictly before each left day
-    per_day = (right.groupBy(F.col(key).alias("_k"), time_bucket(F.col(right_ts), bucket).alias("_d"))
-                    .agg(F.max(r_struct).alias("_last")).withColumn("_o", F.lit(1)))
-    l_days = same.select("_k", "_d").distinct() \
-                 .select("_k", "_d", F.lit(None).cast(r_type).alias("_last"), F.lit(0).alias("_o"))
-    w_prior = W.partitionBy("_k").orderBy("_d", "_o").rowsBetween(W.unboundedPreceding, -1)
-    prior = (per_day.unionByName(l_days)
-             .withColumn("_prior", F.last("_last", ignorenulls=True).over(w_prior))
-             .filter(F.col("_o") == 0).select(F.col("_k").alias("_pk"), F.col("_d").alias("_pd"), "_prior"))
-    out = same.join(prior, (same._k == prior._pk) & (same._d == prior._pd), "left")
-    chosen = F.coalesce(F.col("_same"), F.col("_prior"))
+    ordering = ["_t", "_o", "_i", "_h"]
+    rows = dealt_by_range(r_rows.unionByName(l_rows).filter(F.col("_k").isNotNull() | (F.col("_o") == 1)), ["_k"], ordering)
+    rows = rows.withColumn("_last", F.last("_r", ignorenulls=True).over(within_range(["_k"], ordering)))
+    ends = rows.groupBy(RANGE, "_k").agg(F.max_by("_r", F.when(F.col("_o") == 0, F.struct("_t", "_i"))).alias("_end"))
+    before = W.partitionBy("_k").orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("_prior", F.last("_end", ignorenulls=True).over(before))
+    out = with_carry(rows.filter(F.col("_o") == 1), ends, ["_k"], {"_prior": F.col("_prior")})
+    chosen = F.when(F.col("_k").isNotNull(), F.coalesce(F.col("_last"), F.col("_prior")))
     sel = [F.col("_L")[c].alias(c) for c in left.columns]
     sel += [chosen["_id"].alias(f"{prefix}id"), chosen["_ts"].alias(f"{prefix}{right_ts}")]
     sel += [chosen[c].alias(f"{prefix}{c}") for c in payload]

@@ -19,7 +19,6 @@ from tillbook.operators.commands import in_sequence, one_per_target
 from tillbook.operators.filters import split_valid
 from tillbook.operators.joins import with_commission
 from tillbook.operators.postings import posting, store_and_bank_legs
-from tillbook.session import cut_lineage
 from tillbook.sources.schemas import MONEY_SQL, conform
 
 # Generated texts and types of the write routes.
@@ -276,21 +275,21 @@ def open_tills(forms: DataFrame) -> dict[str, DataFrame]:
 def balance_before(postings: DataFrame, cmds: DataFrame, key: str, ts: str, cuenta: str = "tienda") -> DataFrame:
     """Account balance just before each command time (strictly earlier
     postings), for commands that assign a balance (closing, count
-    adjustment, explicit set). As-of lookup on the running balance: one
-    window per (account, day) plus one over day summaries, no row pairs."""
-    from tillbook.operators.joins import asof_latest
+    adjustment, explicit set). The commands take part in the running balance
+    as postings of nothing that come before all others of their time, so one
+    scan gives the balance that each of them finds; no rows are paired."""
     from tillbook.operators.windows import running_balance
+    own = F.struct(*[F.col(c) for c in cmds.columns])
+    probes = cmds.select(F.col(key).alias("_acc"), F.col(ts).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("orden"),
+                         F.xxhash64(*cmds.columns).alias("fuente_id"), _zero().alias("monto"), F.lit("delta").alias("tipo_asiento"),
+                         own.alias("_cmd"))
     acc_key = "tienda_id" if cuenta == "tienda" else "banco_id"
-    run = running_balance(postings.filter(F.col("cuenta") == cuenta), [acc_key], "ts", ["orden", "fuente_id"],
-                          "monto", "tipo_asiento")
-    # strictly before: shift each posting by one microsecond so equal times do not count
-    run = run.select(F.col(acc_key).alias(key), (F.col("ts") + F.expr("INTERVAL 1 MICROSECOND")).alias("_ts"),
-                     F.struct("orden", "fuente_id").alias("id"), "saldo")
-    # the fold is read three times by the as-of join: materialise it once in
-    # the shared checkpoint folder (reliable checkpoint, lineage cut)
-    run = cut_lineage(run)
-    j = asof_latest(cmds, run, key, ts, "_ts", ["saldo"], prefix="b_")
-    return j.withColumn("saldo_antes", F.coalesce("b_saldo", _zero())).drop("b_id", "b__ts", "b_saldo")
+    rows = postings.filter(F.col("cuenta") == cuenta).select(
+        F.col(acc_key).alias("_acc"), "ts", F.col("orden").cast("long").alias("orden"), F.col("fuente_id").cast("long").alias("fuente_id"),
+        "monto", "tipo_asiento", F.lit(None).cast(probes.schema["_cmd"].dataType).alias("_cmd"))
+    run = running_balance(rows.unionByName(probes), ["_acc"], "ts", ["orden", "fuente_id"], "monto", "tipo_asiento")
+    return run.filter(F.col("_cmd").isNotNull()).select(*[F.col("_cmd")[c].alias(c) for c in cmds.columns],
+                                                        F.col("saldo").alias("saldo_antes"))
 
 
 def post_count_adjustment(cmds: DataFrame, balances: DataFrame) -> dict[str, DataFrame]:

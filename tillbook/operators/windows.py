@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillbook.operators.joins import asof_opening, time_bucket
+from tillbook.operators.joins import asof_opening
+from tillbook.operators.scans import RANGE, dealt_by_range, with_carry, within_range
 from tillbook.sources.schemas import MONEY_SQL
 
 # The base used when no treasury snapshot exists.
@@ -46,46 +47,34 @@ def history_top_n(hist: DataFrame, n: int = 100) -> DataFrame:
 
 
 def running_balance(postings: DataFrame, keys: list[str], ts: str = "ts", order: list[str] | None = None,
-                    amount: str = "amount", kind: str = "kind", out: str = "saldo", bucket: str = "day") -> DataFrame:
+                    amount: str = "amount", kind: str = "kind", out: str = "saldo") -> DataFrame:
     """balance after every posting; a ``set`` posting assigns the
     balance, a ``delta`` posting adds to it.
 
-    Two-level prefix sum, so no window holds a whole account:
-    1. inside each (account, day): segment = running count of sets, running
+    A segmented scan over ranges of (account, time, tie), see ``scans``:
+    1. inside each range and account: segment = running count of sets, running
        sum inside the segment;
-    2. per (account, day) summary (one row per account-day): the value
-       carried out of the day, chained over days with a window over the
-       summaries only;
-    3. rows before the first set of their day add the carry-in of the day."""
-    order = order or []
-    day = time_bucket(F.col(ts), bucket)
-    ordering = [F.col(ts)] + [F.col(c) for c in order]
-    p = postings.withColumn("_day", day).withColumn("_is_set", (F.col(kind) == "set").cast("int"))
-    w_in = W.partitionBy(*keys, "_day").orderBy(*ordering).rowsBetween(W.unboundedPreceding, W.currentRow)
-    p = p.withColumn("_lseg", F.sum("_is_set").over(w_in))
-    w_seg = W.partitionBy(*keys, "_day", "_lseg").orderBy(*ordering) \
-             .rowsBetween(W.unboundedPreceding, W.currentRow)
-    p = p.withColumn("_run", F.sum(F.col(amount)).over(w_seg))
-    last_key = F.struct(*ordering)
-    summ = p.groupBy(*keys, "_day").agg(
-        F.max("_lseg").alias("_nsets"),
-        F.coalesce(F.sum(F.when(F.col("_lseg") == 0, F.col(amount))), F.lit(0)).alias("_pre"),
-        F.max_by("_run", last_key).alias("_end"))
-    v = F.when(F.col("_nsets") > 0, F.col("_end")).otherwise(F.col("_pre"))
-    w_days = W.partitionBy(*keys).orderBy("_day")
-    summ = summ.withColumn("_seg2", F.sum((F.col("_nsets") > 0).cast("int"))
-                           .over(w_days.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    summ = summ.withColumn("_cout", F.sum(v).over(
-        W.partitionBy(*keys, "_seg2").orderBy("_day").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    summ = summ.withColumn("_cin", F.coalesce(F.lag("_cout", 1).over(w_days), F.lit(0)))
-    summ = summ.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_day").alias("_s_day"), "_cin")
-    cond = F.col("_day") == F.col("_s_day")
-    for k in keys:
-        cond = cond & p[k].eqNullSafe(F.col(f"_s_{k}"))
-    j = p.join(summ, cond, "left")
+    2. each range is reduced to its carry (the sum after its last set, or its
+       whole sum where it has none), and carries are chained over the ranges of
+       an account in the same way;
+    3. rows before the first set of their range add the carry of the ranges
+       before it."""
+    ordering = [ts, *(order or [])]
+    p = dealt_by_range(postings, keys, ordering).withColumn("_is_set", (F.col(kind) == "set").cast("int"))
+    p = p.withColumn("_lseg", F.sum("_is_set").over(within_range(keys, ordering)))
+    p = p.withColumn("_run", F.sum(F.col(amount)).over(within_range(keys, ordering, "_lseg")))
+    # the last row of a range and account holds its number of sets and its sum
+    # after the last of them
+    ends = p.groupBy(RANGE, *keys).agg(F.max_by(F.struct("_lseg", "_run"), F.struct(*ordering)).alias("_end"))
+    chain = W.partitionBy(*keys).orderBy(RANGE)
+    so_far = chain.rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = ends.withColumn("_seg2", F.sum((F.col("_end._lseg") > 0).cast("int")).over(so_far))
+    ends = ends.withColumn("_cout", F.sum("_end._run").over(
+        W.partitionBy(*keys, "_seg2").orderBy(RANGE).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ends = ends.withColumn("_cin", F.lag("_cout", 1).over(chain))
+    j = with_carry(p, ends, keys, {"_cin": F.col("_cin")})
     bal = F.when(F.col("_lseg") > 0, F.col("_run")).otherwise(F.coalesce("_cin", F.lit(0)) + F.col("_run"))
-    drop = ["_day", "_is_set", "_lseg", "_run", "_s_day", "_cin"] + [f"_s_{k}" for k in keys]
-    return j.withColumn(out, bal.cast(MONEY_SQL)).drop(*drop)
+    return j.withColumn(out, bal.cast(MONEY_SQL)).drop(RANGE, "_is_set", "_lseg", "_run", "_cin")
 
 
 def running_store_cash(postings: DataFrame) -> DataFrame:
