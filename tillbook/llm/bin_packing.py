@@ -57,14 +57,14 @@ class WordCodec:
     """Ids of texts by the ``tokenizers`` library. The vocabulary drops white
     space and never joins across it, so each run between ASCII white space is
     encoded once: it gets a number, its ids lie in one array, and texts are
-    gathered from that. The cache starts anew beyond ``cache_size`` words."""
+    gathered from that. The cache starts anew beyond ``cache_size`` words. The
+    library's defaults hold: a special token's name in a text is that token."""
 
     def __init__(self, path: str, cache_size: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache_size = cache_size
         self._clear()
 
@@ -105,7 +105,10 @@ class WordCodec:
         end = number(b"")
         words, counts = [], []
         for text in texts:
-            own = (text or "").encode("utf-8", "replace").lower().split()
+            raw = (text or "").encode("utf-8", "replace")
+            # the tokenizer lowers after composing, so letters before combining marks stay as they are here
+            # (U+0300 to U+036F begin with these bytes), as do the names of special tokens
+            own = (raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower()).split()
             counts.append(len(own) + 1)
             words.append(np.fromiter(map(number, own), np.int64, len(own)))
             words.append(np.array([end]))
