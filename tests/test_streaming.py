@@ -1,32 +1,125 @@
 """Streaming behaviour over several micro-batches (one file per trigger)."""
 
 import datetime as dt
+import random
 import tempfile
 from decimal import Decimal
 
 from tillbook.streaming import live as J
+from tillbook.streaming.keyed import pending_events
 
 T0 = dt.datetime(2024, 1, 1, 8, 0)
 SCHEMA = "id long, fecha_envio timestamp_ntz, estado string"
+HOUR = dt.timedelta(hours=1)
 
 
-def _stream_of(spark, batches):
-    src = tempfile.mkdtemp(prefix="tb-src-")
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{src}/b{i}")
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1) \
-                .option("recursiveFileLookup", "true").parquet(src)
+class Files:
+    """A folder to which a test adds one file per micro-batch."""
 
+    def __init__(self, spark, schema):
+        self.spark, self.schema = spark, schema
+        self.path = tempfile.mkdtemp(prefix="tb-src-")
+        self.stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(self.path)
 
-def test_pending_changes_emitted_only_on_change(spark):
-    h = dt.timedelta(hours=1)
-    batches = [[(1, T0, "Pendiente"), (2, T0 + h, "Pendiente")],
-               [(3, T0 + 2 * h, "Recibido")],
-               [(4, T0 + 3 * h, "Pendiente")]]
+    def add(self, rows):
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def _changes(spark, out):
+    return sorted((r.epoch, r.clase, r.pendientes, r.primer_id) for r in spark.read.parquet(out + "/changes").collect())
+
+
+def test_receipts_lower_the_count_and_the_head_moves_on(spark):
+    sent, debts = Files(spark, SCHEMA), Files(spark, SCHEMA)
+    events = (pending_events(sent.stream, "remesa", "fecha_envio", closed=False)
+              .unionByName(pending_events(debts.stream, "deuda", "fecha_envio", closed=False)))
     out = J.scratch_path(spark, "t-j2")
-    J.run_changes(J.stream_pending_state(_stream_of(spark, batches)), out).awaitTermination()
-    rows = sorted((r.epoch, r.pendientes, r.primer_id) for r in spark.read.parquet(out + "/changes").collect())
-    assert [(p, i) for _, p, i in rows] == [(2, 2), (3, 4)]
+    steps = [([(1, T0, "Pendiente"), (2, T0 + HOUR, "Pendiente"), (3, T0 + 2 * HOUR, "Pendiente")], [(1, T0, "Pendiente")]),
+             ([(3, T0 + 2 * HOUR, "Recibido")], []),  # the head is received
+             ([(3, T0 + 2 * HOUR, "Recibido"), (2, T0 + HOUR, "Pendiente")], []),  # delivered again: no change
+             ([(9, T0 + 3 * HOUR, "Recibido")], [(1, T0, "Pagado")]),  # a receipt before its sending
+             ([(9, T0 + 3 * HOUR, "Pendiente")], [(4, None, "Pendiente")])]
+    for rem, debt in steps:
+        for files, rows in ((sent, rem), (debts, debt)):
+            files.add(rows or [(None, None, None)])
+        J.run_pending_changes(events, out).awaitTermination()
+    assert [(c, n, i) for _, c, n, i in _changes(spark, out) if c == "remesa"] == [("remesa", 3, 3), ("remesa", 2, 2)]
+    assert [(c, n, i) for _, c, n, i in _changes(spark, out) if c == "deuda"] == [("deuda", 1, 1), ("deuda", 0, None), ("deuda", 1, 4)]
+
+
+def test_pending_set_against_a_fold(spark):
+    """Random sendings and receipts in any order over several batches."""
+    rnd = random.Random(3)
+    times = {i: T0 + dt.timedelta(minutes=rnd.randint(0, 500)) for i in range(60)}
+    events = [(i, t, "Pendiente") for i, t in times.items()] + [(i, times[i], "Recibido") for i in range(0, 60, 2)]
+    rnd.shuffle(events)
+    files, out, seen, want = Files(spark, SCHEMA), J.scratch_path(spark, "t-j2f"), {}, []
+    stream = pending_events(files.stream, "remesa", "fecha_envio", closed=False)
+    for k in range(0, 90, 15):
+        files.add(events[k:k + 15])
+        J.run_pending_changes(stream, out).awaitTermination()
+        for i, t, e in events[k:k + 15]:
+            seen[i] = seen.get(i, True) and e == "Pendiente"
+        open_ = [(times[i], i) for i, o in seen.items() if o]
+        state = (len(open_), max(open_)[1] if open_ else None)
+        if not want or want[-1] != state:
+            want.append(state)
+    assert [(n, i) for _, _, n, i in _changes(spark, out)] == want
+
+
+def test_live_trigger_runs_and_stops(spark):
+    files, out = Files(spark, SCHEMA), J.scratch_path(spark, "t-live")
+    files.add([(1, T0, "Pendiente")])
+    files.add([(2, T0 + HOUR, "Pendiente")])
+    q = J.run_pending_changes(pending_events(files.stream, "remesa", "fecha_envio"), out, trigger=J.LIVE_TRIGGER)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert _changes(spark, out)[-1][2:] == (2, 2)
+
+
+TX = "id long, tienda_id long, banco_id long, fecha_hora timestamp_ntz, monto_efectivo decimal(18,2)"
+AP = "tienda_id long, fecha_hora timestamp_ntz"
+
+
+def test_an_opening_that_arrives_later_resets_the_net(spark):
+    """Openings in files of their own, behind and before their transactions:
+    after every batch the net is that of a batch computation over what came."""
+    rnd = random.Random(8)
+    tx, ap, out = Files(spark, TX), Files(spark, AP), J.scratch_path(spark, "t-j1")
+    all_tx, all_ap = [], []
+    for batch in range(5):
+        new_tx = [(100 * batch + i, rnd.randint(0, 2), rnd.choice([None, 0, 1]), T0 + dt.timedelta(minutes=rnd.randint(0, 400)),
+                   Decimal(rnd.randint(-999, 999)) / 100) for i in range(40)]
+        new_ap = [] if batch == 0 else [(rnd.randint(0, 1), T0 + dt.timedelta(minutes=rnd.randint(0, 380))) for _ in range(2)]
+        new_tx.append((999, 1, 0, None, Decimal(5)))
+        tx.add(new_tx)
+        ap.add(new_ap or [(None, None)])
+        all_tx, all_ap = all_tx + new_tx, all_ap + new_ap
+        J.run_net(tx.stream, ap.stream, out).awaitTermination()
+        last = {}
+        for t, ts in all_ap:
+            last[t] = max(last.get(t, ts), ts)
+        want = {}
+        for _, t, b, ts, m in all_tx:
+            if t in last and ts is not None and ts >= last[t]:
+                want[t, b] = want.get((t, b), Decimal(0)) + m
+        assert {(r.tienda_id, r.banco_id): r.neto_txn for r in J.current_net(spark, out).collect()} == want
+    assert want
+
+
+def test_a_batch_reads_only_the_version_before_it(spark):
+    """The state a batch reads does not grow with the number of batches."""
+    schema = "id long, fecha_hora timestamp_ntz, tipo string, monto_efectivo decimal(18,2)"
+    files, out = Files(spark, schema), J.scratch_path(spark, "t-j4n")
+    for k in range(12):
+        files.add([(10 * k + i, T0 + dt.timedelta(days=k), "a", Decimal(i + 1)) for i in range(5)])
+    J.run_daily_flow(files.stream, out, "1 hour").awaitTermination()
+    sizes = {r.lote: r["count"] for r in spark.read.parquet(out + "/sumas").groupBy("lote").count().collect()}
+    assert len(sizes) == 12 and max(sizes.values()) <= 2
+    flow = spark.read.parquet(out + "/flujo").collect()
+    assert len(flow) == 11 and {(r.entrada, r.ops) for r in flow} == {(Decimal(15), 5)}
 
 
 def test_repeated_delivery_posts_once(spark):
@@ -63,19 +156,6 @@ def test_late_and_repeated_commands_of_many_files_post_once(spark):
         assert [r.id for r in spark.read.parquet(out + "/rechazados").collect()] == [0]
 
 
-def test_live_trigger_runs_and_stops(spark):
-    h = dt.timedelta(hours=1)
-    stream = _stream_of(spark, [[(1, T0, "Pendiente")], [(2, T0 + h, "Pendiente")]])
-    out = J.scratch_path(spark, "t-live")
-    q = J.run_changes(J.stream_pending_state(stream), out, trigger=J.LIVE_TRIGGER)
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    rows = sorted((r.pendientes, r.primer_id) for r in spark.read.parquet(out + "/changes").collect())
-    assert rows[-1] == (2, 2)
-
-
 def test_daily_flow_keeps_late_rows(spark):
     """Files out of time order: rows of a day that was emitted before are in
     the late table, and no money is lost between the two."""

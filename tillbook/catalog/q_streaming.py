@@ -10,6 +10,7 @@ from tillbook.catalog.q_posting import POSTED_SQL
 from tillbook.sources.fixtures import commands_from_events, remits_from_lines
 from tillbook.sources.store import StoredLedger as Ledger
 from tillbook.streaming import live as J
+from tillbook.streaming.keyed import pending_events
 
 
 def _events_stream(spark, d):
@@ -31,32 +32,49 @@ def j3(spark, d):
 
 
 @register("j1_stream_net_by_store_bank", """
-SELECT t.tienda_id, t.banco_id, CAST(SUM(t.monto_efectivo) AS DECIMAL(18,2)) AS neto_txn FROM transacciones t
-JOIN (SELECT tienda_id, MAX(fecha_hora) AS ultima FROM aperturas_caja GROUP BY tienda_id) a ON t.tienda_id = a.tienda_id
-WHERE t.fecha_hora >= a.ultima GROUP BY t.tienda_id, t.banco_id""")
+SELECT tienda_id, banco_id, CAST(SUM(monto_efectivo) AS DECIMAL(18,2)) AS neto_txn
+FROM transacciones JOIN (SELECT tienda_id, MAX(fecha_hora) AS desde FROM aperturas_caja GROUP BY ALL) USING (tienda_id)
+WHERE fecha_hora >= desde GROUP BY ALL""")
 def j1(spark, d):
     from tillbook.sources.fixtures import post_fixture_transactions
     L = Ledger(spark, d)
     tx = post_fixture_transactions(commands_from_events(_events_stream(spark, d)), L["comisiones"])
     out = J.scratch_path(spark, "j1")
-    q = J.run_snapshot(J.stream_net_by_store_bank(tx, L["aperturas_caja"]), out)
-    q.awaitTermination()
-    return J.latest_snapshot(spark, out)
+    J.run_net(tx, J.ledger_stream(spark, L.path, "aperturas_caja"), out).awaitTermination()
+    return J.current_net(spark, out)
 
 
-@register("j2_stream_pending_changes", """
-SELECT CAST(0 AS BIGINT) AS epoch, COUNT(*) AS pendientes, arg_max(id, (fecha_envio, id)) AS primer_id
-FROM remesas WHERE estado = 'Pendiente'""")
-def j2(spark, d):
+def _sent_and_received(spark, d):
+    """Remittances as the dashboard's poll sees them: every one is sent, and
+    those received take themselves away again."""
     cmds = commands_from_events(_events_stream(spark, d)).filter(F.col("tipo") == "Efectivo Entregado")
     odd = F.col("id") % 2 == 1
     rem = cmds.select("id", F.col("fecha_hora").alias("fecha_envio"),
                       F.when(odd, "Recibido").otherwise("Pendiente").alias("estado"))
     lines = remits_from_lines(J.table_stream(spark, d, "lineitem"))
-    rem = rem.unionByName(lines.select(*rem.columns))
+    return pending_events(rem.unionByName(lines.select(*rem.columns)), "remesa", "fecha_envio")
+
+
+@register("j2_stream_pending_changes", """
+SELECT CAST(0 AS BIGINT) AS epoch, COUNT(*) AS pendientes, arg_max(id, (fecha_envio, id)) AS primer_id
+FROM remesas WHERE estado = 'Pendiente'""")
+def j2(spark, d):
     out = J.scratch_path(spark, "j2")
-    q = J.run_changes(J.stream_pending_state(rem), out)
-    q.awaitTermination()
+    J.run_pending_changes(_sent_and_received(spark, d), out).awaitTermination()
+    return spark.read.parquet(out + "/changes").drop("lote", "clase")
+
+
+@register("j2_stream_pending_classes", """
+WITH abiertos AS (
+  SELECT 'remesa' AS clase, id, fecha_envio AS fecha FROM remesas WHERE estado = 'Pendiente'
+  UNION ALL
+  SELECT 'deuda', id, fecha_hora FROM depositos_adelantados WHERE estado = 'Pendiente')
+SELECT CAST(0 AS BIGINT) AS epoch, clase, COUNT(*) AS pendientes, arg_max(id, (fecha, id)) AS primer_id FROM abiertos GROUP BY ALL""")
+def j2_classes(spark, d):
+    L = Ledger(spark, d)
+    debts = pending_events(J.ledger_stream(spark, L.path, "depositos_adelantados"), "deuda", "fecha_hora")
+    out = J.scratch_path(spark, "j2c")
+    J.run_pending_changes(_sent_and_received(spark, d).unionByName(debts), out).awaitTermination()
     return spark.read.parquet(out + "/changes").drop("lote")
 
 

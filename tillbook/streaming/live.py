@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillbook.functions.signs import POST_RULES, signed_legs
-from tillbook.operators.commands import one_per_target
 from tillbook.operators.joins import with_commission
 from tillbook.operators.postings import store_and_bank_legs
 from tillbook.session import ensure_checkpoint_dir
-from tillbook.sources.schemas import MONEY_SQL
+from tillbook.sources.schemas import LEDGER_SCHEMAS, MONEY_SQL
+from tillbook.streaming.keyed import net_changes, net_events, overlay, pending_state, rocksdb_state, totals
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -27,19 +27,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def event_time(df: DataFrame, col: str = "fecha_hora") -> DataFrame:
-    """Watermarks need a TIMESTAMP (instant) column; ledger times are
-    TIMESTAMP_NTZ wall times. The instant is the wall time read as UTC
-    whatever the session zone, so day windows start at wall-clock midnight."""
-    as_session_wall = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(col).cast("timestamp_ntz"))
-    return df.withColumn("_evt", as_session_wall.cast("timestamp"))
-
-
-def wall_time(instant) -> "F.Column":
-    """Inverse of ``event_time``: an instant back to the UTC wall time."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
-
-
 def table_stream(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
     """File stream of one table (a file, or a folder of part files; new files
     are picked up as they land). ``max_files`` bounds the files of one
@@ -53,6 +40,14 @@ def table_stream(spark: SparkSession, folder: str, table: str, max_files: int |
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def ledger_stream(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
+    """File stream of one table of a stored ledger."""
+    reader = spark.readStream.schema(LEDGER_SCHEMAS[table])
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(f"{folder.rstrip('/')}/{table}")
+
+
 def post_commands(cmds: DataFrame, com: DataFrame) -> DataFrame:
     """J3 rule: the I1 postings of valid commands."""
     c = with_commission(cmds.filter(F.col("monto") > 0), com)
@@ -63,40 +58,24 @@ def post_commands(cmds: DataFrame, com: DataFrame) -> DataFrame:
 
 def run_post(cmd_stream: DataFrame, com: DataFrame, path: str, trigger: dict | None = None) -> StreamingQuery:
     """I1 on a command stream. Every distinct command is posted exactly
-    once, however late or out of order it arrives: there is no watermark on
-    this path. A micro-batch keeps one row per id and drops the ids of earlier
-    batches (an anti-join with the narrow table of ids already taken). Each
-    batch writes folders of its own (``lote=<epoch>``) and overwrites them when
-    it is replayed after a failure, so a replay changes nothing. ``path`` gets
-    ``postings``, ``rechazados`` (amounts that are not > 0) and ``ids``."""
+    once, however late or out of order it arrives: the ids taken so far are
+    the stream's own state (RocksDB, one lookup per command that arrives), and
+    there is no watermark, so none is forgotten. The first delivery counts; of
+    deliveries in one micro-batch, the one that Spark reads first. Each batch
+    writes folders of its own (``lote=<epoch>``) and overwrites them when it is
+    replayed after a failure, so a replay changes nothing. ``path`` gets
+    ``postings``, ``rechazados`` (amounts that are not > 0) and ``nuevos``."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        one = one_per_target(batch, "id", "fecha_hora")
-        if epoch > 0:
-            taken = spark.read.schema("id long, lote long").parquet(f"{path}/ids").filter(F.col("lote") < epoch)
-            one = one.join(taken.select("id"), "id", "left_anti")
         new = f"{path}/nuevos/lote={epoch}"
-        one.write.mode("overwrite").parquet(new)
-        one = spark.read.schema(one.schema).parquet(new)
+        batch.write.mode("overwrite").parquet(new)
+        one = spark.read.schema(batch.schema).parquet(new)
         post_commands(one, com).write.mode("overwrite").parquet(f"{path}/postings/lote={epoch}")
         one.filter(~F.coalesce(F.col("monto") > 0, F.lit(False))) \
            .write.mode("overwrite").parquet(f"{path}/rechazados/lote={epoch}")
-        one.select("id").write.mode("overwrite").parquet(f"{path}/ids/lote={epoch}")
-    return (cmd_stream.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
-                      .trigger(**(trigger or CATCH_UP_TRIGGER)).start())
-
-
-def stream_daily_flow(tx_stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Per business day and type, cash in / out, with a watermark so late
-    rows have a policy (rows later than ``delay`` are dropped, a day is
-    emitted once the watermark passes it). ``run_daily_flow`` has the same
-    policy and keeps the late rows."""
-    m = F.col("monto_efectivo")
-    return (event_time(tx_stream).withWatermark("_evt", delay)
-            .groupBy(F.window("_evt", "1 day").alias("dia"), "tipo")
-            .agg(F.sum(F.when(m > 0, m).otherwise(F.lit(0))).cast(MONEY_SQL).alias("entrada"),
-                 F.sum(F.when(m < 0, -m).otherwise(F.lit(0))).cast(MONEY_SQL).alias("salida"),
-                 F.count(F.lit(1)).alias("ops")))
+    with rocksdb_state(cmd_stream.sparkSession):
+        return (cmd_stream.dropDuplicates(["id"]).writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
+                          .trigger(**(trigger or CATCH_UP_TRIGGER)).start())
 
 
 def run_daily_flow(tx_stream: DataFrame, path: str, delay: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
@@ -105,113 +84,95 @@ def run_daily_flow(tx_stream: DataFrame, path: str, delay: str = "1 day", trigge
     day is emitted once its end is at or before it. Rows of a day that the
     watermark had passed before their batch, and rows without a time, go to
     ``tardias`` as they are. ``path`` gets ``flujo`` (dia_inicio, tipo, entrada,
-    salida, ops), ``tardias`` and ``parciales`` (sums per batch, day and type,
-    ``visto`` the last event time). Each batch writes folders of its own
-    (``lote=<epoch>``) and overwrites them when it is replayed."""
+    salida, ops), ``tardias``, ``sumas`` (the days that were open when the batch
+    came, with its rows) and ``marca`` (the last event time). A batch reads its
+    own rows and the two small versions before it, whatever the stream's age.
+    Each batch writes folders of its own (``lote=<epoch>``) and overwrites them
+    when it is replayed."""
     m = F.col("monto_efectivo")
     end = F.col("dia_inicio") + F.expr("INTERVAL 1 DAY")
     wait = F.expr(f"INTERVAL {delay}")
+    sums = [F.sum("entrada").cast(MONEY_SQL).alias("entrada"), F.sum("salida").cast(MONEY_SQL).alias("salida"), F.sum("ops").alias("ops")]
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+
+        def mark(of: int):
+            """The last event time up to a batch, as a lazy one-row value."""
+            return spark.read.schema("visto timestamp_ntz").parquet(f"{path}/marca/lote={of}").agg(F.max("visto")).scalar()
+
+        def passed(of: int):
+            return F.coalesce(end <= mark(of) - wait, F.lit(False))
+
         rows = batch.withColumn("dia_inicio", F.date_trunc("day", "fecha_hora").cast("timestamp_ntz"))
-        seen = None
-        if epoch > 0:
-            before = spark.read.schema(f"{PARTIAL_SCHEMA}, lote long").parquet(f"{path}/parciales").filter(F.col("lote") < epoch)
-            seen = before.agg(F.max("visto")).first()[0]  # one value
         late = F.col("dia_inicio").isNull()
-        if seen is not None:
-            late = late | F.coalesce(end <= F.lit(seen).cast("timestamp_ntz") - wait, F.lit(False))
+        if epoch > 0:
+            late = late | passed(epoch - 1)
         rows.filter(late).drop("dia_inicio").write.mode("overwrite").parquet(f"{path}/tardias/lote={epoch}")
-        (rows.filter(~late).groupBy("dia_inicio", "tipo")
-             .agg(F.sum(F.when(m > 0, m).otherwise(F.lit(0))).cast(MONEY_SQL).alias("entrada"),
-                  F.sum(F.when(m < 0, -m).otherwise(F.lit(0))).cast(MONEY_SQL).alias("salida"),
-                  F.count(F.lit(1)).alias("ops"), F.max("fecha_hora").alias("visto"))
-             .write.mode("overwrite").parquet(f"{path}/parciales/lote={epoch}"))
-        parts = spark.read.schema(f"{PARTIAL_SCHEMA}, lote long").parquet(f"{path}/parciales").filter(F.col("lote") <= epoch)
-        mark = parts.agg(F.max("visto")).first()[0]
-        done = F.lit(False) if mark is None else end <= F.lit(mark).cast("timestamp_ntz") - wait
-        if seen is not None:
-            done = done & (end > F.lit(seen).cast("timestamp_ntz") - wait)
-        (parts.filter(done).groupBy("dia_inicio", "tipo")
-              .agg(F.sum("entrada").cast(MONEY_SQL).alias("entrada"), F.sum("salida").cast(MONEY_SQL).alias("salida"),
-                   F.sum("ops").alias("ops"))
-              .write.mode("overwrite").parquet(f"{path}/flujo/lote={epoch}"))
+        own = rows.filter(~late)
+        parts = own.select("dia_inicio", "tipo", F.when(m > 0, m).otherwise(F.lit(0)).cast(MONEY_SQL).alias("entrada"),
+                           F.when(m < 0, -m).otherwise(F.lit(0)).cast(MONEY_SQL).alias("salida"), F.lit(1).cast("long").alias("ops"))
+        seen = own.agg(F.max(F.col("fecha_hora").cast("timestamp_ntz")).alias("visto"))
+        if epoch > 0:
+            before = spark.read.schema(PARTIAL_SCHEMA).parquet(f"{path}/sumas/lote={epoch - 1}")
+            parts = parts.unionByName(before.filter(~passed(epoch - 1)))
+            seen = seen.select(F.greatest("visto", mark(epoch - 1)).alias("visto"))
+        seen.write.mode("overwrite").parquet(f"{path}/marca/lote={epoch}")
+        parts.groupBy("dia_inicio", "tipo").agg(*sums).write.mode("overwrite").parquet(f"{path}/sumas/lote={epoch}")
+        now = spark.read.schema(PARTIAL_SCHEMA).parquet(f"{path}/sumas/lote={epoch}")
+        now.filter(passed(epoch)).write.mode("overwrite").parquet(f"{path}/flujo/lote={epoch}")
     return (tx_stream.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
                      .trigger(**(trigger or CATCH_UP_TRIGGER)).start())
 
 
-def stream_net_by_store_bank(tx_stream: DataFrame, ap: DataFrame) -> DataFrame:
-    """Live net cash per (store, bank) since the store's latest opening
-    (the dashboard's reset): a stream-static join with the per-store latest
-    opening time (static, one row per store), then a stateful aggregation
-    with one state row per store and bank."""
-    last = ap.groupBy(F.col("tienda_id").alias("_t")).agg(F.max("fecha_hora").alias("_ultima"))
-    j = tx_stream.join(last, tx_stream.tienda_id == last._t, "inner") \
-                 .filter(F.col("fecha_hora") >= F.col("_ultima"))
-    return j.groupBy("tienda_id", "banco_id").agg(F.sum("monto_efectivo").cast(MONEY_SQL).alias("neto_txn"))
-
-
-def stream_pending_state(rem_stream: DataFrame) -> DataFrame:
-    """J2 state: number of pending remittances and the id at the head of the
-    pending list (newest send time, then highest id)."""
-    p = rem_stream.filter(F.col("estado") == "Pendiente")
-    return p.groupBy().agg(F.count(F.lit(1)).alias("pendientes"),
-                           F.max(F.struct("fecha_envio", "id"))["id"].alias("primer_id"))
-
-
-def run_changes(state: DataFrame, path: str, trigger: dict | None = None) -> StreamingQuery:
-    """J2 sink: after each micro-batch the new state is compared with the
-    last emitted one (a full outer join of the two one-row snapshots); a
-    change row is written only when the count or the head id changed. Each
-    batch writes folders of its own (``lote=<epoch>``) and is compared with the
-    last epoch before it, so a replayed batch writes the same rows again
-    instead of adding some."""
+def run_net(tx_stream: DataFrame, ap_stream: DataFrame, path: str, trigger: dict | None = None) -> StreamingQuery:
+    """Live net cash per (store, bank) since the store's latest opening,
+    over a stream of transactions and one of openings. An opening resets the
+    store when it arrives, also behind transactions that came before it. Each
+    micro-batch writes a version of the parts' nets; ``current_net`` reads it."""
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        now = f"{path}/state/lote={epoch}"
-        batch.select("pendientes", "primer_id").write.mode("overwrite").parquet(now)
-        cur = spark.read.schema("pendientes long, primer_id long").parquet(now).withColumn("_k", F.lit(1))
-        states = spark.read.schema("pendientes long, primer_id long, lote long").parquet(f"{path}/state")
-        prev = states.filter(F.col("lote") < epoch).agg(F.max_by(F.struct("pendientes", "primer_id"), "lote").alias("_p")) \
-                     .filter(F.col("_p").isNotNull()).select("_p.*")
-        old = prev.select(F.lit(1).alias("_k"), F.col("pendientes").alias("_p0"), F.col("primer_id").alias("_i0"))
-        diff = cur.join(old, "_k", "full_outer").filter(
-            ~F.col("pendientes").eqNullSafe(F.col("_p0")) | ~F.col("primer_id").eqNullSafe(F.col("_i0")))
-        diff.select(F.lit(epoch).cast("long").alias("epoch"), "pendientes", "primer_id") \
-            .write.mode("overwrite").parquet(f"{path}/changes/lote={epoch}")
-    return (state.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
-                 .outputMode("complete").trigger(**(trigger or CATCH_UP_TRIGGER)).start())
-
-
-PARTIAL_SCHEMA = (f"dia_inicio timestamp_ntz, tipo string, entrada {MONEY_SQL}, salida {MONEY_SQL}, ops long, "
-                  "visto timestamp_ntz")
-# The reference's live refresh is a 10-second poll.
-LIVE_TRIGGER = {"processingTime": "10 seconds"}
-CATCH_UP_TRIGGER = {"availableNow": True}
+        overlay(batch, epoch, f"{path}/data", ["tienda_id", "parte", "banco_id"])
+    with rocksdb_state(tx_stream.sparkSession):
+        return (net_changes(net_events(tx_stream, ap_stream)).writeStream.foreachBatch(write).outputMode("update")
+                .option("checkpointLocation", path + "/_checkpoint").trigger(**(trigger or CATCH_UP_TRIGGER)).start())
 
 
-def run_append(df: DataFrame, path: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append a stream to a parquet table (exactly-once file sink).
-    ``trigger``: ``CATCH_UP_TRIGGER`` (default: process what is there, then
-    stop) or ``LIVE_TRIGGER`` / any ``DataStreamWriter.trigger`` keywords."""
-    return (df.writeStream.format("parquet").option("path", path)
-              .option("checkpointLocation", path + "/_checkpoint").outputMode("append")
-              .trigger(**(trigger or CATCH_UP_TRIGGER)).start())
+def current_net(spark: SparkSession, path: str) -> DataFrame:
+    """(tienda_id, banco_id, neto_txn) after the last micro-batch."""
+    parts = latest_snapshot(spark, path).filter("n > 0")
+    cents = F.sum(F.col("centavos").cast("decimal(38,0)"))
+    return parts.groupBy("tienda_id", "banco_id").agg((cents / 100).cast(MONEY_SQL).alias("neto_txn"))
 
 
-def run_snapshot(df: DataFrame, path: str, mode: str = "complete", trigger: dict | None = None) -> StreamingQuery:
-    """Write each micro-batch result of a stateful aggregation as a new
-    version of a parquet table (``lote=<epoch>``): readers of the version
-    before are not disturbed, a replay overwrites its own version only.
-    ``latest_snapshot`` reads the newest one."""
+def run_pending_changes(events: DataFrame, path: str, trigger: dict | None = None) -> StreamingQuery:
+    """A change row (epoch, clase, pendientes, primer_id) whenever the
+    number of open items of a class, or the head of its list, has changed after
+    a micro-batch. ``events``: from ``pending_events``, any classes together.
+    ``path`` gets ``data`` (versions of the parts' state) and ``changes``; a
+    replayed batch writes the same rows again."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/data/lote={epoch}")
-    return (df.writeStream.foreachBatch(write).option("checkpointLocation", path + "/_checkpoint")
-              .outputMode(mode).trigger(**(trigger or CATCH_UP_TRIGGER)).start())
+        spark = batch.sparkSession
+        now = totals(overlay(batch, epoch, f"{path}/data", ["clase", "parte"]))
+        if epoch > 0:
+            old = totals(spark.read.schema(batch.schema).parquet(f"{path}/data/lote={epoch - 1}")).select(
+                F.col("clase").alias("_c"), F.col("pendientes").alias("_p"), F.col("primer_id").alias("_i"))
+            now = now.join(old, now["clase"] == F.col("_c"), "left").filter(
+                ~F.col("pendientes").eqNullSafe(F.col("_p")) | ~F.col("primer_id").eqNullSafe(F.col("_i")))
+        now.select(F.lit(epoch).cast("long").alias("epoch"), "clase", "pendientes", "primer_id") \
+           .write.mode("overwrite").parquet(f"{path}/changes/lote={epoch}")
+    with rocksdb_state(events.sparkSession):
+        return (pending_state(events).writeStream.foreachBatch(write).outputMode("update")
+                .option("checkpointLocation", path + "/_checkpoint").trigger(**(trigger or CATCH_UP_TRIGGER)).start())
+
+
+PARTIAL_SCHEMA = f"dia_inicio timestamp_ntz, tipo string, entrada {MONEY_SQL}, salida {MONEY_SQL}, ops long"
+# The reference's live refresh is a 10-second poll.
+LIVE_TRIGGER = {"processingTime": "10 seconds"}
+CATCH_UP_TRIGGER = {"availableNow": True}
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version written by ``run_snapshot``."""
+    """The newest version (``lote=<epoch>``) of the table that a stream writes
+    to ``path``/data."""
     data = spark.read.parquet(path + "/data")
     return data.filter(F.col("lote") == data.agg(F.max("lote")).scalar()).drop("lote")
