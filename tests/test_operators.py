@@ -481,3 +481,39 @@ def test_running_balance_without_account_or_rows(spark):
     got = {r.seq: r.saldo for r in running_balance(spark.createDataFrame(rows, schema), ["acct"], "ts", ["seq"]).collect()}
     assert got == {1: D(5), 2: D(3), 3: D(4), 4: D(2)}
     assert running_balance(spark.createDataFrame([], schema), ["acct"], "ts", ["seq"]).count() == 0
+
+
+def test_interval_sums_of_overlapping_shifts(spark):
+    """1,000 shifts that overlap, ends on and between transactions: equal to
+    a plain sum per shift, and no row per (transaction, shift) in the plan."""
+    import contextlib
+    import io
+
+    from tillbook.operators.aggregations import shift_by_bank, shift_by_type
+
+    rnd = random.Random(21)
+    tx_rows = [(i, rnd.randint(0, 2), rnd.choice([None, 0, 1]), T0 + dt.timedelta(minutes=rnd.randint(0, 300)),
+                rnd.choice(["Depósito", "Retiro", None]), D(rnd.randint(-900, 900)) / 100) for i in range(900)]
+    tx_rows.append((901, 1, 0, None, "Retiro", D(7)))
+    sh_rows = [(k, rnd.randint(0, 3), T0 + dt.timedelta(minutes=rnd.randint(-20, 150)), T0 + dt.timedelta(minutes=rnd.randint(100, 330)))
+               for k in range(1000)]
+    tx = spark.createDataFrame(tx_rows, "id long, tienda_id long, banco_id long, fecha_hora timestamp_ntz, tipo string, monto_efectivo decimal(18,2)")
+    sh = spark.createDataFrame(sh_rows, "cierre_id long, tienda_id long, desde timestamp_ntz, hasta timestamp_ntz")
+    want, banks = {}, {}
+    for k, t, a, b in sh_rows:
+        for _, t2, bank, ts, tipo, m in tx_rows:
+            if t2 == t and ts is not None and a <= ts <= b:
+                w = want.setdefault((k, tipo), [D(0), D(0), 0])
+                w[0] += max(m, D(0))
+                w[1] += max(-m, D(0))
+                w[2] += 1
+                if bank is not None:
+                    banks[k, bank] = banks.get((k, bank), D(0)) + m
+    by_type = shift_by_type(tx, sh)
+    assert {(r.cierre_id, r.tipo): [r.entrada_ef, r.salida_ef, r.cantidad] for r in by_type.collect()} == want
+    dim = spark.createDataFrame([(0, "a", "x"), (1, "b", "y")], "id long, nombre string, color string")
+    assert {(r.cierre_id, r.banco_id): r.neto_ef for r in shift_by_bank(tx, sh, dim).collect()} == banks
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        by_type.explain()
+    assert "Generate" not in buf.getvalue() and "BroadcastNestedLoopJoin" not in buf.getvalue()

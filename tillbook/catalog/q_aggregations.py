@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillbook.catalog import register
 from tillbook.operators import aggregations as E
 from tillbook.operators.joins import (
-    TREASURY_INFLOW_LOG_TYPES, TREASURY_OUTFLOW_LOG_TYPES, asof_opening, tx_in_shift)
+    TREASURY_INFLOW_LOG_TYPES, TREASURY_OUTFLOW_LOG_TYPES, asof_opening)
 from tillbook.sources.store import StoredLedger as Ledger
 
 # rows of a store at or after its newest opening
@@ -148,32 +148,28 @@ summary AS (
 """
 
 
-def shift_frames(L):
-    shifts = asof_opening(L["cierres_caja"], L["aperturas_caja"]).select(
+def shifts_of(L):
+    return asof_opening(L["cierres_caja"], L["aperturas_caja"]).select(
         F.col("id").alias("cierre_id"), "tienda_id", "desde", F.col("fecha").alias("hasta"), "saldo_inicial_ef")
-    stx = tx_in_shift(L["transacciones"], shifts)
-    return shifts, stx
 
 
 @register("e8_shift_by_type", "SELECT * FROM by_type", extra_ctes=SHIFTS_CTE)
 def e8(spark, d):
     L = Ledger(spark, d)
-    _, stx = shift_frames(L)
-    return E.shift_by_type(stx)
+    return E.shift_by_type(L["transacciones"], shifts_of(L))
 
 
 @register("e9_shift_by_bank", "SELECT * FROM by_bank", extra_ctes=SHIFTS_CTE)
 def e9(spark, d):
     L = Ledger(spark, d)
-    _, stx = shift_frames(L)
-    return E.shift_by_bank(stx, L["bancos"])
+    return E.shift_by_bank(L["transacciones"], shifts_of(L), L["bancos"])
 
 
 @register("e10_shift_summary", "SELECT * FROM summary", extra_ctes=SHIFTS_CTE)
 def e10(spark, d):
     L = Ledger(spark, d)
-    shifts, stx = shift_frames(L)
-    return E.shift_summary(E.shift_by_type(stx), shifts)
+    shifts = shifts_of(L)
+    return E.shift_summary(E.shift_by_type(L["transacciones"], shifts), shifts)
 
 
 @register("e11_shift_moved_total", """
@@ -181,8 +177,8 @@ SELECT *, CAST(depositos + pagos_servicio + caja_empresarial AS DECIMAL(18,2)) A
           extra_ctes=SHIFTS_CTE)
 def e11(spark, d):
     L = Ledger(spark, d)
-    shifts, stx = shift_frames(L)
-    return E.shift_moved_total(E.shift_summary(E.shift_by_type(stx), shifts))
+    shifts = shifts_of(L)
+    return E.shift_moved_total(E.shift_summary(E.shift_by_type(L["transacciones"], shifts), shifts))
 
 
 @register("e19_shift_bank_totals", """
@@ -191,8 +187,15 @@ SELECT cierre_id, CAST(SUM(entrada_ef) AS DECIMAL(18,2)) AS total_entrada,
 FROM by_bank GROUP BY cierre_id""", extra_ctes=SHIFTS_CTE)
 def e19(spark, d):
     L = Ledger(spark, d)
-    _, stx = shift_frames(L)
-    return E.shift_bank_totals(E.shift_by_bank(stx, L["bancos"]))
+    return E.shift_bank_totals(E.shift_by_bank(L["transacciones"], shifts_of(L), L["bancos"]))
+
+
+@register("h7_bank_summary", """
+SELECT b.*, c.tienda_id, c.fecha FROM by_bank b JOIN cierres_caja c ON c.id = b.cierre_id
+JOIN tiendas t ON t.id = c.tienda_id JOIN usuarios u ON u.id = c.usuario_id""", extra_ctes=SHIFTS_CTE)
+def h7_banks(spark, d):
+    from tillbook.plans.closings import closings_bank_summary
+    return closings_bank_summary(Ledger(spark, d))
 
 
 @register("e15_outstanding_debt_total", """

@@ -278,6 +278,15 @@ def h7(spark, d):
     return HC.closings_enriched(Ledger(spark, d))
 
 
+@register("h7_maps", """
+SELECT id AS cierre_id, clave, MAX(monto) FILTER (WHERE parte = 'declarado') AS declarado,
+       MAX(monto) FILTER (WHERE parte = 'entregado') AS entregado
+FROM bd_long SEMI JOIN (SELECT c.id FROM cierres_caja c, tiendas t, usuarios u WHERE t.id = c.tienda_id AND u.id = c.usuario_id) USING (id)
+GROUP BY ALL""", extra_ctes=BREAKDOWN_SQL)
+def h7_maps(spark, d):
+    return HC.closings_maps(Ledger(spark, d))
+
+
 @register("e12_closings_totals", """
 SELECT COUNT(*) AS total_cierres, CAST(COALESCE(SUM(total_ops), 0) AS BIGINT) AS total_ops,
   CAST(COALESCE(SUM(depositos), 0) AS DECIMAL(38,2)) AS total_depositos,

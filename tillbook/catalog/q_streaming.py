@@ -65,11 +65,10 @@ def j2(spark, d):
 
 
 @register("j2_stream_pending_classes", """
-WITH abiertos AS (
+SELECT CAST(0 AS BIGINT) AS epoch, clase, COUNT(*) AS pendientes, arg_max(id, (fecha, id)) AS primer_id FROM (
   SELECT 'remesa' AS clase, id, fecha_envio AS fecha FROM remesas WHERE estado = 'Pendiente'
   UNION ALL
-  SELECT 'deuda', id, fecha_hora FROM depositos_adelantados WHERE estado = 'Pendiente')
-SELECT CAST(0 AS BIGINT) AS epoch, clase, COUNT(*) AS pendientes, arg_max(id, (fecha, id)) AS primer_id FROM abiertos GROUP BY ALL""")
+  SELECT 'deuda', id, fecha_hora FROM depositos_adelantados WHERE estado = 'Pendiente') GROUP BY ALL""")
 def j2_classes(spark, d):
     L = Ledger(spark, d)
     debts = pending_events(J.ledger_stream(spark, L.path, "depositos_adelantados"), "deuda", "fecha_hora")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.balances import balance_map, map_total
 from tillbook.operators.joins import flow_terms, join_nullsafe, since_opening
+from tillbook.operators.scans import interval_sums
 from tillbook.sources.schemas import MONEY_SQL
 
 def zero():
@@ -98,26 +99,29 @@ def treasury_flow(rem: DataFrame, log: DataFrame, bancos: DataFrame, since=None,
     return j.select("banco_id", F.coalesce("flujo", zero()).cast(MONEY_SQL).alias("flujo"))
 
 
-def shift_by_type(shift_tx: DataFrame, shift_id: str = "cierre_id") -> DataFrame:
-    """Per shift and type: cash in, cash out, count."""
+def shift_by_type(tx: DataFrame, shifts: DataFrame, shift_id: str = "cierre_id", start: str = "desde",
+                  end: str = "hasta") -> DataFrame:
+    """Per shift and type: cash in, cash out, count, by prefix sums at both
+    ends of each shift."""
     m = F.col("monto_efectivo")
-    return shift_tx.groupBy(shift_id, "tipo").agg(
-        msum(F.when(m > 0, m).otherwise(zero())).alias("entrada_ef"),
-        msum(F.when(m < 0, F.abs(m)).otherwise(zero())).alias("salida_ef"),
-        F.count(F.lit(1)).alias("cantidad"))
+    s = interval_sums(tx, shifts, "tienda_id", "tipo", {"entrada_ef": F.when(m > 0, m), "salida_ef": F.when(m < 0, -m)},
+                      "fecha_hora", shift_id, start, end)
+    return s.select(shift_id, "tipo", F.col("entrada_ef").cast(MONEY_SQL).alias("entrada_ef"),
+                    F.col("salida_ef").cast(MONEY_SQL).alias("salida_ef"), F.col("n").alias("cantidad"))
 
 
-def shift_by_bank(shift_tx: DataFrame, bancos: DataFrame, shift_id: str = "cierre_id") -> DataFrame:
+def shift_by_bank(tx: DataFrame, shifts: DataFrame, bancos: DataFrame, shift_id: str = "cierre_id", start: str = "desde",
+                  end: str = "hasta") -> DataFrame:
     """Per shift and bank: in, out, net, ops (NULL bank dropped by the
-    inner join with the bank dimension)."""
+    inner join with the bank dimension), by prefix sums like E8."""
     b = bancos.select(F.col("id").alias("_bid"), F.col("nombre").alias("banco_nombre"),
                       F.col("color").alias("banco_color"))
     m = F.col("monto_efectivo")
-    j = shift_tx.join(b, shift_tx.banco_id == b._bid, "inner")
-    return j.groupBy(shift_id, "banco_id", "banco_nombre", "banco_color").agg(
-        msum(F.when(m > 0, m).otherwise(zero())).alias("entrada_ef"),
-        msum(F.when(m < 0, F.abs(m)).otherwise(zero())).alias("salida_ef"),
-        msum(m).alias("neto_ef"), F.count(F.lit(1)).alias("ops"))
+    s = interval_sums(tx.filter(F.col("banco_id").isNotNull()), shifts, "tienda_id", "banco_id",
+                      {"entrada_ef": F.when(m > 0, m), "salida_ef": F.when(m < 0, -m), "neto_ef": m}, "fecha_hora", shift_id, start, end)
+    return s.join(b, s.banco_id == b._bid, "inner").select(
+        shift_id, "banco_id", "banco_nombre", "banco_color",
+        *[F.col(c).cast(MONEY_SQL).alias(c) for c in ("entrada_ef", "salida_ef", "neto_ef")], F.col("n").alias("ops"))
 
 
 # Summary column -> (transaction type, measure).

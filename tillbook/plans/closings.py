@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.balances import map_total
-from tillbook.functions.breakdown import build_breakdown, parse_breakdown
+from tillbook.functions.breakdown import breakdown_long, build_breakdown, parse_breakdown
 from tillbook.functions.forms import melt_form
 from tillbook.functions.money import round_cents
-from tillbook.operators.aggregations import shift_by_type, shift_moved_total, shift_summary
-from tillbook.operators.joins import asof_opening, enrich_closings, tx_in_shift
+from tillbook.operators.aggregations import shift_by_bank, shift_by_type, shift_moved_total, shift_summary
+from tillbook.operators.joins import asof_opening, enrich_closings
 from tillbook.sources.schemas import MONEY_SQL
 
 # Variance labels, tolerance and generated texts.
@@ -34,10 +34,11 @@ def shifts(L) -> DataFrame:
 
 def closings_enriched(L) -> DataFrame:
     """H7: every closing (joined to store and user) with its as-of opening,
-    type summary, moved total, declared and delivered totals."""
+    type summary, moved total, declared and delivered totals. Its bank summary
+    and maps are frames of their own: ``closings_bank_summary``,
+    ``closings_maps``."""
     sh = shifts(L)
-    stx = tx_in_shift(L["transacciones"], sh)
-    summ = shift_moved_total(shift_summary(shift_by_type(stx), sh))
+    summ = shift_moved_total(shift_summary(shift_by_type(L["transacciones"], sh), sh))
     base = parse_breakdown(enrich_closings(L["cierres_caja"], L["tiendas"], L["usuarios"]))
     base = base.select("id", "tienda_id", "tienda_nombre", "username", "fecha", "saldo_teorico", "saldo_real",
                        "diferencia", map_total(F.col("declarado")).alias("total_declarado"), "total_entregado")
@@ -46,6 +47,24 @@ def closings_enriched(L) -> DataFrame:
                 .drop("_sid", "cierre_id"))
 
 
+def closings_bank_summary(L) -> DataFrame:
+    """H7: per closing (joined to store and user) and bank of its shift: in,
+    out, net and operations."""
+    c = enrich_closings(L["cierres_caja"], L["tiendas"], L["usuarios"]).select(F.col("id").alias("_cid"), "tienda_id", "fecha")
+    banks = shift_by_bank(L["transacciones"], shifts(L), L["bancos"])
+    return banks.join(c, banks.cierre_id == c._cid, "inner").drop("_cid")
+
+
+def closings_maps(L) -> DataFrame:
+    """H7: what each closing (joined to store and user) declared and delivered
+    per bank key, in long form: (cierre_id, clave, declarado, entregado); an
+    amount is NULL where that part does not name the key."""
+    c = enrich_closings(L["cierres_caja"], L["tiendas"], L["usuarios"])
+    parts = breakdown_long(c, ["id"])
+    return parts.groupBy(F.col("id").alias("cierre_id"), "clave").agg(*[
+        F.max(F.when(F.col("parte") == part, F.col("monto"))).cast(MONEY_SQL).alias(part) for part in ("declarado", "entregado")])
+
+
 def variance_class(ci: DataFrame, delivered: Column | None = None) -> DataFrame:
     """H9: CUADRA (|d| < 0.01) / FALTA / SOBRA, the label with 2 decimals and
     the cash left for the next day max(0, real - delivered)."""
