@@ -3,18 +3,25 @@
 Two views of a document: its text (shape and word statistics) and its page
 metadata (source, language, length as stated). Each view has a logistic
 model. A model starts from a bounded sample of labelled documents
-(``max_labelled``); in each round every unlabelled document is scored by both,
-and each view hands the other its ``per_round`` most confident documents of
-either class as pseudo-labels. Both views are then calibrated on labelled
-documents held out from training, and combined as independent evidence.
+(``max_labelled``); in each round every unlabelled document is scored by both
+(once, into a stored table), and each view hands the other up to ``per_round``
+(times the round) of the documents it is sure of as pseudo-labels, in the
+classes' shares. Sure means: from this score on, the view's precision on
+labelled documents held out from training is at least ``confidence`` and halves
+the error of always naming the class; a view without such a score hands over
+none. A view keeps what it was given only if it then judges the held-out
+documents no worse. Both views are then calibrated on the held-out documents,
+and combined as independent evidence.
 
 Features are computed once, where the text lies, into a narrow stored table;
 scoring runs over all of it every round. The driver fits two models of some
 dozens of weights on the bounded sample; it never sees other rows than the
-sample and the ``4 * per_round`` picks of a round.
+sample and the ``2 * per_round`` picks of a round, both drawn by a hash where
+the rows lie, at a rate that follows from the count.
 
 Defined results: a null text counts as the empty one; null metadata are values
 of their own. Rows with null or repeated ids are scored like others. Where the
+labels contradict each other, the greatest counts. Where the
 labels hold one class only, every score is 1 or 0 by that class; without any
 label every score is 0.5. A document is kept if its score is at least
 ``threshold``. An empty table gives an empty result. Columns that are named
@@ -141,6 +148,33 @@ def _scorer(model: Logistic):
     return logit
 
 
+def drawn(rows: DataFrame, most: int, count: int) -> DataFrame:
+    """About ``most`` rows at most, by a hash of the key: a share that follows
+    from the count is taken where the rows lie, so what is sent on has the same
+    bound at every size of the table. Repeated keys count once."""
+    share = 1.0 if count <= most else 1.2 * most / count + 10 / count
+    taken = rows.filter(F.pmod(F.xxhash64(F.lit("draw"), "k_id", "k_text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    return taken.dropDuplicates(["k_id", "k_text"]).limit(most)
+
+
+def sure_from(logit: np.ndarray, y: np.ndarray, good: float, confidence: float, least: int = 5) -> float | None:
+    """The lowest score (for class 0, of its negative) from which on held-out
+    rows are of the class with the wanted precision, which must also halve the
+    error of always saying so; None where no score is."""
+    side = logit if good else -logit
+    order = np.argsort(-side, kind="stable")
+    right = np.cumsum(y[order] == good) / np.arange(1, len(y) + 1)
+    wanted = max(confidence, 1 - 0.5 * (1 - float((y == good).mean())))
+    ends = np.flatnonzero(np.append(np.diff(side[order]) != 0, True))  # rows of one score go together
+    ends = ends[(ends + 1 >= least) & (right[ends] >= wanted)]
+    return float(max(side[order][ends[-1]], 0.0)) if len(ends) else None
+
+
+def log_loss(model: Logistic, x: np.ndarray, y: np.ndarray) -> float:
+    logit = model.logit(x)
+    return float(np.logaddexp(0, np.where(y > 0, -logit, logit)).mean())
+
+
 def co_training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 label_col: str = "quality", categories: tuple[str, ...] = ("lang", "source"), number: str = "n_chars",
                 max_labelled: int = 20_000, rounds: int = 3, per_round: int = 500, confidence: float = 0.95,
@@ -149,8 +183,8 @@ def co_training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     feats = stored(view_features(docs, id_col, text_col, list(categories), number), "views")
     known = (labels.select(F.col(id_col).alias("k_id"), F.col(label_col).cast("double").alias("y"))
              .filter("k_id is not null and y is not null").groupBy("k_id").agg(F.max("y").alias("y")))
-    sample = (feats.join(known, "k_id").orderBy(F.xxhash64("k_id", "k_text"), "k_id").limit(max_labelled)
-              .select("k_id", "text_view", "meta_view", "y").toPandas())
+    labelled = feats.join(known, "k_id").select("k_id", "k_text", "text_view", "meta_view", "y")
+    sample = drawn(labelled, max_labelled, labelled.count()).orderBy(F.xxhash64("k_id", "k_text"), "k_id").toPandas()
     classes = set(sample["y"])
     if len(classes) < 2:
         only = F.lit(float(classes.pop()) if classes else 0.5)
@@ -162,28 +196,39 @@ def co_training(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         held[:] = False
     x = {v: _matrix(sample[v]) for v in views}
     y = sample["y"].to_numpy()
+    at = held if held.any() else ~held
     train = {v: [(x[v][~held], y[~held])] for v in views}
     open_docs = feats.join(known.select("k_id"), "k_id", "left_anti")
-    models = {}
-    for turn in range(rounds + 1):
-        for v in views:
-            models[v] = Logistic().fit(np.concatenate([a for a, _ in train[v]]), np.concatenate([b for _, b in train[v]]))
-        if turn == rounds:
+
+    def fitted(sets: dict) -> dict:
+        return {v: Logistic().fit(np.concatenate([a for a, _ in sets[v]]), np.concatenate([b for _, b in sets[v]])) for v in views}
+
+    models = fitted(train)
+    for turn in range(rounds if held.any() else 0):
+        sure = {(v, good): sure_from(models[v].logit(x[v][at]), y[at], good, confidence) for v in views for good in (1.0, 0.0)}
+        sure = {k: limit for k, limit in sure.items() if limit is not None}
+        if not sure:
             break
-        sure = float(np.log(confidence / (1 - confidence)))
-        scored = open_docs.select("k_id", "k_text", *views, *[_scorer(models[v])(v).alias(f"l_{v}") for v in views])
+        scored = stored(open_docs.select("k_id", "k_text", *views, *[_scorer(models[v])(v).alias(f"l_{v}") for v in views]), "scores")
+        fits = {(v, good): F.col(f"l_{v}") >= limit if good else F.col(f"l_{v}") <= -limit for (v, good), limit in sure.items()}
+        counts = scored.agg(*[F.sum(c.cast("long")).alias(f"{v}{good}") for (v, good), c in fits.items()]).first()
         picks = None
-        for v, other in zip(views, reversed(views)):
-            for good in (1.0, 0.0):
-                order = F.col(f"l_{v}") if good else -F.col(f"l_{v}")
-                best = (scored.filter(order >= sure).orderBy(order.desc(), "k_id", "k_text").limit((turn + 1) * per_round)
-                        .select(F.col(other).alias("x"), F.lit(other).alias("to"), F.lit(good).alias("y")))
-                picks = best if picks is None else picks.unionByName(best)
-        got = picks.toPandas()  # at most 4 * rounds * per_round rows
-        for v in views:
-            own = got[got["to"] == v]
-            train[v] = train[v][:1] + ([(_matrix(own["x"]), own["y"].to_numpy())] if len(own) else [])
-    at = held if held.any() else ~held
+        for (v, good), fit in fits.items():
+            other = views[1 - views.index(v)]
+            # as many of a class as it has among the labels
+            want = max(1, round((turn + 1) * per_round * float((y == good).mean())))
+            best = drawn(scored.filter(fit), want, counts[f"{v}{good}"] or 0).select(
+                F.col(other).alias("x"), F.lit(other).alias("to"), F.lit(good).alias("y"))
+            picks = best if picks is None else picks.unionByName(best)
+        got = picks.toPandas()  # at most 2 * rounds * per_round rows
+        more = {v: train[v][:1] + ([(_matrix(own["x"]), own["y"].to_numpy())] if len(own := got[got["to"] == v]) else []) for v in views}
+        new = fitted(more)
+        # a view takes the labels only if it judges the held-out rows no worse
+        better = {v: log_loss(new[v], x[v][at], y[at]) <= log_loss(models[v], x[v][at], y[at]) for v in views}
+        if not any(better.values()):
+            break
+        models = {v: new[v] if better[v] else models[v] for v in views}
+        train = {v: more[v] if better[v] else train[v] for v in views}
     prior = float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
     platt = {v: Logistic(l2=1e-2).fit(models[v].logit(x[v][at])[:, None], y[at]) for v in views}
 
