@@ -46,3 +46,15 @@ def test_no_job_while_planning(spark, ledger):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert not jobs
+
+
+@pytest.mark.parametrize("name", ["e4_net_since_opening", "h1_audit_matrix", "h2_store_reference", "h5_suggested_opening"])
+def test_facts_are_scanned_once_from_the_openings_on(spark, name):
+    """The transactions are read by one scan (or a reused one), and the
+    earliest latest opening is among the filters pushed to it."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        QUERIES[name](spark, SF_DIR).explain("formatted")
+    scans = [s for s in re.split(r"\n\(\d+\) ", buf.getvalue()) if s.startswith("Scan parquet") and "/transacciones]" in s]
+    assert len(scans) == 1
+    assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(fecha_hora,\s*ScalarSubquery", scans[0])

@@ -111,9 +111,12 @@ def last_opening_ts(ap: DataFrame) -> DataFrame:
 
 
 def since_opening(facts: DataFrame, ap: DataFrame, ts_col: str) -> DataFrame:
-    """Facts of stores with an opening, at or after the latest opening."""
+    """Facts of stores with an opening, at or after the latest opening.
+    The earliest of the latest openings is a bound for every store; as a
+    one-row value it reaches the scan, which skips row groups before it."""
     last = last_opening_ts(ap).withColumnRenamed("tienda_id", "_t")
-    j = facts.join(last, facts.tienda_id == last._t, "inner")
+    recent = facts.filter(F.col(ts_col) >= last.agg(F.min("ultima_apertura")).scalar())
+    j = recent.join(last, recent.tienda_id == last._t, "inner")
     return j.filter(F.col(ts_col) >= F.col("ultima_apertura")).drop("_t")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.balances import OTHERS_KEY, balance_map, map_amount, map_total, snapshot_json
+from tillbook.functions.balances import OTHERS_KEY, balance_map, bank_key, map_amount, map_total, snapshot_json
 from tillbook.functions.forms import melt_form
 from tillbook.functions.timeparse import ts_literal
 from tillbook.operators.aggregations import global_bank_position, net_since_opening, treasury_flow
@@ -42,46 +42,54 @@ def _bank_grid(tiendas: DataFrame, bancos: DataFrame) -> DataFrame:
     return tiendas.select(F.col("id").alias("tienda_id"), F.explode(id_array(bancos)).alias("banco_id"))
 
 
-def _store_parts(L) -> tuple[DataFrame, DataFrame]:
-    """Bank cells and per-store Otros/state rows shared by H1 and H2."""
-    tiendas, bancos, ap, tx = L["tiendas"], L["bancos"], L["aperturas_caja"], L["transacciones"]
+def _net_by_store(net: DataFrame, amount: str) -> DataFrame:
+    """(_nt, _net): a store's nets as a map by bank key; it has at most one
+    entry per bank and one for cash without a bank."""
+    entry = F.struct(bank_key("banco_id"), F.col(amount))
+    return net.groupBy(F.col("tienda_id").alias("_nt")).agg(F.map_from_entries(F.collect_list(entry)).alias("_net"))
+
+
+def _opened(m: Column, key: Column) -> Column:
+    return F.when(m.isNull(), zero()).otherwise(map_amount(m, key))
+
+
+def _net_of(key: Column) -> Column:
+    return F.coalesce(F.element_at("_net", key), zero())
+
+
+def _store_parts(L) -> DataFrame:
+    """One row per store with all that H1 and H2 show of it: its state, the
+    Otros part, and the bank cells as an array (one per bank). The facts are
+    grouped once, over bank and NULL bank together."""
+    tiendas, ap, tx = L["tiendas"], L["aperturas_caja"], L["transacciones"]
     last = latest_by_id(ap, "tienda_id").select(
         F.col("tienda_id").alias("_at"), F.col("id").alias("apertura_id"), "estado",
         "saldo_inicial_efectivo", balance_map("saldos_bancos_json").alias("_map"))
-    net = net_since_opening(tx, ap)
-    net_b = net.filter(F.col("banco_id").isNotNull()) \
-               .select(F.col("tienda_id").alias("_nt"), F.col("banco_id").alias("_nb"), "neto_txn")
-    cells = _bank_grid(tiendas, bancos)
-    cells = (cells.join(last, cells.tienda_id == last._at, "left")
-                  .join(net_b, (cells.tienda_id == net_b._nt) & (cells.banco_id == net_b._nb), "left"))
-    inicial = F.when(F.col("_map").isNull(), zero()).otherwise(map_amount(F.col("_map"), F.col("banco_id").cast("string")))
-    cells = cells.select("tienda_id", "banco_id", inicial.alias("inicial"),
-                         F.coalesce("neto_txn", zero()).alias("neto"))
-    cells = cells.withColumn("total_esperado", _m(F.col("inicial") + F.col("neto")))
-    net_o = net.filter(F.col("banco_id").isNull()).select(F.col("tienda_id").alias("_ot"),
-                                                          F.col("neto_txn").alias("_neto_o"))
-    sum_cells = cells.groupBy(F.col("tienda_id").alias("_ct")).agg(F.sum("total_esperado").alias("_bank_total"))
-    stores = (tiendas.join(last, tiendas.id == last._at, "left")
-                     .join(net_o, tiendas.id == net_o._ot, "left")
-                     .join(sum_cells, tiendas.id == sum_cells._ct, "left"))
-    sum_ini = F.when(F.col("_map").isNull(), zero()).otherwise(map_total(F.col("_map")))
-    ini_o = F.greatest(F.coalesce("saldo_inicial_efectivo", zero()) - sum_ini, zero())
+    net = _net_by_store(net_since_opening(tx, ap), "neto_txn")
+    t = tiendas.withColumn("_banks", id_array(L["bancos"]))
+    stores = t.join(last, t.id == last._at, "left").join(net, t.id == net._nt, "left")
+
+    def cell(bank: Column) -> Column:
+        key = bank.cast("string")
+        inicial, neto = _opened(F.col("_map"), key), _net_of(key)
+        return F.struct(bank.alias("banco_id"), inicial.alias("inicial"), neto.alias("neto"), _m(inicial + neto).alias("total_esperado"))
+
+    stores = stores.withColumn("celdas", F.transform("_banks", cell))
+    ini_o = F.greatest(F.coalesce("saldo_inicial_efectivo", zero()) - F.when(F.col("_map").isNull(), zero()).otherwise(map_total(F.col("_map"))), zero())
+    in_banks = F.aggregate("celdas", F.lit(0).cast("decimal(38,2)"), lambda acc, c: (acc + c["total_esperado"]).cast("decimal(38,2)"))
     closed = F.col("apertura_id").isNull() | (F.col("estado") == "Cerrada")
     stores = stores.select(
-        F.col("id").alias("tienda_id"), F.col("nombre").alias("tienda_nombre"), "efectivo_actual",
-        "apertura_id", F.coalesce("estado", F.lit(NO_OPENING_STATE)).alias("estado_caja"),
-        _m(ini_o).alias("inicial_otros"), _m(F.coalesce("_neto_o", zero())).alias("neto_otros"),
-        closed.alias("cerrada"), _m(F.coalesce("_bank_total", zero())).alias("total_bancos"))
+        F.col("id").alias("tienda_id"), F.col("nombre").alias("tienda_nombre"), "efectivo_actual", "celdas",
+        F.coalesce("estado", F.lit(NO_OPENING_STATE)).alias("estado_caja"), _m(ini_o).alias("inicial_otros"),
+        _m(_net_of(F.lit(OTHERS_KEY))).alias("neto_otros"), closed.alias("cerrada"), _m(in_banks).alias("total_bancos"))
     eff = F.when(F.col("cerrada"), F.coalesce("efectivo_actual", zero())) \
            .otherwise(F.col("total_bancos") + F.col("inicial_otros") + F.col("neto_otros"))
-    stores = stores.withColumn("efectivo", _m(eff))
-    return cells, stores
+    return stores.withColumn("efectivo", _m(eff))
 
 
-def treasury_cells(L, until=None) -> tuple[DataFrame, DataFrame]:
+def treasury_cells(L, until=None) -> DataFrame:
     """Treasury row: per bank base (last snapshot) + flow since it, and the
-    Otros part. Returns (cells, otros) with ``base``, ``flujo``, ``saldo``.
-    ``until``: the balances as of that time (snapshots and flows after it are
+    Otros part (NULL bank), with ``base``, ``flujo``, ``saldo``. ``until``: the balances as of that time (snapshots and flows after it are
     ignored); None = everything."""
     bancos = L["bancos"]
     ct = L["cierres_tesoreria"]
@@ -95,23 +103,20 @@ def treasury_cells(L, until=None) -> tuple[DataFrame, DataFrame]:
     base_map = base.select("_base").scalar()
     key = F.coalesce(F.col("banco_id").cast("string"), F.lit(OTHERS_KEY))
     cells = flow.select("banco_id", map_amount(base_map, key).alias("base"), "flujo")
-    cells = cells.withColumn("saldo", _m(F.col("base") + F.col("flujo")))
-    return cells.filter(F.col("banco_id").isNotNull()), cells.filter(F.col("banco_id").isNull())
+    return cells.withColumn("saldo", _m(F.col("base") + F.col("flujo")))
 
 
 def audit_matrix(L) -> DataFrame:
     """H1 (flagship): long form of the store x bank audit matrix plus the
     treasury row. Columns: fila, nombre, banco_id, total_banco, efectivo."""
-    cells, stores = _store_parts(L)
-    store_rows = cells.join(stores.select("tienda_id", "tienda_nombre", "efectivo"), "tienda_id").select(
+    store_rows = _store_parts(L).select("tienda_id", "tienda_nombre", "efectivo", F.explode("celdas").alias("c")).select(
         F.col("tienda_id").cast("string").alias("fila"), F.col("tienda_nombre").alias("nombre"),
-        "banco_id", F.col("total_esperado").alias("total_banco"), "efectivo")
-    t_cells, t_otros = treasury_cells(L)
-    t_total = (t_cells.select("saldo").unionByName(t_otros.select("saldo"))
-               .agg(_m(F.sum("saldo")).alias("efectivo")))
-    teso = t_cells.select(F.lit(TREASURY_ROW_KEY).alias("fila"), F.lit(TREASURY_ROW_NAME).alias("nombre"),
-                          "banco_id", F.col("saldo").alias("total_banco"),
-                          F.lit(t_total.select("efectivo").scalar()).cast(MONEY_SQL).alias("efectivo"))
+        "c.banco_id", F.col("c.total_esperado").alias("total_banco"), "efectivo")
+    # the treasury's cells (one per bank) with their total, in one pass
+    row = treasury_cells(L).agg(F.collect_list(F.struct("banco_id", "saldo")).alias("c"), _m(F.sum("saldo")).alias("efectivo"))
+    teso = row.select("efectivo", F.explode("c").alias("c")).filter("c.banco_id is not null").select(
+        F.lit(TREASURY_ROW_KEY).alias("fila"), F.lit(TREASURY_ROW_NAME).alias("nombre"), "c.banco_id",
+        F.col("c.saldo").alias("total_banco"), "efectivo")
     return append_treasury_row(store_rows, teso)
 
 
@@ -125,20 +130,18 @@ def audit_matrix_wide(L, bank_ids: list[int]) -> DataFrame:
 def store_reference(L) -> DataFrame:
     """H2: per store and bank (plus Otros): opening, net, expected; store state,
     closing attached only when the till is closed, store expected total."""
-    cells, stores = _store_parts(L)
+    stores = _store_parts(L)
     last_ci = latest_by_id(L["cierres_caja"], "tienda_id").select(
         F.col("tienda_id").alias("_ct"), F.col("id").alias("_cid"))
     st = stores.join(last_ci, stores.tienda_id == last_ci._ct, "left").withColumn(
         "cierre_id", F.when(F.col("estado_caja") == "Cerrada", F.col("_cid")))
-    head = ["tienda_id", "tienda_nombre", "efectivo_actual", "estado_caja", "cierre_id",
-            F.col("efectivo").alias("total_esperado_tienda")]
-    banks = cells.join(st.select(*head), "tienda_id").select(
-        "tienda_id", "tienda_nombre", "efectivo_actual", "estado_caja", "cierre_id", "total_esperado_tienda",
-        F.col("banco_id").cast("string").alias("banco_key"), "inicial", "neto", "total_esperado")
-    otros = st.select(*head, F.lit(OTHERS_KEY).alias("banco_key"), F.col("inicial_otros").alias("inicial"),
-                      F.col("neto_otros").alias("neto"),
-                      _m(F.col("inicial_otros") + F.col("neto_otros")).alias("total_esperado"))
-    return banks.unionByName(otros)
+    otros = F.struct(F.lit(OTHERS_KEY).alias("banco_key"), F.col("inicial_otros").alias("inicial"), F.col("neto_otros").alias("neto"),
+                     _m(F.col("inicial_otros") + F.col("neto_otros")).alias("total_esperado"))
+    banks = F.transform("celdas", lambda c: F.struct(c["banco_id"].cast("string").alias("banco_key"), c["inicial"].alias("inicial"),
+                                                     c["neto"].alias("neto"), c["total_esperado"].alias("total_esperado")))
+    head = ["tienda_id", "tienda_nombre", "efectivo_actual", "estado_caja", "cierre_id", "total_esperado_tienda"]
+    return (st.withColumn("total_esperado_tienda", F.col("efectivo")).select(*head, F.explode(F.concat(banks, F.array(otros))).alias("c"))
+            .select(*head, "c.*"))
 
 
 def dashboard_data(L) -> dict[str, DataFrame]:
@@ -168,32 +171,28 @@ def _net_since_latest(L, default_since: str = NO_OPENING_SINCE) -> tuple[DataFra
     st = tiendas.select(F.col("id").alias("tienda_id")).join(last, F.col("tienda_id") == last._at, "left") \
                 .withColumn("_since", F.coalesce("ap_ts", F.lit(default_since).cast("timestamp_ntz")))
     bounds = st.select(F.col("tienda_id").alias("_st"), "_since")
-    t = tx.join(bounds, tx.tienda_id == bounds._st, "inner").filter(F.col("fecha_hora") >= F.col("_since"))
+    # the earliest bound of all stores reaches the scan as a one-row value
+    recent = tx.filter(F.col("fecha_hora") >= bounds.agg(F.min("_since")).scalar())
+    t = recent.join(bounds, recent.tienda_id == bounds._st, "inner").filter(F.col("fecha_hora") >= F.col("_since"))
     net = t.groupBy("tienda_id", "banco_id").agg(_m(F.sum("monto_efectivo")).alias("neto"))
     return st, net
 
 
 def _per_bank_opening(L, clamp: bool) -> DataFrame:
     st, net = _net_since_latest(L)
-    grid = _bank_grid(L["tiendas"], L["bancos"])
-    nb = net.filter(F.col("banco_id").isNotNull()).select(F.col("tienda_id").alias("_nt"),
-                                                          F.col("banco_id").alias("_nb"), "neto")
-    g = (grid.join(st.select(F.col("tienda_id").alias("_gt"), "_map"), grid.tienda_id == F.col("_gt"), "left")
-             .join(nb, (grid.tienda_id == nb._nt) & (grid.banco_id == nb._nb), "left"))
-    ini = F.when(F.col("_map").isNull(), zero()).otherwise(map_amount(F.col("_map"), F.col("banco_id").cast("string")))
-    val = ini + F.coalesce("neto", zero())
+    nets = _net_by_store(net, "neto")
+    st = st.withColumn("_banks", id_array(L["bancos"]))
+    g = st.join(nets, st.tienda_id == nets._nt, "left")
+
+    def cell(key: Column, inicial: Column) -> Column:
+        val = inicial + _net_of(key)
+        return F.struct(key.alias("banco_key"), _m(F.greatest(val, zero()) if clamp else val).alias("monto"))
+
+    cells = F.transform("_banks", lambda b: cell(b.cast("string"), _opened(F.col("_map"), b.cast("string"))))
     if clamp:
-        val = F.greatest(val, zero())
-    banks = g.select("tienda_id", F.col("banco_id").cast("string").alias("banco_key"), _m(val).alias("monto"))
-    if not clamp:
-        return banks
-    no = net.filter(F.col("banco_id").isNull()).select(F.col("tienda_id").alias("_ot"), F.col("neto").alias("_no"))
-    o = st.join(no, st.tienda_id == no._ot, "left")
-    sum_ini = F.when(F.col("_map").isNull(), zero()).otherwise(map_total(F.col("_map")))
-    ini_o = F.greatest(F.coalesce("ap_cash", zero()) - sum_ini, zero())
-    otros = o.select("tienda_id", F.lit(OTHERS_KEY).alias("banco_key"),
-                     _m(F.greatest(ini_o + F.coalesce("_no", zero()), zero())).alias("monto"))
-    return banks.unionByName(otros)
+        sum_ini = F.when(F.col("_map").isNull(), zero()).otherwise(map_total(F.col("_map")))
+        cells = F.concat(cells, F.array(cell(F.lit(OTHERS_KEY), F.greatest(F.coalesce("ap_cash", zero()) - sum_ini, zero()))))
+    return g.select("tienda_id", F.explode(cells).alias("c")).select("tienda_id", "c.*")
 
 
 def suggested_opening(L) -> DataFrame:

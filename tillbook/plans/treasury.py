@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.balances import OTHERS_KEY, bank_key, snapshot_json
+from tillbook.functions.balances import bank_key, snapshot_json
 from tillbook.functions.timeparse import ts_literal
-from tillbook.operators.setops import append_otros
 from tillbook.plans.audit import treasury_cells
 from tillbook.sources.schemas import MONEY_SQL
 
@@ -21,14 +20,12 @@ def treasury_balances(L, until=None) -> DataFrame:
     real balance = base + flow. ``en_flujo`` / ``en_saldos`` say whether the
     row is listed in the flow list / the balance list (the Otros row only
     when its flow / balance is not 0)."""
-    cells, otros = treasury_cells(L, until)
+    cells = treasury_cells(L, until)
     names = L["bancos"].select(F.col("id").alias("_bid"), "nombre")
-    banks = cells.join(names, cells.banco_id == names._bid, "left").select(
-        bank_key("banco_id").alias("banco_key"), "nombre", "base", "flujo", "saldo",
-        F.lit(True).alias("en_flujo"), F.lit(True).alias("en_saldos"))
-    o = otros.select(F.lit(OTHERS_KEY).alias("banco_key"), F.lit(GENERAL_FUND).alias("nombre"), "base", "flujo",
-                     "saldo", (F.col("flujo") != 0).alias("en_flujo"), (F.col("saldo") != 0).alias("en_saldos"))
-    return append_otros(banks, o, "flujo")
+    other = F.col("banco_id").isNull()
+    return cells.join(names, cells.banco_id == names._bid, "left").select(
+        bank_key("banco_id").alias("banco_key"), F.when(other, GENERAL_FUND).otherwise(F.col("nombre")).alias("nombre"), "base", "flujo",
+        "saldo", (~other | (F.col("flujo") != 0)).alias("en_flujo"), (~other | (F.col("saldo") != 0)).alias("en_saldos"))
 
 
 def close_treasury(L, as_of: str, usuario_id: int | None = None, note: str | None = None) -> DataFrame:
