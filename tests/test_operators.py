@@ -517,3 +517,33 @@ def test_interval_sums_of_overlapping_shifts(spark):
     with contextlib.redirect_stdout(buf):
         by_type.explain()
     assert "Generate" not in buf.getvalue() and "BroadcastNestedLoopJoin" not in buf.getvalue()
+
+
+def test_snapshot_batches_are_idempotent(spark):
+    """A batch written again replaces its own rows only."""
+    import uuid
+
+    from tillbook.session import ensure_checkpoint_dir
+    from tillbook.sources.io import read_snapshots, write_snapshot
+
+    schema = "id long, fecha_hora timestamp_ntz"
+    path = f"{ensure_checkpoint_dir(spark)}/snap-{uuid.uuid4().hex}"
+    day = dt.timedelta(days=1)
+    first, second = [(1, T0), (2, T0 + day), (3, None)], [(4, T0), (5, T0 + 2 * day)]
+    for batch, rows in (("a", first), ("b", second), ("a", first), ("b", second), ("a", first)):
+        write_snapshot(spark.createDataFrame(rows, schema), path, "fecha_hora", batch)
+    assert sorted(r.id for r in read_snapshots(spark, path).collect()) == [1, 2, 3, 4, 5]
+    plan = read_snapshots(spark, path).filter(F.col("dia") == F.lit(T0.date()))
+    assert sorted(r.id for r in plan.collect()) == [1, 4]
+
+
+def test_validation_scans_a_table_once(spark, ledger):
+    import contextlib
+    import io
+    import re
+
+    from tillbook.operators.validation import row_violations
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        row_violations({t: ledger[t] for t in ("transacciones", "tiendas", "bancos", "usuarios")}, "transacciones").explain("formatted")
+    assert len(re.findall(r"Location: .*/transacciones\]", buf.getvalue())) <= 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tillbook.catalog import register
@@ -9,7 +11,7 @@ from tillbook.operators import validation as A
 from tillbook.sources.store import StoredLedger as Ledger
 
 
-@register("a3_validate_ledger", """
+VALIDATE_SQL = """
 SELECT 'usuarios' AS tabla, 'unique:username' AS regla, username AS clave FROM usuarios GROUP BY username HAVING COUNT(*) > 1
 UNION ALL SELECT 'usuarios', 'enum:rol', CAST(id AS VARCHAR) FROM usuarios WHERE rol NOT IN ('Admin', 'Contador', 'Cajero')
 UNION ALL SELECT 'usuarios', 'fk:tienda_id->tiendas', CAST(tienda_id AS VARCHAR) FROM usuarios
@@ -34,7 +36,63 @@ UNION ALL SELECT 'tiendas', 'not_null:nombre', CAST(id AS VARCHAR) FROM tiendas
 UNION ALL SELECT 'bancos', 'not_null:nombre', CAST(id AS VARCHAR) FROM bancos WHERE nombre IS NULL
 UNION ALL SELECT 'usuarios', 'not_null:username', CAST(id AS VARCHAR) FROM usuarios WHERE username IS NULL
 UNION ALL SELECT 'usuarios', 'not_null:rol', CAST(id AS VARCHAR) FROM usuarios WHERE rol IS NULL
-UNION ALL SELECT 'transacciones', 'not_null:tipo', CAST(id AS VARCHAR) FROM transacciones WHERE tipo IS NULL""")
+UNION ALL SELECT 'transacciones', 'not_null:tipo', CAST(id AS VARCHAR) FROM transacciones WHERE tipo IS NULL"""
+# every rule is broken by some rows: by the id of the row
+BROKEN_SQL = {
+    "tiendas": "SELECT * REPLACE (CASE WHEN id % 11 = 3 THEN NULL ELSE nombre END AS nombre) FROM tiendas",
+    "bancos": "SELECT * REPLACE (CASE WHEN id % 4 = 2 THEN NULL ELSE nombre END AS nombre) FROM bancos",
+    "usuarios": """SELECT * REPLACE (CASE WHEN id % 13 = 1 THEN NULL WHEN id % 13 < 4 THEN 'doble' ELSE username END AS username,
+        CASE WHEN id % 17 = 2 THEN NULL WHEN id % 17 = 5 THEN 'Jefe' ELSE rol END AS rol,
+        CASE WHEN id % 19 = 4 THEN 900 + id ELSE tienda_id END AS tienda_id) FROM usuarios""",
+    "transacciones": """SELECT * REPLACE (CASE WHEN id % 23 = 0 THEN NULL ELSE tipo END AS tipo,
+        CASE WHEN id % 29 = 0 THEN 900 + id % 7 ELSE tienda_id END AS tienda_id,
+        CASE WHEN id % 31 = 0 THEN 900 + id % 5 ELSE banco_id END AS banco_id,
+        CASE WHEN id % 37 = 0 THEN -id ELSE usuario_id END AS usuario_id) FROM transacciones""",
+    "saldos_bancarios": "SELECT * FROM saldos_bancarios UNION ALL SELECT * REPLACE (banco_id + CASE WHEN banco_id = 1 THEN 0 ELSE 900 END AS banco_id) FROM saldos_bancarios",
+    "comisiones": "SELECT * REPLACE (CASE WHEN id % 3 = 1 THEN 900 ELSE banco_id END AS banco_id) FROM comisiones",
+    "cierres_caja": """SELECT * REPLACE (CASE WHEN id % 41 = 0 THEN 901 ELSE tienda_id END AS tienda_id,
+        CASE WHEN id % 43 = 0 THEN -1 ELSE usuario_id END AS usuario_id) FROM cierres_caja""",
+}
+
+
+def _broken(L) -> dict:
+    """The same changes as frames."""
+    k = F.col("id")
+    out = dict(L.tables())
+    changes = {
+        "tiendas": {"nombre": F.when(k % 11 != 3, F.col("nombre"))}, "bancos": {"nombre": F.when(k % 4 != 2, F.col("nombre"))},
+        "usuarios": {"username": F.when(k % 13 == 1, None).when(k % 13 < 4, "doble").otherwise(F.col("username")),
+                     "rol": F.when(k % 17 == 2, None).when(k % 17 == 5, "Jefe").otherwise(F.col("rol")),
+                     "tienda_id": F.when(k % 19 == 4, 900 + k).otherwise(F.col("tienda_id"))},
+        "transacciones": {"tipo": F.when(k % 23 != 0, F.col("tipo")), "tienda_id": F.when(k % 29 == 0, 900 + k % 7).otherwise(F.col("tienda_id")),
+                          "banco_id": F.when(k % 31 == 0, 900 + k % 5).otherwise(F.col("banco_id")),
+                          "usuario_id": F.when(k % 37 == 0, -k).otherwise(F.col("usuario_id"))},
+        "comisiones": {"banco_id": F.when(k % 3 == 1, 900).otherwise(F.col("banco_id")).cast("long")},
+        "cierres_caja": {"tienda_id": F.when(k % 41 == 0, 901).otherwise(F.col("tienda_id")).cast("long"),
+                         "usuario_id": F.when(k % 43 == 0, -1).otherwise(F.col("usuario_id")).cast("long")}}
+    for t, columns in changes.items():
+        out[t] = L[t].withColumns(columns)
+    s = L["saldos_bancarios"]
+    out["saldos_bancarios"] = s.unionByName(s.withColumn("banco_id", F.col("banco_id") + F.when(F.col("banco_id") == 1, 0).otherwise(900)))
+    return out
+
+
+def _broken_validation() -> str:
+    """The checks' SQL over the changed tables."""
+    sql = VALIDATE_SQL
+    for t in BROKEN_SQL:
+        sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 x_{t}", sql)
+    return sql
+
+
+@register("a3_validate_broken_ledger", _broken_validation(),
+          extra_ctes=",\n".join(f"x_{t} AS ({q})" for t, q in BROKEN_SQL.items()))
+def a3_broken(spark, d):
+    """Validation where rows break every rule."""
+    return A.validate_ledger(_broken(Ledger(spark, d)))
+
+
+@register("a3_validate_ledger", VALIDATE_SQL)
 def a3(spark, d):
     return A.validate_ledger(Ledger(spark, d))
 
@@ -84,7 +142,8 @@ def a4(spark, d):
     snap = close_treasury(Ledger(spark, d), "2024-02-01 00:00:00").select(
         "fecha_hora", F.col("total_efectivo").alias("total"))
     path = scratch_path(spark, "a4")
-    IO.write_snapshot(snap, path, "fecha_hora")
+    for _ in range(2):  # the write is repeated, as after a failure
+        IO.write_snapshot(snap, path, "fecha_hora", "corte")
     return spark.read.parquet(path).select("fecha_hora", "total", "dia")
 
 

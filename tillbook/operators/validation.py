@@ -20,28 +20,37 @@ NOT_NULL = [("tiendas", "nombre"), ("bancos", "nombre"), ("usuarios", "username"
             ("transacciones", "tipo")]
 
 
-def _violation(df: DataFrame, table: str, rule: str, key: str) -> DataFrame:
-    return df.select(F.lit(table).alias("tabla"), F.lit(rule).alias("regla"),
-                     F.col(key).cast("string").alias("clave"))
+# (table, column) whose values must be unique.
+UNIQUE = [("usuarios", "username"), ("saldos_bancarios", "banco_id")]
+
+
+def row_violations(L, table: str) -> DataFrame:
+    """The rules of one table that concern a row by itself, in one pass: every
+    row is joined once with each dimension it names, tagged with an array of
+    the rules it breaks, and the array is exploded."""
+    df = L[table]
+    broken = [(F.col(c).isNull(), f"not_null:{c}", "id") for t, c in NOT_NULL if t == table]
+    if table == "usuarios":
+        broken.append((~F.col("rol").isin(ROLES), "enum:rol", "id"))
+    for c, ref in [(c, ref) for t, c, ref in FOREIGN_KEYS if t == table]:
+        known = L[ref].select(F.col("id").alias(f"_{c}")).distinct()
+        df = df.join(known, df[c] == known[f"_{c}"], "left")
+        broken.append((F.col(c).isNotNull() & F.col(f"_{c}").isNull(), f"fk:{c}->{ref}", c))
+    tags = F.array(*[F.when(bad, F.struct(F.lit(rule).alias("regla"), F.col(key).cast("string").alias("clave"))) for bad, rule, key in broken])
+    return (df.select(F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("v"))
+            .select(F.lit(table).alias("tabla"), "v.regla", "v.clave"))
 
 
 def validate_ledger(L) -> DataFrame:
     """A3: one row per violation (table, rule, key): NOT NULL columns, unique
-    usernames, role enum, foreign keys (left anti joins; NULL keys are not
-    violations), duplicate balance rows per bank."""
-    out = []
-    for t, c in NOT_NULL:
-        out.append(_violation(L[t].filter(F.col(c).isNull()), t, f"not_null:{c}", "id"))
-    dup = L["usuarios"].groupBy("username").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out.append(_violation(dup, "usuarios", "unique:username", "username"))
-    out.append(_violation(L["usuarios"].filter(~F.col("rol").isin(ROLES)), "usuarios", "enum:rol", "id"))
-    for t, c, ref in FOREIGN_KEYS:
-        r = L[ref].select(F.col("id").alias("_rid"))
-        src = L[t].filter(F.col(c).isNotNull())
-        bad = src.join(r, src[c] == r._rid, "left_anti")
-        out.append(_violation(bad, t, f"fk:{c}->{ref}", c))
-    dupb = L["saldos_bancarios"].groupBy("banco_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out.append(_violation(dupb, "saldos_bancarios", "unique:banco_id", "banco_id"))
+    usernames, role enum, foreign keys (NULL keys are not violations),
+    duplicate balance rows per bank. Each table is scanned once for the rules
+    on its rows, and once more where a column must be unique."""
+    tables = dict.fromkeys([*(t for t, *_ in NOT_NULL), *(t for t, *_ in FOREIGN_KEYS)])
+    out = [row_violations(L, t) for t in tables]
+    for t, c in UNIQUE:
+        dup = L[t].groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        out.append(dup.select(F.lit(t).alias("tabla"), F.lit(f"unique:{c}").alias("regla"), F.col(c).cast("string").alias("clave")))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)

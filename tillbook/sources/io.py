@@ -22,11 +22,19 @@ def load_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[st
     return out
 
 
-def write_snapshot(df: DataFrame, path: str, day_col: str = "fecha_hora") -> None:
-    """A4: append snapshot rows partitioned by business day (partition
-    pruning on day filters); appends never rewrite earlier files."""
-    (df.withColumn("dia", F.to_date(F.col(day_col))).write.mode("append")
-       .partitionBy("dia").parquet(path))
+def write_snapshot(df: DataFrame, path: str, day_col: str = "fecha_hora", batch: str | int = 0) -> None:
+    """A4: snapshot rows partitioned by business day (partition pruning on day
+    filters) and batch. A batch owns its partitions and writes each as a whole
+    (dynamic partition overwrite), so a write that is repeated after a failure
+    leaves the table as one write does, and no batch touches another's files.
+    Rows without a day are in a partition of their own."""
+    (df.withColumns({"dia": F.to_date(F.col(day_col)), "lote": F.lit(str(batch))}).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("dia", "lote").parquet(path))
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """A4: the rows of all batches; ``dia`` prunes partitions."""
+    return spark.read.parquet(path).drop("lote")
 
 
 # Text form of command timestamps (microseconds kept).
