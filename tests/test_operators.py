@@ -547,3 +547,40 @@ def test_validation_scans_a_table_once(spark, ledger):
     with contextlib.redirect_stdout(buf):
         row_violations({t: ledger[t] for t in ("transacciones", "tiendas", "bancos", "usuarios")}, "transacciones").explain("formatted")
     assert len(re.findall(r"Location: .*/transacciones\]", buf.getvalue())) <= 1
+
+
+def test_business_day_zone_of_day_filters(spark):
+    """With a zone, 03:00 UTC belongs to the day before; without one, times
+    are local already."""
+    from tillbook.functions.timeparse import BUSINESS_ZONE
+    from tillbook.operators.aggregations import expenses_by_bank, legacy_transit
+    from tillbook.operators.filters import cashiers_without_opening
+    from tillbook.operators.reversals import reverse_closings
+
+    night = dt.datetime(2024, 5, 2, 3, 0)  # 21:00 of 1 May in the business zone
+    g = spark.createDataFrame([(1, night, 0, D(5))], "id long, fecha_hora timestamp_ntz, banco_id long, monto decimal(18,2)")
+    assert expenses_by_bank(g, "2024-05-01").count() == 0
+    assert expenses_by_bank(g, "2024-05-01", BUSINESS_ZONE).collect()[0].total == D(5)
+    tx = spark.createDataFrame([("Retiro", None, D(-7), night)], "tipo string, banco_id long, monto_efectivo decimal(18,2), fecha_hora timestamp_ntz")
+    assert [legacy_transit(tx, "2024-05-01", tz).collect()[0].transito for tz in (None, BUSINESS_ZONE)] == [0, 7]
+    u = spark.createDataFrame([(1, "Cajero")], "id long, rol string")
+    ap = spark.createDataFrame([(9, 4, 1, "Abierta", night)], "id long, tienda_id long, usuario_id long, estado string, fecha_hora timestamp_ntz")
+    assert [cashiers_without_opening(u, ap, "2024-05-01", tz).count() for tz in (None, BUSINESS_ZONE)] == [1, 0]
+    ci = spark.createDataFrame([(1, 4, D(10))], "id long, tienda_id long, saldo_teorico decimal(18,2)")
+    rem = spark.createDataFrame([(7, 4, "Pendiente", dt.datetime(2024, 5, 1, 20, 0))], "id long, tienda_id long, estado string, fecha_envio timestamp_ntz")
+    cmds = spark.createDataFrame([(1, night)], "cierre_id long, ts timestamp_ntz")
+    assert [reverse_closings(ci, ap, rem, cmds, tz)["remesas_eliminadas"].count() for tz in (None, BUSINESS_ZONE)] == [0, 1]
+
+
+def test_edit_users_by_id(spark):
+    users = spark.createDataFrame([(1, "admin", "Admin", None), (2, "ana", "Cajero", 3), (3, "luis", "Cajero", 4)],
+                                  "id long, username string, rol string, tienda_id long")
+    changes = spark.createDataFrame(
+        [(2, "ana maria", "Contador", 3, "editar"), (3, "admin", "Cajero", 4, "editar"), (1, "admin", None, None, "eliminar"),
+         (8, "luis", "Cajero", 1, "insertar"), (9, "eva", "Cajero", 7, "insertar"), (10, "eva", "Admin", None, "insertar"),
+         (77, "x", "Admin", None, "editar")], "id long, username string, rol string, tienda_id long, accion string")
+    out = I.edit_users(users, changes)
+    assert sorted(tuple(r) for r in out["usuarios"].collect()) == [
+        (1, "admin", "Admin", None), (2, "ana maria", "Contador", None), (3, "luis", "Cajero", 4), (9, "eva", "Cajero", 7)]
+    assert sorted((r.id, r.motivo) for r in out["rejected"].collect()) == [
+        (1, "admin"), (3, "nombre_existente"), (8, "nombre_existente"), (10, "nombre_existente"), (77, "sin_usuario")]

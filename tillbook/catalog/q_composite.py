@@ -249,6 +249,18 @@ def h13(spark, d):
     return H.cashier_dashboard(L, last_day(L))
 
 
+@register("h13_cashier_opening_banks", f"""
+SELECT u.id AS usuario_id, x.id AS apertura_id, k.k AS clave, CAST({JGET.format(j='x.jj', k='k.k')} AS DECIMAL(18,2)) AS monto
+FROM usuarios u JOIN (
+  SELECT usuario_id, MIN(id) AS id, arg_min({JV.format(c='saldos_bancos_json')}, id) AS jj FROM aperturas_caja
+  WHERE estado = 'Abierta' AND CAST(fecha_hora AS DATE) = {LAST_DAY_SQL} GROUP BY usuario_id) x ON x.usuario_id = u.id,
+  LATERAL (SELECT unnest(json_keys(x.jj)) AS k) k
+WHERE u.rol = 'Cajero'""")
+def h13_banks(spark, d):
+    L = Ledger(spark, d)
+    return H.cashier_opening_banks(L, last_day(L))
+
+
 @register("h15_suggest_close_reminder", f"""
 SELECT a.tienda_id, a.id AS apertura_id, a.fecha_hora AS desde FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY tienda_id ORDER BY fecha_hora DESC, id DESC) AS rn FROM aperturas_caja
@@ -354,6 +366,15 @@ def h8(spark, d):
     return HC.close_shift(forms, exp)["closings"]
 
 
+@register("h8_close_shift_cierres", """
+SELECT h8.form_id AS id, h8.tienda_id, h8.form_id % 50 AS usuario_id, fecha, saldo_teorico, saldo_real, diferencia, desglose_bancos,
+  l.v AS observaciones
+FROM h8 LEFT JOIN forms_long l ON l.form_id = h8.form_id AND l.k = 'observaciones'""", extra_ctes=FORM_PARTS_SQL)
+def h8c(spark, d):
+    forms, exp = _forms_and_expected(Ledger(spark, d))
+    return HC.close_shift(forms.withColumn("usuario_id", F.col("form_id") % 50), exp)["cierres"]
+
+
 @register("h8_close_shift_adjustments", """
 SELECT form_id, tienda_id, CAST(NULL AS BIGINT) AS banco_id, CASE WHEN diferencia > 0 THEN 'Sobrante' ELSE 'Faltante' END AS tipo,
   diferencia AS monto_efectivo, CAST(0 AS DECIMAL(18,2)) AS monto_banco, 'Ajuste Automático por Cierre' AS referencia,

@@ -141,13 +141,14 @@ def i6_13_post(spark, d):
 
 
 @register("i9_post_send_to_store_tx", """
-SELECT id, ts AS fecha_hora, tienda_id, banco_origen AS banco_id, CAST(NULL AS BIGINT) AS usuario_id,
+SELECT id, ts AS fecha_hora, tienda_id, banco_origen AS banco_id, id % 50 AS usuario_id,
   'Resurtido Tesorería' AS tipo, monto AS monto_efectivo, CAST(0 AS DECIMAL(18,2)) AS monto_banco,
   CAST(0 AS DECIMAL(18,2)) AS comision_efectivo, CAST(0 AS DECIMAL(18,2)) AS comision_banco,
   COALESCE(referencia, 'Recibido de Tesorería') AS referencia
 FROM tv WHERE tipo_cmd = 'envio_tienda'""", extra_ctes=TCMD_SQL)
 def i9(spark, d):
-    return I.post_treasury_commands(treasury_commands(Ledger(spark, d)))["transacciones"]
+    cmds = treasury_commands(Ledger(spark, d)).withColumn("usuario_id", F.col("id") % 50)
+    return I.post_treasury_commands(cmds)["transacciones"]
 
 
 @register("i8_post_bank_deposit_debts", """
@@ -193,13 +194,14 @@ def store_transfers(L):
 @register("i14_post_store_transfer", """
 SELECT id AS comando_id, ts AS fecha_hora, tienda_origen AS tienda_id, banco_origen AS banco_id, 'Traspaso Salida' AS tipo,
   CAST(-monto AS DECIMAL(18,2)) AS monto_efectivo, CAST(0 AS DECIMAL(18,2)) AS monto_banco,
-  'Traspaso de Efectivo (Salida)' AS referencia FROM xv
+  'Traspaso de Efectivo (Salida)' AS referencia, id % 50 AS usuario_id FROM xv
 UNION ALL
 SELECT id, ts, tienda_destino, banco_destino, 'Traspaso Entrada', monto, CAST(0 AS DECIMAL(18,2)),
-  'Traspaso de Efectivo (Entrada)' FROM xv""",
+  'Traspaso de Efectivo (Entrada)', id % 50 FROM xv""",
           extra_ctes=STORE_XFER_SQL)
 def i14(spark, d):
-    return I.post_store_transfer(store_transfers(Ledger(spark, d)))["transacciones"]
+    cmds = store_transfers(Ledger(spark, d)).withColumn("usuario_id", F.col("id") % 50)
+    return I.post_store_transfer(cmds)["transacciones"]
 
 
 @register("i14_post_store_transfer_postings", """
@@ -214,12 +216,23 @@ def i14p(spark, d):
 
 @register("i15_post_extra_income", """
 SELECT id AS comando_id, ts AS fecha_hora, tienda_origen AS tienda_id, banco_destino AS banco_id, 'Ingreso Extra' AS tipo,
-  monto AS monto_efectivo, CAST(0 AS DECIMAL(18,2)) AS monto_banco, 'Ingreso Extra de Efectivo' AS referencia
+  monto AS monto_efectivo, CAST(0 AS DECIMAL(18,2)) AS monto_banco, 'Ingreso Extra de Efectivo' AS referencia, id % 50 AS usuario_id
 FROM xfer WHERE monto > 0 AND banco_destino IS NOT NULL""", extra_ctes=STORE_XFER_SQL)
 def i15(spark, d):
-    t = store_transfers(Ledger(spark, d)).select("id", "ts", F.col("tienda_origen").alias("tienda_id"),
-                                                 F.col("banco_destino").alias("banco_id"), "monto")
-    return I.post_extra_income(t)["transacciones"]
+    return I.post_extra_income(_extra_income(Ledger(spark, d)))["transacciones"]
+
+
+def _extra_income(L):
+    return store_transfers(L).select("id", "ts", F.col("tienda_origen").alias("tienda_id"), F.col("banco_destino").alias("banco_id"),
+                                     "monto", (F.col("id") % 50).alias("usuario_id"))
+
+
+@register("i15_post_extra_income_postings", """
+SELECT ts, 'tienda' AS cuenta, tienda_origen AS tienda_id, CAST(NULL AS BIGINT) AS banco_id, monto, 'delta' AS tipo_asiento,
+  'ingreso_extra' AS fuente, id AS fuente_id, 1 AS orden
+FROM xfer WHERE monto > 0 AND banco_destino IS NOT NULL""", extra_ctes=STORE_XFER_SQL)
+def i15_postings(spark, d):
+    return I.post_extra_income(_extra_income(Ledger(spark, d)))["postings"]
 
 
 OPEN_FORMS_SQL = """
@@ -367,6 +380,60 @@ def i26(spark, d):
     return I.set_bank_balance(s, cmds)
 
 
+@register("i26_set_bank_balance_postings", """
+SELECT TIMESTAMP '2024-03-01 08:00:00' + INTERVAL 1 HOUR * banco_id AS ts, 'banco' AS cuenta, CAST(NULL AS BIGINT) AS tienda_id, banco_id,
+  CAST(CASE WHEN banco_id = 0 THEN 5000 ELSE saldo + 100 END AS DECIMAL(18,2)) AS monto, 'set' AS tipo_asiento, 'saldo' AS fuente,
+  banco_id AS fuente_id, 0 AS orden
+FROM saldos_bancarios""")
+def i26_postings(spark, d):
+    s = Ledger(spark, d)["saldos_bancarios"]
+    at = F.lit("2024-03-01 08:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("banco_id").cast("int"))
+    cmds = s.select("banco_id", (F.col("saldo_inicial") + 100).alias("saldo_inicial"),
+                    F.when(F.col("banco_id") == 0, F.lit(5000)).cast("decimal(18,2)").alias("saldo_actual"), at.alias("ts"))
+    return I.bank_balance_postings(s, cmds)
+
+
+EDITS_SQL = """
+edits AS (
+  SELECT id, CASE WHEN id % 5 = 0 THEN 'nuevo ' || id WHEN id % 5 = 1 THEN 'mismo' ELSE username END AS username,
+    CASE WHEN id % 2 = 0 THEN 'Contador' ELSE rol END AS rol, tienda_id, CASE WHEN id % 7 = 6 THEN 'eliminar' ELSE 'editar' END AS accion
+  FROM usuarios WHERE id % 3 > 0
+  UNION ALL
+  SELECT 500000000 + s_suppkey, s_name, 'Cajero', s_nationkey, 'insertar' FROM supplier),
+judged AS (
+  SELECT e.*, CASE
+    WHEN e.accion <> 'eliminar' AND (EXISTS (SELECT 1 FROM usuarios u WHERE u.username = e.username AND u.id <> e.id)
+      OR e.id <> MIN(CASE WHEN e.accion <> 'eliminar' THEN e.id END) OVER (PARTITION BY e.username)) THEN 'nombre_existente'
+    WHEN e.accion = 'eliminar' AND e.username = 'admin' THEN 'admin' END AS motivo
+  FROM edits e)"""
+
+
+def _user_edits(L):
+    u = L["usuarios"]
+    k = F.col("id")
+    edits = u.filter(k % 3 > 0).select(
+        "id", F.when(k % 5 == 0, F.concat(F.lit("nuevo "), k.cast("string"))).when(k % 5 == 1, "mismo").otherwise(F.col("username")).alias("username"),
+        F.when(k % 2 == 0, "Contador").otherwise(F.col("rol")).alias("rol"), "tienda_id",
+        F.when(k % 7 == 6, "eliminar").otherwise("editar").alias("accion"))
+    new = L.raw("supplier").select((F.lit(500000000) + F.col("s_suppkey")).cast("long").alias("id"), F.col("s_name").alias("username"),
+                                   F.lit("Cajero").alias("rol"), F.col("s_nationkey").cast("long").alias("tienda_id"), F.lit("insertar").alias("accion"))
+    return I.edit_users(u, edits.unionByName(new))
+
+
+@register("i28_edit_users", """
+SELECT u.id, COALESCE(j.username, u.username) AS username, COALESCE(j.rol, u.rol) AS rol,
+  CASE WHEN j.id IS NULL THEN u.tienda_id WHEN j.rol = 'Cajero' THEN j.tienda_id END AS tienda_id
+FROM usuarios u LEFT JOIN (SELECT * FROM judged WHERE motivo IS NULL) j ON j.id = u.id WHERE COALESCE(j.accion, '') <> 'eliminar'
+UNION ALL SELECT id, username, rol, tienda_id FROM judged WHERE accion = 'insertar' AND motivo IS NULL""", extra_ctes=EDITS_SQL)
+def i28_edit(spark, d):
+    return _user_edits(Ledger(spark, d))["usuarios"]
+
+
+@register("i28_edit_users_rejected", "SELECT id, username, accion, motivo FROM judged WHERE motivo IS NOT NULL", extra_ctes=EDITS_SQL)
+def i28_rejected(spark, d):
+    return _user_edits(Ledger(spark, d))["rejected"]
+
+
 @register("i27_upsert_commissions", """
 SELECT banco_id, tipo_transaccion, valor_efectivo, valor_virtual, valido_desde, version,
   LEAD(valido_desde) OVER (PARTITION BY banco_id, tipo_transaccion ORDER BY valido_desde, version) AS valido_hasta

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.balances import balance_map, map_total
+from tillbook.functions.timeparse import business_day
 from tillbook.operators.joins import flow_terms, join_nullsafe, since_opening
 from tillbook.operators.scans import interval_sums
 from tillbook.sources.schemas import MONEY_SQL
@@ -42,16 +43,17 @@ def mtotal0(c: Column | str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast(TOTAL_SQL)
 
 
-def expenses_by_bank(gastos: DataFrame, until: str | None = None) -> DataFrame:
-    """Expenses per bank, optionally up to a business day (inclusive)."""
-    g = gastos if until is None else gastos.filter(F.to_date("fecha_hora") <= F.lit(until).cast("date"))
+def expenses_by_bank(gastos: DataFrame, until: str | None = None, tz: str | None = None) -> DataFrame:
+    """Expenses per bank, optionally up to a business day (inclusive; in
+    zone ``tz`` where times are UTC instants)."""
+    g = gastos if until is None else gastos.filter(business_day("fecha_hora", tz) <= F.lit(until).cast("date"))
     return g.groupBy("banco_id").agg(msum("monto").alias("total"))
 
 
-def legacy_transit(tx: DataFrame, until: str | None = None) -> DataFrame:
+def legacy_transit(tx: DataFrame, until: str | None = None, tz: str | None = None) -> DataFrame:
     """|sum of Retiro cash with NULL bank| - sum |Depósito Cuenta cash|;
-    no rows -> 0. One row."""
-    t = tx if until is None else tx.filter(F.to_date("fecha_hora") <= F.lit(until).cast("date"))
+    no rows -> 0. One row. ``until``, ``tz``: as in E1."""
+    t = tx if until is None else tx.filter(business_day("fecha_hora", tz) <= F.lit(until).cast("date"))
     ret = F.sum(F.when((F.col("tipo") == "Retiro") & F.col("banco_id").isNull(), F.col("monto_efectivo"))
                 .otherwise(zero()))
     dep = F.sum(F.when(F.col("tipo") == "Depósito Cuenta", F.abs("monto_efectivo")).otherwise(zero()))

@@ -111,12 +111,13 @@ def visible_refs(refs: DataFrame) -> DataFrame:
     return refs.filter((F.col("total_esperado") != 0) | (F.col("inicial") != 0))
 
 
-def cashiers_without_opening(usuarios: DataFrame, ap: DataFrame, day) -> DataFrame:
-    """C11: cashiers with no open till on ``day`` (a date text or Column),
-    as a left anti join."""
+def cashiers_without_opening(usuarios: DataFrame, ap: DataFrame, day, tz: str | None = None) -> DataFrame:
+    """C11: cashiers with no open till on the business day ``day`` (a date text
+    or Column), as a left anti join. ``tz``: zone of the business day where
+    times are stored as UTC instants; None: they are local already."""
     d = F.lit(day).cast("date") if isinstance(day, str) else day
     open_today = ap.filter((F.col("estado") == "Abierta")
-                           & (F.to_date("fecha_hora") == d)) \
+                           & (business_day("fecha_hora", tz) == d)) \
                    .select(F.col("usuario_id").alias("_u"))
     cajeros = usuarios.filter(F.col("rol") == "Cajero")
     return cajeros.join(open_today, cajeros.id == open_today._u, "left_anti")

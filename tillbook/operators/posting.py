@@ -51,6 +51,11 @@ LOG_TYPE_BY_KIND = {
 }
 
 
+def _user(cmds: DataFrame) -> Column:
+    """The user who gave the command; NULL where commands name none."""
+    return (F.col("usuario_id") if "usuario_id" in cmds.columns else F.lit(None)).cast("long").alias("usuario_id")
+
+
 def _zero() -> Column:
     return F.lit(0).cast(MONEY_SQL)
 
@@ -181,7 +186,7 @@ def post_treasury_commands(cmds: DataFrame) -> dict[str, DataFrame]:
     restock = v.filter(k == "envio_tienda").select(
         F.col("id"), F.col("ts").alias("fecha_hora"), "tienda_id", F.col("banco_origen").alias("banco_id"),
         F.lit(RESTOCK_TYPE).alias("tipo"), F.col("monto").alias("monto_efectivo"), _zero().alias("monto_banco"),
-        dflt("restock").alias("referencia"))
+        dflt("restock").alias("referencia"), _user(cmds))
     debts = v.filter(is_adv).select(F.col("id"), F.col("banco_destino").alias("banco_id"), "monto",
                                     dflt("deposito_adelantado").alias("referencia"),
                                     F.col("ts").alias("fecha_hora"), F.lit("Pendiente").alias("estado"))
@@ -216,7 +221,7 @@ def post_store_transfer(cmds: DataFrame) -> dict[str, DataFrame]:
     only when the stores differ. Both banks and the target store are
     required; the same bank in the same store is rejected. ``cmds``: id, ts,
     tienda_origen, banco_origen, tienda_destino, banco_destino, monto
-    [, referencia]."""
+    [, referencia, usuario_id]."""
     valid, rejected = split_valid(cmds, "monto", required=["banco_origen", "banco_destino", "tienda_destino"])
     same_slot = F.col("tienda_origen").eqNullSafe(F.col("tienda_destino")) & \
         F.col("banco_origen").eqNullSafe(F.col("banco_destino"))
@@ -228,26 +233,27 @@ def post_store_transfer(cmds: DataFrame) -> dict[str, DataFrame]:
                    F.col("banco_destino").alias("banco_id"), F.col("monto").cast(MONEY_SQL).alias("m"))
     ref = F.coalesce(F.nullif(F.col("referencia"), F.lit("")), F.lit(STORE_TRANSFER_DEFAULT_REF)) if "referencia" in cmds.columns \
         else F.lit(STORE_TRANSFER_DEFAULT_REF)
-    e = v.select("id", "ts", ref.alias("_ref"), (F.col("tienda_origen") != F.col("tienda_destino")).alias("_moves"),
+    e = v.select("id", "ts", ref.alias("_ref"), _user(cmds), (F.col("tienda_origen") != F.col("tienda_destino")).alias("_moves"),
                  F.explode(F.array(out, inn)).alias("x"))
     suffix = F.when(F.col("x.tipo") == "Traspaso Salida", F.lit(" (Salida)")).otherwise(F.lit(" (Entrada)"))
     tx = e.select(F.col("id").alias("comando_id"), F.col("ts").alias("fecha_hora"), F.col("x.tienda_id").alias("tienda_id"),
                   F.col("x.banco_id").alias("banco_id"), F.col("x.tipo").alias("tipo"),
                   F.col("x.m").alias("monto_efectivo"), _zero().alias("monto_banco"),
-                  F.concat(F.col("_ref"), suffix).alias("referencia"))
+                  F.concat(F.col("_ref"), suffix).alias("referencia"), "usuario_id")
     p = e.filter("_moves").select(*posting("ts", "tienda", F.col("x.tienda_id"), None, F.col("x.m"), "delta",
                                            "traspaso", "id", 1))
     return {"transacciones": tx, "postings": p, "rejected": rejected}
 
 
 def post_extra_income(cmds: DataFrame) -> dict[str, DataFrame]:
-    """Extra income on a required bank: store cash +m."""
+    """Extra income on a required bank: store cash +m. ``cmds``: id, ts,
+    tienda_id, banco_id, monto [, referencia, usuario_id]."""
     valid, rejected = split_valid(cmds, "monto", required=["banco_id"])
     ref = F.coalesce(F.nullif(F.col("referencia"), F.lit("")), F.lit(EXTRA_INCOME_DEFAULT_REF)) if "referencia" in cmds.columns \
         else F.lit(EXTRA_INCOME_DEFAULT_REF)
     tx = valid.select(F.col("id").alias("comando_id"), F.col("ts").alias("fecha_hora"), "tienda_id", "banco_id",
                       F.lit("Ingreso Extra").alias("tipo"), F.col("monto").cast(MONEY_SQL).alias("monto_efectivo"),
-                      _zero().alias("monto_banco"), ref.alias("referencia"))
+                      _zero().alias("monto_banco"), ref.alias("referencia"), _user(cmds))
     p = valid.select(*posting("ts", "tienda", F.col("tienda_id"), None, F.col("monto"), "delta", "ingreso_extra", "id", 1))
     return {"transacciones": tx, "postings": p, "rejected": rejected}
 
@@ -408,7 +414,8 @@ def set_bank_balance(saldos: DataFrame, cmds: DataFrame) -> DataFrame:
     banco_id, saldo_inicial, saldo_actual [, ts]. Several commands on a bank
     apply in the order of ``ts``: the differences of the opening balances add
     up, so the result is the last explicit balance (or the stored one) plus
-    the last opening balance minus the one that went with it."""
+    the last opening balance minus the one that went with it. Where the table
+    has its update time, that of the last command on the bank takes its place."""
     order = F.struct(*([F.col("ts")] if "ts" in cmds.columns else []), "saldo_inicial", "saldo_actual")
     explicit = F.when(F.col("saldo_actual").isNotNull(), order)
     c = cmds.groupBy(F.col("banco_id").alias("_b")).agg(
@@ -420,7 +427,17 @@ def set_bank_balance(saldos: DataFrame, cmds: DataFrame) -> DataFrame:
     moved = F.coalesce("_last.saldo_inicial", _zero()) - F.coalesce(old, _zero())
     return j.select("banco_id", F.when(hit, start + moved).otherwise(F.col("saldo")).cast(MONEY_SQL).alias("saldo"),
                     F.when(hit, F.col("_last.saldo_inicial")).otherwise(F.col("saldo_inicial")).cast(MONEY_SQL)
-                    .alias("saldo_inicial"))
+                    .alias("saldo_inicial"),
+                    *([F.when(hit, F.col("_last.ts").cast("timestamp_ntz")).otherwise(F.col("actualizado_en")).alias("actualizado_en")]
+                      if "ts" in cmds.columns and "actualizado_en" in saldos.columns else []))
+
+
+def bank_balance_postings(saldos: DataFrame, cmds: DataFrame) -> DataFrame:
+    """A ``set`` posting per bank named by ``cmds`` (with ``ts``): its
+    balance after them, at the time of the last one."""
+    after = set_bank_balance(saldos.select("banco_id", "saldo", "saldo_inicial", F.lit(None).cast("timestamp_ntz").alias("actualizado_en")), cmds)
+    return after.filter(F.col("actualizado_en").isNotNull()).select(
+        *posting("actualizado_en", "banco", None, F.col("banco_id"), F.col("saldo"), "set", "saldo", "banco_id", 0))
 
 
 def upsert_commissions(com: DataFrame, changes: DataFrame, epoch: str = "1970-01-01 00:00:00") -> DataFrame:
@@ -452,6 +469,40 @@ def merge_users(users: DataFrame, changes: DataFrame) -> DataFrame:
     return out.filter(F.col("username").isNotNull())
 
 
+def edit_users(users: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
+    """I28 by id (``changes``: id, username, rol, tienda_id, accion [, ts]):
+    'editar' gives the user of that id another name, role and store, 'eliminar'
+    drops that user (never 'admin'), 'insertar' adds one. The store is kept only
+    for cashiers. Of several changes to one id the last one (by ``ts`` if given)
+    stands. Names stay unique: a change to a name that another user has, or
+    that a change of a smaller id takes, is refused ('nombre_existente'), as is
+    adding an id that exists ('id_existente') and editing one that does not
+    ('sin_usuario'). Returns ``usuarios`` and ``rejected``."""
+    ch = one_per_target(changes, "id", "ts" if "ts" in changes.columns else None, "last")
+    ch = ch.select(F.col("id").alias("_cid"), F.col("username").alias("_cname"), F.col("rol").alias("_crol"), F.col("tienda_id").alias("_ct"),
+                   F.col("accion").alias("_acc"))
+    have = users.select(F.col("id").alias("_uid"), F.col("username").alias("_uname"))
+    ch = ch.join(have, ch["_cid"] == have["_uid"], "left")
+    holder = users.groupBy(F.col("username").alias("_hname")).agg(F.min("id").alias("_holder"))
+    ch = ch.join(holder, ch["_cname"] == holder["_hname"], "left")
+    names = F.col("_acc").isin("editar", "insertar")
+    wanted = ch.filter(names).groupBy(F.col("_cname").alias("_wname")).agg(F.min("_cid").alias("_taker"))
+    ch = ch.join(wanted, ch["_cname"] == wanted["_wname"], "left")
+    taken = names & ((F.col("_holder").isNotNull() & (F.col("_holder") != F.col("_cid"))) | (F.col("_taker") != F.col("_cid")))
+    why = (F.when((F.col("_acc") == "insertar") & F.col("_uid").isNotNull(), "id_existente")
+           .when((F.col("_acc") != "insertar") & F.col("_uid").isNull(), "sin_usuario").when(taken, "nombre_existente")
+           .when((F.col("_acc") == "eliminar") & (F.col("_uname") == "admin"), "admin"))
+    ch = ch.withColumn("motivo", why)
+    good = ch.filter("motivo is null").select("_cid", "_cname", "_crol", "_ct", "_acc")
+    store = F.when(F.col("_crol") == "Cajero", F.col("_ct")).cast("long")
+    j = users.join(good, users["id"] == good["_cid"], "full_outer").filter(F.coalesce(F.col("_acc") != "eliminar", F.lit(True)))
+    hit = F.col("_acc").isNotNull()
+    out = j.select(F.coalesce("id", "_cid").alias("id"), F.when(hit, F.col("_cname")).otherwise(F.col("username")).alias("username"),
+                   F.when(hit, F.col("_crol")).otherwise(F.col("rol")).alias("rol"), F.when(hit, store).otherwise(F.col("tienda_id")).alias("tienda_id"))
+    rejected = ch.filter("motivo is not null").select(F.col("_cid").alias("id"), F.col("_cname").alias("username"), F.col("_acc").alias("accion"), "motivo")
+    return {"usuarios": out, "rejected": rejected}
+
+
 def close_tills(forms: DataFrame, postings: DataFrame, openings: DataFrame | None = None) -> dict[str, DataFrame]:
     """Closing forms as a bulk job. The theoretical balance of each form
     is the store cash just before it (postings fold, strictly earlier), then

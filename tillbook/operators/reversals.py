@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tillbook.functions.timeparse import business_day
 from tillbook.operators.commands import one_per_target
 from tillbook.operators.joins import band_join
 from tillbook.operators.postings import posting
@@ -139,13 +140,14 @@ def reverse_remits(rem: DataFrame, cmds: DataFrame, tx: DataFrame) -> dict[str,
     return {"postings": p, "matched": matched, "remesas": kept, "transacciones": rest}
 
 
-def reverse_closings(ci: DataFrame, ap: DataFrame, rem: DataFrame, cmds: DataFrame) -> dict[str, DataFrame]:
+def reverse_closings(ci: DataFrame, ap: DataFrame, rem: DataFrame, cmds: DataFrame, tz: str | None = None) -> dict[str, DataFrame]:
     """Undo closings (``cmds``: cierre_id, ts): store cash := the
     closing's theoretical balance (a ``set`` posting), the store's latest
     closed opening is reopened, the closing is dropped, and the store's
     Pendiente remittances sent on the command's day are dropped. With several
     closings of a store the n-th reversal finds the n-th latest closed opening
-    (those before it are open again by then). ``aperturas`` and ``remesas``:
+    (those before it are open again by then). ``tz``: zone of the day where
+    times are UTC instants. ``aperturas`` and ``remesas``:
     the tables after the reversal."""
     c = one_per_target(cmds.select("cierre_id", "ts"), "cierre_id", "ts").select(
         F.col("cierre_id").alias("_cid"), F.col("ts").alias("_ts"))
@@ -162,8 +164,8 @@ def reverse_closings(ci: DataFrame, ap: DataFrame, rem: DataFrame, cmds: DataFra
     openings = ap.join(again, ap.id == F.col("_again"), "left").select(
         *[F.when(F.col("_again").isNotNull(), F.lit("Abierta")).otherwise(F.col(x)).alias(x) if x == "estado" else F.col(x)
           for x in ap.columns])
-    days = hit.select(F.col("tienda_id").alias("_st"), F.to_date("_ts").alias("_day")).distinct()
-    sent = (rem.estado == "Pendiente") & (rem.tienda_id == days._st) & (F.to_date(rem.fecha_envio) == days._day)
+    days = hit.select(F.col("tienda_id").alias("_st"), business_day("_ts", tz).alias("_day")).distinct()
+    sent = (rem.estado == "Pendiente") & (rem.tienda_id == days._st) & (business_day(rem.fecha_envio, tz) == days._day)
     kept_ci = ci.join(c, ci.id == c._cid, "left_anti")
     return {"postings": p, "reabrir": reopen, "remesas_eliminadas": rem.join(days, sent, "left_semi"), "cierres": kept_ci,
             "aperturas": openings, "remesas": rem.join(days, sent, "left_anti")}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.balances import OTHERS_KEY, balance_map, bank_key, map_amount, map_total, snapshot_json
 from tillbook.functions.forms import melt_form
-from tillbook.functions.timeparse import ts_literal
+from tillbook.functions.timeparse import business_day, ts_literal
 from tillbook.operators.aggregations import global_bank_position, net_since_opening, treasury_flow
 from tillbook.operators.joins import id_array
 from tillbook.operators.setops import append_treasury_row
@@ -254,15 +254,30 @@ def apply_initial_config(forms: DataFrame, L) -> DataFrame:
                     _m(F.col("nuevo_total") - F.coalesce("ap_cash", zero())).alias("delta_efectivo"))
 
 
-def cashier_dashboard(L, day: Column | str) -> DataFrame:
+def _opening_of_day(L, day: Column | str, tz: str | None) -> DataFrame:
+    """Per user the open opening (lowest id) of the business day ``day``; in
+    zone ``tz`` where times are UTC instants."""
+    d = day if isinstance(day, Column) else F.lit(day).cast("date")
+    ap = L["aperturas_caja"].filter((F.col("estado") == "Abierta") & (business_day("fecha_hora", tz) == d))
+    return ap.groupBy("usuario_id").agg(F.min(F.struct("id", "saldos_bancos_json")).alias("_r")).select(
+        F.col("usuario_id").alias("_au"), F.col("_r.id").alias("apertura_id"), F.col("_r.saldos_bancos_json").alias("ap_json"))
+
+
+def cashier_opening_banks(L, day: Column | str, tz: str | None = None) -> DataFrame:
+    """The opening map of each cashier's opening of the day, in long form:
+    (usuario_id, apertura_id, clave, monto)."""
+    u = L["usuarios"].filter(F.col("rol") == "Cajero").select(F.col("id").alias("usuario_id"))
+    first = _opening_of_day(L, day, tz)
+    j = u.join(first, u.usuario_id == first._au, "inner").select("usuario_id", "apertura_id", F.explode(balance_map("ap_json")).alias("clave", "_v"))
+    return j.select("usuario_id", "apertura_id", "clave", F.coalesce(F.col("_v").try_cast(MONEY_SQL), zero()).alias("monto"))
+
+
+def cashier_dashboard(L, day: Column | str, tz: str | None = None) -> DataFrame:
     """H13 for all cashiers at once: own store cash, the open opening of that
-    business day (by the cashier) and its declared total."""
+    business day (by the cashier) and its declared total; the opening's map is
+    ``cashier_opening_banks``."""
     u = L["usuarios"].filter(F.col("rol") == "Cajero")
-    d = day if isinstance(day, Column) else F.lit(day).cast("date")
-    ap = L["aperturas_caja"].filter((F.col("estado") == "Abierta") & (F.to_date("fecha_hora") == d))
-    first = ap.groupBy("usuario_id").agg(F.min(F.struct("id", "saldos_bancos_json")).alias("_r")).select(
-        F.col("usuario_id").alias("_au"), F.col("_r.id").alias("apertura_id"),
-        map_total(balance_map(F.col("_r.saldos_bancos_json"))).alias("total_apertura"))
+    first = _opening_of_day(L, day, tz).select("_au", "apertura_id", map_total(balance_map("ap_json")).alias("total_apertura"))
     t = L["tiendas"].select(F.col("id").alias("_tid"), F.col("efectivo_actual").alias("saldo_anterior"))
     j = u.join(t, u.tienda_id == t._tid, "left").join(first, u.id == first._au, "left")
     return j.select(F.col("id").alias("usuario_id"), "tienda_id",
@@ -270,12 +285,14 @@ def cashier_dashboard(L, day: Column | str) -> DataFrame:
                     F.coalesce("total_apertura", zero()).alias("total_apertura"))
 
 
-def suggest_close_reminder(L, day: Column | str) -> DataFrame:
+def suggest_close_reminder(L, day: Column | str, tz: str | None = None) -> DataFrame:
     """Stores whose till is still open at 17:55 local on ``day``: the
     latest opening at or before that time has no closing after it (up to
-    that time)."""
+    that time). ``tz``: the local zone where times are UTC instants."""
     d = day if isinstance(day, Column) else F.lit(day).cast("date")
     at = F.to_timestamp_ntz(F.concat(d.cast("string"), F.lit(" " + REMINDER_TIME)))
+    if tz is not None:
+        at = F.convert_timezone(F.lit(tz), F.lit("UTC"), at)
     ap = L["aperturas_caja"].filter(F.col("fecha_hora") <= at)
     ci = L["cierres_caja"].filter(F.col("fecha") <= at)
     lo = ap.groupBy("tienda_id").agg(F.max(F.struct("fecha_hora", "id")).alias("_a"))

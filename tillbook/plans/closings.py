@@ -12,7 +12,7 @@ from tillbook.functions.forms import melt_form
 from tillbook.functions.money import round_cents
 from tillbook.operators.aggregations import shift_by_bank, shift_by_type, shift_moved_total, shift_summary
 from tillbook.operators.joins import asof_opening, enrich_closings
-from tillbook.sources.schemas import MONEY_SQL
+from tillbook.sources.schemas import MONEY_SQL, conform
 
 # Variance labels, tolerance and generated texts.
 TOLERANCE = 0.01
@@ -94,7 +94,9 @@ def close_shift(forms: DataFrame, expected: DataFrame) -> dict[str, DataFrame]:
 
     ``forms``: (form_id, tienda_id, ts, form map); ``expected``: (form_id,
     saldo_teorico), the store cash just before each form (I17 computes it
-    from the postings fold)."""
+    from the postings fold). ``cierres``: the closing rows as the table
+    ``cierres_caja`` has them, with the user and the note (form field
+    ``observaciones``) where forms have them."""
     parts = _form_parts(forms, ["form_id"])
     tot = parts.groupBy("form_id").agg(
         F.coalesce(F.sum("declarado"), F.lit(0)).cast(MONEY_SQL).alias("saldo_real"),
@@ -119,7 +121,10 @@ def close_shift(forms: DataFrame, expected: DataFrame) -> dict[str, DataFrame]:
         "form_id", "tienda_id", F.col("entregado").cast(MONEY_SQL).alias("monto"), F.col("ts").alias("fecha_envio"),
         F.lit("Pendiente").alias("estado"), bank.alias("banco_id"),
         F.when(bank.isNotNull(), REMIT_BANK_NOTE).otherwise(REMIT_FUND_NOTE).alias("observaciones"))
-    return {"closings": closings, "adjustments": adjustments, "remittances": rem}
+    user = (F.col("usuario_id") if "usuario_id" in forms.columns else F.lit(None)).cast("long").alias("usuario_id")
+    head = forms.select(F.col("form_id").alias("id"), user, F.try_element_at(F.col("form"), F.lit("observaciones")).alias("observaciones"))
+    rows = closings.withColumnRenamed("form_id", "id").join(head, "id", "left")
+    return {"closings": closings, "adjustments": adjustments, "remittances": rem, "cierres": conform(rows, "cierres_caja")}
 
 
 def close_preview(forms: DataFrame, expected: DataFrame) -> dict[str, DataFrame]:
