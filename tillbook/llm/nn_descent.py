@@ -5,10 +5,11 @@ Equal vectors are one node (its smallest id), so a vector that occurs very
 often is one row of the graph; results are expanded to its members.
 
 Building: nodes start with neighbours from random-hyperplane leaves. Then, in
-rounds, every node brings its neighbours and reverse neighbours together
+``rounds`` rounds at most (fewer once under ``enough`` of the edges are new;
+the search is exact about what the graph holds, recall is measured), every node brings its neighbours and reverse neighbours together
 (joins: edges with the vectors of their ends, grouped by the node in between),
-pairs of them that were not compared before are compared, and each node keeps
-its ``degree`` nearest. Members of a group are bounded (``degree`` out, at
+pairs of them that were not compared before are compared, each member emits its
+``EMITTED`` nearest of them, and each node keeps its ``degree`` nearest. Members of a group are bounded (``degree`` out, at
 most ``degree`` in), so a hub is not a large group. Vectors travel as bytes
 with a scale while the graph is built; a search measures the original ones in
 double precision.
@@ -192,7 +193,7 @@ BEAM = "array<struct<d:double,id:bigint,done:boolean>>"
 
 
 def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = 256, expand: int = 32,
-                  rounds: int = 20, pivots: int = 64, degree: int = 24) -> DataFrame:
+                  pivots: int = 64, degree: int = 24) -> DataFrame:
     """(query, beam): the nearest nodes found for each query (query, vec,
     own), sorted by distance; own is the query's node or null."""
     marks = nodes.orderBy(F.xxhash64("node")).limit(pivots).toPandas()
@@ -233,7 +234,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam:
                 rows.append((query, vec, sorted(now.values())[:beam]))
             yield pd.DataFrame(rows, columns=["query", "vec", "beam"])
 
-    for _ in range(rounds):
+    while True:  # a query expands each node once at most, so this ends
         going = F.exists("beam", lambda e: ~e["done"])
         open_ = state.filter(going)
         todo = F.slice(F.filter("beam", lambda e: ~e["done"]), 1, expand)
