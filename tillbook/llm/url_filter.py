@@ -107,10 +107,13 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     src = src.withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
     src = lexical_features(src, "url", "host", "path")
     labelled = src.filter("hit is not null").withColumn("label", (F.col("hit.verdict") == "block").cast("double"))
-    picked = stored(labelled.orderBy(F.xxhash64("url", "id"), "id").limit(sample).drop("hit"), "url-sample")
     # per domain (and so its tld): labelled and blocked URLs
     counts = stored(labelled.groupBy("tld", "domain").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), "url-suffixes")
     n, blocked = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
+    # drawn where the rows lie, at a rate that follows from the count
+    share = 1.0 if n <= sample else min(1.0, 1.2 * sample / n + 10 / n)
+    taken = labelled.filter(F.pmod(F.xxhash64(F.lit("draw"), "url", "id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    picked = stored(taken.orderBy(F.xxhash64("url", "id"), "id").limit(sample).drop("hit"), "url-sample")
     one_class = n == 0 or blocked in (0, n) or picked.select("label").distinct().count() < 2
     decided = [F.col("hit.rule").alias("rule")]
     if one_class:
