@@ -363,3 +363,18 @@ def test_repair_of_nothing(spark):
     text = "word " * 400_000
     long = repair_conversations(damage(spark.createDataFrame([(1, 1, "user", text, 1, "", "")], TURNS))).collect()
     assert long[0].truncated == 1 and long[0].cost == 3
+
+
+@pytest.mark.parametrize("name", ["op3_warc", "op8_minhash_near_dedup", "op12_conversation_repair", "op13_periodic_runs"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from tillbook.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, SF_DIR)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert collections.Counter(tuple(r) for r in got.select(want.columns).collect()) == collections.Counter(want.fetchall())
