@@ -14,3 +14,13 @@ def test_normalize_and_business_day(spark):
     assert rows[1].u == dt.datetime(2026, 4, 2, 1, 0) and rows[1].u2 == dt.datetime(2026, 4, 2, 7, 0)
     assert rows[2].u == dt.datetime(2026, 4, 1, 6, 5)
     assert rows[3].u is None
+
+
+def test_zulu_suffix_and_fractions(spark):
+    texts = ["2026-04-02T01:00:00Z", "2026-04-02 01:00:00.25Z", "2026-04-01T19:00:00.123456-06:00", "2026-04-02 01:00:00.1234567", "x.5Z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.u, r.z) for r in df.select("i", normalize_ts("t").alias("u"), normalize_ts("t", "America/Tegucigalpa").alias("z")).collect()}
+    at = dt.datetime(2026, 4, 2, 1, 0)
+    assert got[0] == (at, at)  # the suffix wins over the naive zone
+    assert got[1][0] == at.replace(microsecond=250_000) and got[2][0] == at.replace(microsecond=123_456)
+    assert got[3] == (at.replace(microsecond=123_456), dt.datetime(2026, 4, 2, 7, 0, 0, 123_456)) and got[4] == (None, None)

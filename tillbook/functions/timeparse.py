@@ -19,14 +19,17 @@ _OFFSET = r"([+-])(\d{2}):?(\d{2})$"
 def normalize_ts(col: Column | str, naive_zone: str = "UTC") -> Column:
     """Mixed-offset text -> UTC instant as ``timestamp_ntz`` (UTC wall time).
 
-    Suffixed text is shifted by its own offset; suffix-less text is read in
-    ``naive_zone``. An hour printed as ``24`` is read as ``00``; text that does
+    Suffixed text is shifted by its own offset (``Z`` is none); suffix-less text
+    is read in ``naive_zone``. Fractions of a second are kept to the
+    microsecond. An hour printed as ``24`` is read as ``00``; text that does
     not parse gives NULL (``try_to_timestamp``)."""
     c = F.trim(F.col(col) if isinstance(col, str) else col)
-    c = F.regexp_replace(c, r"^(\d{4}-\d{2}-\d{2})[ T]24:", "$1 00:")
+    c = F.regexp_replace(F.regexp_replace(c, "[Zz]$", "+00:00"), r"^(\d{4}-\d{2}-\d{2})[ T]24:", "$1 00:")
     has_offset = c.rlike(_OFFSET)
     local_text = F.regexp_replace(F.regexp_replace(c, _OFFSET, ""), "T", " ")
     local = F.try_to_timestamp(F.substring(local_text, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))
+    fraction = F.rpad(F.regexp_extract(local_text, r"^.{19}[.](\d{1,6})\d*$", 1), 6, "0").cast("int")
+    local = local + F.make_dt_interval(secs=(fraction / 1_000_000).cast("decimal(18,6)"))
     sign = F.when(F.regexp_extract(c, _OFFSET, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     minutes = (F.regexp_extract(c, _OFFSET, 2).try_cast("int") * 60
                + F.regexp_extract(c, _OFFSET, 3).try_cast("int")) * sign
