@@ -127,6 +127,17 @@ def h4(spark, d):
     return HT.treasury_balances(Ledger(spark, d))
 
 
+@register("h4_treasury_totals", """
+SELECT CAST(ifnull(SUM(flujo) FILTER (en_flujo), 0) AS DECIMAL(38,2)) AS total_flujo,
+  CAST(ifnull(SUM(saldo) FILTER (en_saldos), 0) AS DECIMAL(38,2)) AS total_real,
+  (SELECT CAST(ifnull(SUM(monto), 0) AS DECIMAL(38,2)) FROM remesas SEMI JOIN tiendas ON tiendas.id = tienda_id WHERE estado = 'Pendiente') AS en_transito,
+  (SELECT CAST(ifnull(SUM(monto), 0) AS DECIMAL(38,2)) FROM depositos_adelantados SEMI JOIN bancos ON bancos.id = banco_id
+   WHERE estado = 'Pendiente') AS deuda_total
+FROM tbal""", extra_ctes=AUDIT_CTES)
+def h4_totals(spark, d):
+    return HT.treasury_page(Ledger(spark, d))["totales"]
+
+
 @register("g3_append_otros_nonzero", "SELECT banco_key, flujo FROM tbal WHERE banco_key <> 'Otros' OR flujo <> 0",
           extra_ctes=AUDIT_CTES)
 def g3(spark, d):
