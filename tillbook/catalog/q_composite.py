@@ -244,6 +244,32 @@ def h12(spark, d):
     return H.apply_initial_config(config_forms(L), L)
 
 
+CONFIG_AT = "2024-03-01 09:00:00"
+
+
+@register("h12_initial_config_openings", """
+SELECT a.* REPLACE (CASE WHEN o.tienda_id IS NULL THEN saldo_inicial_efectivo ELSE CAST((o.tienda_id + 1) * 500 AS DECIMAL(18,2)) END
+    AS saldo_inicial_efectivo,
+  CASE WHEN o.tienda_id IS NULL THEN saldos_bancos_json ELSE '{' || (
+    SELECT string_agg('"' || bancos.id || '":' || ((o.tienda_id + 1) * (bancos.id + 1) * 10), ',' ORDER BY bancos.id) FROM bancos) || '}' END
+    AS saldos_bancos_json)
+FROM aperturas_caja a LEFT JOIN (SELECT op.* FROM op SEMI JOIN tiendas ON tiendas.id = op.tienda_id) o ON o.apertura_id = a.id""",
+          extra_ctes=OPEN_TILL_CTE)
+def h12_openings(spark, d):
+    L = Ledger(spark, d)
+    return H.initial_config_frames(config_forms(L), L, CONFIG_AT)["aperturas"]
+
+
+@register("h12_initial_config_postings", f"""
+SELECT TIMESTAMP '{CONFIG_AT}' AS ts, 'tienda' AS cuenta, t.id AS tienda_id, CAST(NULL AS BIGINT) AS banco_id,
+  CAST((t.id + 1) * 500 - coalesce(o.ap_cash, 0) AS DECIMAL(18,2)) AS monto, 'delta' AS tipo_asiento, 'configuracion' AS fuente,
+  t.id AS fuente_id, 1 AS orden
+FROM tiendas t JOIN op o ON o.tienda_id = t.id WHERE (t.id + 1) * 500 <> coalesce(o.ap_cash, 0)""", extra_ctes=OPEN_TILL_CTE)
+def h12_postings(spark, d):
+    L = Ledger(spark, d)
+    return H.initial_config_frames(config_forms(L), L, CONFIG_AT)["postings"]
+
+
 @register("h13_cashier_dashboard", f"""
 SELECT u.id AS usuario_id, u.tienda_id, CAST(COALESCE(t.efectivo_actual, 0) AS DECIMAL(18,2)) AS saldo_anterior,
   a.apertura_id, CAST(COALESCE(a.total, 0) AS DECIMAL(18,2)) AS total_apertura

@@ -15,6 +15,7 @@ from tillbook.functions.forms import melt_form
 from tillbook.functions.timeparse import business_day, ts_literal
 from tillbook.operators.aggregations import global_bank_position, net_since_opening, treasury_flow
 from tillbook.operators.joins import id_array
+from tillbook.operators.postings import posting
 from tillbook.operators.setops import append_treasury_row
 from tillbook.operators.windows import last_treasury_closing, latest_by_id
 from tillbook.sources.schemas import MONEY_SQL
@@ -254,6 +255,25 @@ def apply_initial_config(forms: DataFrame, L) -> DataFrame:
                     _m(F.col("nuevo_total") - F.coalesce("ap_cash", zero())).alias("delta_efectivo"))
 
 
+def initial_config_frames(forms: DataFrame, L, at) -> dict[str, DataFrame]:
+    """What the initial-configuration forms change, at the time ``at``:
+    ``aperturas`` is the opening table with the new cash and bank map in the
+    open till of every store that a form names, and ``postings`` adds the
+    difference of the cash to the store (none where it is 0). Of several forms
+    on a store the last one (by form_id) stands."""
+    new = apply_initial_config(forms, L).groupBy("apertura_id", "tienda_id").agg(
+        F.max(F.struct("form_id", "nuevo_total", "nuevo_json", "delta_efectivo")).alias("_n"))
+    by_till = new.select(F.col("apertura_id").alias("_aid"), "_n.nuevo_total", "_n.nuevo_json")
+    ap = L["aperturas_caja"]
+    change = {"saldo_inicial_efectivo": "nuevo_total", "saldos_bancos_json": "nuevo_json"}
+    hit = F.col("_aid").isNotNull()
+    openings = ap.join(by_till, ap.id == by_till._aid, "left").select(
+        *[F.when(hit, F.col(change[c])).otherwise(F.col(c)).cast(ap.schema[c].dataType).alias(c) if c in change else F.col(c) for c in ap.columns])
+    moved = new.withColumn("_at", ts_literal(at)).filter(F.col("_n.delta_efectivo") != 0)
+    return {"aperturas": openings, "postings": moved.select(*posting(
+        "_at", "tienda", F.col("tienda_id"), None, F.col("_n.delta_efectivo"), "delta", "configuracion", "_n.form_id", 1))}
+
+
 def _opening_of_day(L, day: Column | str, tz: str | None) -> DataFrame:
     """Per user the open opening (lowest id) of the business day ``day``; in
     zone ``tz`` where times are UTC instants."""
