@@ -24,7 +24,9 @@ found by min-label contraction in Spark.
 
 Defined results: a null text, or one without words, has the empty set, links
 with nothing and is kept (component_id its own id). Rows with a null id take
-no part: component_id null, kept true. Rows that repeat an id and text share
+no part: component_id null, kept true (``drop_near_duplicates`` numbers the
+rows, so there they do). Different texts of one id are one node of the graph
+here. Rows that repeat an id and text share
 their component and verdict. An empty table gives an empty result. Only id and
 text are read.
 """
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.llm.common import document_key, keep_rows, stored
+from tillbook.llm.common import document_key, stored
 
 K = 5
 U64 = np.uint64
@@ -217,14 +219,18 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often = items.groupBy("s").agg(F.count("*").alias("f"))
     ordered = (items.join(often, "s").groupBy("rep", "n", "comp")
                .agg(F.sort_array(F.collect_set(F.struct("f", "s"))).alias("order")))
-    size = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
-    prefix = stored(ordered.select("rep", "n", "comp", F.posexplode(F.slice("order", 1, size)).alias("pos", "e"))
+    probe = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
+    # the smaller set of a pair needs a shorter prefix only: what it must share
+    # with a set of its own size or larger
+    index = F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)) + 1
+    prefix = stored(ordered.select("rep", "n", "comp", F.posexplode(F.slice("order", 1, probe)).alias("pos", "e"))
                     .filter("e.f > 1").select("rep", "n", "comp", "pos", F.col("e.s").alias("s")), "prefix")
-    other = prefix.select("s", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "comp", "pos")])
+    other = prefix.filter(F.col("pos") < index).select("s", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "comp", "pos")])
+    smaller = (F.col("o_n") < F.col("n")) | ((F.col("o_n") == F.col("n")) & (F.col("o_rep") < F.col("rep")))
     rest = F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))  # shared at most, from here on
     enough = rest * (100 + percent) >= percent * (F.col("n") + F.col("o_n"))
-    return (prefix.join(other, "s").filter((F.col("rep") < F.col("o_rep")) & (F.col("comp") != F.col("o_comp")) & enough)
-            .select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
+    return (prefix.join(other, "s").filter(smaller & (F.col("comp") != F.col("o_comp")) & enough)
+            .select(*_pair(F.col("rep"), F.col("o_rep"))))
 
 
 def _linked(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, percent: int, leader_rounds: int) -> DataFrame | None:
@@ -269,15 +275,21 @@ def _linked(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, percen
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                          rows: int = 3, side: int = 16) -> DataFrame:
     """One document of each group of near duplicates: the one with the
-    smallest id, all columns unchanged. Of rows that repeat its id and text
-    one stays; rows with a null id all stay. Documents of a similarity of
-    ``percent`` or more are linked; a pair at 80 is missed with a probability
-    of at most 2.1e-5 (rows 3, side 16)."""
-    near = near_duplicates(docs, id_col, text_col, percent, rows, side).filter("kept")
-    kept = keep_rows(docs, near, id_col, text_col)
-    again = stored(near.filter("k_id is not null").groupBy("k_id", "k_text").count().filter("count > 1").drop("count"), "again")
-    if again.isEmpty():
-        return kept
-    cond = [kept[id_col] == again["k_id"], F.xxhash64(kept[text_col].isNull(), F.coalesce(kept[text_col], F.lit(""))) == again["k_text"]]
-    once = kept.join(again, cond, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, cond, "left_anti").unionByName(once)
+    smallest id (rows without an id only where no other is), all columns
+    unchanged. Every row is a document of its own here, whatever its id, so
+    rows that share an id, or have none, are linked by their texts like others.
+    Documents without words are linked with nothing; of those that repeat an id
+    and text one stays. Documents of a similarity of ``percent`` or more are
+    linked; a pair at 80 is missed with a probability of at most 2.1e-5 (rows
+    3, side 16)."""
+    node = "__node"
+    while node in docs.columns:
+        node += "_"
+    numbered = stored(docs.withColumn(node, F.monotonically_increasing_id()), "numbered")
+    near = near_duplicates(numbered, node, text_col, percent, rows, side).select(F.col("k_id").alias("node"), "component_id", "n_shingles")
+    k_id, k_text = document_key(id_col, text_col)
+    of = near.join(numbered.select(F.col(node).alias("node"), k_id, k_text), "node")
+    linked = F.col("n_shingles") > 0
+    first = F.min(F.struct(F.col("k_id").isNull(), "k_id", "node"))["node"].alias(node)
+    kept = of.groupBy(F.when(linked, F.col("component_id")), F.when(~linked, F.col("k_id")), F.when(~linked, F.col("k_text"))).agg(first)
+    return numbered.join(kept.select(node), node, "left_semi").drop(node)
