@@ -38,6 +38,20 @@ def test_edits_of_one_transaction_chain(spark):
     assert [r.referencia for r in out["rejected"].collect()] == ["c"]
 
 
+def test_edits_are_dealt_to_all_partitions_once(spark):
+    """Both legs come from one pass over the edits, dealt by id to all shuffle
+    partitions (none merged); a bank leg of zero is a leg, no bank is none."""
+    tx = table(spark, "transacciones", [tx_row(id=i, banco_id=None if i % 4 == 0 else 2, monto_banco=D(i)) for i in range(80)])
+    edits = spark.createDataFrame([(i, D(i), "a", T0 + H) for i in range(80)],
+                                  "id long, monto decimal(18,2), referencia string, ts timestamp_ntz")
+    p = I.repost_transactions(tx, edits, spark.createDataFrame([], RULES))["postings"]
+    parts = p.rdd.glom().collect()
+    assert len(parts) == 8 and all(parts)
+    rows = [r for part in parts for r in part]
+    assert sorted(r.fuente_id for r in rows if r.cuenta == "tienda") == list(range(80))
+    assert sorted((r.fuente_id, r.monto) for r in rows if r.cuenta == "banco") == [(i, D(0)) for i in range(80) if i % 4]
+
+
 def test_repeats_act_once(spark):
     rem = table(spark, "remesas", [{"id": 1, "tienda_id": 1, "monto": D("5"), "fecha_envio": T0, "estado": "Pendiente"}])
     cmds = spark.createDataFrame([(1, T0 + H, 7), (1, T0 + 2 * H, 8)], "remesa_id long, fecha timestamp_ntz, usuario_id long")

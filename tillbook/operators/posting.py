@@ -338,12 +338,16 @@ def repost_transactions(tx: DataFrame, edits: DataFrame, com: DataFrame) -> dict
     edit rule table to the new amount, restamp the time. Several edits of one
     row apply in their order: each reverses the legs that the one before left,
     and the row ends as the last edit leaves it. Negative and missing amounts
-    are returned as ``rejected``."""
+    are returned as ``rejected``. Both sides are dealt by id to all shuffle
+    partitions: a task sorts its rows three times (for the join and for the
+    order of edits), so partitions merged up to a size would cost it several
+    times that in memory."""
+    n = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ok = F.coalesce(F.col("monto") >= 0, F.lit(False))
     e = edits.filter(ok).select(
         F.col("id").alias("_eid"), F.col("monto").alias("_m"), F.col("referencia").alias("_ref"), F.col("ts").alias("_ts"))
-    j = tx.join(e, tx.id == e._eid, "inner")
-    j = with_commission(j, com)
+    t, e = tx.repartition(n, "id"), e.repartition(n, "_eid")
+    j = with_commission(t.join(e, t.id == e._eid, "inner"), com)
     cash, bank = signed_legs(F.col("tipo"), F.col("_m"), F.col("com_ef"), F.col("com_vi"), EDIT_RULES)
     j = j.withColumn("_new_ef", cash).withColumn("_new_vi", bank)
     seq = in_sequence("_eid", "_ts", "_m", "_ref")
@@ -353,9 +357,7 @@ def repost_transactions(tx: DataFrame, edits: DataFrame, com: DataFrame) -> dict
           .withColumn("_final", F.lead(F.lit(1)).over(seq).isNull()))
     d_ef = (F.col("_new_ef") - F.col("_old_ef")).cast(MONEY_SQL)
     d_vi = (F.col("_new_vi") - F.col("_old_vi")).cast(MONEY_SQL)
-    p = j.select(*posting("_ts", "tienda", F.col("tienda_id"), None, d_ef, "delta", "edicion", "id", 3)).unionByName(
-        j.filter(F.col("banco_id").isNotNull()).select(
-            *posting("_ts", "banco", F.col("tienda_id"), F.col("banco_id"), d_vi, "delta", "edicion", "id", 3)))
+    p = store_and_bank_legs(j, "_ts", d_ef, d_vi, "edicion", "id", 3, zeros=True)
     new = j.filter("_final").select("id", F.col("_ts").alias("fecha_hora"), "tienda_id", "banco_id", "usuario_id", "tipo",
                    F.col("_new_ef").alias("monto_efectivo"), F.col("_new_vi").alias("monto_banco"),
                    F.col("com_ef").alias("comision_efectivo"), F.col("com_vi").alias("comision_banco"),

@@ -32,15 +32,17 @@ def posting(ts: Column | str, cuenta: str, tienda: Column | None, banco: Column
 
 
 def store_and_bank_legs(df: DataFrame, ts: str, cash: Column, bank: Column, fuente: str, fuente_id: str,
-                        orden: int) -> DataFrame:
+                        orden: int, zeros: bool = False) -> DataFrame:
     """Both legs of a transaction from one pass over ``df``: the store-cash
-    leg always, the bank leg when the row has a bank and a non-zero bank
-    amount (``explode`` of a one- or two-element array)."""
+    leg always, the bank leg when the row has a bank and (unless ``zeros``) a
+    non-zero bank amount (``explode`` of a one- or two-element array)."""
     store_leg = F.struct(F.lit("tienda").alias("cuenta"), F.lit(None).cast("long").alias("b"),
                          cash.cast(MONEY_SQL).alias("m"))
     bank_leg = F.struct(F.lit("banco").alias("cuenta"), F.col("banco_id").cast("long").alias("b"),
                         bank.cast(MONEY_SQL).alias("m"))
-    has_bank = F.col("banco_id").isNotNull() & (bank != 0)
+    has_bank = F.col("banco_id").isNotNull()
+    if not zeros:
+        has_bank = has_bank & (bank != 0)
     legs = F.when(has_bank, F.array(store_leg, bank_leg)).otherwise(F.array(store_leg))
     e = df.select(F.col(ts).cast("timestamp_ntz").alias("ts"), F.col("tienda_id").cast("long").alias("tienda_id"),
                   F.col(fuente_id).cast("long").alias("fuente_id"), F.explode(legs).alias("_l"))
